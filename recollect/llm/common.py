@@ -7,7 +7,8 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +27,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def row_number() -> Column:
+    """A number for each row of a table, the same whenever the table is read again with the same settings."""
+    return F.monotonically_increasing_id()
+
+
+def unused_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front till no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def words_ascii_space(text: str | None) -> list[str]:
     """Words between ASCII white space of a text with A-Z in lower case."""
     return lower_ascii(text).encode().split() if text else []
