@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollect.llm import byte_bpe, decontamination, simhash, token_counts, topk, toxicity
+from recollect.llm import byte_bpe, decontamination, html_text, simhash, token_counts, topk, toxicity
 from recollect.llm.common import table
 
 
@@ -16,6 +16,10 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.every_nth(topk.whole_vectors(table(spark, sf_dir, "embeddings")), 50, 5)
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.digests(decontamination.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -38,6 +42,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_text": op1_html_text,
     "op4_decontamination": op4_decontamination,
     "op5_toxicity": op5_toxicity,
     "op6_simhash": op6_simhash,
