@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollect.llm import byte_bpe, decontamination, html_text, line_dedup, simhash, token_counts, topk, toxicity
+from recollect.llm import byte_bpe, decontamination, html_text, line_dedup, secrets, simhash, token_counts, topk, toxicity
 from recollect.llm.common import table
 
 
@@ -20,6 +20,11 @@ def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secrets.digests(secrets.scan(docs, secrets.train(docs)))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.digests(decontamination.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -48,6 +53,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_text": op1_html_text,
+    "op2_secrets": op2_secrets,
     "op4_decontamination": op4_decontamination,
     "op5_toxicity": op5_toxicity,
     "op6_simhash": op6_simhash,
