@@ -100,7 +100,7 @@ def train(docs: DataFrame, random_docs: int = RANDOM_DOCS, ordinary_docs: int =
 
 def _unlikely(table: list[float]):
     """Of runs, whether each is likelier a random string."""
-    ratios, n = F.lit(table), len(LETTERS)
+    ratios, n = F.transform(F.split(F.lit(",".join(map(repr, table))), ","), lambda x: x.cast("double")), len(LETTERS)  # folded to a constant
 
     def ratio(run: Column) -> Column:
         place = F.transform(F.split(run, ""), lambda c: F.instr(F.lit(LETTERS), c) - 1)
