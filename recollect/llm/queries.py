@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollect.llm import byte_bpe, decontamination, html_text, line_dedup, secrets, simhash, token_counts, topk, toxicity
+from recollect.llm import byte_bpe, decontamination, html_text, line_dedup, lm_scoring, secrets, simhash, token_counts, topk, toxicity
 from recollect.llm.common import table
 
 
@@ -25,6 +25,10 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.scan(docs, secrets.train(docs)))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.digests(decontamination.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -54,6 +58,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_text": op1_html_text,
     "op2_secrets": op2_secrets,
+    "op3_lm_scoring": op3_lm_scoring,
     "op4_decontamination": op4_decontamination,
     "op5_toxicity": op5_toxicity,
     "op6_simhash": op6_simhash,
