@@ -15,15 +15,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows of ``df``, written to the checkpoint folder that all executors share.
-
-    The folder is the session's own (spark.checkpoint.dir); only where none is set, as in tests, a temporary one is made.
-    """
-    sc = df.sparkSession.sparkContext
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder that all executors share, the session's own (spark.checkpoint.dir); only where none is set, as in tests, a temporary one is made."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-")
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows of ``df``, written to the shared checkpoint folder."""
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
