@@ -1,4 +1,6 @@
 """All registered queries over the driver's tables, with the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from recollect.plans import audit, memory
+
+QUERIES: dict = {**memory.QUERIES, **audit.QUERIES}
+ORACLE_SQL: dict = {**memory.SQL, **audit.SQL}
