@@ -100,7 +100,7 @@ def train(docs: DataFrame, random_docs: int = RANDOM_DOCS, ordinary_docs: int =
 
 def _unlikely(table: list[float]):
     """Of runs, whether each is likelier a random string."""
-    ratios, n = F.transform(F.split(F.lit(",".join(map(repr, table))), ","), lambda x: x.cast("double")), len(LETTERS)  # folded to a constant
+    ratios, n = F.expr(f"array({','.join(f'{x!r}D' for x in table)})"), len(LETTERS)  # the optimizer folds it to one constant
 
     def ratio(run: Column) -> Column:
         place = F.transform(F.split(run, ""), lambda c: F.instr(F.lit(LETTERS), c) - 1)
@@ -113,9 +113,13 @@ def scan(docs: DataFrame, table: list[float]) -> DataFrame:
     """row, doc_id, and the spans of each row of ``docs``: kind (place in KINDS), start and end, by start and kind."""
     text = F.col("text")
     numbered = docs.select(row_number().alias("row"), F.col("doc_id").cast("long"), "text")
-    # no assignment without a colon or an equals sign
-    assign = F.when(text.contains("=") | text.contains(":"), _matches(text, 0, ASSIGN, _long_values(text))).otherwise(F.array().cast(_TYPE))
-    every = F.concat(assign, _matches(text, 1, ACCESS, _always), _matches(text, 2, HEX, _always), _matches(text, 3, RUNS, _unlikely(table)))
+    none = F.array().cast(_TYPE)
+    # no assignment without a colon or an equals sign and a name; no other match without a run, which has no space within
+    low = F.lower(text)
+    named = (text.contains("=") | text.contains(":")) & (low.contains("passw") | low.contains("secret") | low.contains("token") | low.contains("api"))
+    runs = F.exists(F.split(text, " "), lambda w: (F.octet_length(w) >= RUN) & w.rlike(f"[A-Za-z0-9+/_=-]{{{RUN}}}"))
+    in_runs = F.concat(_matches(text, 1, ACCESS, _always), _matches(text, 2, HEX, _always), _matches(text, 3, RUNS, _unlikely(table)))
+    every = F.concat(F.when(named, _matches(text, 0, ASSIGN, _long_values(text))).otherwise(none), F.when(runs, in_runs).otherwise(none))
     matches = numbered.where("text is not null").select("row", F.explode(every).alias("m")).select("row", "m.*")
     so_far = Window.partitionBy("row", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.col("gap").cast("long") + F.col("size")).over(so_far)
