@@ -1,6 +1,6 @@
 """All registered queries over the driver's tables, with the SQL that gives the same rows."""
 
-from recollect.plans import audit, memory
+from recollect.plans import audit, memory, streams
 
-QUERIES: dict = {**memory.QUERIES, **audit.QUERIES}
-ORACLE_SQL: dict = {**memory.SQL, **audit.SQL}
+QUERIES: dict = {**memory.QUERIES, **audit.QUERIES, **streams.QUERIES}
+ORACLE_SQL: dict = {**memory.SQL, **audit.SQL, **streams.SQL}
