@@ -5,8 +5,8 @@ and its matching length tell, at every word, how long a passage of the items end
 means that the last ``window`` words are a window of an item; items shorter than that are one window each, found by the
 states that spell a whole item. States know the items in which their last ``window`` words occur, so no text is compared.
 
-Items are broadcast in shards of at most ``SHARD_WORDS`` words, whose count is checked first: every shard is one pass
-over the documents, and the passes' hits are put together by row. Benchmarks of usual size are one shard, without a shuffle.
+Items are broadcast in shards of at most ``SHARD_WORDS`` words, counted as they come to the driver, which must hold the
+benchmark (never the documents): every shard is one pass over the documents, and the passes' hits are put together by row. Benchmarks of usual size are one shard, without a shuffle.
 
 Defined cases: a null text or item has no words; a text without words has n_words 0 and no hits; repeated items count by
 their item_ids, null item_ids are left out of the items found, but their windows are hits; rows are kept one to one,
