@@ -10,8 +10,8 @@ updates 64 distances at a time in two carry-save counter planes and an overflow
 its lanes have overflowed. A block yields a star for each of its components (never all pairs), and stars are joined over
 all blocks by alternating large-star and small-star steps, each cut in the checkpoint folder.
 
-Equal fingerprints are folded into one row before anything is compared, so thousands of copies cost one comparison. A
-block of very many different fingerprints is searched breadth first, each member once against the members not yet
+Equal fingerprints are folded into one row before anything is compared, so thousands of copies cost one comparison. Members
+of a block have 33 bits in common and differ in the others. A block of very many different fingerprints is searched breadth first, each member once against the members not yet
 reached, so a group of near copies empties its block in a few steps.
 
 Defined cases: null and empty texts have fingerprint zero and are linked like any other; rows are kept one to one, repeated
