@@ -6,10 +6,10 @@ hashed. A chunk begins at a line whose hash is below those of the two lines befo
 such boundaries shift with the text, chunks have three lines at least (but for the ends of a text), five on average, and the
 chunk's hash rolls over the hashes of its lines.
 
-A chunk that other documents have too belongs to the first of them. In the others, runs of such chunks with ``MIN_CHARS``
-characters at least are removed, once a comparison of the chunks' bytes has found all chunks of that hash equal; should two
-texts share a hash, no chunk of that hash is removed. Documents that share ``SHARE`` of their chunks with one owner, and as much
-of the owner's, are copies of the whole document, not passages: they are left whole for near-duplicate removal.
+Exact copies of a whole text count as one document, that of the first of them: all are cut alike, so they stay exact copies,
+which near-duplicate removal takes. A chunk that other documents have too belongs to the first of them. In all others, however
+much of them is repeated, runs of such chunks with ``MIN_CHARS`` characters at least are removed, once a comparison of the
+chunks' bytes has found all chunks of that hash equal; should two texts share a hash, no chunk of that hash is removed.
 
 Counting is partly aggregated before each shuffle, joins are on hashes or row numbers that adaptive execution can split,
 and a document's list of removed chunks is bounded by the document.
@@ -29,7 +29,7 @@ from pyspark.sql.types import AtomicType
 
 from recollect.llm.common import cut, row_number, unused_name
 
-FOLDS, MIN_CHARS, SHARE = ".,nse&#%!", 64, 0.6
+FOLDS, MIN_CHARS = ".,nse&#%!", 64
 _CUT = "\x01"
 
 
@@ -96,20 +96,14 @@ def _without(text: Column, removed: Column) -> Column:
 
 
 def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """row, and its chunks that other documents have too: place, hash h and whether it is the owner, ascending by place.
-
-    Chunks of whole copies are not among them, but where the copy is the owner.
-    """
-    chunks = cut(docs.select(row_number().alias("row"), chunk_hashes(F.col("text")).alias("h")).where("h is not null"))
-    each = chunks.select("row", F.posexplode("h").alias("at", "h"))
+    """row, and its chunks that other texts have too: place, hash h and whether its text is the owner, ascending by place."""
+    chunks = cut(docs.select(row_number().alias("row"), F.unhex(F.sha2("text", 256)).alias("text_is"), chunk_hashes(F.col("text")).alias("h")).where("h is not null"))
+    firsts = cut(chunks.groupBy("text_is").agg(F.min("row").alias("row")))
+    each = cut(chunks.join(firsts.select("row"), "row", "left_semi").select("row", "h")).select("row", F.posexplode("h").alias("at", "h"))
     owners = each.groupBy("h").agg(F.min("row").alias("owner"), F.max("row").alias("last")).where("owner < last").select("h", "owner")
     shared = each.join(owners, "h").select("row", "at", "h", "owner")
-    total = chunks.select(F.col("row").alias("of"), F.size("h").alias("n"))
-    common = shared.where("row <> owner").groupBy("row", "owner").agg(F.count("*").alias("common"))
-    half = common.join(total, F.col("row") == F.col("of")).where(F.col("common") >= SHARE * F.col("n")).select("row", "owner", "common")
-    copies = half.join(total, F.col("owner") == F.col("of")).where(F.col("common") >= SHARE * F.col("n")).select("row").distinct()
-    kept = shared.join(copies.withColumn("copy", F.lit(True)), "row", "left").where("copy is null or row = owner")
-    return kept.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", "h", (F.col("row") == F.col("owner")).alias("owner")))).alias("shared"))
+    listed = shared.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", "h", (F.col("row") == F.col("owner")).alias("owner")))).alias("shared"))
+    return chunks.select("row", "text_is").join(listed.join(firsts, "row").select("text_is", "shared"), "text_is").select("row", "shared")
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:

@@ -101,3 +101,45 @@ def test_colliding_hashes_are_kept(spark, monkeypatch):
 def test_lines_join_to_the_text(spark, text):
     df = spark.createDataFrame([(text,)], "text string")
     assert df.select(F.array_join(L.lines(F.col("text")), "")).first()[0] == text
+
+
+def whole(texts):
+    """By dictionaries: exact copies are cut as the first of them is, all others of every passage that an earlier text has."""
+    parts = {t: [c for _, c in chunks(t)] for t in texts if t is not None}
+    owner = {}
+    for t, p in parts.items():
+        for c in p:
+            owner.setdefault(c, t)
+
+    def clean(t):
+        kept, run = [], []
+        for c in [*parts[t], None]:
+            if c is not None and owner[c] != t:
+                run.append(c)
+                continue
+            kept += run if len("".join(run)) < 64 else []
+            run = []
+            kept.append(c or "")
+        return "".join(kept)
+
+    return [None if t is None else clean(t) for t in texts]
+
+
+def test_texts_of_mostly_repeated_passages_are_cut(spark):
+    def own(k, n):
+        return " ".join(f"Word{k}x{i} then some{i * k} lines, of text{i}." for i in range(n))
+
+    copy = PASSAGE + "\n" + own(2, 40)
+    texts = [PASSAGE, own(1, 40), copy, own(1, 40) + " One more line, at its end.", PASSAGE + " Sixteen words of its own.", copy, own(1, 40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = [r.text for r in L.dedup_lines(docs).orderBy("doc_id").collect()]
+    assert got == whole(texts)
+    assert got[0] == texts[0] and got[1] == got[6] == texts[1]  # a passage's owner, and exact copies of a text of its own
+    assert len(got[3]) < 300 and len(got[4]) < len(PASSAGE) / 2
+    assert got[2] == got[5] and len(got[2]) < len(copy) - 100  # a third document's passage goes from exact copies too
+
+
+def test_query_leaves_no_repeats(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    got = {r.doc_id: r.text for r in QUERIES["op8_line_dedup"](spark, SF).collect()}
+    assert [got[d.doc_id] for d in docs] == whole([d.text for d in docs])
