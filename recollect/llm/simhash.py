@@ -30,6 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recollect.llm import minhash
 from recollect.llm.common import arrow_rows, cut, emit, row_number, unused_name, words_ascii_space
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
@@ -263,8 +264,10 @@ def components(docs: DataFrame) -> DataFrame:
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, of each component only one: that of the smallest doc_id (null last), the first of its rows.
 
+    Links are not those of the fingerprints, 3 bits of which are far less than a similarity of 0.8 allows, but of ``minhash``.
+
     Rows are told apart by their numbers, so ``docs`` must give its rows in the same order twice, as a table does.
     """
     number = unused_name(docs, "row")
-    kept = components(docs).groupBy("root").agg(F.min_by("row", F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias(number)).select(number)
+    kept = minhash.rooted(docs, connected).groupBy("root").agg(F.min_by("row", F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias(number)).select(number)
     return docs.withColumn(number, row_number()).join(kept, number, "left_semi").drop(number)
