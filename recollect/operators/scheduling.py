@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 IDLE_S, MAX_WAIT_S, MAX_TOKENS, MAX_EVENTS = 7_200, 86_400, 16_000, 20
 
@@ -35,18 +39,29 @@ def due_scopes(events: DataFrame, as_of: Column, idle_s: int = IDLE_S, max_wait_
 def batched(events: DataFrame, max_tokens: int = MAX_TOKENS, max_events: int = MAX_EVENTS) -> DataFrame:
     """batch_no of each event: batches are filled in order, and closed by the event that would go over a limit (WIN13).
 
-    A fold over the sorted events of a scope, in one pass; the first event of a batch is always taken.
+    A scope's events come to one task in order, which keeps only the totals of the batch that is open; the first event of a
+    batch is always taken. A null number of tokens makes the total null, which is over no limit.
     """
-    all_ = F.array_sort(F.collect_list(F.struct("completed_at", "event_id", "tokens")))
-    empty = F.struct(F.array().cast("array<struct<event_id:bigint,batch_no:int>>").alias("done"), F.lit(0).alias("no"), F.lit(0).cast("long").alias("tokens"), F.lit(0).alias("n"))
-
-    def step(s: Column, x: Column) -> Column:
-        opens = (s["n"] > 0) & ((s["tokens"] + x["tokens"] > max_tokens) | (s["n"] >= max_events))
-        no = F.when(opens, s["no"] + 1).otherwise(s["no"])
-        return F.struct(F.concat(s["done"], F.array(F.struct(x["event_id"].alias("event_id"), no.alias("batch_no")))).alias("done"), no.alias("no"), F.when(opens, x["tokens"]).otherwise(s["tokens"] + x["tokens"]).alias("tokens"), F.when(opens, 1).otherwise(s["n"] + 1).alias("n"))
-
-    folded = events.groupBy("scope_id").agg(F.aggregate(all_, empty, step, lambda s: s["done"]).alias("done"))
-    return folded.select("scope_id", F.explode("done").alias("e")).select("scope_id", "e.*")
+    scope, at = events.schema["scope_id"].dataType, events.schema["event_id"].dataType
+    schema = StructType([StructField("scope_id", scope), StructField("event_id", at), StructField("batch_no", IntegerType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, no, used, n = None, 0, 0, 0
+        for batch in batches:
+            numbers = []
+            for scope_id, tokens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                total = None if used is None or tokens is None else used + tokens
+                if (scope_id,) != last:
+                    last, no, used, n = (scope_id,), 0, tokens, 1
+                elif (total is not None and total > max_tokens) or n >= max_events:
+                    no, used, n = no + 1, tokens, 1
+                else:
+                    used, n = total, n + 1
+                numbers.append(no)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(numbers, pa.int32())], names=["scope_id", "event_id", "batch_no"])
+
+    dealt = events.repartition("scope_id").sortWithinPartitions("scope_id", "completed_at", "event_id", "tokens")
+    return dealt.select("scope_id", "tokens", "event_id").mapInArrow(run, schema)
 
 
 def reviewable(events: DataFrame) -> DataFrame:

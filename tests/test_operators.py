@@ -64,6 +64,19 @@ def test_batches_take_a_large_first_event(spark):
     assert {r.event_id: r.batch_no for r in S.batched(e, 100, 3).collect()} == {0: 0, 1: 1, 2: 1, 3: 2, 4: 2}
 
 
+def test_batches_hold_no_list_of_a_scope(spark):
+    e = spark.range(60_000).select(F.expr("id % 3 div 2").alias("scope_id"), F.lit(AS_OF).cast("timestamp").alias("completed_at"), F.col("id").alias("event_id"), (F.col("id") % 7).alias("tokens"))
+    out = S.batched(e, 20, 5)
+    assert "collect_list" not in out._jdf.queryExecution().toString()
+    want, state = {}, {}
+    for i in range(60_000):
+        no, used, n = state.get(i % 3 // 2, (0, 0, 0))
+        no, used, n = (no + 1, i % 7, 1) if n and (used + i % 7 > 20 or n >= 5) else (no, used + i % 7, n + 1)
+        state[i % 3 // 2] = (no, used, n)
+        want[i] = no
+    assert {r.event_id: r.batch_no for r in out.collect()} == want
+
+
 def test_multiline_match_touches_lines(spark):
     lines = spark.createDataFrame([(1, 1, "abc"), (1, 2, "dbe"), (1, 3, "f")], "session_id long, sequence long, text string")
     assert sorted(r.sequence for r in X.multiline_matches(lines, "c\n2\td").collect()) == [1, 2]
