@@ -1,22 +1,26 @@
 """Line dedup by content-defined chunks of lines, in DataFrame functions only.
 
-Lines: a text is cut after every line end and, as prose has lines of any length, folded after every space that follows one
-of the bytes in ``FOLDS``; both depend on the text alone, so a passage is cut alike wherever it stands. Every line is
-hashed. A chunk begins at a line whose hash is below those of the two lines before and not above those of the two after:
-such boundaries shift with the text, chunks have three lines at least (but for the ends of a text), five on average, and the
-chunk's hash rolls over the hashes of its lines.
+Lines: a text is cut after every line end, and long lines are folded after every space (and every kana or Chinese character,
+which have none), so that a passage is cut alike wherever it stands, inside a line or across line ends, in any language. A
+folded line is mostly a word.
 
-Exact copies of a whole text count as one document, that of the first of them: all are cut alike, so they stay exact copies,
-which near-duplicate removal takes. A chunk that other documents have too belongs to the first of them. In all others, however
-much of them is repeated, runs of such chunks with ``MIN_CHARS`` characters at least are removed, once a comparison of the
-chunks' bytes has found all chunks of that hash equal; should two texts share a hash, no chunk of that hash is removed.
+Chunks: every line is hashed, and a hash rolls over ``ROLL`` line hashes in a row. A chunk begins where the rolling hash is
+below those of the ``NEAR`` places before and not above those of the ``NEAR`` behind; so boundaries shift with the text. A
+chunk has over ``NEAR`` lines, twice as many and one on average; a text without boundaries is one chunk, however short.
 
-Counting is partly aggregated before each shuffle, joins are on hashes or row numbers that adaptive execution can split,
-and a document's list of removed chunks is bounded by the document.
+A chunk that several documents have belongs to the first of them (by row). Every other document's chunk of that hash is
+compared with the owner's byte for byte; equal ones are removed, and with them the lines in front and behind (``EDGE`` at
+most on either side, white space at their ends aside) that the owner has there, too, as a passage rarely begins and ends with a chunk. Exact
+copies of a whole text lose all of it; which of the rows that are left go is the business of near-duplicate removal.
+
+Counting is partly aggregated before each shuffle, joins are on hashes or row numbers, which adaptive execution can split,
+and a document's list of shared chunks is bounded by the document. Texts are shuffled once.
 
 Defined cases: null texts stay null, empty ones empty; a document all of whose text is removed stays with an empty text;
 repeats within one document stay; repeated rows and ids count as documents of their own, told apart by row numbers (so
-``docs`` must give its rows in the same order twice, as a table does); other columns are kept, whatever their names.
+``docs`` must give its rows in the same order twice, as a table does; a row whose columns are not those that its number had
+before stays whole); other columns are kept, whatever their names; very long texts are cut like others, and one without
+boundaries (a word repeated for ever) is one chunk.
 """
 
 from __future__ import annotations
@@ -29,8 +33,10 @@ from pyspark.sql.types import AtomicType
 
 from recollect.llm.common import cut, row_number, unused_name
 
-FOLDS, MIN_CHARS = ".,nse&#%!", 64
+ROLL, NEAR, EDGE = 3, 6, 24
 _CUT = "\x01"
+#: Characters of scripts without spaces: kana, Chinese, and the punctuation among them.
+_DENSE = "[、-ヿ㐀-鿿！，？]"
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -40,14 +46,39 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def lines(text: Column) -> Column:
     """The text's lines, line ends and folding spaces included: joined they are the text."""
-    folded = F.split(F.regexp_replace(text, f"[{FOLDS}] |\n", f"$0{_CUT}"), _CUT)
-    return F.when(text.contains(_CUT), F.split(text, f"(?<=\n)|(?<=[{FOLDS}] )")).otherwise(folded)
+    marked = F.replace(F.replace(text, F.lit(" "), F.lit(f" {_CUT}")), F.lit("\n"), F.lit(f"\n{_CUT}"))
+    dense = F.regexp_replace(text, f"[ \n]|{_DENSE}", f"$0{_CUT}")
+    return F.when(text.contains(_CUT), F.split(text, f"(?<=[ \n])|(?<={_DENSE})")).otherwise(F.split(F.when(text.rlike(_DENSE), dense).otherwise(marked), _CUT))
+
+
+def _hashes(u: Column) -> Column:
+    return F.transform(u, lambda x: F.xxhash64(x))
+
+
+def _rolled(h: Column) -> Column:
+    """At each line the hash that rolls over it and the ``ROLL`` - 1 lines before (null where there are none)."""
+
+    def at(x: Column, i: Column) -> Column:
+        for k in range(1, ROLL):
+            x = x.bitwiseXOR(F.shiftleft(F.get(h, i - k), k))
+        return x
+
+    return F.transform(h, at)
 
 
 def _bounds(h: Column) -> Column:
     """Where chunks begin, but for the first."""
-    inner = F.filter(F.sequence(F.lit(2), F.size(h) - 3), lambda i: (h[i] < h[i - 1]) & (h[i] < h[i - 2]) & (h[i] <= h[i + 1]) & (h[i] <= h[i + 2]))
-    return F.when(F.size(h) >= 5, inner).otherwise(F.array().cast("array<int>"))
+
+    def inner(r: Column) -> Column:
+        def least(i: Column) -> Column:
+            ok = r[i] < r[i - 1]
+            for k in range(1, NEAR + 1):
+                ok = (ok & (r[i] < r[i - k]) if k > 1 else ok) & (r[i] <= r[i + k])
+            return ok
+
+        return F.filter(F.sequence(F.lit(NEAR + ROLL - 1), F.size(r) - NEAR - 1), least)
+
+    return F.when(F.size(h) >= 2 * NEAR + ROLL, _let(_rolled(h), inner)).otherwise(F.array().cast("array<int>"))
 
 
 def _starts(bounds: Column) -> Column:
@@ -60,17 +91,14 @@ def chunk_hashes(text: Column) -> Column:
     def of_lines(h: Column) -> Column:
         return _let(_bounds(h), lambda b: F.zip_with(_starts(b), F.concat(b, F.array(F.size(h))), lambda s, e: F.xxhash64(F.slice(h, s + 1, e - s))))
 
-    return _let(F.transform(lines(text), lambda x: F.xxhash64(x)), of_lines)
+    return _let(_hashes(lines(text)), of_lines)
 
 
 def _with_chunks(text: Column, body: Callable[[Column, Column, Column], Column]) -> Column:
     """``body`` of the text's lines, and the first line and the line behind the last of each chunk."""
 
     def of_lines(u: Column) -> Column:
-        return _let(_bounds_of(u), lambda b: _let(_starts(b), lambda s: _let(F.concat(b, F.array(F.size(u))), lambda e: body(u, s, e))))
-
-    def _bounds_of(u: Column) -> Column:
-        return _let(F.transform(u, lambda x: F.xxhash64(x)), _bounds)
+        return _let(_let(_hashes(u), _bounds), lambda b: _let(_starts(b), lambda s: _let(F.concat(b, F.array(F.size(u))), lambda e: body(u, s, e))))
 
     return _let(lines(text), of_lines)
 
@@ -79,50 +107,70 @@ def _joined(u: Column, start: Column, end: Column) -> Column:
     return F.array_join(F.slice(u, start + 1, end - start), "")
 
 
-def _without(text: Column, removed: Column) -> Column:
-    """The text without the runs of chunks whose places are in ``removed`` (ascending) that are long enough."""
+def shared_chunks(docs: DataFrame) -> DataFrame:
+    """row, and its chunks that other documents have too: hash h, place and whether the row is the first that has it.
 
-    def of_chunks(u: Column, s: Column, e: Column) -> Column:
-        def of_places(p: Column) -> Column:
-            first = F.filter(p, lambda x, i: (i == 0) | (F.get(p, i - 1) != x - 1))
-            last = F.filter(p, lambda x, i: (i == F.size(p) - 1) | (F.get(p, i + 1) != x + 1))
-            runs = F.zip_with(first, last, lambda a, b: F.struct(s[a].alias("a"), e[b].alias("b")))
-            long = F.filter(runs, lambda r: F.length(_joined(u, r["a"], r["b"])) >= MIN_CHARS)
-            return _let(long, lambda g: F.array_join(F.zip_with(F.concat(F.array(F.lit(0)), F.transform(g, lambda r: r["b"])), F.concat(F.transform(g, lambda r: r["a"]), F.array(F.size(u))), lambda x, y: _joined(u, x, y)), ""))
+    Ascending by h and place; of an owner's chunks of one hash only the first is listed. Empty texts have no chunks.
+    """
+    hashes = F.when(F.col("text") != "", chunk_hashes(F.col("text")))
+    each = cut(docs.select(row_number().alias("row"), hashes.alias("h"))).where("h is not null").select("row", F.posexplode("h").alias("at", "h"))
+    owners = each.groupBy("h").agg(F.min("row").alias("owner"), F.max("row").alias("last")).where("owner < last").select("h", "owner")
+    shared = each.join(owners, "h").select("row", F.struct("h", "at", (F.col("row") == F.col("owner")).alias("owner")).alias("p"))
+    listed = shared.groupBy("row").agg(F.array_sort(F.collect_list("p")).alias("shared"))
+    first = lambda p, i: ~p["owner"] | (i == 0) | (F.get(F.col("shared"), i - 1)["h"] != p["h"])
+    return listed.select("row", F.filter("shared", first).alias("shared"))
 
-        return _let(removed, of_places)
 
-    return _with_chunks(text, of_chunks)
+def _same(a: Column, b: Column, reverse: bool) -> Column:
+    """How many lines two texts have in common from their beginnings (or ends) on; white space at the ends of lines is not compared."""
 
+    def listed(text: Column) -> Column:
+        each = F.transform(F.filter(lines(text), lambda x: x != ""), lambda x: F.rtrim(x, F.lit(" \n")))
+        return F.reverse(each) if reverse else each
 
-def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """row, and its chunks that other texts have too: place, hash h and whether its text is the owner, ascending by place."""
-    chunks = cut(docs.select(row_number().alias("row"), F.unhex(F.sha2("text", 256)).alias("text_is"), chunk_hashes(F.col("text")).alias("h")).where("h is not null"))
-    firsts = cut(chunks.groupBy("text_is").agg(F.min("row").alias("row")))
-    each = cut(chunks.join(firsts.select("row"), "row", "left_semi").select("row", "h")).select("row", F.posexplode("h").alias("at", "h"))
-    owners = each.groupBy("h").agg(F.min("row").alias("owner"), F.max("row").alias("last")).where("owner < last").select("h", "owner")
-    shared = each.join(owners, "h").select("row", "at", "h", "owner")
-    listed = shared.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", "h", (F.col("row") == F.col("owner")).alias("owner")))).alias("shared"))
-    return chunks.select("row", "text_is").join(listed.join(firsts, "row").select("text_is", "shared"), "text_is").select("row", "shared")
+    differs = F.zip_with(listed(a), listed(b), lambda x, y: ~F.coalesce(x == y, F.lit(False)))
+    return _let(differs, lambda d: F.coalesce(F.nullif(F.array_position(d, True), F.lit(0)) - 1, F.size(d)).cast("int"))
+
+
+def _without(text: Column, removed: Column) -> Column:
+    """The text without the chunks at the places in ``removed`` (ascending), and so many lines in front of and behind each."""
+
+    def of_chunks(u: Column, s: Column, e: Column) -> Column:
+        start = F.transform(removed, lambda p: s[p["at"]] - p["front"])
+        end = F.transform(removed, lambda p: e[p["at"]] + p["behind"])
+        kept = F.zip_with(F.concat(F.array(F.lit(0)), end), F.concat(start, F.array(F.size(u))), lambda a, b: F.when(a < b, _joined(u, a, b)).otherwise(""))
+        return F.array_join(kept, "")
+
+    return _with_chunks(text, of_chunks)
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with the repeated chunks removed from ``text``."""
-    number, listed, other, clashing = (unused_name(docs, x) for x in ("row", "shared", "other_row", "clashing"))
-    found = cut(repeated_chunks(docs)).select(F.col("row").alias(other), F.col("shared").alias(listed))
+    number, other, listed, gone, sign = (unused_name(docs, x) for x in ("row", "other_row", "shared", "removed", "sign"))
+    found = cut(shared_chunks(docs)).select(F.col("row").alias(other), F.col("shared").alias(listed))
     numbered = docs.withColumn(number, row_number())
-    joined = numbered.join(found, F.col(number) == F.col(other), "left")
-    places = F.col(listed)
-
-    # Byte comparison: the hashes under which the listed chunks have more than one text. The list is empty but for 64-bit
-    # collisions among repeated chunks. It carries a digest of all columns, so that it reads the shuffle of the join below.
-    texts = _with_chunks(F.col("text"), lambda u, s, e: F.transform(places, lambda p: F.struct(p["h"].alias("h"), _joined(u, s[p["at"]], e[p["at"]]).alias("t"))))
-    plain = [F.col(f"`{f.name}`") for f in docs.schema if isinstance(f.dataType, AtomicType)]
-    pieces = joined.where(places.isNotNull()).select(F.explode(texts).alias("p"), F.xxhash64(*plain).alias("all")).groupBy("p.h", "p.t").agg(F.min("all").alias("all"))
-    clashes = pieces.groupBy("h").agg(F.count("*").alias("n"), F.min("all").alias("all")).where("n > 1")
-    clash = clashes.agg(F.collect_list(F.struct("h", "all"))).scalar()
-
-    removed = F.transform(F.filter(places, lambda p: ~p["owner"] & ~F.array_contains(F.col(clashing)["h"], p["h"])), lambda p: p["at"])
-    clean = F.when(places.isNotNull() & F.exists(places, lambda p: ~p["owner"]), _without(F.col("text"), removed)).otherwise(F.col("text"))
-    out = joined.withColumn(clashing, clash).withColumn("text", clean)
-    return out.select(*(f"`{c}`" for c in docs.columns))
+    # a digest of all columns, which tells whether a number still means the same row; as all three joins below read all
+    # columns, they can share one shuffle of the texts
+    digest = F.xxhash64(*(F.col(f"`{f.name}`") for f in docs.schema if isinstance(f.dataType, AtomicType)))
+
+    def met(owner: bool) -> DataFrame:
+        """The chunks listed as the owner's or the others', with their texts and the lines in front and behind."""
+        mine = found.select(other, F.filter(listed, lambda p: p["owner"] == owner).alias(listed)).where(F.size(listed) > 0)
+
+        def occurrences(u: Column, s: Column, e: Column) -> Column:
+            def one(p: Column) -> Column:
+                a, b = s[p["at"]], e[p["at"]]
+                return F.struct(p["h"].alias("h"), p["at"].alias("at"), _joined(u, a, b).alias("t"), _joined(u, F.greatest(a - EDGE, F.lit(0)), a).alias("front"), _joined(u, b, b + EDGE).alias("behind"))
+
+            return F.transform(F.col(listed), one)
+
+        rows = numbered.join(mine, F.col(number) == F.col(other))
+        return rows.select(F.col(number).alias("row"), digest.alias("sign"), F.explode(_with_chunks(F.col("text"), occurrences)).alias("p")).select("row", "sign", "p.*")
+
+    owned = met(True).select("h", F.col("sign").alias("sign0"), F.col("t").alias("t0"), F.col("front").alias("front0"), F.col("behind").alias("behind0"))
+    equal = met(False).join(owned, "h").where("t = t0")
+    spans = equal.select("row", "sign", "sign0", F.struct("at", _same(F.col("front"), F.col("front0"), True).alias("front"), _same(F.col("behind"), F.col("behind0"), False).alias("behind")).alias("p"))
+    removed = spans.groupBy(F.col("row").alias(other)).agg(F.min("sign").alias(sign), F.max("sign0").alias("sign0"), F.array_sort(F.collect_list("p")).alias(gone)).where("sign0 is not null").drop("sign0")
+    joined = numbered.join(removed, F.col(number) == F.col(other), "left")
+    clean = F.when(F.col(gone).isNotNull() & (F.col(sign) == digest), _without(F.col("text"), F.col(gone))).otherwise(F.col("text"))
+    return joined.withColumn("text", clean).select(*(f"`{c}`" for c in docs.columns))
