@@ -1,8 +1,8 @@
 """Line dedup by content-defined chunks of lines, in DataFrame functions only.
 
-Lines: a text is cut after every line end, and long lines are folded after every space (and every kana or Chinese character,
-which have none), so that a passage is cut alike wherever it stands, inside a line or across line ends, in any language. A
-folded line is mostly a word.
+Lines: a text is cut after every line end, and long lines are folded at spaces, after every word of ``WORD`` characters or
+more. In texts of mostly kana or Chinese characters, which have no spaces, every one of these ends a line. So a passage is
+cut alike wherever it stands, inside a line or across line ends, in any language. A folded line is a word or two.
 
 Chunks: every line is hashed, and a hash rolls over ``ROLL`` line hashes in a row. A chunk begins where the rolling hash is
 below those of the ``NEAR`` places before and not above those of the ``NEAR`` behind; so boundaries shift with the text. A
@@ -10,11 +10,11 @@ chunk has over ``NEAR`` lines, twice as many and one on average; a text without
 
 A chunk that several documents have belongs to the first of them (by row). Every other document's chunk of that hash is
 compared with the owner's byte for byte; equal ones are removed, and with them the lines in front and behind (``EDGE`` at
-most on either side, white space at their ends aside) that the owner has there, too, as a passage rarely begins and ends with a chunk. Exact
-copies of a whole text lose all of it; which of the rows that are left go is the business of near-duplicate removal.
+most on either side) that the owner has there, too, as a passage rarely begins and ends with a chunk. Exact copies of a
+whole text lose all of it; which of the rows that are left go is the business of near-duplicate removal.
 
 Counting is partly aggregated before each shuffle, joins are on hashes or row numbers, which adaptive execution can split,
-and a document's list of shared chunks is bounded by the document. Texts are shuffled once.
+and a document's list of shared chunks is bounded by the document. Texts are hashed once and shuffled once.
 
 Defined cases: null texts stay null, empty ones empty; a document all of whose text is removed stays with an empty text;
 repeats within one document stay; repeated rows and ids count as documents of their own, told apart by row numbers (so
@@ -33,10 +33,10 @@ from pyspark.sql.types import AtomicType
 
 from recollect.llm.common import cut, row_number, unused_name
 
-ROLL, NEAR, EDGE = 3, 6, 24
-_CUT = "\x01"
+WORD, ROLL, NEAR, EDGE = 4, 3, 3, 16
 #: Characters of scripts without spaces: kana, Chinese, and the punctuation among them.
 _DENSE = "[、-ヿ㐀-鿿！，？]"
+_CHUNKS = "array<struct<h:bigint,a:int,b:int>>"
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -44,11 +44,20 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def _dense(text: Column) -> Column:
+    return F.octet_length(text) >= 2 * F.length(text)
+
+
 def lines(text: Column) -> Column:
-    """The text's lines, line ends and folding spaces included: joined they are the text."""
-    marked = F.replace(F.replace(text, F.lit(" "), F.lit(f" {_CUT}")), F.lit("\n"), F.lit(f"\n{_CUT}"))
-    dense = F.regexp_replace(text, f"[ \n]|{_DENSE}", f"$0{_CUT}")
-    return F.when(text.contains(_CUT), F.split(text, f"(?<=[ \n])|(?<={_DENSE})")).otherwise(F.split(F.when(text.rlike(_DENSE), dense).otherwise(marked), _CUT))
+    """The text's lines. A space stands between each two, which after line ends (and in dense texts characters) is put in here."""
+    spaced = F.when(_dense(text), F.regexp_replace(text, f"\n|{_DENSE}", "$0 ")).otherwise(F.replace(text, F.lit("\n"), F.lit("\n ")))
+    return F.split(spaced, f"(?<=\\S{{{WORD}}}|\n|{_DENSE}) ")
+
+
+def joined(u: Column, text: Column) -> Column:
+    """Lines of the text (all, or what is left of them) as text, without the spaces that ``lines`` put in."""
+    spaced = F.array_join(u, " ")
+    return F.when(_dense(text), F.regexp_replace(spaced, f"(\n|{_DENSE}) ", "$1")).otherwise(F.replace(spaced, F.lit("\n "), F.lit("\n")))
 
 
 def _hashes(u: Column) -> Column:
@@ -81,96 +90,88 @@ def _bounds(h: Column) -> Column:
     return F.when(F.size(h) >= 2 * NEAR + ROLL, _let(_rolled(h), inner)).otherwise(F.array().cast("array<int>"))
 
 
-def _starts(bounds: Column) -> Column:
-    return F.concat(F.array(F.lit(0)), bounds)
-
-
-def chunk_hashes(text: Column) -> Column:
-    """The hashes of the text's chunks, in order."""
+def chunks(text: Column) -> Column:
+    """The text's chunks in order: hash h of their lines' hashes, first line a and the line b behind the last."""
 
     def of_lines(h: Column) -> Column:
-        return _let(_bounds(h), lambda b: F.zip_with(_starts(b), F.concat(b, F.array(F.size(h))), lambda s, e: F.xxhash64(F.slice(h, s + 1, e - s))))
+        one = lambda s, e: F.struct(F.xxhash64(F.slice(h, s + 1, e - s)).alias("h"), s.alias("a"), e.alias("b"))
+        return _let(_bounds(h), lambda b: F.zip_with(F.concat(F.array(F.lit(0)), b), F.concat(b, F.array(F.size(h))), one))
 
     return _let(_hashes(lines(text)), of_lines)
 
 
-def _with_chunks(text: Column, body: Callable[[Column, Column, Column], Column]) -> Column:
-    """``body`` of the text's lines, and the first line and the line behind the last of each chunk."""
-
-    def of_lines(u: Column) -> Column:
-        return _let(_let(_hashes(u), _bounds), lambda b: _let(_starts(b), lambda s: _let(F.concat(b, F.array(F.size(u))), lambda e: body(u, s, e))))
-
-    return _let(lines(text), of_lines)
-
-
-def _joined(u: Column, start: Column, end: Column) -> Column:
-    return F.array_join(F.slice(u, start + 1, end - start), "")
-
-
 def shared_chunks(docs: DataFrame) -> DataFrame:
-    """row, and its chunks that other documents have too: hash h, place and whether the row is the first that has it.
+    """row, its chunks that an earlier document has, too, by place (``others``), and those that it is the first to have (``own``, each hash once).
 
-    Ascending by h and place; of an owner's chunks of one hash only the first is listed. Empty texts have no chunks.
+    Empty texts have no chunks.
     """
-    hashes = F.when(F.col("text") != "", chunk_hashes(F.col("text")))
-    each = cut(docs.select(row_number().alias("row"), hashes.alias("h"))).where("h is not null").select("row", F.posexplode("h").alias("at", "h"))
+    found = F.when(F.col("text") != "", chunks(F.col("text")))
+    each = cut(docs.select(row_number().alias("row"), found.alias("c"))).where("c is not null").select("row", F.explode("c").alias("c")).select("row", "c.*")
     owners = each.groupBy("h").agg(F.min("row").alias("owner"), F.max("row").alias("last")).where("owner < last").select("h", "owner")
-    shared = each.join(owners, "h").select("row", F.struct("h", "at", (F.col("row") == F.col("owner")).alias("owner")).alias("p"))
-    listed = shared.groupBy("row").agg(F.array_sort(F.collect_list("p")).alias("shared"))
-    first = lambda p, i: ~p["owner"] | (i == 0) | (F.get(F.col("shared"), i - 1)["h"] != p["h"])
-    return listed.select("row", F.filter("shared", first).alias("shared"))
+    shared = each.join(owners, "h").select("row", F.struct("h", "a", "b").alias("c"), (F.col("row") == F.col("owner")).alias("owner"))
+    listed = shared.groupBy("row").agg(F.collect_list(F.when(F.col("owner"), F.col("c"))).alias("own"), F.collect_list(F.when(~F.col("owner"), F.col("c"))).alias("others"))
+    by_hash = F.array_sort("own")
+    first = _let(by_hash, lambda o: F.filter(o, lambda c, i: (i == 0) | (F.get(o, i - 1)["h"] != c["h"])))
+    return listed.select("row", first.alias("own"), F.array_sort("others", lambda x, y: x["a"] - y["a"]).alias("others"))
 
 
-def _same(a: Column, b: Column, reverse: bool) -> Column:
-    """How many lines two texts have in common from their beginnings (or ends) on; white space at the ends of lines is not compared."""
+def _piece(u: Column, start: Column, end: Column) -> Column:
+    return F.array_join(F.slice(u, start + 1, end - start), " ")
 
-    def listed(text: Column) -> Column:
-        each = F.transform(F.filter(lines(text), lambda x: x != ""), lambda x: F.rtrim(x, F.lit(" \n")))
-        return F.reverse(each) if reverse else each
 
-    differs = F.zip_with(listed(a), listed(b), lambda x, y: ~F.coalesce(x == y, F.lit(False)))
+def _same(a: Column, b: Column) -> Column:
+    """How many lines two lists have in common from their beginnings on; white space at the ends of lines is not compared."""
+    differs = F.zip_with(a, b, lambda x, y: ~F.coalesce(F.rtrim(x, F.lit(" \n")) == F.rtrim(y, F.lit(" \n")), F.lit(False)))
     return _let(differs, lambda d: F.coalesce(F.nullif(F.array_position(d, True), F.lit(0)) - 1, F.size(d)).cast("int"))
 
 
 def _without(text: Column, removed: Column) -> Column:
-    """The text without the chunks at the places in ``removed`` (ascending), and so many lines in front of and behind each."""
+    """The text without the lines from a up to b of each span in ``removed`` (ascending; spans may overlap)."""
 
-    def of_chunks(u: Column, s: Column, e: Column) -> Column:
-        start = F.transform(removed, lambda p: s[p["at"]] - p["front"])
-        end = F.transform(removed, lambda p: e[p["at"]] + p["behind"])
-        kept = F.zip_with(F.concat(F.array(F.lit(0)), end), F.concat(start, F.array(F.size(u))), lambda a, b: F.when(a < b, _joined(u, a, b)).otherwise(""))
-        return F.array_join(kept, "")
+    def of_lines(u: Column) -> Column:
+        start, end = removed["a"], removed["b"]
+        kept = F.zip_with(F.concat(F.array(F.lit(0)), end), F.concat(start, F.array(F.size(u))), lambda a, b: F.when(a < b, F.slice(u, a + 1, b - a)).otherwise(F.array().cast("array<string>")))
+        return joined(F.flatten(kept), text)
 
-    return _with_chunks(text, of_chunks)
+    return _let(lines(text), of_lines)
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with the repeated chunks removed from ``text``."""
-    number, other, listed, gone, sign = (unused_name(docs, x) for x in ("row", "other_row", "shared", "removed", "sign"))
-    found = cut(shared_chunks(docs)).select(F.col("row").alias(other), F.col("shared").alias(listed))
+    number, other, listed, gone, sign = (unused_name(docs, x) for x in ("row", "other_row", "listed", "removed", "sign"))
+    found = cut(shared_chunks(docs)).withColumnRenamed("row", other)
     numbered = docs.withColumn(number, row_number())
     # a digest of all columns, which tells whether a number still means the same row; as all three joins below read all
     # columns, they can share one shuffle of the texts
     digest = F.xxhash64(*(F.col(f"`{f.name}`") for f in docs.schema if isinstance(f.dataType, AtomicType)))
 
-    def met(owner: bool) -> DataFrame:
-        """The chunks listed as the owner's or the others', with their texts and the lines in front and behind."""
-        mine = found.select(other, F.filter(listed, lambda p: p["owner"] == owner).alias(listed)).where(F.size(listed) > 0)
+    def met(which: str) -> DataFrame:
+        """The chunks listed as the owner's or the others', with their texts and the lines in front (nearest first) and behind.
+
+        Others' chunks have none on a side where the next chunk is listed, too.
+        """
+        mine = found.select(other, F.col(which).alias(listed)).where(F.size(listed) > 0)
 
-        def occurrences(u: Column, s: Column, e: Column) -> Column:
-            def one(p: Column) -> Column:
-                a, b = s[p["at"]], e[p["at"]]
-                return F.struct(p["h"].alias("h"), p["at"].alias("at"), _joined(u, a, b).alias("t"), _joined(u, F.greatest(a - EDGE, F.lit(0)), a).alias("front"), _joined(u, b, b + EDGE).alias("behind"))
+        def occurrences(u: Column) -> Column:
+            def one(c: Column, i: Column) -> Column:
+                a, b, none = c["a"], c["b"], F.array().cast("array<string>")
+                front = F.reverse(F.slice(u, F.greatest(a - EDGE, F.lit(0)) + 1, F.least(a, F.lit(EDGE))))
+                behind = F.slice(u, b + 1, F.lit(EDGE))
+                if which == "others":
+                    front = F.when(F.coalesce(F.get(F.col(listed), i - 1)["b"] == a, F.lit(False)), none).otherwise(front)
+                    behind = F.when(F.coalesce(F.get(F.col(listed), i + 1)["a"] == b, F.lit(False)), none).otherwise(behind)
+                return F.struct(c["h"].alias("h"), a.alias("a"), b.alias("b"), _piece(u, a, b).alias("t"), front.alias("front"), behind.alias("behind"))
 
             return F.transform(F.col(listed), one)
 
         rows = numbered.join(mine, F.col(number) == F.col(other))
-        return rows.select(F.col(number).alias("row"), digest.alias("sign"), F.explode(_with_chunks(F.col("text"), occurrences)).alias("p")).select("row", "sign", "p.*")
+        return rows.select(F.col(number).alias("row"), digest.alias("sign"), F.explode(_let(lines(F.col("text")), occurrences)).alias("p")).select("row", "sign", "p.*")
 
-    owned = met(True).select("h", F.col("sign").alias("sign0"), F.col("t").alias("t0"), F.col("front").alias("front0"), F.col("behind").alias("behind0"))
-    equal = met(False).join(owned, "h").where("t = t0")
-    spans = equal.select("row", "sign", "sign0", F.struct("at", _same(F.col("front"), F.col("front0"), True).alias("front"), _same(F.col("behind"), F.col("behind0"), False).alias("behind")).alias("p"))
+    owned = met("own").select("h", F.col("sign").alias("sign0"), F.col("t").alias("t0"), F.col("front").alias("front0"), F.col("behind").alias("behind0"))
+    equal = met("others").join(owned, "h").where("t = t0")
+    reach = lambda x: F.when(F.size(x) > 0, _same(F.col(x), F.col(f"{x}0"))).otherwise(0)
+    spans = equal.select("row", "sign", "sign0", F.struct((F.col("a") - reach("front")).alias("a"), (F.col("b") + reach("behind")).alias("b")).alias("p"))
     removed = spans.groupBy(F.col("row").alias(other)).agg(F.min("sign").alias(sign), F.max("sign0").alias("sign0"), F.array_sort(F.collect_list("p")).alias(gone)).where("sign0 is not null").drop("sign0")
-    joined = numbered.join(removed, F.col(number) == F.col(other), "left")
+    out = numbered.join(removed, F.col(number) == F.col(other), "left")
     clean = F.when(F.col(gone).isNotNull() & (F.col(sign) == digest), _without(F.col("text"), F.col(gone))).otherwise(F.col("text"))
-    return joined.withColumn("text", clean).select(*(f"`{c}`" for c in docs.columns))
+    return out.withColumn("text", clean).select(*(f"`{c}`" for c in docs.columns))

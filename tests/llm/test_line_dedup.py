@@ -18,42 +18,55 @@ def signed(x):
     return x - (x >> 63 << 64)
 
 
+DENSE = "[、-ヿ㐀-鿿！，？]"
+
+
+def dense(text):
+    return len(text.encode()) >= 2 * len(text)
+
+
 def units(text):
-    """Lines: after line ends, spaces, kana and Chinese characters."""
-    return re.split(r"(?<=[ \n、-ヿ㐀-鿿！，？])", text)
+    """Lines: after line ends, words of four characters or more, and kana and Chinese characters."""
+    spaced = re.sub(f"\n|{DENSE}", lambda m: m[0] + " ", text) if dense(text) else text.replace("\n", "\n ")
+    return [x for k, x in enumerate(re.split(f"((?<=[^ \t\n\x0b\x0c\r]{{4}}) |(?<=\n) |(?<={DENSE}) )", spaced)) if k % 2 == 0]
+
+
+def together(u, text):
+    spaced = " ".join(u)
+    return re.sub(f"(\n|{DENSE}) ", r"\1", spaced) if dense(text) else spaced.replace("\n ", "\n")
 
 
 def chunks(text):
-    """(first line, line behind the last) of each chunk, by a rolling hash over three line hashes that is least among six on either side."""
+    """(first line, line behind the last) of each chunk, by a rolling hash over three line hashes that is least among three on either side."""
     u = units(text)
     h = [signed(xxhash.xxh64_intdigest(x, 42)) for x in u]
     roll = {i: signed(h[i] ^ (h[i - 1] << 1) ^ (h[i - 2] << 2)) for i in range(2, len(h))}
-    cuts = [i for i in range(8, len(h) - 6) if all(roll[i] < roll[i - k] and roll[i] <= roll[i + k] for k in range(1, 7))]
+    cuts = [i for i in range(5, len(h) - 3) if all(roll[i] < roll[i - k] and roll[i] <= roll[i + k] for k in range(1, 4))]
     return u, list(zip([0, *cuts], [*cuts, len(u)]))
 
 
 def plain(texts):
-    """By dictionaries with the chunks' texts as keys; texts in the order of their rows."""
+    """By dictionaries with the chunks' lines as keys; texts in the order of their rows."""
     parts = [chunks(t) if t else ([], []) for t in texts]
     owner = {}
     for i, (u, spans) in enumerate(parts):
         for a, b in spans:
-            owner.setdefault("".join(u[a:b]), (i, a, b))
+            owner.setdefault(tuple(u[a:b]), (i, a, b))
     out = []
     for i, (u, spans) in enumerate(parts):
+        shared = [(a, b) for a, b in spans if owner[tuple(u[a:b])][0] != i]
+        starts, ends = {a for a, _ in shared}, {b for _, b in shared}
         gone = set()
-        for a, b in spans:
-            j, c, d = owner["".join(u[a:b])]
-            if j == i:
-                continue
+        for a, b in shared:
+            j, c, d = owner[tuple(u[a:b])]
             o = parts[j][0]
             n = m = 0
-            while n < min(24, a, c) and u[a - n - 1].rstrip(" \n") == o[c - n - 1].rstrip(" \n"):
+            while a not in ends and n < min(16, a, c) and u[a - n - 1].rstrip(" \n") == o[c - n - 1].rstrip(" \n"):
                 n += 1
-            while m < min(24, len(u) - b, len(o) - d) and u[b + m].rstrip(" \n") == o[d + m].rstrip(" \n"):
+            while b not in starts and m < min(16, len(u) - b, len(o) - d) and u[b + m].rstrip(" \n") == o[d + m].rstrip(" \n"):
                 m += 1
             gone.update(range(a - n, b + m))
-        out.append("".join(x for k, x in enumerate(u) if k not in gone) if texts[i] else texts[i])
+        out.append(together([x for k, x in enumerate(u) if k not in gone], texts[i]) if texts[i] else texts[i])
     return out
 
 
@@ -88,7 +101,7 @@ def test_passages_copies_and_odd_rows(spark):
     assert [got[i] for i in range(len(texts))] == plain(texts)
     assert got[1] == texts[1] and got[4] == "" and got[10] == ""
     for i, k in ((2, 3), (3, 4)):
-        assert PASSAGE[20:-20] not in got[i] and own(k, 5) in got[i] and len(got[i]) < len(texts[i]) - len(PASSAGE) + 20
+        assert PASSAGE[20:-20] not in got[i] and own(k, 5) in got[i] and len(got[i]) < len(texts[i]) - 0.8 * len(PASSAGE)
     assert L.dedup_lines(docs.where(F.lit(False))).count() == 0
 
 
@@ -120,7 +133,7 @@ def test_passages_of_51_words_in_the_middle_of_lines_go_whatever_the_language(sp
     got = run(spark, texts)
     assert got[0::2] == texts[0::2]
     shares = [(len(t) - len(g)) / n for t, g, n in zip(texts[1::2], got[1::2], sizes)]
-    assert sum(x > 0.95 for x in shares) >= 38 and max(shares) < 1.3
+    assert sum(x > 0.5 for x in shares) >= 39 and sum(shares) / 40 > 0.93 and max(shares) < 1.3
 
 
 def test_chinese_text_without_spaces(spark):
@@ -134,17 +147,17 @@ def test_chinese_text_without_spaces(spark):
 
 def test_colliding_hashes_are_kept(spark, monkeypatch):
     """With hashes of a few bits texts collide: only chunks with the owner's very bytes go."""
-    whole = L.chunk_hashes
-    monkeypatch.setattr(L, "chunk_hashes", lambda text: F.transform(whole(text), lambda h: h % 3))
+    whole = L.chunks
+    monkeypatch.setattr(L, "chunks", lambda text: F.transform(whole(text), lambda c: F.struct((c["h"] % 3).alias("h"), c["a"], c["b"])))
     texts = [own(1, 12), own(2, 12), own(3, 12)]
     assert run(spark, texts) == texts
 
 
-@pytest.mark.parametrize("text", ["", "a", "a b\nc", "x. y, z e w", "q\n\n\n", "a. \x01b. c", "日本 語。x"])
+@pytest.mark.parametrize("text", ["", "a", "a b\nc", "x. y, zebra e w", "q\n\n\n", "alpha. \x01beta. c", "日本 語。x", "日本 語。 字\n 字", "later \n  \n after that  two  spaces", "\n leading"])
 def test_lines_join_to_the_text(spark, text):
     df = spark.createDataFrame([(text,)], "text string")
-    u = df.select(L.lines(F.col("text"))).first()[0]
-    assert "".join(u) == text and u == units(text)
+    u, back = df.select(L.lines(F.col("text")), L.joined(L.lines(F.col("text")), F.col("text"))).first()
+    assert back == text and u == units(text)
 
 
 def test_texts_are_shuffled_once_and_no_python_runs(spark):
