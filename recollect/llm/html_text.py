@@ -3,19 +3,23 @@
 Markup is stripped to lines, one for each block of text. Text that markup itself sets apart from the article (menus, headers,
 footers, sidebars, notices, adverts, forms, reader comments: by element, role or class name) leaves ``WINDOW`` empty lines
 in its place. A line's length is that of its text without link texts. Sums over sliding windows of lines surge where text
-begins and dive to nothing where it ends; what lies between a surge and the next dive is a region. On pages that mark their
-article (article, main or role=main), any text there makes a surge, and regions outside count for nothing. On others a
-surge needs ``SURGE`` characters in a window, and the regions from the first to the last of those that have a quarter of the
-longest region's text at least are kept; where no window has as many, the longest region is the text.
+begins and dive to nothing where it ends; what lies between a surge and the next dive is a region, and a region ends with
+its last line that has text of its own. So rows of links around a text, or ``WINDOW`` of them within it, are no part of it.
 
-Defined cases: null and empty pages, and pages without text, give an empty text; markup may be cut off anywhere; character
-references are decoded once; rows are kept one to one; other columns are ignored.
+On pages that mark their article (article, main or role=main) regions are those of its lines, and any text there makes a
+surge. On others a surge needs one part in ``SHARE`` of the page's largest window, whatever the page's size, and all such
+regions are kept. A block whose class name would set it apart is kept all the same where it holds most of the page's text.
+
+Defined cases: null and empty pages, and pages without text, give an empty text; a page of nothing but links has none; markup
+may be cut off anywhere; character references are decoded once; very long pages are read whole; rows are kept one to one;
+other columns are ignored.
 """
 
 from __future__ import annotations
 
 import html as html_lib
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,10 +30,11 @@ from pyspark.sql import functions as F
 
 from recollect.llm.common import arrow_rows, emit
 
-WINDOW, SURGE = 3, 80
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)|[^<]+|<""", re.S)
+WINDOW, SHARE = 3, 8
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*+(?:"[^"]*"|'[^']*')?)*+)(?:>|\Z)|[^<]+|<""", re.S)
 _ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _NAME = re.compile(r"[a-z]+")
+_LETTER = re.compile(r"\w")
 _CAMEL = re.compile(r"([a-z])([A-Z])")
 #: Elements whose content is no text of the page.
 RAW = frozenset("script style noscript template iframe object svg math canvas audio video textarea select title head".split())
@@ -57,6 +62,7 @@ class _Open:
     beside: int  # 0: text counts, 1: set apart by element or comments, 2: by other names, which an article inside overrules
     article: bool
     link: bool
+    by: int = -1  # the place of the tag whose name sets this apart
 
 
 def _attributes(rest: str) -> dict[str, str]:
@@ -68,25 +74,30 @@ def _names(attributes: dict[str, str]) -> set[str]:
     return set(_NAME.findall(_CAMEL.sub(r"\1 \2", value).lower())) if value != " " else set()
 
 
-def lines_of(page: str) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Lines of the stripped page (empty where something was set apart), lengths without links, and which are in an article."""
+def lines_of(page: str, overruled: frozenset[int] = frozenset()) -> tuple[list[str], np.ndarray, np.ndarray, Counter]:
+    """Lines of the stripped page (empty where something was set apart), lengths without links, and which are in an article.
+
+    Last, by the place of each tag set apart for its name, the text without links that went with it; in ``overruled`` are
+    such places at which names count for nothing.
+    """
     lines: list[str] = []
     lengths: list[int] = []
     marked: list[bool] = []
     stack: list[_Open] = [_Open("", 0, False, False)]
     parts: list[str] = []
-    linked = 0
+    linked, own = 0, False
     seen_article = False
+    apart: Counter = Counter()
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, own
         text = " ".join(html_lib.unescape("".join(parts)).split()) if parts else ""
         if text:
             lines.append(text)
-            lengths.append(max(0, len(text) - linked))
+            lengths.append(max(1, len(text) - linked) if own else 0)
             marked.append(stack[-1].article)
         parts.clear()
-        linked = 0
+        linked, own = 0, False
 
     def gap() -> None:
         lines.extend([""] * WINDOW)
@@ -96,7 +107,7 @@ def lines_of(page: str) -> tuple[list[str], np.ndarray, np.ndarray]:
     at, end = 0, len(page)
     while at < end:
         m = _TOKEN.match(page, at)
-        at = m.end()
+        place, at = at, m.end()
         tag = m[2]
         if tag is None:
             s = m[0]
@@ -105,8 +116,13 @@ def lines_of(page: str) -> tuple[list[str], np.ndarray, np.ndarray]:
                 parts.append(s)
                 if top.link:
                     linked += len(s.strip())
+                elif not own:
+                    own = _LETTER.search(html_lib.unescape(s) if "&" in s else s) is not None
+            elif top.beside == 2 and not top.link and s[0] != "<":
+                apart[top.by] += len(s.strip())
             elif not top.beside and s.startswith("<![CDATA["):
                 parts.append(html_lib.escape(s[9:].removesuffix("]]>")))
+                own = own or _LETTER.search(s, 9) is not None
             continue
         tag = tag.lower()
         if m[1]:
@@ -151,41 +167,43 @@ def lines_of(page: str) -> tuple[list[str], np.ndarray, np.ndarray]:
             article, beside = False, 1
         if article and beside == 2 and not seen_article:
             beside = 0
+        by = top.by
         if not beside and not article and tag not in ("html", "body"):
             if tag in BESIDE or role in ROLES or names & COMMENTS:
                 beside = 1
-            elif tag == "header" and not top.article or "header" in names and not top.article and tag not in HEADINGS:
-                beside = 2
-            elif names & NAMES:
-                beside = 2
+            elif tag == "header" and not top.article:
+                beside, by = 2, place
+            elif (names & NAMES or "header" in names and not top.article and tag not in HEADINGS) and place not in overruled:
+                beside, by = 2, place
         seen_article |= article and not beside
         if beside and not top.beside:
             flush()
             gap()
         elif article and not top.article:
             flush()
-        stack.append(_Open(tag, beside, (top.article or article) and not beside, top.link or tag == "a"))
+        stack.append(_Open(tag, beside, (top.article or article) and not beside, top.link or tag == "a", by))
     flush()
-    return lines, np.array(lengths, np.int64), np.array(marked, bool)
+    return lines, np.array(lengths, np.int64), np.array(marked, bool), apart
 
 
-def regions(lengths: np.ndarray, surge: int) -> list[tuple[int, int]]:
+def regions(lengths: np.ndarray, surge: float) -> list[tuple[int, int]]:
     """Lines between surges and dives: a window of ``WINDOW`` lines from the line on reaches ``surge`` characters, and later
-    one has none. A region begins with the window's first line that has text and ends with the last that has."""
+    one has none. A region begins with the window's first line that has text of its own and ends with the last that has."""
     if not len(lengths):
         return []
     total = np.concatenate([[0], np.cumsum(lengths), np.full(WINDOW, lengths.sum())])
     block = total[WINDOW : WINDOW + len(lengths)] - total[: len(lengths)]
-    out, begin = [], None
+    out, begin, last = [], None, 0
     for i, n in enumerate(block):
-        if begin is None:
-            if n >= surge and lengths[i]:
+        if lengths[i]:
+            last = i
+            if begin is None and n >= surge:
                 begin = i
-        elif not n:
-            out.append((begin, i))
+        if begin is not None and not n:
+            out.append((begin, last + 1))
             begin = None
     if begin is not None:
-        out.append((begin, len(lengths)))
+        out.append((begin, last + 1))
     return out
 
 
@@ -193,16 +211,21 @@ def main_text(page: str | None) -> str:
     """Blocks of the article, in order, one to a line."""
     if not page:
         return ""
-    lines, lengths, marked = lines_of(page)
+    overruled: frozenset[int] = frozenset()
+    while True:
+        lines, lengths, marked, apart = lines_of(page, overruled)
+        if marked.any() or not apart:
+            break
+        place, most = max(apart.items(), key=lambda x: (x[1], -x[0]))
+        if 2 * most <= lengths.sum() + apart.total() or place in overruled:
+            break
+        overruled |= {place}
     if marked.any():
-        inside = np.where(marked, np.maximum(lengths, 1), 0)
-        return "\n".join(x for a, b in regions(inside, 1) for x, own in zip(lines[a:b], marked[a:b]) if own and x)
-    found = regions(lengths, SURGE) or regions(lengths, 1)
-    if not found:
-        return ""
-    sums = [int(lengths[a:b].sum()) for a, b in found]
-    large = [i for i, n in enumerate(sums) if 4 * n >= max(sums)] if max(sums) >= SURGE else [sums.index(max(sums))]
-    return "\n".join(x for a, b in found[large[0] : large[-1] + 1] for x in lines[a:b] if x)
+        lengths, surge = np.where(marked, lengths, 0), 1
+    else:
+        surge = max(1, np.convolve(lengths, np.ones(WINDOW, np.int64)).max(initial=0) / SHARE)
+    inside = marked if marked.any() else np.ones(len(lines), bool)
+    return "\n".join(x for a, b in regions(lengths, surge) for x, own in zip(lines[a:b], inside[a:b]) if own and x)
 
 
 def extract(pages: DataFrame) -> DataFrame:

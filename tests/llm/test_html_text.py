@@ -38,6 +38,16 @@ def test_query_against_plain_reading(spark):
         ("<nav>only menu</nav>", ""),
         ("plain words", "plain words"),
         ("<article><p>cut <b>off", "cut off"),
+        # the distribution decides within articles, too: rows of links at the ends, and three in a row between
+        ("<article><h1>T</h1><p>One.</p><p><a href=n>Next story</a> | <a href=s>Share</a> | <a href=p>Print</a></p></article>", "T\nOne."),
+        ("<article><ul><li><a>A</a><li><a>B</a></ul><p>One.</p><p><a>a link of its own</a></p><p>Two.</p><ul><li><a>A</a><li><a>B</a><li><a>C</a></ul><p>Three.</p></article>", "One.\na link of its own\nTwo.\nThree."),
+        ("<article><p title=don't>One first</p><p>it's two</p><p>three</p></article>", "One first\nit's two\nthree"),
+        ("<article><p title='a > b' class = \"x>y\" data-x=5>One</p></article>", "One"),
+        ("<p>The shop is closed on Mondays.</p><nav><a>Home</a></nav><p>We open again on Tuesday at nine.</p>", "The shop is closed on Mondays.\nWe open again on Tuesday at nine."),
+        (f"<p>{'Intro words. ' * 25}</p><aside>{LONG}</aside>" + f"<p>{LONG * 8}</p>" * 3 + "<p><a>One</a></p>", "\n".join([("Intro words. " * 25).strip(), *[LONG * 8] * 3])),
+        (f"<div class='content with-sidebar'><p>{LONG}</p><div class=sidebar>{LONG[:40]}</div></div><div class=footer>x</div>", LONG),
+        (f"<div class='layout nav-fixed'><div class='menu-wrap'><p>{LONG}</p><p>{LONG}</p></div><div class=promo>Buy now.</div></div>", f"{LONG}\n{LONG}"),
+        ("<p><a href=x>only</a></p><p><a href=y>links</a></p>", ""),
     ],
 )
 def test_pages(page, want):
