@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -16,10 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, the session's own (spark.checkpoint.dir); only where none is set, as in tests, a temporary one is made."""
+    """The folder that all executors share, the session's own (spark.checkpoint.dir); only where none is set and all is one machine, as in tests, a temporary one is made."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return sc.getCheckpointDir()
 
 
@@ -78,7 +82,7 @@ class Recent(dict):
     Used as a dict, a known key costs one look-up; ``__missing__`` does the rest. Python workers keep it from task to task.
     """
 
-    def __init__(self, compute: Callable, limit: int = 200_000) -> None:
+    def __init__(self, compute: Callable, limit: int = 80_000) -> None:
         super().__init__()
         self.compute, self.limit, self.old = compute, limit, {}
 
@@ -97,8 +101,9 @@ _kept: dict[str, tuple[str, object]] = {}
 
 
 def kept_in_worker(name: str, key: str, shared, make: Callable):
-    """``make(shared.value)``, made once by a Python worker for each ``key`` and kept from task to task."""
+    """``make(shared.value)``, made once by a Python worker for each ``key`` and kept from task to task, till another is made."""
     if _kept.get(name, ("", None))[0] != key:
+        _kept.clear()  # what an earlier stage has left would only take memory
         _kept[name] = key, make(shared.value)
     return _kept[name][1]
 

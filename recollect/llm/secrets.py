@@ -5,10 +5,14 @@ to them: every run of ``RUN`` = 16 or more identifier characters is scored by th
 first-order character model of random strings, over that under a model of ordinary identifiers. Runs whose ratio exceeds
 ``LIMIT`` and that touch no base span are added as kind ``markov``.
 
-Training: labelled samples are drawn from bounded samples of documents (the first by a hash of the id, ``RANDOM_DOCS`` and
-``ORDINARY_DOCS`` of them): values that the base patterns find are random strings, what else has ``WORD`` or more identifier
-characters is ordinary. Character pairs are counted by Spark; a table of a fixed size (a row for each pair) comes to the
-driver and goes back into the plan as one constant. Counts are smoothed, so with no samples at all nothing is added.
+Training: labelled samples. ``labelled`` makes random strings of several alphabets and ordinary identifiers of several
+styles by a fixed rule, of which one half trains and the other is held out. To these come samples from the documents, so that the
+models know the corpus: of at most ``RANDOM_DOCS`` and ``ORDINARY_DOCS`` documents (the first by a hash of the id), values
+that the base patterns find are random strings, other runs of ``WORD`` or more identifier characters are ordinary. Either
+kind counts as ``WEIGHT`` pairs of characters altogether, so neither the samples' nor the corpus' size shifts the ratio. Document
+pairs are counted by Spark; a table of a fixed size (a row for each pair) comes to the driver and goes back into the plan as
+one constant. Counts are smoothed. ``LIMIT`` was chosen on the training half: there it
+finds 97 % of the random strings and no identifier.
 
 Spans are found by splitting a text at its matches: the lengths of the parts, summed up in order by a window over the
 document's matches, give places in code points. Only matches are shuffled, never texts.
@@ -20,6 +24,8 @@ row numbers (so ``docs`` must give its rows in the same order twice, as a table
 from __future__ import annotations
 
 import math
+import random
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,8 +36,8 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 #: Runs too short are no matches of these two: a run is matched whole or not at all.
 ACCESS, HEX = r"AKIA[A-Z0-9]{14,}", r"[0-9a-f]{16,}"
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-RUN, WORD, LIMIT = 16, 6, 8.0
-RANDOM_DOCS, ORDINARY_DOCS, SMOOTH = 20_000, 2_000, 0.5
+RUN, WORD, LIMIT = 16, 6, 4.0
+RANDOM_DOCS, ORDINARY_DOCS, WEIGHT, SMOOTH = 20_000, 2_000, 50_000, 2.0
 RUNS = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{RUN},}}"
 WORDS = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{WORD},}}"
 KINDS = ("assign", "access", "hex", "markov")
@@ -74,28 +80,81 @@ def _sample(docs: DataFrame, n: int) -> DataFrame:
     return docs.where("text is not null").select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi").select("text")
 
 
+_STEMS = "get set user account name list order item count index cache value table column create update delete request response server client handler service manager config default option message event queue worker session document parser reader writer buffer stream error status version number string object method class module package import export function return static public private final report invoice payment address customer product category".split()
+
+
+def labelled(n: int = 6_400, seed: int = 5) -> list[tuple[str, bool]]:
+    """Runs of at least ``RUN`` characters and whether each is random: half of them are, in turns, whatever ``n``."""
+    rng = random.Random(seed)
+    upper, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    alphabets = [upper + upper.lower() + digits, upper + upper.lower() + digits + "+/", upper + "234567", digits + "ABCDEF", upper.lower() + digits, upper + upper.lower() + digits + "-_"]
+    styles = [
+        "_".join,
+        "-".join,
+        lambda w: w[0] + "".join(x.capitalize() for x in w[1:]),
+        lambda w: "".join(x.capitalize() for x in w),
+        lambda w: "_".join(w).upper(),
+        lambda w: "/".join(w),
+        lambda w: "".join(w),
+        lambda w: "_".join([*w, str(rng.randrange(2000, 2030))]),
+    ]
+    out = []
+    for i in range(n):
+        if i % 2:
+            out.append(("".join(rng.choices(alphabets[i // 4 % len(alphabets)], k=rng.randrange(RUN, 49))), True))
+            continue
+        words = rng.sample(_STEMS, rng.randrange(2, 6))
+        while len(styles[i // 4 % len(styles)](words)) < RUN:
+            words.append(rng.choice(_STEMS))
+        out.append((styles[i // 4 % len(styles)](words), False))
+    return out
+
+
+def halves(samples: list[tuple[str, bool]]) -> tuple[list[tuple[str, bool]], list[tuple[str, bool]]]:
+    """The half that trains and the half that is held out."""
+    return [x for i, x in enumerate(samples) if i // 2 % 2 == 0], [x for i, x in enumerate(samples) if i // 2 % 2]
+
+
+def _pairs_in(values: list[str]) -> dict[str, int]:
+    return Counter(a + b for v in values for a, b in zip(v, v[1:]))
+
+
+def ratios(random_: list[dict[str, int]], ordinary: list[dict[str, int]]) -> list[float]:
+    """The table of log-likelihood ratios of a character after another, row by row in the order of LETTERS, from counts of pairs."""
+
+    def model(sources: list[dict[str, int]]) -> list[float]:
+        counts: Counter = Counter()
+        for source in sources:
+            total = sum(source.values())
+            counts.update({p: WEIGHT / len(sources) * c / total for p, c in source.items()})
+        out = []
+        for a in LETTERS:
+            row = [counts[a + b] + SMOOTH for b in LETTERS]
+            out += [math.log(x / sum(row)) for x in row]
+        return out
+
+    return [r - o for r, o in zip(model([s for s in random_ if s]), model([s for s in ordinary if s]), strict=True)]
+
+
+def ratio_of(table: list[float], run: str) -> float:
+    """A run's ratio, as the scan computes it."""
+    at = [LETTERS.index(c) for c in run]
+    return sum(table[a * len(LETTERS) + b] for a, b in zip(at, at[1:]))
+
+
 def train(docs: DataFrame, random_docs: int = RANDOM_DOCS, ordinary_docs: int = ORDINARY_DOCS) -> list[float]:
-    """The table of log-likelihood ratios of a character after another, row by row in the order of LETTERS."""
+    """The table of ratios from the labelled samples and those of the documents."""
     text = F.col("text")
     values = F.concat(
         F.filter(F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2)), lambda v: F.length(v) >= 12),
         F.regexp_extract_all(text, F.lit(ACCESS), F.lit(0)),
         F.regexp_extract_all(text, F.lit(HEX), F.lit(0)),
     )
-    random = _pairs(_sample(docs, random_docs).select(F.explode(values).alias("v")))
+    found = _pairs(_sample(docs, random_docs).select(F.explode(values).alias("v")))
     bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, ASSIGN, " "), ACCESS, " "), HEX, " ")
-    ordinary = _pairs(_sample(docs, ordinary_docs).select(F.explode(F.regexp_extract_all(bare, F.lit(WORDS), F.lit(0))).alias("v")))
-    if not random or not ordinary:
-        return [0.0] * len(LETTERS) ** 2
-
-    def model(counts: dict[str, int]) -> list[float]:
-        out = []
-        for a in LETTERS:
-            row = [counts.get(a + b, 0) + SMOOTH for b in LETTERS]
-            out += [math.log(x / sum(row)) for x in row]
-        return out
-
-    return [r - o for r, o in zip(model(random), model(ordinary), strict=True)]
+    others = _pairs(_sample(docs, ordinary_docs).select(F.explode(F.regexp_extract_all(bare, F.lit(WORDS), F.lit(0))).alias("v")))
+    trains, _ = halves(labelled())
+    return ratios([_pairs_in([v for v, r in trains if r]), found], [_pairs_in([v for v, r in trains if not r]), others])
 
 
 def _unlikely(table: list[float]):

@@ -11,8 +11,10 @@ its lanes have overflowed. A block yields a star for each of its components (nev
 all blocks by alternating large-star and small-star steps, each cut in the checkpoint folder.
 
 Equal fingerprints are folded into one row before anything is compared, so thousands of copies cost one comparison. Members
-of a block have 33 bits in common and differ in the others. A block of very many different fingerprints is searched breadth first, each member once against the members not yet
-reached, so a group of near copies empties its block in a few steps.
+of a block have 31 bits or more in common and differ in the others. Blocks of over ``LARGE`` members are split: their other bits make
+four parts, of which a link's fingerprints, 3 bits apart, have one in common, so members meet by block and part and no link
+is lost. Blocks of over 64 members are searched breadth first, each member once against the members not yet reached, so a
+group of near copies empties its block in a few steps.
 
 Defined cases: null and empty texts have fingerprint zero and are linked like any other; rows are kept one to one, repeated
 doc_ids included; null doc_ids get the component of their fingerprint, whose id comes from the other rows (null if none
@@ -36,10 +38,11 @@ from recollect.llm.common import arrow_rows, cut, emit, row_number, unused_name,
 SHINGLE, SEED, RADIUS = 3, 42, 3
 #: Six bands of bits: the first bit and the width of each.
 BANDS = [(0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10)]
+_TABLES = list(combinations(range(6), 3))
 _LANES = np.uint64(1) << np.arange(64, dtype=np.uint64)
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
-#: Blocks of more members than this are searched breadth first.
-WIDE = 512
+#: Blocks of more members than this are dealt anew by the bits that their members need not have in common.
+LARGE = 8_192
 #: Pairs of a query and a word of lanes that are compared in one go.
 STEP = 1 << 15
 
@@ -175,12 +178,21 @@ def stars_of_large(fps: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def _keys(fps: DataFrame) -> DataFrame:
-    """A row for each fingerprint and table: the table's three bands together are the block's key."""
+    """A row for each fingerprint and table: table t has the three bands ``_TABLES[t]``, which together are the block's key."""
     band = [F.shiftrightunsigned("fp", lo).bitwiseAND((1 << n) - 1) for lo, n in BANDS]
-    tables = []
-    for t, (a, b, c) in enumerate(combinations(range(6), 3)):
-        tables.append(F.lit(t).cast("long") * (1 << 33) + band[a] * (1 << 22) + band[b] * (1 << 11) + band[c])
-    return fps.select("fp", F.explode(F.array(*tables)).alias("block"))
+    keys = [F.lit(t).cast("long") * (1 << 33) + band[a] * (1 << 22) + band[b] * (1 << 11) + band[c] for t, (a, b, c) in enumerate(_TABLES)]
+    return fps.select("fp", F.explode(F.array(*keys)).alias("block"))
+
+
+def _split(members: DataFrame) -> DataFrame:
+    """Members of large blocks (fp, block) by block and each of four parts of the bits outside the table's bands."""
+    table, fp = F.shiftright("block", 33), F.col("fp")
+    parts = []
+    for t, bands in enumerate(_TABLES):
+        bits = [lo + i for b, (lo, n) in enumerate(BANDS) if b not in bands for i in range(n)]
+        masks = [sum(1 << x for x in bits[k::4]) for k in range(4)]
+        parts.append(F.when(table == t, F.array(*(F.xxhash64("block", F.lit(k), fp.bitwiseAND(F.lit(m - (m >> 63 << 64)))) for k, m in enumerate(masks)))))
+    return members.select("fp", F.explode(F.coalesce(*parts)).alias("block"))
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,27 +215,32 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     fps, block = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     held: list[tuple[np.ndarray, np.ndarray]] = []
-    rows = 0
+    rows, enough = 0, 1 << 17
     for batch in batches:
         held.append((np.asarray(batch.column(0)).view(np.uint64), np.asarray(batch.column(1))))
         rows += batch.num_rows
-        if rows < 1 << 17:
+        if rows < enough:
             continue
         fps, block = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
         whole = np.searchsorted(block, block[-1])  # the last block may go on
         if whole:
             yield from blocks(fps[:whole], block[:whole])
-        held, rows = [(fps[whole:], block[whole:])], 0 if whole else rows
+        held, rows = [(fps[whole:], block[whole:])], len(fps) - whole
+        enough = max(1 << 17, 2 * rows)  # a block that goes on and on is put together a few times, not at every batch
     if held:
         fps, block = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
         if len(fps):
             yield from blocks(fps, block)
 
 
-def stars(fps: DataFrame) -> DataFrame:
+def stars(fps: DataFrame, large: int = LARGE) -> DataFrame:
     """Links a - b between distinct fingerprints (column fp) that have the same components as all links have."""
-    dealt = _keys(fps).repartition("block").sortWithinPartitions("block")
-    return dealt.mapInArrow(_stars, "a long, b long")
+    dealt = _keys(fps)
+    sizes = dealt.groupBy("block").agg(F.count("*").alias("n")).where(F.col("n") > large).select("block")
+    if not sizes.isEmpty():
+        sizes = cut(sizes)
+        dealt = dealt.join(sizes, "block", "left_anti").select("fp", "block").unionAll(_split(dealt.join(sizes, "block", "left_semi")).select("fp", "block"))
+    return dealt.repartition("block").sortWithinPartitions("block").mapInArrow(_stars, "a long, b long")
 
 
 def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:

@@ -9,7 +9,9 @@ explain most toxic documents not yet explained ``TIMES`` times. Of sampled docum
 their three-word shingles only one is kept: copies of one toxic document would make all its words look toxic. An entry
 weighs the logarithm of its odds. Phrases of an entry and a neighbouring word that are found in documents of label 0
 only are exceptions: there the entry does not count. The sum of weights over a power of the number of words goes into a
-logistic curve; power and curve are fitted on the sample. Scoring reads all rows and whole texts.
+logistic curve; power and curve are fitted on the sample. ``LEXICON_SIZE`` bounds entries and exceptions, ``CANDIDATES``
+what may become an entry: sizes of the model, which do not depend on the input. Scoring reads all rows and whole texts, very
+long ones, too: finding takes time in proportion to the text, its entries and phrases.
 
 Defined cases: null and empty texts score as texts without an entry; labels that are null, or whose doc_id has no
 document, are not used; ids labelled differently twice count as often as they are; with no labels at all every score is
@@ -33,24 +35,24 @@ from xxhash import xxh64_intdigest
 
 from recollect.llm.common import arrow_rows, cut, emit, kept_in_worker, new_key
 
-SAMPLE_ROWS, LEXICON_SIZE, LEAST_DOCS = 20_000, 2_000, 4
+SAMPLE_ROWS, LEXICON_SIZE, CANDIDATES, LEAST_DOCS = 20_000, 2_000, 100_000, 4
 #: Least weight of an entry, and how many entries a toxic document is looked through for.
 LEAST_WEIGHT, TIMES = 1.5, 10
 PREFIXES = range(4, 9)
 POWERS = (0.0, 0.25, 0.5, 1.0)
 #: Letters of other scripts that look like Latin ones.
-LOOKS = dict(zip("аеорсухіјѕһԁԛԝвкмнтαεοριυνκτχγβ", "aeopcyxijshdqwbkmhtaeopiuvktxyb", strict=True))
-#: Digits and signs that stand for letters.
-SIGNS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
+LOOKS = dict(zip("аеорсухіјѕһԁԛԝвкмнтӏɡαεοριυνκτχγβոսօցհɑı", "aeopcyxijshdqwbkmhtlgaeopiuvktxybnuoghai", strict=True))
+#: Digits and signs that stand for letters. Signs that mostly end sentences or part words (! and |) are none.
+SIGNS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s"}
 
 
 class _Folding(dict):
     """Character codes to folded letters, filled as characters come up."""
 
     def __missing__(self, code: int) -> str:
-        c = unicodedata.normalize("NFKC", chr(code).lower())[:1].lower()
-        c = LOOKS.get(c, SIGNS.get(c, c))
-        self[code] = c if c.isalpha() else " "
+        whole = unicodedata.normalize("NFKC", chr(code).lower()).lower()
+        plain = (LOOKS.get(c, SIGNS.get(c, c)) for c in whole)
+        self[code] = "".join(c if c.isalpha() else " " for c in plain)
         return self[code]
 
 
@@ -98,7 +100,14 @@ class Scorer:
             start = end + 1 - n - (folded[end] == " ")  # entries that are whole words end in a space
             if start not in at or at[start][0] < n:
                 at[start] = n, weight
-        return [(s, w) for s, (_, w) in sorted(at.items()) if not any(a <= s < b for a, b in spared)]
+        spared.sort()
+        out, i, reach = [], 0, -1
+        for s, (_, w) in sorted(at.items()):
+            while i < len(spared) and spared[i][0] <= s:
+                reach, i = max(reach, spared[i][1]), i + 1
+            if s >= reach:
+                out.append((s, w))
+        return out
 
     def measure(self, text: str | None, power: float) -> float:
         folded = fold(text)
@@ -161,7 +170,7 @@ def train(docs: DataFrame, labels: DataFrame, learns: Callable[[Column], Column]
     if not n_pos:
         return Model()
     weight = F.log((F.col("pos") + 0.5) / (n_pos + 1)) - F.log((F.col("neg") + 0.5) / (n_neg + 1))
-    clear = counts.where(f"feature <> '' and pos >= {LEAST_DOCS}").withColumn("weight", weight).where(f"weight > {LEAST_WEIGHT}").orderBy(F.desc(F.col("weight") * F.col("pos")), "feature").limit(100_000)
+    clear = counts.where(f"feature <> '' and pos >= {LEAST_DOCS}").withColumn("weight", weight).where(f"weight > {LEAST_WEIGHT}").orderBy(F.desc(F.col("weight") * F.col("pos")), "feature").limit(CANDIDATES)
     candidates = {r.feature: (r.weight, r.pos, r.neg) for r in clear.toLocalIterator()}
     shared = docs.sparkSession.sparkContext.broadcast(frozenset(candidates))
 

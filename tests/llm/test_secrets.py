@@ -62,6 +62,19 @@ def test_models_tell_random_strings_from_identifiers(spark):
     assert not any("markov" in got[40 + i] for i in range(len(words)))
 
 
+def test_held_out_half_of_the_labelled_samples(spark):
+    table = S.train(spark.read.parquet(f"{SF}/documents.parquet"))
+    trains, held = S.halves(S.labelled())
+    assert not {v for v, _ in trains if len(v) > 24} & {v for v, r in held if r}
+    rows = [(i, f"of {v} and") for i, (v, _) in enumerate(held)]
+    got = {r.doc_id for r in S.scan(spark.createDataFrame(rows, "doc_id long, text string"), table).where("size(spans) > 0").collect()}
+    base_ = {i for i, t in rows if base(t)}
+    random_ = [i for i, (_, r) in enumerate(held) if r and i not in base_]
+    ordinary = [i for i, (_, r) in enumerate(held) if not r]
+    assert sum(i in got for i in random_) > 0.92 * len(random_)
+    assert sum(i in got for i in ordinary) <= 0.005 * len(ordinary)
+
+
 def test_odd_rows(spark):
     key = "AKIA" + "Q7" * 9
     rows = [(1, None), (2, ""), (2, "Token=short Secret: 'AbC123456789xyz'"), (2, "Token=short Secret: 'AbC123456789xyz'"), (None, f"é😀 {key} token=password: abcdefghijkl"), (3, "deadbeefdeadbeef " * 3 + "x" * 200_000), (4, "password=a1b2c3d4e5f6a7b8c9 api-key=no apikey = zzzzzzzzzzzz")]

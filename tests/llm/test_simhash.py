@@ -80,6 +80,25 @@ def test_stars_keep_components(n, spread):
     assert len(links) < 4 * n
 
 
+def test_split_blocks_keep_components(spark):
+    rng = random.Random(9)
+    core = rng.getrandbits(64)
+    fps = {core}
+    while len(fps) < 260:  # many that share most bands, few of which are near each other
+        x = core
+        for b in rng.sample(range(33, 64), rng.randrange(1, 9)):
+            x ^= 1 << b
+        fps.add(x)
+    signed = [f - (f >> 63 << 64) for f in fps]
+    df = spark.createDataFrame([(f,) for f in signed], "fp long")
+    roots = {r.node: r.root for r in simhash.connected(simhash.stars(df, large=20)).collect()}
+    want = plain_components({f: f for f in fps})
+    groups = lambda of, keys: sorted(sorted(k for k in keys if of(k) == r) for r in {of(k) for k in keys})
+    unsigned = lambda x: x & (1 << 64) - 1
+    assert groups(lambda f: unsigned(roots.get(f - (f >> 63 << 64), f - (f >> 63 << 64))), sorted(fps)) == groups(want.get, sorted(fps))
+    assert len(groups(want.get, sorted(fps))) > 5
+
+
 def test_odd_rows(spark):
     rows = [(1, None, "x"), (2, "", "y"), (3, "a b", "z"), (3, "a b", "z"), (None, "A  B", "q"), (5, "word " * 50_000, "w")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, row string")

@@ -1,3 +1,5 @@
+import random
+import time
 from zlib import crc32
 
 from pyspark.sql import functions as F
@@ -27,6 +29,40 @@ def test_folding_and_exceptions():
     assert s.measure("idiot " + "word " * 99, 0.5) == 0.5
 
 
+def plain_found(model, folded):
+    """Every entry and phrase at every place; a word entry starts at its space in front."""
+    spared = [(a, a + len(p) - 1) for p in model.exceptions for a in range(len(folded)) if folded.startswith(p, a)]
+    out = []
+    for a in range(len(folded)):
+        here = [(len(e.rstrip()), w) for e, w in model.weights.items() if folded.startswith(e, a)]
+        if here and not any(x <= a < y for x, y in spared):
+            out.append((a, max(here)[1]))
+    return out
+
+
+def test_matching_against_every_place():
+    rng = random.Random(4)
+    for _ in range(300):
+        word = lambda: "".join(rng.choices("ab", k=rng.randrange(1, 6)))
+        entries = {f" {word()}{rng.choice(['', ' '])}": rng.randrange(1, 99) / 8 for _ in range(6)}
+        entries = {e: w for e, w in entries.items() if not (e.endswith(" ") and e.rstrip() in entries)}
+        model = T.Model(entries, tuple({f" {word()} {word()} " for _ in range(4)}))
+        folded = T.fold(" ".join(word() for _ in range(rng.randrange(40))))
+        assert T.Scorer(model).found(folded) == plain_found(model, folded), (model, folded)
+
+
+def test_folding_keeps_whole_decompositions():
+    assert T.fold("ﬁlth ﬃ ９ Ⅳ b8d") == " filth ffi g iv bbd "
+    assert T.fold("no! yes|no") == " no  yes no "
+
+
+def test_very_long_texts_with_many_exceptions_take_linear_time():
+    model = T.Model({" scum": 4.0}, (" pond scum ",))
+    folded = T.fold("pond scum " * 60_000)
+    began = time.process_time()
+    assert T.Scorer(model).found(folded) == [] and time.process_time() - began < 5
+
+
 def test_odd_rows(spark):
     docs = spark.createDataFrame([(i, f"fine words number n{i} here", "x") for i in range(40)] + [(100 + i, f"you w{i} snarfle in t{i} place", "x") for i in range(20)] + [(None, None, "y"), (7, "", "y"), (7, "snarfle", "y"), (8, "long " * 100_000 + "snarfle", "z")], "doc_id long, text string, toxic string")
     labels = spark.createDataFrame([(i, 0) for i in range(40)] + [(100 + i, 1) for i in range(20)] + [(None, 1), (5, None), (999, 1)], "doc_id long, toxic int")
