@@ -1,12 +1,13 @@
 """Line dedup by content-defined chunks of lines, in DataFrame functions only.
 
-Lines: a text is cut after every line end, and long lines are folded at spaces, after every word of ``WORD`` characters or
-more. In texts of mostly kana or Chinese characters, which have no spaces, every one of these ends a line. So a passage is
-cut alike wherever it stands, inside a line or across line ends, in any language. A folded line is a word or two.
+Lines: a text is cut after every line end, and long lines are folded at spaces, after every word whose last character has a
+code that three does not divide, or one above 255; two words of three or so, in any language. In texts of mostly kana or
+Chinese characters, which have no spaces, every one of these ends a line. So a passage is cut alike wherever it stands,
+inside a line or across line ends.
 
 Chunks: every line is hashed, and a hash rolls over ``ROLL`` line hashes in a row. A chunk begins where the rolling hash is
 below those of the ``NEAR`` places before and not above those of the ``NEAR`` behind; so boundaries shift with the text. A
-chunk has over ``NEAR`` lines, twice as many and one on average; a text without boundaries is one chunk, however short.
+chunk has over ``NEAR`` lines, twice as many and one on average, a dozen words or so; a text without boundaries is one chunk, however short.
 
 A chunk that several documents have belongs to the first of them (by row). Every other document's chunk of that hash is
 compared with the owner's byte for byte; equal ones are removed, and with them the lines in front and behind (``EDGE`` at
@@ -33,10 +34,12 @@ from pyspark.sql.types import AtomicType
 
 from recollect.llm.common import cut, row_number, unused_name
 
-WORD, ROLL, NEAR, EDGE = 4, 3, 3, 16
+ROLL, NEAR, EDGE = 2, 4, 12
 #: Characters of scripts without spaces: kana, Chinese, and the punctuation among them.
 _DENSE = "[、-ヿ㐀-鿿！，？]"
-_CHUNKS = "array<struct<h:bigint,a:int,b:int>>"
+_LOW = (1 << 32) - 1
+#: A space at which a line ends.
+_FOLD = f" (?<=[\\n{''.join(f'\\x{c:02x}' for c in range(33, 256) if c % 3)}\\u0100-\\uffff] )"
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -51,7 +54,7 @@ def _dense(text: Column) -> Column:
 def lines(text: Column) -> Column:
     """The text's lines. A space stands between each two, which after line ends (and in dense texts characters) is put in here."""
     spaced = F.when(_dense(text), F.regexp_replace(text, f"\n|{_DENSE}", "$0 ")).otherwise(F.replace(text, F.lit("\n"), F.lit("\n ")))
-    return F.split(spaced, f"(?<=\\S{{{WORD}}}|\n|{_DENSE}) ")
+    return F.split(spaced, _FOLD)
 
 
 def joined(u: Column, text: Column) -> Column:
@@ -91,11 +94,14 @@ def _bounds(h: Column) -> Column:
 
 
 def chunks(text: Column) -> Column:
-    """The text's chunks in order: hash h of their lines' hashes, first line a and the line b behind the last."""
+    """The text's chunks in order: the hashes h of their lines' hashes, and the lines e behind the last of each."""
 
     def of_lines(h: Column) -> Column:
-        one = lambda s, e: F.struct(F.xxhash64(F.slice(h, s + 1, e - s)).alias("h"), s.alias("a"), e.alias("b"))
-        return _let(_bounds(h), lambda b: F.zip_with(F.concat(F.array(F.lit(0)), b), F.concat(b, F.array(F.size(h))), one))
+        def one(b: Column) -> Column:
+            e = F.concat(b, F.array(F.size(h)))
+            return F.struct(F.zip_with(F.concat(F.array(F.lit(0)), b), e, lambda s, x: F.xxhash64(F.slice(h, s + 1, x - s))).alias("h"), e.alias("e"))
+
+        return _let(_bounds(h), one)
 
     return _let(_hashes(lines(text)), of_lines)
 
@@ -103,26 +109,33 @@ def chunks(text: Column) -> Column:
 def shared_chunks(docs: DataFrame) -> DataFrame:
     """row, its chunks that an earlier document has, too, by place (``others``), and those that it is the first to have (``own``, each hash once).
 
-    Empty texts have no chunks.
+    A chunk is its hash h and its place: the first line times 2 ** 32, and the line behind the last. Empty texts have none.
     """
     found = F.when(F.col("text") != "", chunks(F.col("text")))
-    each = cut(docs.select(row_number().alias("row"), found.alias("c"))).where("c is not null").select("row", F.explode("c").alias("c")).select("row", "c.*")
+    rows = cut(docs.select(row_number().alias("row"), found.alias("c")).select("row", "c.h", "c.e")).where("h is not null")
+    before = lambda i: F.coalesce(F.get("e", i - 1), F.lit(0)).cast("long")
+    each = rows.select("row", F.explode(F.transform("h", lambda h, i: F.struct(h.alias("h"), (F.shiftleft(before(i), 32) + F.col("e")[i]).alias("at")))).alias("c")).select("row", "c.*")
     owners = each.groupBy("h").agg(F.min("row").alias("owner"), F.max("row").alias("last")).where("owner < last").select("h", "owner")
-    shared = each.join(owners, "h").select("row", F.struct("h", "a", "b").alias("c"), (F.col("row") == F.col("owner")).alias("owner"))
-    listed = shared.groupBy("row").agg(F.collect_list(F.when(F.col("owner"), F.col("c"))).alias("own"), F.collect_list(F.when(~F.col("owner"), F.col("c"))).alias("others"))
-    by_hash = F.array_sort("own")
-    first = _let(by_hash, lambda o: F.filter(o, lambda c, i: (i == 0) | (F.get(o, i - 1)["h"] != c["h"])))
-    return listed.select("row", first.alias("own"), F.array_sort("others", lambda x, y: x["a"] - y["a"]).alias("others"))
+    shared = each.join(owners, "h").select("row", F.struct("h", "at").alias("c"), (F.col("row") == F.col("owner")).alias("owner"))
+    listed = shared.groupBy("row").agg(F.array_sort(F.collect_list(F.when(F.col("owner"), F.col("c")))).alias("own"), F.collect_list(F.when(~F.col("owner"), F.col("c"))).alias("others"))
+    first = F.filter("own", lambda c, i: (i == 0) | (F.get(F.col("own"), i - 1)["h"] != c["h"]))
+    return listed.select("row", first.alias("own"), F.array_sort("others", lambda x, y: F.when(x["at"] < y["at"], -1).when(x["at"] > y["at"], 1).otherwise(0)).alias("others"))
 
 
 def _piece(u: Column, start: Column, end: Column) -> Column:
     return F.array_join(F.slice(u, start + 1, end - start), " ")
 
 
-def _same(a: Column, b: Column) -> Column:
-    """How many lines two lists have in common from their beginnings on; white space at the ends of lines is not compared."""
-    differs = F.zip_with(a, b, lambda x, y: ~F.coalesce(F.rtrim(x, F.lit(" \n")) == F.rtrim(y, F.lit(" \n")), F.lit(False)))
-    return _let(differs, lambda d: F.coalesce(F.nullif(F.array_position(d, True), F.lit(0)) - 1, F.size(d)).cast("int"))
+def _same(a: Column, b: Column, backwards: bool) -> Column:
+    """How many lines two pieces have in common from their beginnings (or ends) on; white space at the ends of lines is not compared."""
+
+    def listed(piece: Column) -> Column:
+        each = F.transform(F.split(piece, _FOLD), lambda x: F.rtrim(x, F.lit(" \n")))
+        return F.reverse(each) if backwards else each
+
+    differs = F.zip_with(listed(a), listed(b), lambda x, y: ~F.coalesce(x == y, F.lit(False)))
+    same = _let(differs, lambda d: F.coalesce(F.nullif(F.array_position(d, True), F.lit(0)) - 1, F.size(d)).cast("int"))
+    return F.when((a != "") & (b != ""), same).otherwise(0)
 
 
 def _without(text: Column, removed: Column) -> Column:
@@ -146,7 +159,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     digest = F.xxhash64(*(F.col(f"`{f.name}`") for f in docs.schema if isinstance(f.dataType, AtomicType)))
 
     def met(which: str) -> DataFrame:
-        """The chunks listed as the owner's or the others', with their texts and the lines in front (nearest first) and behind.
+        """The chunks listed as the owner's or the others', with their texts and the lines in front and behind.
 
         Others' chunks have none on a side where the next chunk is listed, too.
         """
@@ -154,13 +167,15 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
         def occurrences(u: Column) -> Column:
             def one(c: Column, i: Column) -> Column:
-                a, b, none = c["a"], c["b"], F.array().cast("array<string>")
-                front = F.reverse(F.slice(u, F.greatest(a - EDGE, F.lit(0)) + 1, F.least(a, F.lit(EDGE))))
-                behind = F.slice(u, b + 1, F.lit(EDGE))
+                place = F.struct(F.shiftright(c["at"], 32).cast("int").alias("a"), c["at"].bitwiseAND(_LOW).cast("int").alias("b"))
+                return _let(place, lambda p: placed(c["h"], p["a"], p["b"], i))
+
+            def placed(h: Column, a: Column, b: Column, i: Column) -> Column:
+                front, behind = _piece(u, F.greatest(a - EDGE, F.lit(0)), a), _piece(u, b, b + EDGE)
                 if which == "others":
-                    front = F.when(F.coalesce(F.get(F.col(listed), i - 1)["b"] == a, F.lit(False)), none).otherwise(front)
-                    behind = F.when(F.coalesce(F.get(F.col(listed), i + 1)["a"] == b, F.lit(False)), none).otherwise(behind)
-                return F.struct(c["h"].alias("h"), a.alias("a"), b.alias("b"), _piece(u, a, b).alias("t"), front.alias("front"), behind.alias("behind"))
+                    front = F.when(F.coalesce(F.get(F.col(listed), i - 1)["at"].bitwiseAND(_LOW) == a, F.lit(False)), "").otherwise(front)
+                    behind = F.when(F.coalesce(F.shiftright(F.get(F.col(listed), i + 1)["at"], 32) == b, F.lit(False)), "").otherwise(behind)
+                return F.struct(h.alias("h"), a.alias("a"), b.alias("b"), _piece(u, a, b).alias("t"), front.alias("front"), behind.alias("behind"))
 
             return F.transform(F.col(listed), one)
 
@@ -169,8 +184,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
     owned = met("own").select("h", F.col("sign").alias("sign0"), F.col("t").alias("t0"), F.col("front").alias("front0"), F.col("behind").alias("behind0"))
     equal = met("others").join(owned, "h").where("t = t0")
-    reach = lambda x: F.when(F.size(x) > 0, _same(F.col(x), F.col(f"{x}0"))).otherwise(0)
-    spans = equal.select("row", "sign", "sign0", F.struct((F.col("a") - reach("front")).alias("a"), (F.col("b") + reach("behind")).alias("b")).alias("p"))
+    spans = equal.select("row", "sign", "sign0", F.struct((F.col("a") - _same(F.col("front"), F.col("front0"), True)).alias("a"), (F.col("b") + _same(F.col("behind"), F.col("behind0"), False)).alias("b")).alias("p"))
     removed = spans.groupBy(F.col("row").alias(other)).agg(F.min("sign").alias(sign), F.max("sign0").alias("sign0"), F.array_sort(F.collect_list("p")).alias(gone)).where("sign0 is not null").drop("sign0")
     out = numbered.join(removed, F.col(number) == F.col(other), "left")
     clean = F.when(F.col(gone).isNotNull() & (F.col(sign) == digest), _without(F.col("text"), F.col(gone))).otherwise(F.col("text"))
