@@ -6,7 +6,6 @@ import hashlib
 import hmac
 import json
 import re
-import unicodedata
 import uuid
 from html.parser import HTMLParser
 
@@ -26,14 +25,21 @@ def _each(function):
     return F.pandas_udf(run, StringType())
 
 
-def normal_text(text: Column) -> Column:
-    """NFKC, no-break spaces as spaces, one blank between words, no blank lines (FN7)."""
+def compatible(text: Column) -> Column:
+    """Compatibility characters as those they stand for (Unicode's NFKC), which no expression of Spark gives."""
 
-    def one(s: str) -> str:
-        lines = (re.sub(r"[ \t]+", " ", x).strip() for x in unicodedata.normalize("NFKC", s).replace("\xa0", " ").splitlines())
-        return "\n".join(x for x in lines if x)
+    def nfkc(values: pd.Series) -> pd.Series:
+        return values.str.normalize("NFKC")
 
-    return _each(one)(text)
+    nfkc.__annotations__ = {"values": pd.Series, "return": pd.Series}
+    return F.pandas_udf(nfkc, StringType())(text)
+
+
+def normal_text(text: Column) -> Column:
+    """Compatible characters, one blank between words, no blanks at the ends of lines, no blank lines (FN7)."""
+    lines = F.split(compatible(text), "\r\n|[\n\x0b\x0c\r\x1c-\x1e\x85\u2028\u2029]")
+    plain = F.transform(lines, lambda x: F.regexp_replace(F.regexp_replace(x, "[ \t]+", " "), r"^\s+|\s+$", ""))
+    return F.array_join(F.filter(plain, lambda x: x != ""), "\n")
 
 
 class _Nodes(HTMLParser):
@@ -42,52 +48,70 @@ class _Nodes(HTMLParser):
         self.found: list[str] = []
 
     def handle_data(self, data: str) -> None:
-        if data.strip():
-            self.found.append(data.strip())
+        self.found.append(data)
 
 
 def html_nodes(html: Column) -> Column:
-    """Every text node that is not blank, a line each, those of scripts and styles included (FN10)."""
+    """Every text node that is not blank, as it is, a line each, those of scripts and styles included (FN10)."""
 
     def one(s: str) -> str:
         nodes = _Nodes()
         nodes.feed(s)
         nodes.close()
-        return "\n".join(nodes.found)
+        return "\n".join(filter(str.strip, nodes.found))
 
     return _each(one)(html)
 
 
 def canonical_json(text: Column) -> Column:
-    """The JSON with keys sorted at every depth and no blanks; null where it is none (FN11)."""
+    """The JSON with keys sorted at every depth, a blank after commas and colons; null where it is none (FN11)."""
 
     def one(s: str) -> str | None:
         try:
-            return json.dumps(json.loads(s), sort_keys=True, ensure_ascii=False, separators=(",", ":"))
+            return json.dumps(json.loads(s), sort_keys=True, ensure_ascii=False)
         except ValueError:
             return None
 
     return _each(one)(text)
 
 
+_FENCE = re.compile(r"```(?:json)?\s*(.*?)\s*```", re.I | re.S)
+
+
 def fenced_json(text: Column) -> Column:
-    """The JSON of a text, of its first fenced block, or from its first brace to its last; null where none parses (FN29)."""
+    """The JSON of a text, of its only fenced block, or, where there is no fence, of what begins at its first bracket (FN29).
+
+    Null where none parses, for several fences, and where a further bracket follows what was found.
+    """
 
     def one(s: str) -> str | None:
-        fence = re.search(r"```(?:json)?\s*\n(.*?)```", s, re.S)
-        for part in (s, fence[1] if fence else None, s[s.find("{") : s.rfind("}") + 1]):
-            try:
-                return json.dumps(json.loads(part or ""), sort_keys=True, ensure_ascii=False)
-            except ValueError:
-                continue
-        return None
+        out = _parsed(s.strip())
+        return None if out is None else json.dumps(out[0], sort_keys=True, ensure_ascii=False)
 
     return _each(one)(text)
 
 
-def keyed_id(value: Column, secret: bytes, length: int = 32) -> Column:
-    """An id that tells nothing of the value without the secret (FN22)."""
-    return _each(lambda s: hmac.new(secret, s.encode(), hashlib.sha256).hexdigest()[:length])(value)
+def _parsed(s: str) -> tuple[object] | None:
+    try:
+        return (json.loads(s),)
+    except ValueError:
+        pass
+    fences = _FENCE.findall(s)
+    places = [p for p in map(s.find, "{[") if p >= 0]
+    try:
+        if fences:
+            return (json.loads(fences[0]),) if len(fences) == 1 else None
+        if places:
+            value, end = json.JSONDecoder().raw_decode(s, min(places))
+            return None if {"{", "["} & set(s[end:]) else (value,)
+    except ValueError:
+        pass
+    return None
+
+
+def keyed_id(value: Column, secret: bytes, label: str) -> Column:
+    """An id of a user, session or workspace that tells nothing of the value without the secret (FN22)."""
+    return _each(lambda s: f"dream-v1-{hmac.new(secret, f'dream-v1:{label}:{s}'.encode(), hashlib.sha256).hexdigest()}")(value)
 
 
 def job_id(name: Column, namespace: uuid.UUID = uuid.NAMESPACE_URL) -> Column:

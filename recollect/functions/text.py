@@ -20,6 +20,7 @@ DOMAIN_KEYWORDS: dict[str, tuple[str, ...]] = {
     "writing": ("writing", "report", "reply", "complaint", "document", "写作", "报告", "回复", "投诉", "文稿"),
     "research": ("research", "paper", "literature", "citation", "研究", "论文", "文献", "引用"),
 }
+# Other names of the domains.
 DOMAIN_ALIASES = {"crypto": "crypto_investment", "cryptocurrency": "crypto_investment", "banking": "finance", "code": "coding"}
 
 
@@ -81,6 +82,21 @@ def t3(text: Column) -> Column:
     return F.size(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))).cast("long")
 
 
+def first_tokens(text: Column, n: int) -> Column:
+    """The text up to the end of its nth token, all of it where there are fewer (FN31).
+
+    The ends are added up from the tokens and the gaps between them, so no expression has to look back.
+    """
+    chars = lambda parts: F.aggregate(F.slice(parts, 1, n), F.lit(0), lambda s, x: s + F.length(x))
+    found = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+    return F.when(F.size(found) <= n, text).otherwise(F.left(text, chars(F.split(text, TOKEN)) + chars(found)))
+
+
+def rstripped(text: Column) -> Column:
+    """Without white space at the end."""
+    return F.regexp_replace(text, r"\s+$", "")
+
+
 def t4(response_length: Column, transcript_length: Column) -> Column:
     """Estimate for a completed task: at least 1, a quarter rounded up in whole numbers."""
     return F.greatest(F.lit(1).cast("long"), F.floor((response_length + transcript_length + 3) / 4)).cast("long")

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 
 def fact_conflicts(facts: DataFrame) -> DataFrame:
@@ -33,13 +38,13 @@ def _holds(op: Column, value: Column, wanted: Column) -> Column:
 def matching_rules(rules: DataFrame, facts: DataFrame) -> DataFrame:
     """subject and rule where all of a rule's conditions hold, in order of priority (GOV15, JN11, SRT4).
 
-    rules: rule_id, priority, conclusion and conditions (field, op, wanted) as rows, a table of bounded size that is
-    broadcast; facts: subject, field, value. A condition without a fact does not hold.
+    rules: rule_id, priority, conclusion and conditions (field, op, wanted) as rows; facts: subject, field, value. A condition
+    without a fact does not hold. Whether rules are small enough to be broadcast is left to the planner, which knows their size.
     """
     total = rules.groupBy("rule_id").agg(F.count("*").alias("n"), F.first("priority").alias("priority"), F.first("conclusion").alias("conclusion"))
-    met = facts.join(F.broadcast(rules.select("rule_id", "field", "op", "wanted")), "field").where(_holds(F.col("op"), F.col("value"), F.col("wanted")))
+    met = facts.join(rules.select("rule_id", "field", "op", "wanted"), "field").where(_holds(F.col("op"), F.col("value"), F.col("wanted")))
     counted = met.groupBy("subject", "rule_id").agg(F.count_distinct(F.struct("field", "op", "wanted")).alias("met"))
-    matched = counted.join(F.broadcast(total), "rule_id").where("met = n")
+    matched = counted.join(total, "rule_id").where("met = n")
     by = Window.partitionBy("subject").orderBy(F.desc("priority"), "rule_id")
     return matched.select("subject", "rule_id", "conclusion", F.row_number().over(by).alias("place"))
 
@@ -48,10 +53,10 @@ def ontology_errors(nodes: DataFrame, constraints: DataFrame) -> DataFrame:
     """id, field and error of nodes that break constraints (FLT12): required, of a type, or of allowed values.
 
     nodes: id, type, field, value (one row for each property; a null value is a missing one).
-    constraints (few, broadcast): type, field, required, value_type, allowed.
+    constraints: type, field, required, value_type, allowed.
     """
     ids = nodes.select("id", "type").distinct()
-    wanted = ids.join(F.broadcast(constraints), "type")
+    wanted = ids.join(constraints, "type")
     found = wanted.join(nodes.select("id", "field", "value"), ["id", "field"], "left")
     number = F.col("value").try_cast("double").isNotNull() | F.lower("value").isin("true", "false")
     error = (
@@ -67,29 +72,81 @@ def canonical(*columns: str) -> Column:
     return F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns))
 
 
+def _record(payload: tuple[str, ...], previous: Column) -> Column:
+    """What a row's checksum is of: its number, its payload and the checksum of the row before."""
+    return F.concat_ws("|", F.col("sequence_id").cast("string"), canonical(*payload), previous)
+
+
 def chained(rows: DataFrame, *payload: str) -> DataFrame:
-    """Checksums of rows in order: each is that of the payload and of the row before's payload (WIN14 at hand for tests).
+    """Rows (chain_id, sequence_id from 1) with checksums, each over the row and the checksum of the row before it (GR10).
 
-    A real chain hashes the previous checksum; here the link is to the previous payload, so that it can be made in parallel.
+    A chain is made one row after another: its rows come to one task as a sorted stream, which keeps one checksum.
     """
-    by = Window.partitionBy("chain_id").orderBy("sequence_id")
-    own = F.sha2(canonical(*payload), 256)
-    return rows.withColumn("checksum", own).withColumn("previous_checksum", F.coalesce(F.lag(own).over(by), F.lit("")))
+    schema = StructType([*rows.schema.fields, StructField("previous_checksum", StringType()), StructField("checksum", StringType())])
+    record = _record(payload, F.lit(""))  # with an empty link: the checksum goes behind it
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, digest = None, ""
+        for batch in batches:
+            links, sums = [], []
+            for chain, text in zip(batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+                digest = digest if (chain,) == last else ""
+                last = (chain,)
+                links.append(digest)
+                digest = hashlib.sha256((text + digest).encode()).hexdigest()
+                sums.append(digest)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(links, pa.string()), pa.array(sums, pa.string())], names=[f.name for f in schema])
+
+    dealt = rows.repartition("chain_id").sortWithinPartitions("chain_id", "sequence_id")
+    return dealt.withColumn("_chain", F.col("chain_id").cast("string")).withColumn("_record", record).mapInArrow(run, schema)
 
 
 def chain_errors(chain: DataFrame, *payload: str) -> DataFrame:
-    """Rows whose number, link or checksum is wrong, a row for each error (WIN14)."""
+    """Rows whose number, link or checksum is wrong, a row for each error (WIN14).
+
+    Links are compared with the row before, checksums with those of the rows as they are, previous checksum included; so
+    all rows are checked at once, and a row that is taken out, changed or linked anew is seen.
+    """
     by = Window.partitionBy("chain_id").orderBy("sequence_id")
     checked = chain.withColumn("_n", F.row_number().over(by)).withColumn("_before", F.coalesce(F.lag("checksum").over(by), F.lit("")))
-    errors = F.array_compact(F.array(F.when(F.col("sequence_id") != F.col("_n"), "sequence"), F.when(F.col("previous_checksum") != F.col("_before"), "link"), F.when(F.col("checksum") != F.sha2(canonical(*payload), 256), "checksum")))
+    own = F.sha2(_record(payload, F.coalesce("previous_checksum", F.lit(""))), 256)
+    errors = F.array_compact(F.array(F.when(F.col("sequence_id") != F.col("_n"), "sequence"), F.when(F.coalesce("previous_checksum", F.lit("")) != F.col("_before"), "link"), F.when(F.coalesce("checksum", F.lit("")) != own, "checksum")))
     return checked.select("chain_id", "sequence_id", F.explode(errors).alias("error"))
 
 
-def fingerprint(files: DataFrame, *key: str) -> DataFrame:
-    """One digest of each set of files, over names and content digests in order of name (AGG24, AGG25)."""
-    each = F.struct("name", F.sha2("content", 256).alias("sha"))
-    ordered = F.array_sort(F.collect_list(each))
-    return files.groupBy(*key).agg(F.sha2(F.array_join(F.transform(ordered, lambda x: F.concat_ws(":", x["name"], x["sha"])), "\n"), 256).alias("fingerprint"), F.count("*").alias("files"))
+def fingerprint(files: DataFrame, key: str) -> DataFrame:
+    """One digest of each set of files: names and contents in order of name, each closed by a zero byte (AGG24).
+
+    A set's files come to one task as a sorted stream, which goes through one running digest: nothing is collected.
+    """
+    schema = StructType([files.schema[key], StructField("fingerprint", StringType()), StructField("files", LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, digest, n = None, None, 0
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([last, pa.array([digest.hexdigest()]), pa.array([n], pa.int64())], names=[f.name for f in schema])
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                own = batch.column(0).slice(i, 1)
+                if last is None or not own.equals(last):
+                    if digest is not None:
+                        yield done()
+                    last, digest, n = own, hashlib.sha256(), 0
+                for column in (1, 2):
+                    digest.update(batch.column(column)[i].as_py().encode() + b"\0")
+                n += 1
+        if digest is not None:
+            yield done()
+
+    return files.select(key, "name", F.coalesce("content", F.lit("")).alias("content")).repartition(key).sortWithinPartitions(key, "name").mapInArrow(run, schema)
+
+
+def snapshot_id(files: DataFrame) -> Column:
+    """Digest of the JSON of paths with content digests and whether each existed, in order of path (AGG25); one row a path of a bounded set."""
+    entry = F.concat(F.to_json(F.struct("path")).substr(F.lit(9), F.length(F.to_json(F.struct("path"))) - 9), F.lit(':{"existed":'), F.col("existed").cast("string"), F.lit(',"sha256":"'), F.coalesce("sha256", F.lit("")), F.lit('"}'))
+    return F.sha2(F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", entry.alias("e")))), lambda x: x["e"]), ","), F.lit("}")), 256)
 
 
 def manifest_differences(manifest: DataFrame, found: DataFrame) -> DataFrame:
@@ -105,10 +162,24 @@ def compliance(edges: DataFrame) -> DataFrame:
     return sums.withColumn("compliant", (F.col("violations") == 0) & (F.col("approvals") > 0))
 
 
-def turtle(edges: DataFrame) -> DataFrame:
-    """Lines of a Turtle export: a statement for each edge, nodes named by digests (SNK7)."""
-    iri = lambda c: F.concat(F.lit("<urn:node:"), F.left(F.sha2(F.col(c).cast("string"), 256), F.lit(24)), F.lit(">"))
-    return edges.select(F.concat_ws(" ", iri("source"), F.lit("<urn:rel:relatedTo>"), iri("target"), F.lit(".")).alias("line"))
+def _iri(value: Column | str) -> Column:
+    value = F.col(value) if isinstance(value, str) else value
+    return F.concat(F.lit("<urn:node:"), F.left(F.sha2(value.cast("string"), 256), F.lit(24)), F.lit(">"))
+
+
+def turtle(edges: DataFrame, nodes: DataFrame | None = None, provenance: DataFrame | None = None) -> DataFrame:
+    """Lines of a Turtle export, nodes named by digests (SNK7): a statement for each edge; with nodes (id, type) their types;
+    with provenance (entity_id, derived_from, checksum, invalidated) derivations, checksums and what is invalidated."""
+    line = lambda *parts: F.concat_ws(" ", *parts, F.lit(".")).alias("line")
+    out = edges.select(line(_iri("source"), F.lit("<urn:rel:relatedTo>"), _iri("target")))
+    if nodes is not None:
+        out = out.unionAll(nodes.select(line(_iri("id"), F.lit("a"), F.concat(F.lit("<urn:type:"), F.regexp_replace("type", "[^A-Za-z0-9]+", "_"), F.lit(">")))))
+    if provenance is not None:
+        own = _iri("entity_id")
+        out = out.unionAll(provenance.select("entity_id", F.explode("derived_from").alias("parent")).select(line(own, F.lit("prov:wasDerivedFrom"), _iri("parent"))))
+        out = out.unionAll(provenance.select(line(own, F.lit("<urn:rel:checksum>"), F.concat(F.lit('"'), "checksum", F.lit('"')))))
+        out = out.unionAll(provenance.where("invalidated").select(line(own, F.lit("<urn:rel:invalidated>"), F.lit("true"))))
+    return out
 
 
 def in_order_of(decisions: DataFrame, evidence: DataFrame) -> DataFrame:

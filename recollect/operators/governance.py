@@ -19,6 +19,7 @@ HIGH_RISK = (
     r"(?:转账|付款).{0,16}(?:不用|无需|跳过).{0,12}(?:确认|审批|验证)",
     r"(?:绕过|跳过).{0,16}(?:验证|审批|权限|安全)",
 )
+# The least confidence of each kind, and the attributes that each must have.
 LEAST = {"user_profile": 0.7, "decision_card": 0.8, "skill": 0.8}
 NEEDS = {"decision_card": ("scenario", "signals", "principle", "boundaries"), "skill": ("scenario", "inputs", "steps", "output_template", "cautions")}
 MODES = ("require_review", "observe", "auto_activate")
@@ -32,16 +33,18 @@ def high_risk(text: Column) -> Column:
 def decide(artifacts: DataFrame) -> DataFrame:
     """mode of each artifact: review for risk, else observed for missing evidence, confidence or attributes (GOV1).
 
-    Artifacts have artifact_type, content, confidence, declared_risk, source_event_ids and attributes (a map).
+    Artifacts have artifact_type, content, confidence, declared_risk, source_event_ids and attributes (a map). What is
+    null counts against an artifact: no confidence is 0, no sources are none, no type is an unknown one, no attribute is
+    missing. An attribute of blanks alone is there.
     """
-    kind = F.col("artifact_type")
+    kind = F.coalesce("artifact_type", F.lit(""))
     least = F.coalesce(*(F.when(kind == k, F.lit(v)) for k, v in LEAST.items()), F.lit(0.0))
-    lacks = F.coalesce(*(F.when(kind == k, F.exists(F.array(*(F.lit(x) for x in v)), lambda x: F.trim(F.coalesce(F.try_element_at("attributes", x), F.lit(""))) == "")) for k, v in NEEDS.items()), F.lit(False))
+    lacks = F.coalesce(*(F.when(kind == k, F.exists(F.array(*(F.lit(x) for x in v)), lambda x: F.coalesce(F.try_element_at("attributes", x), F.lit("")) == "")) for k, v in NEEDS.items()), F.lit(False))
     mode = (
-        F.when((F.coalesce("declared_risk", F.lit("")) == "high") | high_risk(F.col("content")), "require_review")
-        .when(F.size("source_event_ids") <= 0, "observe")
+        F.when((F.coalesce("declared_risk", F.lit("")) == "high") | high_risk(F.coalesce("content", F.lit(""))), "require_review")
+        .when(F.coalesce(F.size("source_event_ids"), F.lit(0)) <= 0, "observe")
         .when(~kind.isin(*LEAST), "require_review")
-        .when(F.col("confidence") < least, "observe")
+        .when(F.coalesce("confidence", F.lit(0.0)) < least, "observe")
         .when(lacks, "observe")
         .otherwise("auto_activate")
     )
@@ -61,9 +64,14 @@ def reinforced(candidates: DataFrame, *key: str) -> DataFrame:
 
 
 def consolidated(entries: DataFrame, content: str = "content") -> DataFrame:
-    """Entries of one normalised text as one: the first's text, and the number folded (AGG8, AGG9)."""
-    key = T.normalized(F.col(content))
-    return entries.groupBy(key.alias("key")).agg(F.min_by(content, "pos").alias("content"), F.min("pos").alias("pos"), F.count("*").alias("entries"), F.count_distinct("source_id").alias("sources"))
+    """Entries of one normalised text as one: the first's text, and the numbers folded and of sources (AGG8, AGG9).
+
+    Entries have a pos of their own each. Digests are grouped, not texts; the first entries' texts are fetched by pos.
+    """
+    key = F.unhex(F.sha2(T.normalized(F.col(content)), 256))
+    first = entries.groupBy(key.alias("key"), "source_id").agg(F.min("pos").alias("pos"), F.count("*").alias("entries"))
+    sums = first.groupBy("key").agg(F.min("pos").alias("pos"), F.sum("entries").alias("entries"), F.count("source_id").alias("sources"))
+    return sums.join(entries.select("pos", F.col(content).alias("content")), "pos").select("content", "pos", "entries", "sources")
 
 
 def versions(cards: DataFrame, *key: str) -> DataFrame:
@@ -72,10 +80,27 @@ def versions(cards: DataFrame, *key: str) -> DataFrame:
     return cards.withColumn("version", F.row_number().over(by)).withColumn("created_at", F.first("updated_at").over(by.rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def persona(entries: DataFrame, least: float = 0.7) -> DataFrame:
-    """By domain, how many distinct statements are sure enough, and the share of characters each domain may use (AGG10)."""
-    sure = entries.where(F.col("confidence") >= least).groupBy("domain", T.normalized(F.col("content")).alias("key")).agg(F.min("pos").alias("pos"))
-    return sure.groupBy("domain").agg(F.min("pos").alias("pos"), F.count("*").alias("statements"))
+def persona(entries: DataFrame, limit: int, least: float = 0.7, *scope: str) -> DataFrame:
+    """By domain, in order of first entries: its distinct statements that are sure enough, in one line of bounded length (AGG10).
+
+    Where a scope's lines are longer than ``limit`` together, all domains get an equal allowance of characters for their
+    statements, the first ones one more till the rest is used; what is cut ends in an ellipsis. A limit that does not
+    leave a character for each domain is an error.
+    """
+    statement = F.trim(F.regexp_replace("content", r"\s+", " "))
+    sure = entries.where((F.col("confidence") >= least) & (statement != "")).groupBy(*scope, "domain", statement.alias("statement")).agg(F.min("pos").alias("pos"))
+    ordered = F.array_sort(F.collect_list(F.struct("pos", "statement")))
+    lines = sure.groupBy(*scope, "domain").agg(F.min("pos").alias("pos"), F.count("*").alias("statements"), F.array_join(F.transform(ordered, lambda x: x["statement"]), "; ").alias("all"))
+    of_scope = Window.partitionBy(*scope) if scope else Window.partitionBy(F.lit(0))  # a row for each domain
+    prefix = F.concat(F.lit("- ["), "domain", F.lit("] "))
+    n, place = F.count("*").over(of_scope), F.row_number().over(of_scope.orderBy("pos")) - 1
+    fixed = F.lit(len("# User Persona\n\n")) + n - 1 + F.sum(F.length(prefix)).over(of_scope)
+    measured = lines.withColumn("_n", n).withColumn("_place", place).withColumn("_left", F.lit(limit) - fixed).withColumn("_whole", fixed + F.sum(F.length("all")).over(of_scope))
+    allowed = F.floor(F.col("_left") / F.col("_n")) + (F.col("_place") < F.col("_left") % F.col("_n")).cast("int")
+    short = F.when(F.col("_left") < F.col("_n"), F.raise_error(F.lit("the limit leaves no character for some domain")))
+    excerpt = F.when(F.length("all") <= allowed, F.col("all")).when(allowed <= 1, F.left("all", allowed.cast("int"))).otherwise(F.concat(F.rtrim(F.left("all", (allowed - 1).cast("int"))), F.lit("…")))
+    line = F.concat(prefix, F.when(F.col("_whole") <= limit, F.col("all")).otherwise(F.coalesce(short.cast("string"), excerpt)))
+    return measured.select(*scope, "domain", "pos", "statements", line.alias("line"))
 
 
 def dispositions(events: DataFrame, uses: DataFrame) -> DataFrame:
@@ -97,10 +122,46 @@ def evaluation_status(audits: DataFrame) -> DataFrame:
     return audits.withColumn("status", status).withColumn("needs_approval", needs)
 
 
+def recorded_decision(audits: DataFrame) -> DataFrame:
+    """outcome and status of evaluated audits with a proposed outcome: a manual review overrules it (GOV12, STR14).
+
+    manual_on_review asks for approval where the outcome is a manual review, be it proposed or forced.
+    """
+    outcome = F.when(F.col("status") == "MANUAL_REVIEW", "manual_review").otherwise(F.col("proposed"))
+    needs = (F.col("approval_policy") == "always") | ((F.col("approval_policy") == "manual_on_review") & (outcome == "manual_review"))
+    return audits.withColumn("outcome", outcome).withColumn("status", F.when(needs, "PENDING_APPROVAL").otherwise("EVALUATED"))
+
+
+def submitted(approvals: DataFrame, decisions: DataFrame, allowed: DataFrame) -> DataFrame:
+    """Approvals in order (pos) with their outcome, and the final status of those that are accepted (GOV13, FLT15, STR14).
+
+    The first authorised approval of a decision that is pending is accepted; a later one of the same id is a replay if its
+    content is the same, else a conflict of ids. All others find a decision that is unknown or not pending any more.
+    """
+    content = ("decision_id", "approver", "role", "action")
+    may = allowed.select("approver", "role").distinct().withColumn("_may", F.lit(True))
+    known = decisions.select("decision_id", F.col("status").alias("_status"))
+    each = approvals.join(may, ["approver", "role"], "left").join(known, "decision_id", "left").withColumn("_may", F.coalesce("_may", F.lit(False)))
+    first = F.row_number().over(Window.partitionBy("decision_id", "_may").orderBy("pos")) == 1
+    taken = each.withColumn("_taken", F.col("_may") & first & (F.coalesce("_status", F.lit("")) == "PENDING_APPROVAL"))
+    by_id = Window.partitionBy("approval_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.first(F.when(F.col("_taken"), F.struct(*content)), ignorenulls=True).over(by_id)
+    outcome = F.when(~F.col("_may"), "not authorized").when(before.isNotNull(), F.when(before == F.struct(*content), "replay").otherwise("id conflict")).when(F.col("_taken"), "accepted").otherwise("not pending")
+    final = F.when(F.col("outcome") == "accepted", F.when(F.col("action") == "approve", "APPROVED").otherwise("REJECTED"))
+    return taken.withColumn("outcome", outcome).withColumn("final_status", final).drop("_may", "_status", "_taken")
+
+
+def gate_reasons(runs: DataFrame, checks: dict[str, Column]) -> DataFrame:
+    """reasons: the names of the checks that do not hold, in order; none where a run passes its gate (AGG11)."""
+    return runs.withColumn("reasons", F.array_compact(F.array(*(F.when(~F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in checks.items()))))
+
+
 def fail_closed(audits: DataFrame) -> DataFrame:
-    """The decision by the first that applies: ontology errors, missing facts, critical conflicts, a conclusion, approval (GOV14)."""
-    outcome = F.when(F.col("errors") > 0, "rejected_ontology").when(F.col("missing") > 0, "insufficient_evidence").when(F.col("conflicts") > 0, "conflict").when(F.col("conclusion").isNotNull(), F.col("conclusion")).otherwise("approved")
-    return audits.withColumn("decision", outcome)
+    """The decision and why, by the first that applies: ontology errors, missing facts and critical conflicts go to manual
+    review, then a conclusion, else approval (GOV14)."""
+    bad = F.when(F.col("errors") > 0, "ontology").when(F.col("missing") > 0, "missing facts").when(F.col("conflicts") > 0, "conflict")
+    outcome = F.when(bad.isNotNull(), "manual_review").otherwise(F.coalesce("conclusion", F.lit("approved")))
+    return audits.withColumn("decision", outcome).withColumn("reason", F.coalesce(bad, F.when(F.col("conclusion").isNotNull(), "rule").otherwise("no rule")))
 
 
 def rates(runs: DataFrame, *key: str, thresholds: tuple[tuple[str, str, float], ...] = ()) -> DataFrame:

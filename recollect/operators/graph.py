@@ -7,18 +7,17 @@ checkpoint folder, so neither lineage nor plans grow with the number of levels.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from recollect.functions import arrow
+from recollect.sources.folders import shared_folder
+
 CAUSAL = ("CAUSED", "INFLUENCED", "PRECEDENT_FOR")
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -46,25 +45,36 @@ def dangling(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def upserted(rows: DataFrame) -> DataFrame:
-    """Nodes from rows in order: the last value of each property, and whether the type was changed, which is an error (GR1)."""
-    return rows.groupBy("id").agg(F.min_by("type", "pos").alias("type"), (F.count_distinct("type") > 1).alias("type_conflict"), F.max_by("value", "pos").alias("value"))
+    """Nodes from rows in order (id, pos, type, properties): the last value of each property by name, and whether the type
+    was changed, which is an error (GR1)."""
+    types = rows.groupBy("id").agg(F.min_by("type", "pos").alias("type"), (F.count_distinct("type") > 1).alias("type_conflict"))
+    last = rows.select("id", "pos", F.explode("properties").alias("name", "value")).groupBy("id", "name").agg(F.max_by("value", "pos").alias("value"))
+    merged = last.groupBy("id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "value")))).alias("properties"))
+    return types.join(merged, "id", "left")
+
+
+def current(rows: DataFrame) -> DataFrame:
+    """Nodes or edges that are not invalidated (GR6)."""
+    return rows.where("invalidated_at is null")
 
 
 def neighbours(edges: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
     """start, id and hop of what is within ``hops`` steps in either direction, over edges that are not invalidated (GR3).
 
-    Validity of nodes is not asked for. Of several edges to a node in its first hop, the first by position tells type and direction.
+    Validity of nodes is not asked for. Of several ways to a node in its first hop, that through the node which was found
+    first counts, then the first edge by position: ways are compared by the edges on them, in order.
     """
     live = edges.where("invalidated_at is null")
     both = live.select(F.col("source").alias("here"), F.col("target").alias("id"), "type", F.lit("out").alias("direction"), "edge_pos").unionAll(live.select(F.col("target").alias("here"), F.col("source").alias("id"), "type", F.lit("in").alias("direction"), "edge_pos"))
-    seen = _cut(starts.select(F.col("id").alias("start"), "id").distinct().withColumn("hop", F.lit(0)).withColumn("type", F.lit(None).cast("string")).withColumn("direction", F.lit(None).cast("string")))
+    seen = _cut(starts.select(F.col("id").alias("start"), "id").distinct().withColumn("hop", F.lit(0)).withColumn("type", F.lit(None).cast("string")).withColumn("direction", F.lit(None).cast("string")).withColumn("way", F.array().cast("array<bigint>")))
     front = seen
+    both = both.withColumn("step", F.col("edge_pos").cast("long") * 2 + (F.col("direction") == "in").cast("int")).drop("edge_pos")
     for hop in range(1, hops + 1):
-        reached = front.select("start", F.col("id").alias("here")).join(both, "here")
-        first = reached.groupBy("start", "id").agg(F.min_by(F.struct("type", "direction"), F.struct("edge_pos", "direction")).alias("e"))
-        front = _cut(first.join(seen.select("start", "id"), ["start", "id"], "left_anti").select("start", "id", F.lit(hop).alias("hop"), "e.type", "e.direction"))
+        reached = front.select("start", F.col("id").alias("here"), "way").join(both, "here").withColumn("way", F.concat("way", F.array("step")))
+        first = reached.groupBy("start", "id").agg(F.min(F.struct("way", "type", "direction")).alias("e"))
+        front = _cut(first.join(seen.select("start", "id"), ["start", "id"], "left_anti").select("start", "id", F.lit(hop).alias("hop"), "e.type", "e.direction", "e.way"))
         seen = seen.unionByName(front)
-    return seen.where("hop > 0")
+    return seen.where("hop > 0").drop("way")
 
 
 def upstream(edges: DataFrame, starts: DataFrame, steps: int = 5, types: tuple[str, ...] = CAUSAL) -> DataFrame:
@@ -86,11 +96,24 @@ def facts_as_nodes(facts: DataFrame) -> DataFrame:
     return first.groupBy("subject", "predicate").agg(F.array_join(F.transform(by, lambda x: x["object"]), ",").alias("values"))
 
 
+def canonical_name(name: Column) -> Column:
+    """Compatibility forms as plain ones, case folded, only letters, digits and underscores."""
+    return F.regexp_replace(arrow.folded(arrow.compatible(name)), r"[^\p{L}\p{N}_]+", "")
+
+
 def resolved_by_name(entities: DataFrame) -> DataFrame:
-    """entity_id with the id of the first entity of its type and canonical name (GR13 by exact name, AGG19)."""
-    canonical = F.regexp_replace(F.lower("name"), r"[^\p{L}\p{N}_]+", "")
-    by = Window.partitionBy("entity_type", canonical)
-    return entities.withColumn("resolved_id", F.min("entity_id").over(by)).withColumn("confidence", F.max("confidence").over(by))
+    """entity_id (once, at pos) with the id of the first entity of its type and canonical name, and the group's greatest confidence (GR13 by exact name)."""
+    named = entities.withColumn("_type", arrow.folded(F.col("entity_type"))).withColumn("_name", canonical_name(F.col("name")))
+    groups = named.groupBy("_type", "_name").agg(F.min_by("entity_id", "pos").alias("resolved_id"), F.max("confidence").alias("_most"))
+    return named.join(groups, ["_type", "_name"]).withColumn("confidence", F.col("_most")).drop("_type", "_name", "_most")
+
+
+def merged_entities(resolved: DataFrame) -> DataFrame:
+    """Of each group of resolved entities: all other names and aliases, sources, and the first value of each property (AGG19)."""
+    of = resolved.groupBy("resolved_id").agg(F.max("confidence").alias("confidence"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.concat("aliases", F.when(F.col("entity_id") != F.col("resolved_id"), F.array("name")).otherwise(F.array().cast("array<string>"))))))).alias("aliases"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("source_ids")))).alias("source_ids"))
+    first = resolved.select("resolved_id", "pos", F.explode("properties").alias("property", "value")).groupBy("resolved_id", "property").agg(F.min_by("value", "pos").alias("value"))
+    properties = first.groupBy("resolved_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("property", "value")))).alias("properties"))
+    return of.join(properties, "resolved_id", "left")
 
 
 def rewritten(relations: DataFrame, names: DataFrame) -> DataFrame:

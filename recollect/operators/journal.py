@@ -93,9 +93,16 @@ def hot_list(events: DataFrame, through: int, budget: int) -> DataFrame:
     return events.withColumn("_size", size).where(~old | (F.col("_size") <= budget)).drop("_size")
 
 
-def coverage(events: DataFrame) -> DataFrame:
-    """Latest sequence and last assistant row of each session (AGG3, WIN19)."""
-    return events.groupBy("session_id").agg(F.max("sequence").alias("latest_sequence"), F.coalesce(F.max(F.when(F.col("role") == "assistant", F.col("sequence"))), F.lit(0)).cast("long").alias("last_safe_sequence"))
+def coverage(events: DataFrame, has_tool_calls: Column) -> DataFrame:
+    """Latest sequence and last assistant row without tool calls of each session (AGG3, WIN19)."""
+    safe = (F.col("role") == "assistant") & ~F.coalesce(has_tool_calls, F.lit(False))
+    return events.groupBy("session_id").agg(F.max("sequence").alias("latest_sequence"), F.coalesce(F.max(F.when(safe, F.col("sequence"))), F.lit(0)).cast("long").alias("last_safe_sequence"))
+
+
+def tool_calls(events: DataFrame, covered: Column) -> DataFrame:
+    """Tool calls after the covered sequence, from the metadata's texts; what is no whole number counts for none (AGG26)."""
+    n = F.coalesce(F.try_element_at("metadata", F.lit("tool_call_count")).try_cast("long"), F.lit(0))
+    return events.groupBy("session_id").agg(F.sum(F.when(F.col("sequence") > covered, n).otherwise(0)).alias("tool_calls"))
 
 
 def compression_policy(events: DataFrame, window: int, ratio: float = 0.65, max_messages: int = 100, max_seconds: int | None = None, age_seconds: Column | None = None) -> DataFrame:
@@ -128,7 +135,7 @@ def visible_generations(generations: DataFrame, as_of: Column, covered: Column,
 def compression_report(generations: DataFrame) -> DataFrame:
     """Tokens before and after by session, and the share saved (AGG16, AGG27)."""
     sums = generations.groupBy("session_id").agg(F.count("*").alias("generations"), F.sum("tokens_before").alias("tokens_before"), F.sum("tokens_after").alias("tokens_after"))
-    return sums.withColumn("saved", F.when(F.col("tokens_before") > 0, 1 - F.col("tokens_after") / F.col("tokens_before")).otherwise(0.0))
+    return sums.withColumn("saved", F.when(F.col("tokens_before") > 0, 1 - F.col("tokens_after") / F.col("tokens_before")).otherwise(0.0)).withColumn("ratio", F.col("tokens_before") / F.greatest("tokens_after", F.lit(1)))
 
 
 def after_boundary(messages: DataFrame, is_boundary: Column) -> DataFrame:

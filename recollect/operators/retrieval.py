@@ -88,7 +88,7 @@ def packed(matches: DataFrame, budget: int = CONTEXT_TOKENS) -> DataFrame:
 
     def step(s: Column, x: Column) -> Column:
         takes = lambda c, left, done: F.struct(F.concat(s["chunks"], F.array(c)).alias("chunks"), F.concat(s["ids"], F.array(x["memory_id"])).alias("ids"), left.alias("left"), done.alias("done"))
-        cut = F.concat(F.rtrim(F.regexp_extract(x["chunk"], f"^(?s)(?:.*?(?:{T.TOKEN})){{{budget}}}", 0)), F.lit("\n"))
+        cut = F.concat(T.rstripped(T.first_tokens(x["chunk"], budget)), F.lit("\n"))
         return F.when(s["done"], s).when(x["n"] <= s["left"], takes(x["chunk"], s["left"] - x["n"], F.lit(False))).when(F.size(s["chunks"]) > 0, s).otherwise(takes(cut, F.lit(0).cast("long"), F.lit(True)))
 
     made = matches.groupBy().agg(F.aggregate(all_, start, step).alias("s"))

@@ -95,4 +95,4 @@ def transitions(log: DataFrame, allowed: DataFrame, start: str, *key: str) -> Da
     """Each status change of a log, and whether the relation of allowed changes has it (STR13, STR14)."""
     by = Window.partitionBy(*key).orderBy("line_no")
     steps = log.withColumn("from_status", F.lag("status", 1, start).over(by))
-    return steps.join(F.broadcast(allowed.select("from_status", F.col("to_status").alias("status"), F.lit(True).alias("_ok"))), ["from_status", "status"], "left").withColumn("allowed", F.coalesce("_ok", F.lit(False))).drop("_ok")
+    return steps.join(allowed.select("from_status", F.col("to_status").alias("status"), F.lit(True).alias("_ok")), ["from_status", "status"], "left").withColumn("allowed", F.coalesce("_ok", F.lit(False))).drop("_ok")

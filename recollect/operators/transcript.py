@@ -10,14 +10,21 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from recollect.sources.folders import shared_folder
+
 READ_LIMIT, READ_CHARS = 2_000, 20_000
 
 
 def rendered(events: DataFrame) -> DataFrame:
-    """session_id, sequence and the line's text: compact JSON of sequence, role and content (PRJ3)."""
+    """session_id, sequence and the line's text: compact JSON of sequence, role and content (PRJ3; ``numbered`` puts the number in front)."""
     return events.select("session_id", "sequence", F.to_json(F.struct("sequence", "role", "content")).alias("text"))
 
 
+def numbered(lines: DataFrame) -> Column:
+    """A line as it is shown: its sequence, a tab and its text (PRJ3)."""
+    return F.concat_ws("\t", F.col("sequence").cast("string"), "text")
+
+
 def matching(lines: DataFrame, pattern: str, ignore_case: bool = True) -> Column:
     """Whether a line's text holds the pattern; keys of the JSON count, too (GRP1)."""
     return F.col("text").rlike(("(?i)" if ignore_case else "") + pattern)
@@ -50,9 +57,15 @@ def with_context(lines: DataFrame, is_match: Column, before: int, after: int) ->
     return lines.withColumn("is_match", is_match).withColumn("_near", F.bool_or("is_match").over(near)).where("_near").drop("_near")
 
 
-def counts(lines: DataFrame, is_match: Column) -> DataFrame:
-    """Matching lines of each session that has any (GRP4)."""
-    return lines.where(is_match).groupBy("session_id").agg(F.count("*").alias("matches"))
+def counts(lines: DataFrame, is_match: Column, offset: int = 0) -> DataFrame:
+    """Matching lines of each session that has any; with an offset of one or more the count is 0 (GRP4)."""
+    n = F.count("*") if offset < 1 else F.lit(0).cast("long")
+    return lines.where(is_match).groupBy("session_id").agg(n.alias("matches"))
+
+
+def files_with_matches(lines: DataFrame, is_match: Column) -> DataFrame:
+    """Sessions with a matching line (GRP4)."""
+    return lines.where(is_match).select("session_id").distinct()
 
 
 def page(lines: DataFrame, offset: int, limit: int) -> DataFrame:
@@ -84,11 +97,12 @@ def resolve_markers(starts: DataFrame, contents: DataFrame, depth: int = 5, sepa
 
     starts: start and hash; contents: hash, content and refs (the hashes it names). A step is a join; there are ``depth``.
     """
-    front = starts.select("start", "hash").distinct().withColumn("depth", F.lit(0))
+    shared_folder(starts.sparkSession)
+    front = starts.select("start", "hash").distinct().withColumn("depth", F.lit(0)).checkpoint()
     seen = front
     for d in range(1, depth):
         reached = front.join(contents.select("hash", F.explode("refs").alias("ref")), "hash").select("start", F.col("ref").alias("hash")).distinct()
-        front = reached.join(seen.select("start", "hash"), ["start", "hash"], "left_anti").withColumn("depth", F.lit(d))
+        front = reached.join(seen.select("start", "hash"), ["start", "hash"], "left_anti").withColumn("depth", F.lit(d)).checkpoint()
         seen = seen.unionByName(front)
     found = seen.join(contents.select("hash", "content"), "hash")
     ordered = F.array_sort(F.collect_list(F.struct("depth", "hash", "content")))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from datetime import datetime, timezone
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from recollect.operators import audit as A
@@ -66,10 +68,12 @@ def grep_budget(spark, sf_dir):
 
 
 def resolved_markers(spark, sf_dir):
-    docs = D.table(spark, sf_dir, "documents").where("doc_id % 10 < 8")
+    docs = D.table(spark, sf_dir, "documents")
     i = F.col("doc_id")
-    contents = docs.select(i.cast("string").alias("hash"), F.left("text", F.lit(20)).alias("content"), F.array((i + 1).cast("string"), (i + 2).cast("string")).alias("refs"))
-    return X.resolve_markers(docs.where("doc_id % 50 = 0").select(i.alias("start"), i.cast("string").alias("hash")), contents, 3)
+    leads = F.when(i % 5 == 0, i * 1_000_003 + 1).otherwise(i + 1)  # of every fifth the first marker leads nowhere
+    contents = docs.select(i.cast("string").alias("hash"), F.col("text").alias("content"), F.array(leads.cast("string"), (i + 2).cast("string")).alias("refs"))
+    got = X.resolve_markers(docs.select(i.alias("start"), i.cast("string").alias("hash")), contents, 3)
+    return got.select("start", F.sha2("content", 256).alias("sha"))
 
 
 # --- schedules
@@ -134,19 +138,14 @@ def _artifacts(spark, sf_dir):
     kind = F.element_at(F.array(*(F.lit(x) for x in ("user_profile", "decision_card", "skill", "note"))), (i % 4 + 1).cast("int"))
     text = F.when(i % 17 == 0, F.concat("text", F.lit(" Please skip the manager approval."))).otherwise(F.col("text"))
     attributes = F.when(i % 3 != 0, F.create_map(*(F.lit(x) for k in ("scenario", "signals", "principle", "boundaries", "inputs", "steps", "output_template", "cautions") for x in (k, "x")))).otherwise(F.create_map(F.lit("scenario"), F.lit("x")))
-    return d.join(labels, "doc_id", "left").select(i.alias("pos"), (i % 20).alias("batch"), kind.alias("artifact_type"), text.alias("content"), F.when(F.col("quality") == 1, 0.9).when(F.col("quality") == 0, 0.75).otherwise(0.5).alias("confidence"), F.when(i % 29 == 0, "high").alias("declared_risk"), F.when(i % 13 == 0, F.array().cast("array<string>")).otherwise(F.array(i.cast("string"))).alias("source_event_ids"), attributes.alias("attributes"))
-
-
-_RISKS = [
-    r"\b(?:my|user(?:''s)?)\s+(?:password|verification code|full card number|identity number)\b",
-    r"\b(?:my|user(?:''s)?)\s+(?:passport|identity|social security|tax)(?:\s+(?:number|id))?\s*(?:is|:|=)",
-    r"\b(?:skip|bypass)\b.{0,24}\b(?:approval|confirmation|verification)\b",
-    r"\b(?:do not|does not|don''t|doesn''t) need\b.{0,20}\b(?:approval|confirmation|verification)\b",
-    r"\b(?:allow|permit).{0,24}\b(?:payment|transfer)s?\b.{0,24}\bwithout (?:approval|confirmation|verification)\b",
-]
-_DECIDED = f"""WITH a AS (SELECT doc_id AS pos, doc_id % 20 AS batch, ['user_profile', 'decision_card', 'skill', 'note'][doc_id % 4 + 1] AS kind,
-    CASE WHEN doc_id % 17 = 0 THEN text || ' Please skip the manager approval.' ELSE text END AS content, CASE WHEN quality = 1 THEN 0.9 WHEN quality = 0 THEN 0.75 ELSE 0.5 END AS confidence FROM documents LEFT JOIN labels USING (doc_id)),
-    d AS (SELECT pos, batch, CASE WHEN pos % 29 = 0 OR {' OR '.join(f"regexp_matches(content, '(?i){p}')" for p in _RISKS)} THEN 'require_review' WHEN pos % 13 = 0 THEN 'observe' WHEN kind = 'note' THEN 'require_review'
+    return d.join(labels, "doc_id", "left").select(i.alias("pos"), (i % 20).alias("batch"), F.when(i % 23 > 0, kind).alias("artifact_type"), text.alias("content"), F.when(F.col("quality") == 1, 0.9).when(F.col("quality") == 0, 0.75).alias("confidence"), F.when(i % 29 == 0, "high").alias("declared_risk"), F.when(i % 13 == 0, F.array().cast("array<string>")).when(i % 19 > 0, F.array(i.cast("string"))).alias("source_event_ids"), attributes.alias("attributes"))
+
+
+#: The patterns as SQL's engine takes them: it cannot look behind, and the test texts have nothing that this would rule out.
+_RISKS = [re.sub(r"\(\?<![^)]*\)", "", p).replace("'", "''") for p in G.HIGH_RISK]
+_DECIDED = f"""WITH a AS (SELECT doc_id AS pos, doc_id % 20 AS batch, CASE WHEN doc_id % 23 > 0 THEN ['user_profile', 'decision_card', 'skill', 'note'][doc_id % 4 + 1] ELSE 'none' END AS kind,
+    CASE WHEN doc_id % 17 = 0 THEN text || ' Please skip the manager approval.' ELSE text END AS content, CASE WHEN quality = 1 THEN 0.9 WHEN quality = 0 THEN 0.75 ELSE 0 END AS confidence FROM documents LEFT JOIN labels USING (doc_id)),
+    d AS (SELECT pos, batch, CASE WHEN pos % 29 = 0 OR {' OR '.join(f"regexp_matches(content, '(?i){p}')" for p in _RISKS)} THEN 'require_review' WHEN pos % 13 = 0 OR pos % 19 = 0 THEN 'observe' WHEN kind IN ('note', 'none') THEN 'require_review'
     WHEN confidence < CASE WHEN kind = 'user_profile' THEN 0.7 ELSE 0.8 END THEN 'observe' WHEN kind IN ('decision_card', 'skill') AND pos % 3 = 0 THEN 'observe' ELSE 'auto_activate' END AS mode FROM a)"""
 
 
@@ -166,7 +165,7 @@ def reinforced_confidence(spark, sf_dir):
 
 def _entries(spark, sf_dir):
     lines = D.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "content"))
-    return lines.select((F.col("doc_id") * 1_000 + F.col("line")).alias("pos"), "content", F.col("doc_id").alias("source_id"))
+    return lines.select((F.col("doc_id") * 10_000_000 + F.col("line")).alias("pos"), "content", F.col("doc_id").alias("source_id"))
 
 
 def consolidated_entries(spark, sf_dir):
@@ -181,7 +180,8 @@ def card_versions(spark, sf_dir):
 
 def persona_domains(spark, sf_dir):
     e = D.events(spark, sf_dir)
-    return G.persona(e.select(F.col("event_type").alias("domain"), F.col("props").alias("content"), (F.col("event_id") % 11 / 10).alias("confidence"), F.col("event_id").alias("pos")))
+    mine = e.select(F.col("event_type").alias("domain"), F.col("props").alias("content"), (F.col("event_id") % 11 / 10).alias("confidence"), F.col("event_id").alias("pos"))
+    return G.persona(mine, 900).select("domain", "pos", "statements", "line")
 
 
 def event_dispositions(spark, sf_dir):
@@ -210,7 +210,7 @@ def evaluation_status(spark, sf_dir):
 
 
 def fail_closed_decision(spark, sf_dir):
-    return G.fail_closed(_audits(spark, sf_dir)).select("audit_id", "decision")
+    return G.fail_closed(_audits(spark, sf_dir)).select("audit_id", "decision", "reason")
 
 
 def evaluation_rates(spark, sf_dir):
@@ -254,7 +254,7 @@ def graph_as_of(spark, sf_dir):
 
 
 def trace_subgraph(spark, sf_dir):
-    ids = _nodes(spark, sf_dir).where("type <> 'order' or crc32(cast(id as binary)) % 3 = 0").select("id")
+    ids = _nodes(spark, sf_dir).where("type <> 'order' or sha2(id, 256) < '6'").select("id")
     return K.subgraph(_edges(spark, sf_dir), ids).groupBy("type").agg(F.count("*").alias("n"))
 
 
@@ -268,7 +268,7 @@ def khop_neighbours(spark, sf_dir):
 
 
 def causal_chain(spark, sf_dir):
-    starts = D.table(spark, sf_dir, "supplier").where("s_suppkey % 10 = 0").select(F.concat(F.lit("s"), "s_suppkey").alias("id"))
+    starts = D.table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("id"))
     return K.upstream(_edges(spark, sf_dir), starts, 5)
 
 
@@ -283,7 +283,7 @@ def fact_conflicts(spark, sf_dir):
 
 
 def entity_resolution(spark, sf_dir):
-    c = D.table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("entity_id"), F.regexp_replace("c_name", "[0-9]{2}$", "").alias("name"), F.col("c_mktsegment").alias("entity_type"), (F.col("c_custkey") % 9 / 10).alias("confidence"))
+    c = D.table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("entity_id"), F.col("c_custkey").alias("pos"), F.regexp_replace("c_name", "[0-9]{2}$", "").alias("name"), F.col("c_mktsegment").alias("entity_type"), (F.col("c_custkey") % 9 / 10).alias("confidence"))
     return K.resolved_by_name(c).select("entity_id", "resolved_id", "confidence")
 
 
@@ -310,12 +310,13 @@ def chain_verify(spark, sf_dir):
     e = D.events(spark, sf_dir).select(F.col("scope_id").alias("chain_id"), F.row_number().over(_by_scope()).alias("sequence_id"), "event_id", "event_type", "props")
     chain = A.chained(e, "event_id", "event_type", "props")
     tampered = chain.where("event_id % 101 <> 0").withColumn("props", F.when(F.col("event_id") % 97 == 0, "{}").otherwise(F.col("props")))
-    return A.chain_errors(tampered, "event_id", "event_type", "props")
+    # a row that is numbered and linked anew behind one that was taken out
+    before = F.lag("checksum").over(Window.partitionBy("chain_id").orderBy("sequence_id"))
+    relinked = tampered.withColumn("previous_checksum", F.when(F.col("event_id") % 101 == 1, F.coalesce(before, F.lit(""))).otherwise(F.col("previous_checksum")))
+    return A.chain_errors(relinked, "event_id", "event_type", "props")
 
 
 def _by_scope():
-    from pyspark.sql import Window
-
     return Window.partitionBy("scope_id").orderBy("event_id")
 
 
@@ -335,7 +336,9 @@ def compliance_report(spark, sf_dir):
 
 
 def turtle_lines(spark, sf_dir):
-    return A.turtle(_edges(spark, sf_dir).where("edge_pos < 1000000000"))
+    parents = F.when(F.col("c_custkey") % 2 == 0, F.array(F.lit("c1"))).otherwise(F.array().cast("array<string>"))
+    own = D.table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("entity_id"), parents.alias("derived_from"), F.sha2("c_name", 256).alias("checksum"), (F.col("c_custkey") % 10 == 0).alias("invalidated"))
+    return A.turtle(_edges(spark, sf_dir), _nodes(spark, sf_dir), own)
 
 
 def ordered_evidence(spark, sf_dir):
@@ -387,9 +390,9 @@ SQL = {
     "transcript_read": f"""WITH f AS (SELECT *, sum(length(text)) OVER (PARTITION BY session_id) AS chars FROM (SELECT *, row_number() OVER ({_W}) AS n FROM ({_LINES}) WHERE sequence >= 2) WHERE n <= 5)
         SELECT session_id, sequence, sha256(CASE WHEN chars <= 2500 THEN text ELSE '' END) AS sha, chars > 2500 AS too_long FROM f""",
     "grep_budget": f"SELECT session_id, sequence FROM (SELECT *, sum(length(text) + 1) OVER ({_W}) AS used FROM ({_LINES})) WHERE used <= 1500",
-    "resolved_markers": """WITH RECURSIVE d AS (SELECT doc_id, left(text, 20) AS content FROM documents WHERE doc_id % 10 < 8),
-        w AS (SELECT doc_id AS start, doc_id AS id, 0 AS depth FROM d WHERE doc_id % 50 = 0 UNION ALL SELECT start, id + k, depth + 1 FROM w JOIN d ON d.doc_id = w.id, (SELECT unnest([1, 2]) AS k) WHERE depth < 2),
-        s AS (SELECT start, id, min(depth) AS depth FROM w GROUP BY start, id) SELECT start, string_agg(content, chr(10) ORDER BY depth, id::VARCHAR) AS content FROM s JOIN d ON d.doc_id = s.id GROUP BY start""",
+    "resolved_markers": """WITH RECURSIVE w AS (SELECT doc_id AS start, doc_id AS id, 0 AS depth FROM documents UNION ALL
+        SELECT start, CASE WHEN k = 1 AND id % 5 = 0 THEN id * 1000003 + 1 ELSE id + k END, depth + 1 FROM w JOIN documents ON doc_id = w.id, (SELECT unnest([1, 2]) AS k) WHERE depth < 2),
+        s AS (SELECT start, id, min(depth) AS depth FROM w GROUP BY start, id) SELECT start, sha256(string_agg(text, chr(10) ORDER BY depth, id::VARCHAR)) AS sha FROM s JOIN documents ON doc_id = s.id GROUP BY start""",
     "due_scopes": f"""WITH s AS (SELECT scope_id, sum(tokens)::BIGINT AS tokens, count(*) AS events, epoch_us(min(completed_at)) AS f, epoch_us(max(completed_at)) AS l FROM ({D.EVENTS}) GROUP BY scope_id),
         r AS (SELECT scope_id, tokens, events, array_to_string(list_filter([CASE WHEN {int(NOW.timestamp()) * 10**6} - l >= 7200000000 THEN 'idle' END, CASE WHEN tokens >= 200000 THEN 'tokens' END, CASE WHEN events >= 70 THEN 'events' END,
         CASE WHEN {int(NOW.timestamp()) * 10**6} - f >= 86400000000 THEN 'max_wait' END], lambda x: x IS NOT NULL), ',') AS reasons FROM s) SELECT * FROM r WHERE reasons <> ''""",
@@ -408,46 +411,58 @@ SQL = {
     "batch_verdicts": f"{_DECIDED} SELECT batch, mode, pos FROM d QUALIFY row_number() OVER (PARTITION BY batch ORDER BY list_position(['require_review', 'observe', 'auto_activate'], mode), pos) = 1",
     "reinforced_confidence": "SELECT event_type, event_id % 50 AS bucket, round(least(1.0, 1 - product(1 - event_id % 7 / 40)), 6) AS confidence, count(DISTINCT user_id) AS sources, count(*) AS mentions FROM events GROUP BY 1, 2",
     "consolidated_entries": r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS content, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents),
-        e AS (SELECT doc_id * 1000 + line AS pos, content, doc_id, lower(trim(regexp_replace(content, '\s+', ' ', 'g'))) AS key FROM l)
+        e AS (SELECT doc_id * 10000000 + line AS pos, content, doc_id, lower(trim(regexp_replace(content, '\s+', ' ', 'g'))) AS key FROM l)
         SELECT sha256(arg_min(content, pos)) AS sha, min(pos) AS pos, count(*) AS entries, count(DISTINCT doc_id) AS sources FROM e GROUP BY key HAVING count(*) > 1""",
     "card_versions": "SELECT event_id, row_number() OVER w AS version, epoch_us(first_value(ts) OVER w) AS created_us FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id)",
-    "persona_domains": "SELECT domain, min(pos) AS pos, count(*) AS statements FROM (SELECT event_type AS domain, lower(trim(props)) AS key, min(event_id) AS pos FROM events WHERE event_id % 11 >= 7 GROUP BY 1, 2) GROUP BY domain",
+    "persona_domains": """WITH s AS (SELECT event_type AS domain, trim(props) AS statement, min(event_id) AS pos FROM events WHERE event_id % 11 >= 7 GROUP BY 1, 2),
+        d AS (SELECT domain, min(pos) AS pos, count(*) AS statements, string_agg(statement, '; ' ORDER BY pos) AS whole FROM s GROUP BY domain),
+        m AS (SELECT *, count(*) OVER () AS n, row_number() OVER (ORDER BY pos) - 1 AS k, 900 - (16 + count(*) OVER () - 1 + sum(length(domain) + 5) OVER ()) AS free FROM d),
+        a AS (SELECT *, (free // n + (k < free % n)::INT)::BIGINT AS most, sum(length(whole)) OVER () <= free AS fits FROM m)
+        SELECT domain, pos, statements, '- [' || domain || '] ' || CASE WHEN fits OR length(whole) <= most THEN whole ELSE rtrim(left(whole, most - 1)) || '…' END AS line FROM a""",
     "event_dispositions": "SELECT user_id AS scope_id, CASE WHEN value > 50 THEN 'used' ELSE 'no_durable_signal' END AS disposition, count(*) AS n FROM events GROUP BY 1, 2",
     "evidence_gaps": "SELECT scope_id, event_type FROM (SELECT DISTINCT user_id AS scope_id FROM events), (SELECT unnest(['click', 'view', 'purchase', 'audit']) AS event_type) EXCEPT SELECT user_id, event_type FROM events",
     "evaluation_status": f"""SELECT audit_id, CASE WHEN bad THEN 'MANUAL_REVIEW' ELSE 'EVALUATED' END AS status, CASE policy WHEN 'always' THEN true WHEN 'manual_on_review' THEN bad ELSE false END AS needs_approval
         FROM (SELECT *, errors OR missing OR conflicts OR adverse AS bad FROM ({_AUDITS}))""",
-    "fail_closed_decision": f"SELECT audit_id, CASE WHEN errors THEN 'rejected_ontology' WHEN missing THEN 'insufficient_evidence' WHEN conflicts THEN 'conflict' WHEN adverse THEN 'reject' ELSE 'approved' END AS decision FROM ({_AUDITS})",
+    "fail_closed_decision": f"SELECT audit_id, CASE WHEN errors OR missing OR conflicts THEN 'manual_review' WHEN adverse THEN 'reject' ELSE 'approved' END AS decision, CASE WHEN errors THEN 'ontology' WHEN missing THEN 'missing facts' WHEN conflicts THEN 'conflict' WHEN adverse THEN 'rule' ELSE 'no rule' END AS reason FROM ({_AUDITS})",
     "evaluation_rates": "SELECT doc_id % 6 AS run, sum(quality)::DOUBLE / count(*) AS good_rate, sum(quality)::DOUBLE / count(*) >= 0.5 AS good_ok FROM labels GROUP BY 1",
     "graph_as_of": f"WITH n AS (SELECT id FROM ({_NODES}) WHERE {_VALID}) SELECT edge_pos FROM ({_EDGES}) WHERE {_VALID} AND source IN (SELECT id FROM n) AND target IN (SELECT id FROM n)",
+    "trace_subgraph": f"""WITH n AS (SELECT id FROM ({_NODES}) WHERE left(id, 1) <> 'o' OR sha256(id) < '6') SELECT type, count(*) AS n FROM ({_EDGES}) WHERE source IN (SELECT id FROM n) AND target IN (SELECT id FROM n) GROUP BY type""",
     "dangling_edges": f"SELECT DISTINCT edge_pos FROM ({_EDGES}) WHERE source IN ('s1', 's2', 'c7') OR target IN ('s1', 's2', 'c7') OR source NOT IN (SELECT id FROM ({_NODES})) OR target NOT IN (SELECT id FROM ({_NODES}))",
     "khop_neighbours": f"""WITH e AS (SELECT * FROM ({_EDGES}) WHERE invalidated_at IS NULL), b AS (SELECT source AS here, target AS id, type, 'out' AS direction, edge_pos FROM e UNION ALL SELECT target, source, type, 'in', edge_pos FROM e),
         s AS (SELECT 'c' || c_custkey AS start FROM customer WHERE c_custkey % 100 = 0),
-        h1 AS (SELECT start, b.id, 1 AS hop, b.type, direction FROM s JOIN b ON b.here = start QUALIFY row_number() OVER (PARTITION BY start, b.id ORDER BY edge_pos, direction) = 1),
-        h2 AS (SELECT start, b.id, 2 AS hop, b.type, b.direction FROM h1 JOIN b ON b.here = h1.id QUALIFY row_number() OVER (PARTITION BY start, b.id ORDER BY b.edge_pos, b.direction) = 1)
-        SELECT * FROM h1 UNION ALL SELECT * FROM h2 WHERE id <> start AND (start, id) NOT IN (SELECT (start, id) FROM h1)""",
+        h1 AS (SELECT start, b.id, 1 AS hop, b.type, direction, edge_pos AS found FROM s JOIN b ON b.here = start QUALIFY row_number() OVER (PARTITION BY start, b.id ORDER BY edge_pos, direction DESC) = 1),
+        h2 AS (SELECT start, b.id, 2 AS hop, b.type, b.direction, 0 AS found FROM h1 JOIN b ON b.here = h1.id QUALIFY row_number() OVER (PARTITION BY start, b.id ORDER BY h1.found, b.edge_pos, b.direction DESC) = 1)
+        SELECT start, id, hop, type, direction FROM (SELECT * FROM h1 UNION ALL SELECT * FROM h2 WHERE id <> start AND (start, id) NOT IN (SELECT (start, id) FROM h1))""",
     "causal_chain": f"""WITH RECURSIVE c AS (SELECT DISTINCT source, target FROM ({_EDGES}) WHERE type IN ('CAUSED', 'INFLUENCED', 'PRECEDENT_FOR')),
-        u AS (SELECT 's' || s_suppkey AS start, 's' || s_suppkey AS id, 0 AS step FROM supplier WHERE s_suppkey % 10 = 0 UNION ALL SELECT start, source, step + 1 FROM u JOIN c ON c.target = u.id WHERE step < 5)
+        u AS (SELECT 's' || s_suppkey AS start, 's' || s_suppkey AS id, 0 AS step FROM supplier UNION ALL SELECT start, source, step + 1 FROM u JOIN c ON c.target = u.id WHERE step < 5)
         SELECT start, id, min(step) AS step FROM u WHERE step > 0 GROUP BY start, id""",
     "fact_nodes": """SELECT subject, predicate, string_agg(object, ',' ORDER BY pos) AS "values" FROM (SELECT o_custkey AS subject, o_orderpriority AS predicate, o_orderstatus AS object, min(o_orderkey) AS pos FROM orders GROUP BY 1, 2, 3) GROUP BY 1, 2""",
     "fact_conflicts": """SELECT o_custkey::VARCHAR AS subject, o_orderpriority AS predicate, count(DISTINCT o_orderstatus) AS "values", count(DISTINCT o_orderkey) AS sources,
         CASE WHEN count(DISTINCT o_orderstatus) > 2 THEN 'high' ELSE 'medium' END AS severity, left(sha256(o_custkey || '|' || o_orderpriority), 16) AS conflict_id FROM orders GROUP BY o_custkey, o_orderpriority HAVING count(DISTINCT o_orderstatus) > 1""",
-    "entity_resolution": """WITH c AS (SELECT 'c' || c_custkey AS entity_id, lower(regexp_replace(regexp_replace(c_name, '[0-9]{2}$', ''), '[^A-Za-z0-9_]+', '', 'g')) AS k, c_mktsegment AS t, c_custkey % 9 / 10 AS confidence FROM customer)
-        SELECT entity_id, min(entity_id) OVER w AS resolved_id, max(confidence) OVER w AS confidence FROM c WINDOW w AS (PARTITION BY t, k)""",
+    "entity_resolution": """WITH c AS (SELECT 'c' || c_custkey AS entity_id, c_custkey AS pos, lower(regexp_replace(regexp_replace(c_name, '[0-9]{2}$', ''), '[^A-Za-z0-9_]+', '', 'g')) AS k, c_mktsegment AS t, c_custkey % 9 / 10 AS confidence FROM customer)
+        SELECT entity_id, arg_min(entity_id, pos) OVER w AS resolved_id, max(confidence) OVER w AS confidence FROM c WINDOW w AS (PARTITION BY t, k)""",
     "rule_evaluation": """WITH m AS (SELECT o_orderkey AS subject, 'r1' AS rule_id, 'reject' AS conclusion, 10 AS p FROM orders WHERE o_totalprice > 300000 AND o_orderstatus = 'O' UNION ALL
         SELECT o_orderkey, 'r2', 'review', 5 FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') UNION ALL SELECT o_orderkey, 'r3', 'note', 5 FROM orders WHERE contains(o_orderpriority, 'LOW') AND o_totalprice <= 100000)
         SELECT subject, rule_id, conclusion, (row_number() OVER (PARTITION BY subject ORDER BY p DESC, rule_id))::INT AS place FROM m""",
     "ontology_errors": """WITH n AS (SELECT event_id AS id, event_type AS type, event_id % 10 = 0 AS other, CASE WHEN event_id % 14 = 0 THEN 'many' ELSE json_extract_string(props, '$.k') END AS v FROM events)
         SELECT id, 'k' AS field, CASE WHEN type = 'click' THEN CASE WHEN other OR v IS NULL THEN 'missing' ELSE 'type' END ELSE 'value' END AS error FROM n
         WHERE type = 'click' AND (other OR v IS NULL OR try_cast(v AS DOUBLE) IS NULL) OR type = 'view' AND NOT other AND v NOT IN ('1', '2', '3', 'many')""",
-    "chain_verify": """WITH e AS (SELECT user_id AS chain_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS sequence_id, event_id, event_type, props, sha256(concat_ws('|', event_id, event_type, props)) AS checksum FROM events),
-        c AS (SELECT *, coalesce(lag(checksum) OVER (PARTITION BY chain_id ORDER BY sequence_id), '') AS previous FROM e), t AS (SELECT * FROM c WHERE event_id % 101 <> 0),
-        k AS (SELECT *, row_number() OVER w AS n, coalesce(lag(checksum) OVER w, '') AS before FROM t WINDOW w AS (PARTITION BY chain_id ORDER BY sequence_id))
-        SELECT chain_id, sequence_id::INT AS sequence_id, 'sequence' AS error FROM k WHERE sequence_id <> n UNION ALL SELECT chain_id, sequence_id::INT, 'link' FROM k WHERE previous <> before
-        UNION ALL SELECT chain_id, sequence_id::INT, 'checksum' FROM k WHERE event_id % 97 = 0 AND props <> '{}'""",
-    "snapshot_fingerprint": "SELECT source, sha256(string_agg(lpad(doc_id::VARCHAR, 9, '0') || ':' || sha256(text), chr(10) ORDER BY lpad(doc_id::VARCHAR, 9, '0'))) AS fingerprint, count(*) AS files FROM documents GROUP BY source",
+    "chain_verify": """WITH RECURSIVE e AS (SELECT user_id AS chain_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS sequence_id, event_id, event_type, props FROM events),
+        c AS (SELECT chain_id, sequence_id, event_id, event_type, props, '' AS previous, sha256(concat_ws('|', sequence_id, event_id, event_type, props, '')) AS checksum FROM e WHERE sequence_id = 1 UNION ALL
+        SELECT e.chain_id, e.sequence_id, e.event_id, e.event_type, e.props, c.checksum, sha256(concat_ws('|', e.sequence_id, e.event_id, e.event_type, e.props, c.checksum)) FROM c JOIN e ON e.chain_id = c.chain_id AND e.sequence_id = c.sequence_id + 1),
+        t AS (SELECT * REPLACE (CASE WHEN event_id % 97 = 0 THEN '{}' ELSE props END AS props) FROM c WHERE event_id % 101 <> 0),
+        k AS (SELECT *, row_number() OVER w AS n, coalesce(lag(checksum) OVER w, '') AS before FROM t WINDOW w AS (PARTITION BY chain_id ORDER BY sequence_id)),
+        r AS (SELECT * REPLACE (CASE WHEN event_id % 101 = 1 THEN before ELSE previous END AS previous) FROM k)
+        SELECT chain_id, sequence_id::INT AS sequence_id, 'sequence' AS error FROM r WHERE sequence_id <> n UNION ALL SELECT chain_id, sequence_id::INT, 'link' FROM r WHERE previous <> before
+        UNION ALL SELECT chain_id, sequence_id::INT, 'checksum' FROM r WHERE checksum <> sha256(concat_ws('|', sequence_id, event_id, event_type, props, previous))""",
+    "snapshot_fingerprint": "SELECT source, sha256(string_agg(lpad(doc_id::VARCHAR, 9, '0') || chr(0) || text || chr(0), '' ORDER BY doc_id)) AS fingerprint, count(*) AS files FROM documents GROUP BY source",
     "manifest_differences": "SELECT doc_id AS name, CASE WHEN doc_id % 7 <> 0 AND doc_id % 5 = 0 THEN 'missing' WHEN doc_id % 7 = 0 THEN 'unlisted' ELSE 'changed' END AS reason FROM documents WHERE doc_id % 7 <> 0 AND (doc_id % 5 = 0 OR doc_id % 11 = 0) OR doc_id % 7 = 0 AND doc_id % 5 <> 0",
     "compliance_report": "SELECT user_id AS decision_id, count(*) FILTER (value > 99) AS violations, count(*) FILTER (value > 50 AND value <= 99) AS approvals, count(*) FILTER (value > 99) = 0 AND count(*) FILTER (value > 50 AND value <= 99) > 0 AS compliant FROM events GROUP BY user_id",
-    "turtle_lines": f"SELECT '<urn:node:' || left(sha256(source), 24) || '> <urn:rel:relatedTo> <urn:node:' || left(sha256(target), 24) || '> .' AS line FROM ({_EDGES}) WHERE edge_pos < 1000000000",
+    "turtle_lines": f"""SELECT '<urn:node:' || left(sha256(source), 24) || '> <urn:rel:relatedTo> <urn:node:' || left(sha256(target), 24) || '> .' AS line FROM ({_EDGES}) UNION ALL
+        SELECT '<urn:node:' || left(sha256(id), 24) || '> a <urn:type:' || CASE left(id, 1) WHEN 'o' THEN 'order' WHEN 'c' THEN 'customer' ELSE 'supplier' END || '> .' FROM ({_NODES}) UNION ALL
+        SELECT '<urn:node:' || left(sha256('c' || c_custkey), 24) || '> prov:wasDerivedFrom <urn:node:' || left(sha256('c1'), 24) || '> .' FROM customer WHERE c_custkey % 2 = 0 UNION ALL
+        SELECT '<urn:node:' || left(sha256('c' || c_custkey), 24) || '> <urn:rel:checksum> "' || sha256(c_name) || '" .' FROM customer UNION ALL
+        SELECT '<urn:node:' || left(sha256('c' || c_custkey), 24) || '> <urn:rel:invalidated> true .' FROM customer WHERE c_custkey % 10 = 0""",
     "ordered_evidence": "SELECT l_orderkey AS decision_id, string_agg(p_brand, ',' ORDER BY l_linenumber, l_partkey) AS evidence FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_partkey % 5 <> 0 GROUP BY l_orderkey",
     "extracted_records": "SELECT o_orderkey AS source_id, 0 AS pos, 'ENTITY' AS kind, o_orderkey::VARCHAR AS first, 'order' AS second, 'o' AS third FROM orders UNION ALL SELECT o_orderkey, 1, 'RELATION', o_custkey::VARCHAR, 'placed', o_orderkey::VARCHAR FROM orders",
     "latency_stats": f"SELECT * REPLACE (round(mean, 6) AS mean) FROM ({_STATS})",

@@ -10,6 +10,7 @@ from recollect.functions import text as T
 from recollect.operators import journal as J
 from recollect.operators import retrieval as R
 from recollect.plans import tables as D
+from recollect.plans.reviews import TOKEN_RE, first_tokens_sql
 
 AS_OF = datetime(2025, 3, 1, tzinfo=timezone.utc)
 AS_OF_US = int(AS_OF.timestamp()) * 1_000_000
@@ -108,7 +109,7 @@ def hot_list(spark, sf_dir):
 
 
 def session_coverage(spark, sf_dir):
-    return J.coverage(D.journal(spark, sf_dir)).select("session_id", F.col("latest_sequence").cast("long").alias("latest_sequence"), "last_safe_sequence")
+    return J.coverage(D.journal(spark, sf_dir), F.col("sequence") % 4 == 0).select("session_id", F.col("latest_sequence").cast("long").alias("latest_sequence"), "last_safe_sequence")
 
 
 def compression_policy(spark, sf_dir):
@@ -134,7 +135,7 @@ def visible_generations(spark, sf_dir):
 
 
 def compression_report(spark, sf_dir):
-    return J.compression_report(_generations(spark, sf_dir)).select("session_id", "generations", "tokens_before", "tokens_after", F.round("saved", 6).alias("saved"))
+    return J.compression_report(_generations(spark, sf_dir)).select("session_id", "generations", "tokens_before", "tokens_after", F.round("saved", 6).alias("saved"), F.round("ratio", 6).alias("ratio"))
 
 
 def boundary_tail(spark, sf_dir):
@@ -148,8 +149,23 @@ def marker_hashes(spark, sf_dir):
     return docs.select("doc_id", F.array_join(T.marker_hashes(F.col("content")), ",").alias("hashes"))
 
 
+_SEMANTIC = lambda x: f"list_distinct(list_transform({_TOKENS(x)}, lambda t: CASE WHEN length(t) > 3 AND t[-1] = 's' THEN left(t, length(t) - 1) ELSE t END))"
+_T3 = lambda x: f"len(regexp_extract_all({x}, '{TOKEN_RE}'))"
+#: The matches that win their conflicts, one row after another: those like a row kept before go, chunks that fit are taken.
+_CONTEXT = rf"""{_RANKED.replace("WITH r", "WITH RECURSIVE r", 1)}, c AS (SELECT memory_id, rank, '[' || kind || ':' || memory_id || ']' || chr(10) || trim(content) || chr(10) AS chunk, {_SEMANTIC('content')} AS tokens FROM
+        (SELECT *, row_number() OVER (PARTITION BY conflict_key ORDER BY updated_us DESC, confidence DESC, score DESC, rank) AS n FROM m) WHERE conflict_key IS NULL OR n = 1),
+    o AS (SELECT *, row_number() OVER (ORDER BY rank) AS k FROM c),
+    s AS (SELECT 0::BIGINT AS k, []::VARCHAR[][] AS kept, NULL::BIGINT AS own UNION ALL
+        SELECT o.k, CASE WHEN like_one THEN kept ELSE list_append(kept, o.tokens) END, CASE WHEN like_one THEN NULL ELSE o.k END FROM
+        (SELECT s.k, s.kept, len(list_filter(s.kept, lambda y: len(y) > 0 AND len(o.tokens) > 0 AND len(list_intersect(y, o.tokens)) / len(list_distinct(list_concat(y, o.tokens))) >= 0.8)) > 0 AS like_one FROM s JOIN o ON o.k = s.k + 1) x JOIN o ON o.k = x.k + 1),
+    q AS (SELECT o.*, row_number() OVER (ORDER BY o.k) AS i FROM o JOIN s ON s.own = o.k),
+    p AS (SELECT 0::BIGINT AS i, []::VARCHAR[] AS chunks, []::VARCHAR[] AS ids, {R.CONTEXT_TOKENS}::BIGINT AS budget, false AS done UNION ALL
+        SELECT q.i, CASE WHEN p.done THEN chunks WHEN {_T3('q.chunk')} <= budget THEN list_append(chunks, q.chunk) WHEN len(chunks) > 0 THEN chunks ELSE [regexp_replace({first_tokens_sql('q.chunk', str(R.CONTEXT_TOKENS))}, '\s+$', '') || chr(10)] END,
+        CASE WHEN p.done OR ({_T3('q.chunk')} > budget AND len(chunks) > 0) THEN ids ELSE list_append(ids, q.memory_id) END, CASE WHEN p.done OR {_T3('q.chunk')} > budget THEN budget ELSE budget - {_T3('q.chunk')} END,
+        p.done OR ({_T3('q.chunk')} > budget AND len(chunks) = 0) FROM p JOIN q ON q.i = p.i + 1)"""
 _W = "PARTITION BY session_id ORDER BY sequence"
 SQL = {
+    "retrieval_context": f"""{_CONTEXT} SELECT array_to_string(chunks, chr(10)) AS markdown, array_to_string(ids, ',') AS memory_ids, {_T3('array_to_string(chunks, chr(10))')}::BIGINT AS estimated_tokens FROM p ORDER BY i DESC LIMIT 1""",
     "retrieval_ranked_topk": f"{_RANKED} SELECT rank::INT AS rank, memory_id, kind, round(score, 6) AS score FROM m",
     "retrieval_domain_filter": f"""WITH r AS ({D.RECORDS}) SELECT memory_id, inferred FROM ({_WITH_DOMAIN}) WHERE tenant_id = 't1' AND agent_id = 'a' AND (user_id IS NULL OR user_id = 'u1')
         AND CASE WHEN inferred IS NOT NULL THEN inferred = 'finance' ELSE len(list_intersect({_TOKENS('content')}, {_TOKENS(_q(FINANCE.text))})) > 0 END""",
@@ -174,7 +190,7 @@ SQL = {
     "append_outcomes": f"SELECT session_id || '-' || sequence AS event_id, CASE WHEN sequence > 4 THEN 'new' WHEN sequence % 4 = 0 THEN 'conflict' ELSE 'same' END AS outcome FROM ({D.JOURNAL})",
     "retention_split": f"""SELECT session_id, sequence, coalesce(sum(length(content)) OVER (PARTITION BY session_id ORDER BY sequence DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) <= 600 AS retained FROM ({D.JOURNAL})""",
     "hot_list": f"""SELECT session_id, sequence FROM (SELECT *, sum(CASE WHEN sequence <= 4 THEN strlen(content) ELSE 0 END) OVER (PARTITION BY session_id ORDER BY sequence DESC) AS size FROM ({D.JOURNAL})) WHERE sequence > 4 OR size <= 700""",
-    "session_coverage": f"SELECT session_id, max(sequence)::BIGINT AS latest_sequence, coalesce(max(sequence) FILTER (role = 'assistant'), 0)::BIGINT AS last_safe_sequence FROM ({D.JOURNAL}) GROUP BY session_id",
+    "session_coverage": f"SELECT session_id, max(sequence)::BIGINT AS latest_sequence, coalesce(max(sequence) FILTER (role = 'assistant' AND sequence % 4 <> 0), 0)::BIGINT AS last_safe_sequence FROM ({D.JOURNAL}) GROUP BY session_id",
     "compression_policy": f"SELECT session_id, tokens, messages, tokens >= 800 * 0.65 OR messages >= 8 AS due FROM (SELECT session_id, greatest(1, ceil(sum(length(content)) / 4))::BIGINT AS tokens, count(*) AS messages FROM ({D.JOURNAL}) GROUP BY session_id)",
     "extraction_due": f"""WITH u AS (SELECT *, coalesce(max(sequence) FILTER (role = 'user') OVER (PARTITION BY session_id), 0) AS last_user FROM ({D.JOURNAL})),
         s AS (SELECT session_id, greatest(1, ceil(sum(length(content)) / 4))::BIGINT AS tokens, coalesce(CASE WHEN count(*) FILTER (sequence > 2) > 0 THEN greatest(1, ceil(sum(length(content)) FILTER (sequence > 2) / 4)) END, 0)::BIGINT AS grown,
@@ -182,7 +198,7 @@ SQL = {
         SELECT session_id, tokens, grown, tool_calls, session_id % 2 = 0 AS initialised, CASE WHEN session_id % 2 <> 0 THEN tokens >= 400 ELSE grown >= 200 AND (tool_calls >= 3 OR NOT busy) END AS due FROM s""",
     "visible_generations": f"SELECT session_id, generation FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY generation DESC) AS n FROM ({_GENERATIONS}) WHERE expires_us > {AS_OF_US} AND through_sequence > 20) WHERE n <= 3",
     "compression_report": f"""SELECT session_id, count(*) AS generations, sum(tokens_before)::BIGINT AS tokens_before, sum(tokens_after)::BIGINT AS tokens_after,
-        round(CASE WHEN sum(tokens_before) > 0 THEN 1 - sum(tokens_after)::DOUBLE / sum(tokens_before)::DOUBLE ELSE 0 END, 6) AS saved FROM ({_GENERATIONS}) GROUP BY session_id""",
+        round(CASE WHEN sum(tokens_before) > 0 THEN 1 - sum(tokens_after)::DOUBLE / sum(tokens_before)::DOUBLE ELSE 0 END, 6) AS saved, round(sum(tokens_before)::DOUBLE / greatest(sum(tokens_after), 1)::DOUBLE, 6) AS ratio FROM ({_GENERATIONS}) GROUP BY session_id""",
     "boundary_tail": f"SELECT session_id, sequence FROM (SELECT *, max(sequence) FILTER (sequence % 4 = 0) OVER (PARTITION BY session_id) AS b FROM ({D.JOURNAL})) WHERE sequence >= coalesce(b, 0)",
     "marker_hashes": """SELECT doc_id, array_to_string(list_distinct(h), ',') AS hashes FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN [left(sha256(doc_id::VARCHAR), 20), doc_id || '-a'] ELSE [] END AS h FROM documents) WHERE len(h) < 2
         UNION ALL SELECT doc_id, left(sha256(doc_id::VARCHAR), 20) || ',' || doc_id || '-a' FROM documents WHERE doc_id % 3 = 0""",

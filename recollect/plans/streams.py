@@ -8,17 +8,13 @@ from pyspark.sql import functions as F
 
 from recollect.plans import tables as D
 from recollect.sources import readers as R
+from recollect.sources.folders import shared_folder
 from recollect.streaming import sessions as S
 
 
 def _folder(spark) -> str:
-    """A new folder in the shared checkpoint folder; a temporary one only where none is set, as in tests."""
-    import tempfile
-
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
-    return f"{sc.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    """A new folder in the shared checkpoint folder."""
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def _replayed(spark, table, columns, run, mode="append"):
@@ -50,7 +46,8 @@ def stream_batches(spark, sf_dir):
 def compare_and_set(spark, sf_dir):
     j = D.journal(spark, sf_dir)
     current = j.groupBy("session_id").agg(F.max("sequence").alias("version")).withColumn("payload", F.lit("old"))
-    return S.compare_and_set(current, j.where("session_id % 3 <> 0").select("session_id", (F.col("sequence") + 2).alias("expected"), F.concat(F.lit("new"), "sequence").alias("payload"), (-F.col("sequence")).alias("order")))
+    ahead = F.when(F.col("session_id") % 3 == 1, 0).otherwise(2)  # the first update of these sessions expects the current version
+    return S.compare_and_set(current, j.where("session_id % 3 <> 0").select("session_id", (F.col("sequence") + ahead).alias("expected"), F.concat(F.lit("new"), "sequence").alias("payload"), (-F.col("sequence")).alias("order")))
 
 
 def text_chunks(spark, sf_dir):
@@ -65,7 +62,8 @@ def memory_entries(spark, sf_dir):
 
 SQL = {
     "compare_and_set": f"""WITH j AS ({D.JOURNAL}), c AS (SELECT session_id, max(sequence) AS v FROM j GROUP BY session_id)
-        SELECT session_id, v::BIGINT AS version, 'old' AS payload, CASE WHEN session_id % 3 = 0 THEN 'kept' ELSE 'stale' END AS outcome FROM c""",
+        SELECT session_id, (v + (session_id % 3 = 1)::INT)::BIGINT AS version, CASE WHEN session_id % 3 = 1 THEN 'new' || v ELSE 'old' END AS payload,
+        CASE session_id % 3 WHEN 0 THEN 'kept' WHEN 1 THEN 'set' ELSE 'stale' END AS outcome FROM c""",
     "memory_entries": r"""WITH e AS (SELECT doc_id AS source_id, trim(unnest(string_split(text, chr(10)))) AS content, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents)
         SELECT source_id, pos, 'mem-' || sha256(content) AS memory_id FROM e WHERE content <> ''""",
     "stream_sequences": "SELECT conv_id AS session_id, conv_id || '-' || turn AS event_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS sequence, 'new' AS outcome FROM conversations",

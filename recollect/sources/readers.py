@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.types import StructType
 
 JOURNAL = T.StructType([T.StructField(n, T.StringType()) for n in ("type", "timestamp", "role", "content", "event_id", "content_type", "sha256", "original_url", "local_path")] + [T.StructField("sequence", T.LongType()), T.StructField("metadata", T.MapType(T.StringType(), T.StringType()))])
 LEDGER = "event_id string, task_id string, scope struct<tenant_id:string,agent_id:string,user_id:string>, completed_at string, interrupted boolean, tool_iterations int, transcript array<struct<role:string,content:string>>, final_response string, source_refs array<map<string,string>>"
@@ -84,30 +89,87 @@ def expired_files(lines: DataFrame, as_of: Column, days: int) -> DataFrame:
     return newest.withColumn("verdict", F.when(F.col("newest").isNull(), "failed").when(old, "delete").otherwise("keep"))
 
 
-def append_days(events: DataFrame, path: str) -> None:
-    """Rows as JSON lines in a folder for each UTC day and session bucket (SNK1)."""
-    events.withColumn("event_date", F.to_date("created_at")).write.mode("append").partitionBy("event_date").json(path)
+def append_days(events: DataFrame, path: str, buckets: int = 16) -> None:
+    """Rows as JSON lines in a folder for each UTC day and bucket of sessions (SNK1)."""
+    day = F.to_date(F.timestamp_micros(F.unix_micros("created_at")))
+    bucketed = events.withColumn("event_date", day).withColumn("bucket", F.pmod(F.xxhash64("session_id"), F.lit(buckets)).cast("int"))
+    bucketed.write.mode("append").partitionBy("event_date", "bucket").json(path)
+
+
+def day(spark: SparkSession, path: str, date: str) -> DataFrame:
+    """Rows of one day; only its folder is read (SRC6)."""
+    return spark.read.json(path).where(F.col("event_date") == F.to_date(F.lit(date)))
+
+
+def unique_seeds(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Seed records of JSON lines with their copies: a dataset and record id must be there once (SRC10)."""
+    raw = spark.read.schema(schema).json(path)
+    return raw.withColumn("copies", F.count("*").over(Window.partitionBy("source_dataset", "source_record_id")))
+
+
+def fan_in(spark: SparkSession, sources: list[tuple[str, str]], readers: dict[str, Callable[[SparkSession, str], DataFrame]]) -> DataFrame:
+    """Documents of all sources (type, path), with the type; an unknown type is an error (SRC16, SET1)."""
+    out = None
+    for kind, path in sources:
+        if kind not in readers:
+            raise ValueError(f"unknown type of source: {kind}")
+        rows = readers[kind](spark, path).select("source_id", "content_type", "content").withColumn("source_type", F.lit(kind))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def as_events(records: DataFrame, safe: str = "^[A-Za-z0-9_.-]{1,64}$") -> DataFrame:
+    """Conversation records as ledger events; user ids that are not safe in names are replaced by a digest (PRJ4, FLT13)."""
+    user = F.when(F.col("user").rlike(safe), F.col("user")).otherwise(F.concat(F.lit("u-"), F.left(F.sha2("user", 256), F.lit(24))))
+    return records.select(F.concat(F.lit("evt-"), F.left(F.sha2(F.concat_ws(":", "source", "record_id"), 256), F.lit(32))).alias("event_id"), user.alias("user_id"), "transcript", "final_response", "completed_at")
 
 
 def query_as_document(rows: DataFrame, source_id: str) -> DataFrame:
     """A query's whole result as one JSON document with its number of rows; for results of bounded size (SRC15)."""
+    # one document by nature: a result that does not fit one row belongs into a table
     return rows.agg(F.to_json(F.collect_list(F.struct(*rows.columns))).alias("rows"), F.count("*").alias("row_count")).select(F.lit(source_id).alias("source_id"), F.concat(F.lit('{"row_count":'), "row_count", F.lit(',"rows":'), "rows", F.lit("}")).alias("content"))
 
 
+def read_only(query: str) -> str:
+    """The query, which must only read (SRC15)."""
+    if not re.match(r"\s*(select|with|pragma)\b", query, re.I):
+        raise ValueError("only select, with and pragma")
+    return query
+
+
 def chunks(texts: DataFrame, most: int) -> DataFrame:
-    """Lines packed into chunks of at most ``most`` characters, with their places; an overlong line stays whole (FN12)."""
-    line = texts.select("source_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    by = Window.partitionBy("source_id").orderBy("pos")
-    placed = line.withColumn("end", F.sum(F.length("line") + 1).over(by) - 1).withColumn("start", F.col("end") - F.length("line"))
-    items = F.array_sort(F.collect_list(F.struct("pos", "start", "end")))
-    empty = F.array().cast("array<struct<start:bigint,end:bigint>>")
-
-    def step(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        new = F.concat(acc, F.array(F.struct(x["start"].alias("start"), x["end"].alias("end"))))
-        joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["start"].alias("start"), x["end"].alias("end"))))
-        return F.when(F.size(acc) == 0, new).when(x["end"] - last["start"] <= most, joined).otherwise(new)
-
-    packed = placed.groupBy("source_id").agg(F.aggregate(items, empty, step).alias("c"))
-    cut = packed.join(texts.select("source_id", "text"), "source_id").select("source_id", "text", F.explode("c").alias("c"))
-    return cut.select("source_id", "c.start", "c.end", F.substring("text", (F.col("c.start") + 1).cast("int"), (F.col("c.end") - F.col("c.start")).cast("int")).alias("chunk")).where("chunk <> ''")
+    """Lines packed into chunks of at most ``most`` characters, with their places; an overlong line stays whole (FN12).
+
+    A text of one line is split at blanks instead, a word that is too long stays whole. Chunks of nothing are left out.
+    """
+    key = texts.schema["source_id"]
+    schema = StructType([key, T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("chunk", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, rows = [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                for start, end in _places(text or "", most):
+                    if end > start:
+                        at.append(i)
+                        rows.append((start, end, text[start:end]))
+            if rows:
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), *(pa.array(c) for c in zip(*rows))], names=[f.name for f in schema])
+
+    return texts.select("source_id", "text").mapInArrow(run, schema)
+
+
+def _places(text: str, most: int) -> Iterator[tuple[int, int]]:
+    """Where chunks begin and end, in one go over the text's lines or words."""
+    parts = re.compile(r"[^\n]*\n?") if "\n" in text else re.compile(r"\S+|\Z")
+    start = end = None
+    for m in parts.finditer(text):
+        a, b = m.start(), m.end() - m[0].endswith("\n")
+        if m.start() == m.end():
+            continue
+        if start is not None and b - start > most:
+            yield start, end
+            start = None
+        start, end = a if start is None else start, b
+    if start is not None:
+        yield start, end

@@ -14,12 +14,12 @@ from recollect.functions import arrow as A
         (A.normal_text, " Ａ\xa0 b \n\n c\t d ", "A b\nc d"),
         (A.normal_text, None, None),
         (A.html_nodes, "<p>a &amp; b</p> <script>x=1</script><p> </p>c", "a & b\nx=1\nc"),
-        (A.canonical_json, '{"b": [1, {"d": 1, "c": 2}], "a": "é"}', '{"a":"é","b":[1,{"c":2,"d":1}]}'),
+        (A.canonical_json, '{"b": [1, {"d": 1, "c": 2}], "a": "é"}', '{"a": "é", "b": [1, {"c": 2, "d": 1}]}'),
         (A.canonical_json, "{", None),
         (A.fenced_json, 'so\n```json\n{"a": 1}\n```\nend', '{"a": 1}'),
         (A.fenced_json, 'take {"a": 2} now', '{"a": 2}'),
         (A.fenced_json, "nothing", None),
-        (lambda c: A.keyed_id(c, b"k"), "u", hmac.new(b"k", b"u", hashlib.sha256).hexdigest()[:32]),
+        (lambda c: A.keyed_id(c, b"k", "user"), "u", "dream-v1-" + hmac.new(b"k", b"dream-v1:user:u", hashlib.sha256).hexdigest()),
         (A.job_id, "n", str(uuid.uuid5(uuid.NAMESPACE_URL, "n"))),
         (A.folded, "Straße", "strasse"),
     ],
