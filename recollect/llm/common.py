@@ -33,6 +33,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The rows of ``df``, written as a table to the shared checkpoint folder, which takes less room than ``cut``; in any order."""
+    path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def row_number() -> Column:
     """A number for each row of a table, the same whenever the table is read again with the same settings."""
     return F.monotonically_increasing_id()

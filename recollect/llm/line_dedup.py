@@ -7,7 +7,7 @@ inside a line or across line ends.
 
 Chunks: every line is hashed, and a hash rolls over ``ROLL`` line hashes in a row. A chunk begins where the rolling hash is
 below those of the ``NEAR`` places before and not above those of the ``NEAR`` behind; so boundaries shift with the text. A
-chunk has over ``NEAR`` lines, twice as many and one on average, a dozen words or so; a text without boundaries is one chunk, however short.
+chunk has over ``NEAR`` lines, twice as many and one on average, fifteen words or so; a text without boundaries is one chunk, however short.
 
 A chunk that several documents have belongs to the first of them (by row). Every other document's chunk of that hash is
 compared with the owner's byte for byte; equal ones are removed, and with them the lines in front and behind (``EDGE`` at
@@ -32,9 +32,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import AtomicType
 
-from recollect.llm.common import cut, row_number, unused_name
+from recollect.llm.common import row_number, unused_name, written
 
-ROLL, NEAR, EDGE = 2, 4, 12
+ROLL, NEAR, EDGE = 2, 5, 10
 #: Characters of scripts without spaces: kana, Chinese, and the punctuation among them.
 _DENSE = "[、-ヿ㐀-鿿！，？]"
 _LOW = (1 << 32) - 1
@@ -112,7 +112,7 @@ def shared_chunks(docs: DataFrame) -> DataFrame:
     A chunk is its hash h and its place: the first line times 2 ** 32, and the line behind the last. Empty texts have none.
     """
     found = F.when(F.col("text") != "", chunks(F.col("text")))
-    rows = cut(docs.select(row_number().alias("row"), found.alias("c")).select("row", "c.h", "c.e")).where("h is not null")
+    rows = written(docs.select(row_number().alias("row"), found.alias("c")).select("row", "c.h", "c.e")).where("h is not null")
     before = lambda i: F.coalesce(F.get("e", i - 1), F.lit(0)).cast("long")
     each = rows.select("row", F.explode(F.transform("h", lambda h, i: F.struct(h.alias("h"), (F.shiftleft(before(i), 32) + F.col("e")[i]).alias("at")))).alias("c")).select("row", "c.*")
     owners = each.groupBy("h").agg(F.min("row").alias("owner"), F.max("row").alias("last")).where("owner < last").select("h", "owner")
@@ -152,7 +152,7 @@ def _without(text: Column, removed: Column) -> Column:
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with the repeated chunks removed from ``text``."""
     number, other, listed, gone, sign = (unused_name(docs, x) for x in ("row", "other_row", "listed", "removed", "sign"))
-    found = cut(shared_chunks(docs)).withColumnRenamed("row", other)
+    found = shared_chunks(docs).withColumnRenamed("row", other)
     numbered = docs.withColumn(number, row_number())
     # a digest of all columns, which tells whether a number still means the same row; as all three joins below read all
     # columns, they can share one shuffle of the texts
