@@ -34,13 +34,14 @@ from pyspark.sql import functions as F
 
 from recollect.llm import minhash
 from recollect.llm.common import arrow_rows, cut, emit, row_number, unused_name, words_ascii_space
+from recollect.llm.fingerprints import ALL as _ALL
+from recollect.llm.fingerprints import LANES as _LANES
+from recollect.llm.fingerprints import RADIUS, of_hashes, sliced, within
 
-SHINGLE, SEED, RADIUS = 3, 42, 3
+SHINGLE, SEED = 3, 42
 #: Six bands of bits: the first bit and the width of each.
 BANDS = [(0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10)]
 _TABLES = list(combinations(range(6), 3))
-_LANES = np.uint64(1) << np.arange(64, dtype=np.uint64)
-_ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Blocks of more members than this are dealt anew by the bits that their members need not have in common.
 LARGE = 8_192
 #: Pairs of a query and a word of lanes that are compared in one go.
@@ -54,13 +55,7 @@ def fingerprint(text: str | None) -> int:
     digest, n = xxhash.xxh64_intdigest, len(words)
     if n <= SHINGLE:
         return digest(b" ".join(words), SEED)
-    h = np.fromiter([digest(b"%b %b %b" % x, SEED) for x in zip(words, words[1:], words[2:])], np.uint64, n - 2)
-    ones = np.zeros(64, np.int64)
-    for i in range(0, len(h), 255 * 256):
-        bits = np.unpackbits(h[i : i + 255 * 256].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        for j in range(0, len(bits), 255):
-            ones += bits[j : j + 255].sum(axis=0, dtype=np.uint8)
-    return int(_LANES[ones * 2 > len(h)].sum()) if (ones * 2 > len(h)).any() else 0
+    return of_hashes(np.fromiter([digest(b"%b %b %b" % x, SEED) for x in zip(words, words[1:], words[2:])], np.uint64, n - 2))
 
 
 def with_fingerprints(docs: DataFrame) -> DataFrame:
@@ -76,41 +71,6 @@ def with_fingerprints(docs: DataFrame) -> DataFrame:
 # --- bit-sliced comparison
 
 
-def within(planes: np.ndarray, words: np.ndarray, queries: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-    """For each pair of a query and a word of lanes, the lanes at most ``radius`` = 3 bits away.
-
-    planes[b, w]: bit b of the 64 fingerprints of word w. Two planes count differences up to 3, a third notes overflow.
-    """
-    if radius != 3:
-        raise ValueError("two counter planes count to three")
-    near = np.zeros(len(queries), np.uint64)
-    alive = np.arange(len(queries))
-    w, q = words, queries
-    one, two, over = (np.zeros(len(q), np.uint64) for _ in range(3))
-    for b in range(64):
-        x = planes[b, w] ^ (-((q >> np.uint64(b)) & np.uint64(1)).astype(np.int64)).view(np.uint64)
-        carry = one & x
-        one ^= x
-        over |= two & carry
-        two ^= carry
-        if b % 8 == 7 and b < 63:
-            left = over != _ALL
-            if not left.all():
-                alive, w, q, one, two, over = alive[left], w[left], q[left], one[left], two[left], over[left]
-                if not len(alive):
-                    return near
-    near[alive] = ~over
-    return near
-
-
-def sliced(fps: np.ndarray) -> np.ndarray:
-    """Bit planes of fingerprints, 64 to a word; lanes beyond the last hold nothing (callers mask them)."""
-    padded = np.zeros(-(-len(fps) // 64) * 64, np.uint64)
-    padded[: len(fps)] = fps
-    lanes = padded.reshape(-1, 64)
-    return np.stack([(((lanes >> np.uint64(b)) & np.uint64(1)) << np.arange(64, dtype=np.uint64)).sum(axis=1, dtype=np.uint64) for b in range(64)])
-
-
 def stars_of_small(fps: np.ndarray, block: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Stars of blocks of at most 64 members; ``fps`` are ordered by ``block``.
 
@@ -281,7 +241,7 @@ def components(docs: DataFrame) -> DataFrame:
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, of each component only one: that of the smallest doc_id (null last), the first of its rows.
 
-    Links are not those of the fingerprints, 3 bits of which are far less than a similarity of 0.8 allows, but of ``minhash``.
+    Links are those of ``minhash``: a similarity of 0.8 over five words is far more than 3 bits of a fingerprint apart.
 
     Rows are told apart by their numbers, so ``docs`` must give its rows in the same order twice, as a table does.
     """

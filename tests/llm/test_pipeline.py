@@ -10,7 +10,7 @@ from recollect.llm import toxicity
 from recollect.llm.queries import QUERIES
 from tests.llm import test_decontamination as four
 from tests.llm import test_line_dedup as eight
-from tests.llm import test_simhash as six
+from tests.llm import test_minhash as near
 
 SF = "/root/testdata/sf0.001"
 
@@ -31,8 +31,8 @@ def test_pipeline_against_plain_stages(spark):
     scorer = toxicity.Scorer(model)
     docs = {r.doc_id: r.text for r in table.collect() if scorer.score(r.text) < 0.5}
     docs = dict(zip(docs, eight.plain(list(docs.values()))))
-    comp = six.plain_components({i: six.plain_fingerprint(t) for i, t in docs.items()})
-    docs = {i: t for i, t in docs.items() if comp[i] == i}
+    roots = near.plain_roots(docs)
+    docs = {i: t for i, t in docs.items() if roots[i] == i}
     items = [(r.item_id, four.plain_words(r.text)) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     got = {r.doc_id: tuple(r)[1:] for r in corpus_pipeline.run(spark, SF).collect()}
     enc = encoding()
@@ -64,6 +64,17 @@ def test_stages_keep_columns_and_take_odd_rows(spark):
             out = stage(spark, rows, SF)
             assert out.columns == rows.columns
             assert out.count() <= rows.count()
+        assert corpus_pipeline.STAGES[-1][1](spark, rows, SF).count() == rows.count()
+
+
+def test_stages_take_extra_columns_with_clashing_names(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(20)
+    for name in ("row", "text_is", "fp", "node", "block", "root", "removed", "clean_text"):
+        docs = docs.withColumn(name, F.lit("own"))
+    docs = spark.createDataFrame(docs.collect(), docs.schema).coalesce(1)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns and {r.fp for r in out.collect()} == {"own"}
 
 
 def test_byte_bpe_and_counts_against_libraries(spark):
