@@ -5,8 +5,10 @@ and its matching length tell, at every word, how long a passage of the items end
 means that the last ``window`` words are a window of an item; items shorter than that are one window each, found by the
 states that spell a whole item. States know the items in which their last ``window`` words occur, so no text is compared.
 
-Items are broadcast in shards of at most ``SHARD_WORDS`` words, counted as they come to the driver, which must hold the
-benchmark (never the documents): every shard is one pass over the documents, and the passes' hits are put together by row. Benchmarks of usual size are one shard, without a shuffle.
+Items are broadcast in shards of at most ``SHARD_WORDS`` words, counted as they come to the driver, which holds one shard at
+a time (never the benchmark, never the documents), as a Python worker holds one automaton: every shard is one pass over the documents. ``find``
+puts the passes' hits together by row, ``decontaminate`` cuts shard by shard till a round changes nothing. Benchmarks of usual
+size are one shard, without a shuffle.
 
 Defined cases: a null text or item has no words; a text without words has n_words 0 and no hits; repeated items count by
 their item_ids, null item_ids are left out of the items found, but their windows are hits; rows are kept one to one,
@@ -23,9 +25,8 @@ from hashlib import sha256
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
-from recollect.llm.common import arrow_rows, emit, kept_in_worker, lower_ascii, new_key, row_number, unused_name
+from recollect.llm.common import arrow_rows, emit, kept_in_worker, lower_ascii, new_key, row_number, unused_name, written
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 WINDOW = 10
@@ -144,9 +145,9 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall(lower_ascii(text)) if text else []
 
 
-def _shards(items: DataFrame, shard_words: int) -> list[list[tuple[int | None, str]]]:
-    """The items in shards of bounded size; a longer item is cut into pieces that overlap by all but one word of a window."""
-    shards, rows, n = [], [], 0
+def _shards(items: DataFrame, shard_words: int) -> Iterator[list[tuple[int | None, str]]]:
+    """The items in shards of bounded size, one at least; a longer item is cut into pieces that overlap by all but one word of a window."""
+    rows, n = [], 0
     for item_id, text in items.select(F.col("item_id").cast("long"), "text").where("text is not null").toLocalIterator():
         words = words_of(text)
         step = max(1, shard_words - WINDOW + 1)
@@ -155,11 +156,11 @@ def _shards(items: DataFrame, shard_words: int) -> list[list[tuple[int | None, s
             if not piece or at and len(piece) < WINDOW:
                 continue
             if rows and n + len(piece) > shard_words:
-                shards.append(rows)
+                yield rows
                 rows, n = [], 0
             rows.append((item_id, " ".join(piece)))
             n += len(piece)
-    return [*shards, rows]
+    yield rows
 
 
 def _scan(docs: DataFrame, items: list[tuple[int | None, str]], window: int) -> DataFrame:
@@ -186,8 +187,7 @@ def find(docs: DataFrame, items: DataFrame, window: int = WINDOW, shard_words: i
     """row, doc_id, n_words, n_hit, spans (starts and ends of hit words) and items (sorted ids) for each row of ``docs``."""
     if shard_words < window:
         raise ValueError("a shard must hold a window")
-    shards = _shards(items, shard_words)
-    parts = [_scan(docs, shard, window) for shard in shards]
+    parts = [_scan(docs, shard, window) for shard in _shards(items, shard_words)]
     if len(parts) == 1:
         found = parts[0]
     else:
@@ -212,16 +212,18 @@ def digests(found: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-def _without(text: str, automatons: list[Automaton], max_share: float) -> str | None:
-    """The text without its hit words, repeated till none is left; None where they are more than the share allowed."""
-    first = None
+def _without(text: str, automaton: Automaton, max_share: float, before: int | None) -> tuple[str | None, int]:
+    """The text without its hit words, repeated till none is left, and its words at first; None where more than the share allowed go.
+
+    before: its words at first, where an earlier shard has cut it already.
+    """
     while True:
         at = [m.span() for m in WORD.finditer(lower_ascii(text))]
         words = [lower_ascii(text[a:b]) for a, b in at]
-        first = len(words) if first is None else first
-        spans = sorted(s for a in automatons for s in a.hits(words)[0])
+        before = len(words) if before is None else before
+        spans = sorted(automaton.hits(words)[0])
         if not spans:
-            return text
+            return text, before
         kept, end, cut_words = [], 0, set()
         for a, b in spans:
             cut_words.update(range(a, b))
@@ -229,28 +231,47 @@ def _without(text: str, automatons: list[Automaton], max_share: float) -> str |
                 kept.append(text[end : at[a][0]])
             end = max(end, at[b - 1][1])
         kept.append(text[end:])
-        if len(words) - len(cut_words) < first * (1 - max_share):
-            return None
+        if len(words) - len(cut_words) < before * (1 - max_share):
+            return None, before
         text = "".join(kept)
 
 
+def _cut_shard(docs: DataFrame, shard: list[tuple[int | None, str]], window: int, max_share: float, out: str, before: str) -> DataFrame:
+    """``docs`` with its texts cut by one shard's automaton in column ``out``, and their words at first in ``before``."""
+    shared, key = docs.sparkSession.sparkContext.broadcast(shard), new_key()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = kept_in_worker("decontaminate", key, shared, lambda rows: Automaton([(i, t.split(" ")) for i, t in rows], window))
+        for whole in batches:
+            for i in range(0, whole.num_rows, 1024):
+                batch = whole.slice(i, 1024)
+                texts, first = batch.column(batch.schema.get_field_index(out)).to_pylist(), batch.column(batch.schema.get_field_index(before)).to_pylist()
+                clean, sizes = zip(*(_without(t, automaton, max_share, n) if t else (t, n) for t, n in zip(texts, first, strict=True)))
+                keep = pa.array([c is not None or t is None for c, t in zip(clean, texts)])
+                new = {out: pa.array(clean, pa.string()), before: pa.array(sizes, pa.int64())}
+                yield pa.RecordBatch.from_arrays([new.get(f.name, c) for f, c in zip(batch.schema, batch.columns, strict=True)], names=batch.schema.names).filter(keep)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_share: float = 0.5, shard_words: int = SHARD_WORDS) -> DataFrame:
     """``docs`` without the spans that are in windows of the items; documents of which more than ``max_share`` is hit go.
 
-    The benchmark's shards are all held by a worker here: with more than one, memory is that of all of them.
+    With one shard this is one pass; with more, each shard's pass is written to the shared folder, and rounds go on till no
+    text gets shorter, as a cut may bring the words of another shard's window together. No window is left either way; where
+    windows of different shards overlap, words of the later one may stay that one pass over both would have cut.
     """
+    out, before = unused_name(docs, "clean_text"), unused_name(docs, "words_before")
+    left = docs.withColumn(out, F.col("text")).withColumn(before, F.lit(None).cast("long"))
     shards = _shards(items, shard_words)
-    shared, key = docs.sparkSession.sparkContext.broadcast(shards), new_key()
-    out = unused_name(docs, "clean_text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automatons = kept_in_worker("decontaminate", key, shared, lambda all_: [Automaton([(i, t.split(" ")) for i, t in rows], window) for rows in all_])
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            clean = [t and _without(t, automatons, max_share) for t in texts]
-            keep = pa.array([c is not None or t is None for c, t in zip(clean, texts)])
-            yield batch.append_column(out, pa.array(clean, pa.string())).filter(keep)
-
-    schema = StructType([*docs.schema.fields, StructField(out, StringType())])
-    changed = docs.mapInArrow(run, schema)
-    return changed.select(*(F.col(f"`{out}`").alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns))
+    shard, following = next(shards), next(shards, None)
+    if following is None:
+        left = _cut_shard(left, shard, window, max_share, out, before)
+    else:
+        size, last = None, -1
+        while size != last:
+            last = size
+            for shard in _shards(items, shard_words):
+                left = written(_cut_shard(left, shard, window, max_share, out, before))
+            size = left.agg(F.count("*"), F.sum(F.length(out))).first()
+    return left.select(*(F.col(f"`{out}`").alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns))

@@ -53,7 +53,7 @@ def test_automaton_on_random_words():
 
 def test_shards_give_the_same(spark):
     docs, items = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
-    assert len(D._shards(items, 60)) > 5
+    assert len(list(D._shards(items, 60))) > 5
     one = {r.row: (r.n_hit, r.spans, r.items) for r in D.find(docs, items).collect()}
     few = {r.row: (r.n_hit, r.spans, r.items) for r in D.find(docs, items, shard_words=60).collect()}
     assert {k: v[0::2] for k, v in one.items()} == {k: v[0::2] for k, v in few.items()}
@@ -71,3 +71,19 @@ def test_odd_rows_and_removal(spark):
     assert D.decontaminate(docs, items).columns == docs.columns
     assert D.find(docs.where(F.lit(False)), items).count() == 0
     assert D.find(docs, items.where(F.lit(False))).where("n_hit > 0").count() == 0
+
+
+def test_shards_one_after_another_leave_no_window(spark):
+    """With several shards documents that have no window stay as they are, and no other keeps one."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    items = spark.read.parquet(f"{SF}/benchmark.parquet").limit(12)
+    plain_items = [(r.item_id, plain_words(r.text)) for r in items.collect()]
+    out = D.decontaminate(docs, items, shard_words=200)
+    left = {r.doc_id: r.text for r in out.collect()}
+    assert out.columns == docs.columns and len(list(D._shards(items, 200))) > 1
+    for d in docs.collect():
+        hit = plain(plain_words(d.text), plain_items)[0]
+        if not hit:
+            assert left[d.doc_id] == d.text
+        elif d.doc_id in left:
+            assert not plain(plain_words(left[d.doc_id]), plain_items)[0]
