@@ -6,7 +6,8 @@ which that was verified). Tier two: every other pre-token is merged with a heap
 list of byte symbols.
 
 Defined cases: a null or empty text has no tokens (n_tokens 0, both digests those of the empty string); rows are kept one
-to one, so repeated ids and null ids pass through; other columns are ignored by ``encode`` and never clash with its own.
+to one, so repeated ids and null ids pass through; an empty table gives no rows; very long texts are encoded whole; other
+columns are ignored by ``encode`` and never clash with its own; a pattern other than the public one is an error.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import sha256
 
+import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -27,7 +29,7 @@ from xxhash import xxh64_intdigest
 from recollect.llm.common import Recent, arrow_rows, emit, kept_in_worker, new_key
 
 #: Unicode's white space.
-_WHITE = r"\t-\r\x20\x85\xa0  -     　"
+_WHITE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A space that follows white space.
 _AFTER_WHITE = re.compile(f"[{_WHITE}] ")
 #: Characters beyond those that ``plain`` knows; texts without them are split by the standard library's engine, which is faster.
@@ -132,13 +134,20 @@ class Vocabulary:
         return (self.split if _ODD.search(text) else self.split_plain).findall(text)
 
 
+def known(pattern: str) -> None:
+    if pattern != public_tokenizers.PATTERN:
+        raise ValueError("another pattern: its white space and letters would have to be spelled out, too")
+
+
 def spaced(pattern: str) -> regex.Pattern:
-    """The pattern with white space spelled out: engines differ on U+001C to U+001F."""
+    """The pattern with white space spelled out: engines differ on U+001C to U+001F. Only the one pattern whose parts are known here."""
+    known(pattern)
     return regex.compile(pattern.replace(r"[^\s\p{L}", rf"[^{_WHITE}\p{{L}}").replace(r"\s", f"[{_WHITE}]").replace(r"\S", f"[^{_WHITE}]"))
 
 
 def plain(pattern: str) -> re.Pattern:
     """The pattern for texts without odd characters, in the standard library's engine."""
+    known(pattern)
     letters, white = "A-Za-zÀ-ÖØ-öø-ÿ", r"\t-\r\x20\xa0"
     return re.compile(pattern.replace(r"[^\s\p{L}\p{N}]", f"[^{white}{letters}0-9]").replace(r"\p{L}", f"[{letters}]").replace(r"\p{N}", "[0-9]").replace(r"\s", f"[{white}]").replace(r"\S", f"[^{white}]"))
 

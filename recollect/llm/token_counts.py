@@ -7,7 +7,8 @@ Pre-tokens: the text with each space written as the space mark and one mark in f
 follows another character. No vocabulary string has a mark behind another character (``Pieces`` checks that), so no merge
 can reach over such a cut.
 
-Defined cases: a null or empty text has no bytes and no tokens; rows are kept one to one; other columns are ignored.
+Defined cases: a null or empty text has no bytes and no tokens; rows are kept one to one, repeated and null ids included; an
+empty table gives no rows; very long texts are counted whole; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
