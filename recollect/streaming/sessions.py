@@ -18,26 +18,39 @@ RELEASED = "session_id long, sequence long"
 BATCHED = "scope_id long, event_id long, batch_no int, tokens long"
 
 
-def _reserve(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """The next number for an id that is new, the old number for a replay, a conflict for other content."""
-    last, known = (state.get[0], dict(zip(state.get[1], zip(state.get[2], state.get[3])))) if state.exists else (0, {})
-    for pdf in batches:
-        rows = []
-        for event_id, digest in zip(pdf.event_id, pdf.sha256):
-            if event_id not in known:
-                last += 1
-                known[event_id] = last, digest
-                rows.append((key[0], event_id, last, "new"))
-            else:
-                number, first = known[event_id]
-                rows.append((key[0], event_id, number, "same" if first == digest else "conflict"))
-        yield pd.DataFrame(rows, columns=["session_id", "event_id", "sequence", "outcome"])
-    state.update((last, list(known), [n for n, _ in known.values()], [d for _, d in known.values()]))
-
-
-def reserve_sequences(events: DataFrame) -> DataFrame:
-    """Sequence numbers by session for a stream of session_id, event_id and sha256, once for each id (STR1, STR2)."""
-    return events.groupBy("session_id").applyInPandasWithState(_reserve, SEQUENCED, "last long, ids array<string>, numbers array<long>, digests array<string>", "append", GroupStateTimeout.NoTimeout)
+def _reserving(ttl_s: float | None):
+    def reserve(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        """The next number for an id that is new, the old number for a replay, a conflict for other content."""
+        last, known = 0, {}
+        if state.exists:
+            last, *columns = state.get
+            known = {i: (n, d, t) for i, n, d, t in zip(*columns)}
+        for pdf in batches:
+            rows = []
+            for event_id, digest, at in zip(pdf.event_id, pdf.sha256, pdf["at"] if "at" in pdf else [0.0] * len(pdf)):
+                if event_id not in known:
+                    last += 1
+                    known[event_id] = last, digest, float(at)
+                    rows.append((key[0], event_id, last, "new"))
+                else:
+                    number, first, _ = known[event_id]
+                    rows.append((key[0], event_id, number, "same" if first == digest else "conflict"))
+            yield pd.DataFrame(rows, columns=["session_id", "event_id", "sequence", "outcome"])
+        if ttl_s is not None and known:
+            oldest = max(t for *_, t in known.values()) - ttl_s
+            known = {i: v for i, v in known.items() if v[2] >= oldest}
+        state.update((last, list(known), *(list(c) for c in zip(*known.values()))) if known else (last, [], [], [], []))
+
+    return reserve
+
+
+def reserve_sequences(events: DataFrame, ttl_s: float | None = None) -> DataFrame:
+    """Sequence numbers by session for a stream of session_id, event_id and sha256, once for each id (STR1, STR2).
+
+    With ``ttl_s`` a column at (seconds, as a double) tells when events were: ids older than that before a session's newest
+    are forgotten, so its state stays as large as what comes within that time; numbers go on all the same.
+    """
+    return events.groupBy("session_id").applyInPandasWithState(_reserving(ttl_s), SEQUENCED, "last long, ids array<string>, numbers array<long>, digests array<string>, times array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
 def _release(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -66,14 +79,15 @@ def fill_batches(events: DataFrame, max_tokens: int, max_events: int) -> DataFra
 
     def fill(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         no, ids, tokens = (state.get[0], list(state.get[1]), list(state.get[2])) if state.exists else (0, [], [])
-        out = []
+        out, used = [], sum(tokens)
         rows = pd.concat(list(batches)).sort_values(["completed_at", "event_id"])
         for event_id, n in zip(rows.event_id, rows.tokens):
-            if ids and (sum(tokens) + n > max_tokens or len(ids) >= max_events):
+            if ids and (used + n > max_tokens or len(ids) >= max_events):
                 out += [(key[0], i, no, t) for i, t in zip(ids, tokens)]
-                no, ids, tokens = no + 1, [], []
+                no, ids, tokens, used = no + 1, [], [], 0
             ids.append(int(event_id))
             tokens.append(int(n))
+            used += int(n)
         state.update((no, ids, tokens))
         yield pd.DataFrame(out, columns=["scope_id", "event_id", "batch_no", "tokens"]).astype({"scope_id": "int64", "event_id": "int64", "batch_no": "int32", "tokens": "int64"})
 
