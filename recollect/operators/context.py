@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from recollect.functions import text as T
 
+# Fixed value: what stands in the place of what was compacted.
 BOUNDARY = "[compact boundary]"
 # Tokens that a summary may take, and those kept free for automatic and for manual compaction.
 SUMMARY_TOKENS, AUTO_BUFFER, MANUAL_BUFFER, MOST_FAILURES = 20_000, 13_000, 3_000, 3
+# Tokens and texts that are enough to keep, and tokens that are too many.
 MIN_TOKENS, MIN_TEXTS, MAX_TOKENS = 10_000, 5, 40_000
 
 

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from recollect.functions import values as V
 
-#: Words in common, and their share of the shorter statement, from which two statements are about one thing.
+# Words in common, and their share of the shorter statement, from which two statements are about one thing;
+# the heading over what is added.
 LEAST_OVERLAP, LEAST_SHARE = 2, 0.08
 ADDED = "Additional durable requirements:\n"
 
