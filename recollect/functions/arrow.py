@@ -109,6 +109,7 @@ def _parsed(s: str) -> tuple[object] | None:
     return None
 
 
+# Fixed value: the form of ids.
 def keyed_id(value: Column, secret: bytes, label: str) -> Column:
     """An id of a user, session or workspace that tells nothing of the value without the secret (FN22)."""
     return _each(lambda s: f"dream-v1-{hmac.new(secret, f'dream-v1:{label}:{s}'.encode(), hashlib.sha256).hexdigest()}")(value)
