@@ -13,7 +13,9 @@ Verification: equal sets are one node, so copies cost one row. In a first round
 compared with the block's hub, the member that shares blocks with most others. Then members of different components are
 compared: directly in blocks of up to ``SMALL``; in larger ones those that share one of their rarest shingles. A pair is
 that similar only if among the fifth (and one more) of either set that fewest sets hold, there is one in common, so this
-loses no pair and parts documents that have only common passages in common. No candidate is left out.
+loses no pair and parts documents that have only common passages in common. Rare shingles that ``SMALL`` members hold give
+pairs; those that more hold make clusters, whose members meet in cells of bounded size, without a row for each pair. No
+candidate is left out.
 
 Defined cases: null and empty texts, and those of white space only, have an empty set, linked with nothing; their component
 is their own doc_id. Rows are kept one to one, repeated doc_ids included. Null doc_ids get the component of their set, named by
@@ -35,6 +37,8 @@ from recollect.llm.simhash import connected
 
 SHINGLE, SEED, PERCENT = 4, 42, 80
 BANDS, ROWS, SMALL = 14, 3, 16
+#: Shingles in a part of a cluster.
+PART = 1 << 19
 _rng = np.random.default_rng(SEED)
 _TIMES = _rng.integers(0, 1 << 63, (2 * BANDS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLUS = _rng.integers(0, 1 << 63, (2 * BANDS * ROWS, 1), dtype=np.uint64)
@@ -128,19 +132,76 @@ def _exploded(sets: DataFrame) -> DataFrame:
     return sets.mapInArrow(run, "node long, root long, size int, shingle long")
 
 
-def _rare_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs of members (node, root) of different components that have one of their rarest shingles in common and may be alike in size."""
+def _rare(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """node, root, size and shingle: of each member (node, root) the shingles that fewest members hold, as many as one must be common in of a link; those within one component are left out."""
     each = cut(_exploded(sets.join(members, "node").select("node", "root", "set")))
     held = each.groupBy("shingle").agg(F.count("*").alias("held"), F.min("root").alias("low"), F.max("root").alias("high"))
     rank = F.row_number().over(Window.partitionBy("node").orderBy("held", "shingle"))
     # 100 * both >= PERCENT * union asks for both >= PERCENT / 100 of either set, so one of its first size - that + 1 is in common
     first = F.col("size") - F.ceil(F.col("size") * PERCENT / 100).cast("int") + 1
-    rare = cut(each.join(held, "shingle").withColumn("rank", rank).where(F.col("rank") <= first).where("low < high").select("node", "root", "size", "shingle"))
-    other = rare.select("shingle", *(F.col(c).alias(f"{c}_b") for c in ("node", "root", "size")))
-    pairs = rare.join(other, "shingle").where("node < node_b AND root <> root_b").where(100 * F.least("size", "size_b") >= PERCENT * F.greatest("size", "size_b"))
+    return each.join(held, "shingle").withColumn("rank", rank).where(F.col("rank") <= first).where("low < high").select("node", "root", "size", "shingle")
+
+
+def _rare_pairs(rare: DataFrame, few: DataFrame) -> DataFrame:
+    """Pairs of different components and like sizes that have a shingle of ``few`` in common, which ``SMALL`` members hold at most."""
+    one = rare.join(few, "shingle")
+    other = one.select("shingle", *(F.col(c).alias(f"{c}_b") for c in ("node", "root", "size")))
+    pairs = one.join(other, "shingle").where("node < node_b AND root <> root_b").where(100 * F.least("size", "size_b") >= PERCENT * F.greatest("size", "size_b"))
     return pairs.select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between nodes of different components, of each cell first the lanes (node, root, set), then those that ask."""
+    key, lanes, held = None, [], None
+
+    def of(node: int, root: int, shingle: np.ndarray) -> Iterator[tuple[int, int]]:
+        nodes, roots, sizes, tokens, lane = held
+        low, high = np.searchsorted(tokens, shingle), np.searchsorted(tokens, shingle, "right")
+        n = high - low
+        at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())  # all places from low to high, one shingle after the other
+        both = np.bincount(lane[at], minlength=len(nodes))
+        for x in nodes[(roots != root) & (100 * both >= PERCENT * (sizes + len(shingle) - both))]:
+            yield min(node, int(x)), max(node, int(x))
+
+    def links() -> Iterator[tuple[int, int]]:
+        nonlocal key, held
+        for cluster, part, ask_part, asks, node, root, shingle in arrow_rows(batches, ["cluster", "part", "ask_part", "asks", "node", "root", "set"]):
+            if (cluster, part, ask_part) != key:
+                key, held = (cluster, part, ask_part), None
+                lanes.clear()
+            if not asks:
+                lanes.append((node, root, np.frombuffer(shingle, np.uint64)))
+            elif lanes:
+                if held is None:
+                    sizes, tokens = np.array([len(x[2]) for x in lanes]), np.concatenate([x[2] for x in lanes])
+                    order = np.argsort(tokens, kind="stable")
+                    held = np.array([x[0] for x in lanes]), np.array([x[1] for x in lanes]), sizes, tokens[order], np.repeat(np.arange(len(lanes)), sizes)[order]
+                yield from of(node, root, np.frombuffer(shingle, np.uint64))
+
+    return emit(links(), pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+
+def _clustered_links(rare: DataFrame, few: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links a, b between members of different components that have a shingle in common which many hold.
+
+    Members that meet by such shingles are a cluster. Its members are dealt into parts of ``PART`` shingles or so; each part meets those who
+    ask, all but the largest component's, part by part, in cells of bounded size that count all their overlaps at once.
+    """
+    many = cut(rare.join(few, "shingle", "left_anti"))
+    least = many.groupBy("shingle").agg(F.min("node").alias("a"))
+    found = connected(many.join(least, "shingle").select("a", F.col("node").alias("b"))).withColumnRenamed("root", "cluster")
+    member = many.groupBy("node").agg(F.first("root").alias("root"), F.first("size").alias("size"))
+    member = cut(member.join(found, "node", "left").withColumn("cluster", F.coalesce("cluster", "node")))
+    of_root = member.groupBy("cluster", "root").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    clusters = of_root.groupBy("cluster").agg(F.max_by("root", F.struct("n", "root")).alias("most"), F.ceil(F.sum("size") / PART).cast("int").alias("parts"))
+    dealt = member.join(clusters, "cluster").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("all", F.sequence(F.lit(0), F.col("parts") - 1))
+    lanes = dealt.select("node", "root", "cluster", F.col("own").alias("part"), F.explode("all").alias("ask_part"), F.lit(False).alias("asks"))
+    asks = dealt.where("root <> most").select("node", "root", "cluster", F.explode("all").alias("part"), F.col("own").alias("ask_part"), F.lit(True).alias("asks"))
+    cell = "cluster", "part", "ask_part"
+    stream = lanes.unionAll(asks).join(sets, "node").repartition(*cell).sortWithinPartitions(*cell, "asks")
+    return stream.mapInArrow(_cells, "a long, b long").distinct()
+
+
 def rooted(docs: DataFrame) -> DataFrame:
     """row, doc_id, n_shingles and root (equal for rows of one component; null for empty sets) of every row of ``docs``."""
     rows = written(sketches(docs))
@@ -165,7 +226,9 @@ def rooted(docs: DataFrame) -> DataFrame:
     others = small.select("block", F.col("node").alias("hub"), F.col("root").alias("hub_root"))
     apart = small.join(others, "block").where("root < hub_root").select(*pair).distinct()
     large = members.where(F.col("members") > SMALL).select("node", "root").distinct()
-    more = cut(_confirmed(apart.unionAll(_rare_pairs(large, sets)).distinct(), sets))
+    rare = cut(_rare(large, sets))
+    few = cut(rare.groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") <= SMALL).select("shingle"))
+    more = cut(_confirmed(apart.unionAll(_rare_pairs(rare, few)).distinct(), sets).unionAll(_clustered_links(rare, few, sets)))
     if not more.isEmpty():
         found = connected(links.unionAll(more))
     named = nodes.join(found, "node", "left").select("set_is", F.coalesce("root", "node").alias("root"))

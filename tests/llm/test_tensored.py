@@ -51,6 +51,7 @@ def edited(words, n, rng):
 def test_against_all_pairs(spark, monkeypatch, small):
     """Families in walks of ever less similar copies, pages that have most of their text in common, and unlike texts."""
     monkeypatch.setattr(tensored, "SMALL", small)  # two: larger blocks go by their rarest shingles
+    monkeypatch.setattr(tensored, "PART", 4000)
     rng = random.Random(11)
     rows = []
     for _ in range(6):
