@@ -134,7 +134,7 @@ def _exploded(sets: DataFrame) -> DataFrame:
 
 def _rare(members: DataFrame, sets: DataFrame) -> DataFrame:
     """node, root, size and shingle: of each member (node, root) the shingles that fewest members hold, as many as one must be common in of a link; those within one component are left out."""
-    each = cut(_exploded(sets.join(members, "node").select("node", "root", "set")))
+    each = written(_exploded(sets.join(members, "node").select("node", "root", "set")))
     held = each.groupBy("shingle").agg(F.count("*").alias("held"), F.min("root").alias("low"), F.max("root").alias("high"))
     rank = F.row_number().over(Window.partitionBy("node").orderBy("held", "shingle"))
     # 100 * both >= PERCENT * union asks for both >= PERCENT / 100 of either set, so one of its first size - that + 1 is in common
@@ -207,26 +207,26 @@ def rooted(docs: DataFrame) -> DataFrame:
     rows = written(sketches(docs))
     nodes = cut(rows.where("set_is IS NOT NULL").groupBy("set_is").agg(F.min("row").alias("node")))
     dealt = keys(rows.join(nodes.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "bands"))
-    dealt = cut(dealt)
+    dealt = written(dealt)
     sizes = dealt.groupBy("block").agg(F.count("*").alias("members")).where("members > 1")
-    met = cut(dealt.join(sizes, "block").groupBy("node").agg(F.sum("members").alias("met")))
-    hubs = dealt.join(met, "node").groupBy("block").agg(F.count("*").alias("members"), F.min(F.struct((-F.col("met")).alias("by"), F.col("node").alias("hub"))).alias("h")).where("members > 1").select("block", "members", "h.hub")
-    shared = cut(dealt.join(hubs, "block"))
+    shared = written(dealt.join(sizes, "block").select("block", "node", "members").sortWithinPartitions("block"))
+    met = cut(shared.groupBy("node").agg(F.sum("members").alias("met")))
+    hubs = shared.join(met, "node").groupBy("block").agg(F.min(F.struct((-F.col("met")).alias("by"), F.col("node").alias("hub"))).alias("h")).select("block", "h.hub")
     texts = docs.select(row_number().alias("row"), "text").join(met.select(F.col("node").alias("row")), "row", "left_semi")
     sets = written(_sets(texts))
 
     pair = F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")
-    links = cut(_confirmed(shared.where("node <> hub").select(*pair).distinct(), sets))
+    links = cut(_confirmed(shared.join(hubs, "block").where("node <> hub").select(*pair).distinct(), sets))
     found = connected(links)
 
     members = shared.join(found, "node", "left").select("node", "block", "members", F.coalesce("root", "node").alias("root"))
     mixed = members.groupBy("block").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("block")
-    members = cut(members.join(mixed, "block", "left_semi"))
+    members = written(members.join(mixed, "block", "left_semi"))
     small = members.where(F.col("members") <= SMALL)
     others = small.select("block", F.col("node").alias("hub"), F.col("root").alias("hub_root"))
     apart = small.join(others, "block").where("root < hub_root").select(*pair).distinct()
     large = members.where(F.col("members") > SMALL).select("node", "root").distinct()
-    rare = cut(_rare(large, sets))
+    rare = written(_rare(large, sets))
     few = cut(rare.groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") <= SMALL).select("shingle"))
     more = cut(_confirmed(apart.unionAll(_rare_pairs(rare, few)).distinct(), sets).unionAll(_clustered_links(rare, few, sets)))
     if not more.isEmpty():
