@@ -6,9 +6,14 @@ in its place. A line's length is that of its text without link texts. Sums over
 begins and dive to nothing where it ends; what lies between a surge and the next dive is a region, and a region ends with
 its last line that has text of its own. So rows of links around a text, or ``WINDOW`` of them within it, are no part of it.
 
-On pages that mark their article (article, main or role=main) regions are those of its lines, and any text there makes a
-surge. On others a surge needs one part in ``SHARE`` of the page's largest window, whatever the page's size, and all such
-regions are kept. A block whose class name would set it apart is kept all the same where it holds most of the page's text.
+On pages that mark their article (article, main or role=main) regions are those of its lines, any text there makes a surge, and
+a block that is one link counts as text: lists of reading belong to an article. Rows of several links do not. On other pages a surge
+needs ``SURGE`` characters in a window (or what the page's largest window has, if less), and all such regions are kept.
+
+A class name (or the id of an element that is no heading or paragraph) sets a block apart if it is a word of ``NAMES``, or joins
+such words with words of ``PLACES`` (comment-list, site-footer); other compounds (share-price, related-work) are the text's own
+and do not. A block set apart by name is kept all the same where it holds most of an unmarked page's text. Words of
+buttons and labels within a line are part of it; blocks of nothing else are not.
 
 Defined cases: null and empty pages, and pages without text, give an empty text; a page of nothing but links has none; markup
 may be cut off anywhere; character references are decoded once; very long pages are read whole; rows are kept one to one;
@@ -30,7 +35,7 @@ from pyspark.sql import functions as F
 
 from recollect.llm.common import arrow_rows, emit
 
-WINDOW, SHARE = 3, 8
+WINDOW, SURGE = 3, 20
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*+(?:"[^"]*"|'[^']*')?)*+)(?:>|\Z)|[^<]+|<""", re.S)
 _ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _NAME = re.compile(r"[a-z]+")
@@ -42,8 +47,10 @@ RAW = frozenset("script style noscript template iframe object svg math canvas au
 _ENDS = {t: re.compile(rf"</{t}[\s/>]|</{t}\Z", re.I) for t in "script style textarea title noscript template iframe svg select".split()}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements beside the article.
-BESIDE = frozenset("nav footer aside form dialog menu button fieldset label".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr img br input".split())
+BESIDE = frozenset("nav footer aside form dialog menu fieldset".split())
+#: Elements inside a line whose words are controls of the page where they stand alone.
+CONTROLS = frozenset("button label".split())
+INLINE = frozenset("button label a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr img br input".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 #: Words of class names and ids beside the article.
 NAMES = frozenset(
@@ -51,6 +58,12 @@ NAMES = frozenset(
     "newsletter subscribe subscription signup sidebar aside widget widgets related recommended recommendations share sharing social nav navbar navigation menu breadcrumb "
     "breadcrumbs pagination pager masthead topbar footer copyright comment comments disqus respond replies reply login search skip toolbar paywall disclaimer".split()
 )
+#: Words that compounds with ``NAMES`` are made of.
+PLACES = frozenset(
+    "site page main global top bottom left right primary secondary header head bar box block area wrap wrapper container inner outer content section list item items "
+    "row column col group panel pane module unit slot zone link links post posts article articles story stories icon icons button buttons form field input title heading "
+    "body text small large mobile desktop sticky fixed js is has".split()
+)
 COMMENTS = frozenset("comment comments disqus respond replies reply".split())
 MAIN_ROLES = frozenset(["main", "article"])
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -62,6 +75,7 @@ class _Open:
     beside: int  # 0: text counts, 1: set apart by element or comments, 2: by other names, which an article inside overrules
     article: bool
     link: bool
+    control: bool = False
     by: int = -1  # the place of the tag whose name sets this apart
 
 
@@ -69,9 +83,17 @@ def _attributes(rest: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(rest)} if rest else {}
 
 
-def _names(attributes: dict[str, str]) -> set[str]:
-    value = f"{attributes.get('class', '')} {attributes.get('id', '')}"
-    return set(_NAME.findall(_CAMEL.sub(r"\1 \2", value).lower())) if value != " " else set()
+def _names(attributes: dict[str, str], tag: str) -> set[str]:
+    """Words of the class names and the id that say what an element is for: those of ``NAMES``, and header, in compounds of such words."""
+    value = attributes.get("class", "")
+    if "id" in attributes and tag != "p" and tag not in HEADINGS:
+        value = f"{value} {attributes['id']}"
+    found: set[str] = set()
+    for name in value.split():
+        words = set(_NAME.findall(_CAMEL.sub(r"\1 \2", name).lower()))
+        if words <= NAMES | PLACES:
+            found |= words & (NAMES | {"header"})
+    return found
 
 
 def lines_of(page: str, overruled: frozenset[int] = frozenset()) -> tuple[list[str], np.ndarray, np.ndarray, Counter]:
@@ -85,19 +107,20 @@ def lines_of(page: str, overruled: frozenset[int] = frozenset()) -> tuple[list[s
     marked: list[bool] = []
     stack: list[_Open] = [_Open("", 0, False, False)]
     parts: list[str] = []
-    linked, own = 0, False
+    linked, own, links, control = 0, False, 0, False
     seen_article = False
     apart: Counter = Counter()
 
     def flush() -> None:
-        nonlocal linked, own
+        nonlocal linked, own, links, control
         text = " ".join(html_lib.unescape("".join(parts)).split()) if parts else ""
-        if text:
+        if text and (own or links or not control):
             lines.append(text)
-            lengths.append(max(1, len(text) - linked) if own else 0)
+            one_link = links == 1 and not own and stack[-1].article
+            lengths.append(len(text) if one_link else max(1, len(text) - linked) if own else 0)
             marked.append(stack[-1].article)
         parts.clear()
-        linked, own = 0, False
+        linked, own, links, control = 0, False, 0, False
 
     def gap() -> None:
         lines.extend([""] * WINDOW)
@@ -114,8 +137,9 @@ def lines_of(page: str, overruled: frozenset[int] = frozenset()) -> tuple[list[s
             top = stack[-1]
             if not top.beside and (s[0] != "<" or s == "<"):
                 parts.append(s)
-                if top.link:
+                if top.link or top.control:
                     linked += len(s.strip())
+                    control |= top.control
                 elif not own:
                     own = _LETTER.search(html_lib.unescape(s) if "&" in s else s) is not None
             elif top.beside == 2 and not top.link and s[0] != "<":
@@ -158,7 +182,7 @@ def lines_of(page: str, overruled: frozenset[int] = frozenset()) -> tuple[list[s
         if tag in VOID or m[3].endswith("/") and tag in INLINE:
             continue
         top, attributes = stack[-1], _attributes(m[3])
-        role, names = attributes.get("role", "").lower(), _names(attributes)
+        role, names = attributes.get("role", "").lower(), _names(attributes, tag)
         article = tag in ("article", "main") or role in MAIN_ROLES
         beside = top.beside
         if "hidden" in attributes or attributes.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attributes.get("style", ""), re.I):
@@ -181,7 +205,8 @@ def lines_of(page: str, overruled: frozenset[int] = frozenset()) -> tuple[list[s
             gap()
         elif article and not top.article:
             flush()
-        stack.append(_Open(tag, beside, (top.article or article) and not beside, top.link or tag == "a", by))
+        links += tag == "a" and not beside
+        stack.append(_Open(tag, beside, (top.article or article) and not beside, top.link or tag == "a", top.control or tag in CONTROLS, by))
     flush()
     return lines, np.array(lengths, np.int64), np.array(marked, bool), apart
 
@@ -223,7 +248,7 @@ def main_text(page: str | None) -> str:
     if marked.any():
         lengths, surge = np.where(marked, lengths, 0), 1
     else:
-        surge = max(1, np.convolve(lengths, np.ones(WINDOW, np.int64)).max(initial=0) / SHARE)
+        surge = max(1, min(SURGE, np.convolve(lengths, np.ones(WINDOW, np.int64)).max(initial=0)))
     inside = marked if marked.any() else np.ones(len(lines), bool)
     return "\n".join(x for a, b in regions(lengths, surge) for x, own in zip(lines[a:b], inside[a:b]) if own and x)
 

@@ -1,4 +1,5 @@
 import html
+import random
 import re
 
 import pytest
@@ -38,9 +39,19 @@ def test_query_against_plain_reading(spark):
         ("<nav>only menu</nav>", ""),
         ("plain words", "plain words"),
         ("<article><p>cut <b>off", "cut off"),
-        # the distribution decides within articles, too: rows of links at the ends, and three in a row between
+        # the distribution decides within articles, too: rows of links at the ends
         ("<article><h1>T</h1><p>One.</p><p><a href=n>Next story</a> | <a href=s>Share</a> | <a href=p>Print</a></p></article>", "T\nOne."),
-        ("<article><ul><li><a>A</a><li><a>B</a></ul><p>One.</p><p><a>a link of its own</a></p><p>Two.</p><ul><li><a>A</a><li><a>B</a><li><a>C</a></ul><p>Three.</p></article>", "One.\na link of its own\nTwo.\nThree."),
+        ("<article><ul><li><a>A</a><li><a>B</a></ul><p>One.</p><p><a>a link of its own</a></p><p>Two.</p><ul><li><a>A</a><li><a>B</a><li><a>C</a></ul><p>Three.</p></article>", "A\nB\nOne.\na link of its own\nTwo.\nA\nB\nC\nThree."),
+        # names in slugs, controls in lines, lists of reading and short paragraphs are text
+        (
+            "<article><h1>T</h1><p>One.</p><h2 id='related-work'>Related work</h2><p>Two.</p><p class='share-price'>Shares rose by two.</p><section id='notice-period'><p>Notice must be given in March.</p></section></article>",
+            "T\nOne.\nRelated work\nTwo.\nShares rose by two.\nNotice must be given in March.",
+        ),
+        ("<main><div id='search-results-explained'><p>How results are found.</p></div></main>", "How results are found."),
+        ("<article><p>Press the <button>Start</button> button, then <label>Name</label> it.</p><button>Share</button><p>Done.</p></article>", "Press the Start button, then Name it.\nDone."),
+        ("<article><p>Read on:</p><ul><li><a>A book</a><li><a>A film</a><li><a>A song</a></ul><p><a>The whole list</a></p></article>", "Read on:\nA book\nA film\nA song\nThe whole list"),
+        (f"<p>{LONG * 20}</p><div class=advert>Buy!</div><p>A short paragraph after it.</p><div class='ad-box'>More!</div><p>And one more to end.</p>", f"{LONG * 20}\nA short paragraph after it.\nAnd one more to end."),
+        (f"<div class='site-header'>Name</div><p>{LONG}</p><div class='related-posts'><p>{LONG}</p></div><div id='comments-section'><p>{LONG}</p></div><div class='footerLinks'>x</div>", LONG),
         ("<article><p title=don't>One first</p><p>it's two</p><p>three</p></article>", "One first\nit's two\nthree"),
         ("<article><p title='a > b' class = \"x>y\" data-x=5>One</p></article>", "One"),
         ("<p>The shop is closed on Mondays.</p><nav><a>Home</a></nav><p>We open again on Tuesday at nine.</p>", "The shop is closed on Mondays.\nWe open again on Tuesday at nine."),
@@ -59,3 +70,29 @@ def test_odd_rows(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
     assert sorted(((r.page_id, r.url, r.n_chars) for r in extract(pages).collect()), key=str) == [(1, "u", 0), (1, None, 0), (None, "u", 249_999)]
     assert extract(pages.where(F.lit(False))).count() == 0
+
+
+def test_generated_pages(spark):
+    """Pages with names at random: what was put in the article comes back, and nothing of what was put beside it."""
+    rng = random.Random(4)
+    slugs = "related-work share-price notice-period search-results-explained cookie-recipes banner-of-war social-history comment-on-method menu-of-options reply-to-critics".split()
+    beside = "related-posts share-buttons cookie-banner social-links comment-list site-footer main-nav newsletter-form widget-area sidebar".split()
+    words = lambda n: " ".join(rng.choice("the of rain river walked slowly under old bridges while people talked about prices".split()) for _ in range(n)).capitalize() + "."
+    pages, want = [], {}
+    for i in range(120):
+        marked, blocks, parts = rng.random() < 0.5, [], []
+        for _ in range(rng.randrange(2, 9)):
+            kind, text = rng.choice(["p", "p", "p", "h2", "section", "li", "blockquote"]), words(rng.randrange(8, 60))
+            name = rng.choice(["", f" id='{rng.choice(slugs)}'", f" class='{rng.choice(slugs)}'"])
+            blocks.append(text)
+            body = f"{html.escape(text)} <button>Go</button> <a href=x>there</a> now." if rng.random() < 0.2 else html.escape(text)
+            blocks[-1] += " Go there now." if "<button>" in body else ""
+            parts.append(f"<ul><li{name}>{body}</ul>" if kind == "li" else f"<{kind}{name}>{body}</{kind}>")
+            if rng.random() < 0.4:
+                parts.append(f"<div class='{rng.choice(beside)}'><p>{words(20)}</p></div>")
+        around = f"<nav>{words(5)}</nav><div class='{rng.choice(beside)}'><a>Home</a> <a>News</a></div>"
+        tag = "article" if marked else "div"
+        pages.append((i, "u", f"<html><head><title>t</title></head><body>{around}<{tag}>{''.join(parts)}</{tag}><footer>{words(9)}</footer></body></html>"))
+        want[i] = "\n".join(blocks)
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == want
