@@ -10,6 +10,7 @@ from recollect.plans import tables as D
 from recollect.sources import readers as R
 from recollect.sources.folders import shared_folder
 from recollect.streaming import sessions as S
+from recollect.streaming import timers as T
 
 
 def _folder(spark) -> str:
@@ -22,7 +23,7 @@ def _replayed(spark, table, columns, run, mode="append"):
     # as a pattern, which may match a file as well as a folder of files
     stream = spark.readStream.schema(spark.read.parquet(table).schema).parquet(table[:-1] + f"[{table[-1]}]")
     folder = _folder(spark)
-    query = run(columns(stream)).writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).format("parquet").start(f"{folder}/out")
+    query = T.started(run(columns(stream)).writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).format("parquet"), f"{folder}/out")
     query.awaitTermination()
     return spark.read.parquet(f"{folder}/out")
 
@@ -43,6 +44,41 @@ def stream_batches(spark, sf_dir):
     return _replayed(spark, f"{sf_dir}/events.parquet", columns, lambda e: S.fill_batches(e, 4_000, 12))
 
 
+def stream_due_batches(spark, sf_dir):
+    n = F.greatest(F.lit(1), F.floor((F.length("props") + F.floor("value") * 10 + 3) / 4)).cast("long")
+    columns = lambda t: t.select(F.col("user_id").alias("scope_id"), "event_id", F.col("ts").cast("timestamp").alias("completed_at"), n.alias("tokens"))
+    return _replayed(spark, f"{sf_dir}/events.parquet", columns, T.due_batches)
+
+
+def stream_job_queue(spark, sf_dir):
+    """Events as a log of queues: each type does something else to the jobs of its user."""
+    action = F.element_at(F.array(*map(F.lit, ("enqueue", "lease", "enqueue", "ack", "fail", "return", "lease"))), (F.col("event_id") % 7 + 1).cast("int"))
+    last = (F.col("event_id") - F.col("event_id") % 7 + 1).cast("string")  # the lease in the same run of seven
+    job = F.concat_ws("-", "user_id", F.floor(F.col("event_id") / 7) % 3)
+    columns = lambda t: t.select(
+        F.concat(F.lit("q"), F.col("user_id") % 32).alias("queue"), F.col("event_id").alias("line_no"), F.col("ts").cast("timestamp").alias("at"), action.alias("action"), job.alias("job_id"),
+        F.col("user_id").cast("string").alias("session_id"), F.floor("value").cast("long").alias("version"), F.col("event_id").alias("through"), last.alias("token"),
+    )
+    return _replayed(spark, f"{sf_dir}/events.parquet", columns, lambda x: T.job_queue(x, capacity=8))
+
+
+def stream_two_phase(spark, sf_dir):
+    """Turns reserved one after the other and committed a second later: every fifth with other content, every seventh to another number, and one of nothing."""
+    event = F.concat_ws("-", "conv_id", "turn").alias("event_id")
+    at = lambda s: F.timestamp_seconds(F.col("turn") * 10 + s + 1_700_000_000).alias("at")
+    sha, n = F.sha2("text", 256), F.col("turn") + 1
+
+    def run(t):
+        reserves = t.select(F.col("conv_id").alias("session_id"), event, sha.alias("sha256"), at(0), F.col("turn").cast("long").alias("line_no"))
+        commits = t.select(
+            F.col("conv_id").alias("session_id"), F.when(F.col("turn") % 11 == 10, F.lit("none")).otherwise(event).alias("event_id"), F.when(F.col("turn") % 5 == 4, F.lit("other")).otherwise(sha).alias("sha256"),
+            at(1), F.col("turn").cast("long").alias("line_no"), (n + (F.col("turn") % 7 == 6).cast("int")).cast("long").alias("sequence"),
+        )
+        return T.two_phase(reserves, commits)
+
+    return _replayed(spark, f"{sf_dir}/conversations.parquet", lambda t: t, run)
+
+
 def compare_and_set(spark, sf_dir):
     j = D.journal(spark, sf_dir)
     current = j.groupBy("session_id").agg(F.max("sequence").alias("version")).withColumn("payload", F.lit("old"))
@@ -67,7 +103,10 @@ SQL = {
     "memory_entries": r"""WITH e AS (SELECT doc_id AS source_id, trim(unnest(string_split(text, chr(10)))) AS content, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents)
         SELECT source_id, pos, 'mem-' || sha256(content) AS memory_id FROM e WHERE content <> ''""",
     "stream_sequences": "SELECT conv_id AS session_id, conv_id || '-' || turn AS event_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS sequence, 'new' AS outcome FROM conversations",
+    "stream_two_phase": """SELECT conv_id AS session_id, conv_id || '-' || turn AS event_id, turn::BIGINT + 1 AS sequence, 'reserved' AS outcome FROM conversations
+        UNION ALL SELECT conv_id, CASE WHEN turn % 11 = 10 THEN 'none' ELSE conv_id || '-' || turn END, CASE WHEN turn % 11 <> 10 THEN turn::BIGINT + 1 END,
+        CASE WHEN turn % 11 = 10 THEN 'missing' WHEN turn % 7 = 6 THEN 'sequence_conflict' WHEN turn % 5 = 4 THEN 'digest_conflict' ELSE 'committed' END FROM conversations""",
     "stream_in_order": f"SELECT session_id, sequence FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY sequence) AS n FROM ({D.JOURNAL_WITH_GAPS})) WHERE sequence = n",
 }
 
-QUERIES = {f.__name__: f for f in (stream_sequences, stream_in_order, stream_batches, compare_and_set, text_chunks, memory_entries)}
+QUERIES = {f.__name__: f for f in (stream_sequences, stream_in_order, stream_batches, stream_due_batches, stream_job_queue, stream_two_phase, compare_and_set, text_chunks, memory_entries)}
