@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from recollect.functions import text as T
+from recollect.operators.graph import components
 
 # What makes a text one of high risk, whatever its case.
 HIGH_RISK = (
@@ -132,23 +137,52 @@ def recorded_decision(audits: DataFrame) -> DataFrame:
     return audits.withColumn("outcome", outcome).withColumn("status", F.when(needs, "PENDING_APPROVAL").otherwise("EVALUATED"))
 
 
-def submitted(approvals: DataFrame, decisions: DataFrame, allowed: DataFrame) -> DataFrame:
-    """Approvals in order (pos) with their outcome, and the final status of those that are accepted (GOV13, FLT15, STR14).
+def submitted(requests: DataFrame, decisions: DataFrame, allowed: DataFrame) -> DataFrame:
+    """Approvals and exceptions in order (pos) with their outcome, and the final status of decisions that are approved (GOV13, FLT15, STR14).
 
-    The first authorised approval of a decision that is pending is accepted; a later one of the same id is a replay if its
-    content is the same, else a conflict of ids. All others find a decision that is unknown or not pending any more.
+    requests: pos, approval_id, decision_id, approver, role, action (approve, reject, or exception). A request that is not
+    authorised is refused. One whose id was accepted before is a replay if its content is the same, else a conflict of ids;
+    approvals and exceptions have ids of their own. Others need a decision that is known and pending: an approval settles it,
+    an exception is recorded and leaves it pending. What is refused uses up neither its id nor its decision. Requests that
+    are connected by ids and decisions are folded in order as a sorted stream, which keeps what was accepted there.
     """
-    content = ("decision_id", "approver", "role", "action")
     may = allowed.select("approver", "role").distinct().withColumn("_may", F.lit(True))
     known = decisions.select("decision_id", F.col("status").alias("_status"))
-    each = approvals.join(may, ["approver", "role"], "left").join(known, "decision_id", "left").withColumn("_may", F.coalesce("_may", F.lit(False)))
-    first = F.row_number().over(Window.partitionBy("decision_id", "_may").orderBy("pos")) == 1
-    taken = each.withColumn("_taken", F.col("_may") & first & (F.coalesce("_status", F.lit("")) == "PENDING_APPROVAL"))
-    by_id = Window.partitionBy("approval_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.first(F.when(F.col("_taken"), F.struct(*content)), ignorenulls=True).over(by_id)
-    outcome = F.when(~F.col("_may"), "not authorized").when(before.isNotNull(), F.when(before == F.struct(*content), "replay").otherwise("id conflict")).when(F.col("_taken"), "accepted").otherwise("not pending")
-    final = F.when(F.col("outcome") == "accepted", F.when(F.col("action") == "approve", "APPROVED").otherwise("REJECTED"))
-    return taken.withColumn("outcome", outcome).withColumn("final_status", final).drop("_may", "_status", "_taken")
+    each = requests.join(may, ["approver", "role"], "left").join(known, "decision_id", "left").withColumn("_kind", F.col("action") == "exception").withColumn("_may", F.coalesce("_may", F.lit(False)))
+    node = lambda kind, c: F.concat(kind, F.lit(":"), F.col(c).cast("string"))
+    of_id, of_decision = node(F.when(F.col("_kind"), "e").otherwise("a"), "approval_id"), node(F.lit("d"), "decision_id")
+    roots = components(each.where("_may").select(of_id.alias("a"), of_decision.alias("b")))
+    dealt = each.withColumn("node", of_id).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    content = F.to_json(F.struct("decision_id", "approver", "role", "action"), {"ignoreNullFields": "false"})
+    columns = "root", "pos", "_kind", F.col("approval_id").cast("string").alias("id"), F.col("decision_id").cast("string").alias("decision"), content.alias("content"), "_may", "_status"
+    pos = requests.schema["pos"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        component, accepted, settled = None, {}, set()
+        for batch in batches:
+            out = []
+            for root, _, exception, name, decision, said, may_, status in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if root != component:
+                    component, accepted, settled = root, {}, set()
+                if not may_:
+                    out.append("not authorized")
+                elif (exception, name) in accepted:
+                    out.append("replay" if accepted[exception, name] == said else "id conflict")
+                elif status is None:
+                    out.append("unknown decision")
+                elif status != "PENDING_APPROVAL" or decision in settled:
+                    out.append("not pending")
+                else:
+                    out.append("accepted")
+                    accepted[exception, name] = said
+                    if not exception:
+                        settled.add(decision)
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(out, pa.string())], names=["pos", "outcome"])
+
+    stream = dealt.select(*columns).repartition("root").sortWithinPartitions("root", "pos")
+    outcome = stream.mapInArrow(run, StructType([StructField("pos", pos), StructField("outcome", StringType())]))
+    settles = (F.col("outcome") == "accepted") & (F.col("action") != "exception")
+    return requests.join(outcome, "pos").withColumn("final_status", F.when(settles, F.when(F.col("action") == "approve", "APPROVED").otherwise("REJECTED")))
 
 
 def gate_reasons(runs: DataFrame, checks: dict[str, Column]) -> DataFrame:

@@ -7,8 +7,12 @@ checkpoint folder, so neither lineage nor plans grow with the number of levels.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from recollect.functions import arrow
 from recollect.sources.folders import shared_folder
@@ -101,6 +105,68 @@ def canonical_name(name: Column) -> Column:
     return F.regexp_replace(arrow.folded(arrow.compatible(name)), r"[^\p{L}\p{N}_]+", "")
 
 
+def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+    """node and root, the least node of its component, for every node of the edges a - b.
+
+    Each round turns the neighbours of every node to the least of them, first the greater ones, then all; rounds grow with the
+    logarithm of the longest path. No node's neighbours are gathered: the least is an aggregate, and the rest is a join.
+    """
+    shared_folder(edges.sparkSession)
+    edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().checkpoint()
+    before = None
+    for _ in range(rounds):
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % (1 << 31))).first()
+        if now == before or not now[0]:
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
+        before = now
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
+        turned = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = turned.groupBy("a").agg(F.min("b").alias("m"))
+        edges = turned.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct().checkpoint()
+    raise RuntimeError("the components did not settle")
+
+
+def resolved_by_alias(entities: DataFrame) -> DataFrame:
+    """Entities with the id of the one they resolve to, by the first of their name and aliases that an earlier one has (GR13).
+
+    Rows count in order of ``pos``. Names and aliases always lead to the entity that had them last, so what two rows share
+    does not make a third the same as both: the result depends on the order. Only rows that are connected by names of one type
+    can meet; each such component is folded in order as a sorted stream, which keeps its names, not its rows.
+    """
+    named = entities.withColumn("_type", arrow.folded(F.col("entity_type")))
+    names = F.array_distinct(F.concat(F.array(canonical_name(F.col("name"))), F.array_sort("_aliases")))
+    alias = entities.select("entity_id", "pos", F.explode("aliases").alias("alias")).select("entity_id", "pos", canonical_name(F.col("alias")).alias("alias"))
+    of = alias.groupBy("entity_id", "pos").agg(F.collect_set("alias").alias("_aliases"))
+    held = named.join(of, ["entity_id", "pos"], "left").withColumn("_aliases", F.coalesce("_aliases", F.array().cast("array<string>"))).select("entity_id", "pos", "_type", names.alias("names")).checkpoint()
+    key = F.sha2(F.to_json(F.struct("_type", "name")), 256)
+    each = held.select("entity_id", "pos", "_type", F.explode("names").alias("name")).select("entity_id", "pos", key.alias("name"))
+    first = F.min("name").over(Window.partitionBy("entity_id", "pos"))
+    edges = each.select(F.col("name").alias("a"), first.alias("b"))
+    roots = components(edges)
+    own = held.select("*", F.sha2(F.to_json(F.struct("_type", F.element_at("names", 1).alias("name"))), 256).alias("node"))
+    dealt = own.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    entity, at = entities.schema["entity_id"].dataType, entities.schema["pos"].dataType
+    schema = StructType([StructField("entity_id", entity), StructField("pos", at), StructField("resolved_id", entity)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        component, leads, first_of = None, {}, {}
+        for batch in batches:
+            out = []
+            for root, kind, entity_id, found in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if root != component:
+                    component, leads, first_of = root, {}, {}
+                key = next((leads[kind, n] for n in found if (kind, n) in leads), (kind, found[0]))
+                out.append(first_of.setdefault(key, entity_id))
+                leads.update(((kind, n), key) for n in found)
+            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(4), pa.array(out, batch.schema.field(2).type)], names=["entity_id", "pos", "resolved_id"])
+
+    stream = dealt.select("root", "_type", "entity_id", "names", "pos").repartition("root").sortWithinPartitions("root", "pos", "entity_id")
+    resolved = stream.mapInArrow(run, schema)
+    most = resolved.join(entities.select("entity_id", "pos", "confidence"), ["entity_id", "pos"]).groupBy("resolved_id").agg(F.max("confidence").alias("_most"))
+    return entities.join(resolved, ["entity_id", "pos"]).join(most, "resolved_id").withColumn("confidence", F.col("_most")).drop("_most")
+
+
 def resolved_by_name(entities: DataFrame) -> DataFrame:
     """entity_id (once, at pos) with the id of the first entity of its type and canonical name, and the group's greatest confidence (GR13 by exact name)."""
     named = entities.withColumn("_type", arrow.folded(F.col("entity_type"))).withColumn("_name", canonical_name(F.col("name")))

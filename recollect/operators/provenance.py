@@ -18,11 +18,12 @@ def latest(entries: DataFrame) -> DataFrame:
     return entries.withColumn("_n", F.row_number().over(by)).where("_n = 1").drop("_n")
 
 
-def lineage(entries: DataFrame, starts: DataFrame, depth: int = 100) -> DataFrame:
+def lineage(entries: DataFrame, starts: DataFrame, depth: int = 10_000) -> DataFrame:
     """Of each start (chain_id, start) the entries it derives from, itself first, in the order of a search in depth (GR8, GR9).
 
     A reference is an entry's id, else the latest entry of an entity; others lead nowhere. An entry is placed by the least
-    of the ways to it, which is where such a search meets it first: a way is the list of places in ``derived_from``.
+    of the ways to it, which is where such a search meets it first: a way is the list of places in ``derived_from``. An ancestry
+    that goes on beyond ``depth`` steps is an error.
     """
     shared_folder(entries.sparkSession)
     by_entity = latest(entries).select("chain_id", F.col("entity_id").alias("ref"), "entry_id", F.lit(1).alias("rank"))
@@ -38,6 +39,8 @@ def lineage(entries: DataFrame, starts: DataFrame, depth: int = 100) -> DataFram
         if front.isEmpty():
             break
         seen = seen.unionByName(front).groupBy("chain_id", "start", "entry_id").agg(F.min("way").alias("way")).checkpoint()
+    else:
+        raise RuntimeError(f"the ancestry goes on beyond {depth} steps")
     place = F.row_number().over(Window.partitionBy("chain_id", "start").orderBy("way"))
     return seen.withColumn("place", place).drop("way")
 
@@ -149,6 +152,12 @@ def sorted_json(rows: DataFrame, *columns: str) -> Column:
 
 
 def html_rows(nodes: DataFrame) -> Column:
-    """A row of an HTML table, with what markup means escaped (SNK8)."""
-    escaped = lambda c: F.replace(F.replace(F.replace(F.replace(F.col(c).cast("string"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;"))
+    """A row of an HTML table, with what means markup escaped, quotes of both kinds included (SNK8)."""
+
+    def escaped(c: str) -> Column:
+        text = F.col(c).cast("string")
+        for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+            text = F.replace(text, F.lit(sign), F.lit(name))
+        return text
+
     return F.concat(F.lit("<tr>"), *(F.concat(F.lit("<td>"), escaped(c), F.lit("</td>")) for c in nodes.columns), F.lit("</tr>"))

@@ -5,9 +5,12 @@ Each operator reads a log or a table of states and gives the next states, or wha
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 
 def restored(projection: DataFrame, journal: DataFrame) -> DataFrame:
@@ -22,17 +25,36 @@ def next_sequences(projection: DataFrame, journal: DataFrame) -> DataFrame:
 
 
 def applied_jobs(envelopes: DataFrame, jobs: DataFrame) -> DataFrame:
-    """Envelopes after compression jobs, and the outcome of each (STR7): a result goes in where the version is still the one the job was made for.
+    """Compression jobs with their outcome on the envelopes, each on what the jobs before it have made (STR7).
 
     envelopes: session_id, version, through; jobs: session_id, job_id, expected_version, from_sequence, through, in order of
-    job_id; of several for one version the first goes in. A job for an older version that begins right behind what is
-    compressed is to be made again on the new base, others are stale.
+    job_id. A job goes in (acked) where the version is the one it was made for, which makes the next version. A job for another version
+    that begins right behind what is compressed is to be made again on the new base, others are stale. A session's
+    jobs are a sorted stream that keeps its version and how far it is compressed.
     """
-    by = Window.partitionBy("session_id", "expected_version").orderBy("job_id")
-    met = jobs.withColumn("_n", F.row_number().over(by)).join(envelopes.select("session_id", "version", F.col("through").alias("_through")), "session_id", "left")
-    fits = (F.col("expected_version") == F.col("version")) & (F.col("_n") == 1)
-    outcome = F.when(F.col("version").isNull(), "missing").when(fits, "acked").when(F.col("from_sequence") == F.col("_through") + 1, "rebase").otherwise("stale")
-    return met.withColumn("outcome", outcome).withColumn("new_version", F.when(outcome == "acked", F.col("version") + 1)).withColumn("new_through", F.when(outcome == "acked", F.greatest("through", "_through"))).drop("_n", "_through")
+    met = jobs.join(envelopes.select("session_id", "version", F.col("through").alias("_through")), "session_id", "left")
+    kind = lambda c: jobs.schema[c].dataType
+    schema = StructType([StructField("session_id", kind("session_id")), StructField("job_id", kind("job_id")), StructField("outcome", StringType()), StructField("new_version", LongType()), StructField("new_through", LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        session, version, through = None, None, None
+        for batch in batches:
+            out = []
+            for key, expected, begins, ends, first, so_far in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4, 5, 6)), strict=True):
+                if (key,) != session:
+                    session, version, through = (key,), first, so_far
+                if version is None:
+                    out.append(("missing", None, None))
+                elif expected == version:
+                    version, through = version + 1, max(x for x in (ends, through) if x is not None)
+                    out.append(("acked", version, through))
+                else:
+                    out.append(("rebase" if through is not None and begins == through + 1 else "stale", None, None))
+            outcome, made, upto = zip(*out) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(outcome, pa.string()), pa.array(made, pa.int64()), pa.array(upto, pa.int64())], names=schema.names)
+
+    stream = met.select("session_id", "job_id", "expected_version", "from_sequence", "through", "version", "_through").repartition("session_id").sortWithinPartitions("session_id", "job_id")
+    return jobs.join(stream.mapInArrow(run, schema), ["session_id", "job_id"])
 
 
 def after_cursor(records: DataFrame, cursors: DataFrame, limit: int) -> DataFrame:

@@ -5,10 +5,14 @@ All windows are over one session, in order of sequence.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from recollect.sources.folders import shared_folder
 
@@ -92,20 +96,58 @@ def within_budget(lines: DataFrame, chars: int) -> DataFrame:
     return lines.withColumn("_used", F.sum(F.length("text").cast("long") + 1).over(so_far)).where(F.col("_used") <= chars).drop("_used")
 
 
-def resolve_markers(starts: DataFrame, contents: DataFrame, depth: int = 5, separator: str = "\n") -> DataFrame:
-    """Contents that markers lead to, and those that these lead to, each once by start (GRP6).
+def resolve_markers(starts: DataFrame, contents: DataFrame, depth: int = 5, separator: str = "\n---\n") -> DataFrame:
+    """The original content behind each start: what its markers lead to, depth first in the order of markers (GRP6).
 
-    starts: start and hash; contents: hash, content and refs (the hashes it names). A step is a join; there are ``depth``.
+    starts: start and hash; contents: hash, content and refs (the markers it names). A content with markers gives way to what
+    these lead to, ``depth`` steps from the start at most and each hash once; only where they lead to nothing it stands itself. A
+    start that reaches a hash without content has none: content is null. What a start can reach is found by one join a step;
+    then each start's rows, which its result is made of, are read together.
     """
     shared_folder(starts.sparkSession)
-    front = starts.select("start", "hash").distinct().withColumn("depth", F.lit(0)).checkpoint()
-    seen = front
-    for d in range(1, depth):
-        reached = front.join(contents.select("hash", F.explode("refs").alias("ref")), "hash").select("start", F.col("ref").alias("hash")).distinct()
-        front = reached.join(seen.select("start", "hash"), ["start", "hash"], "left_anti").withColumn("depth", F.lit(d)).checkpoint()
+    front = starts.select("start", "hash").distinct().checkpoint()
+    seen, links = front, contents.select("hash", F.explode("refs").alias("ref"))
+    for _ in range(depth):
+        reached = front.join(links, "hash").select("start", F.col("ref").alias("hash")).distinct()
+        front = reached.join(seen, ["start", "hash"], "left_anti").checkpoint()
         seen = seen.unionByName(front)
-    found = seen.join(contents.select("hash", "content"), "hash")
-    ordered = F.array_sort(F.collect_list(F.struct("depth", "hash", "content")))
-    return found.groupBy("start").agg(F.array_join(F.transform(ordered, lambda x: x["content"]), separator).alias("content"))
-
-
+    first = starts.select("start", "hash", F.lit(True).alias("first"))
+    rows = seen.join(first, ["start", "hash"], "left").join(contents.select("hash", "content", "refs"), "hash", "left").select("start", "first", "hash", "content", "refs")
+    schema = StructType([StructField("start", starts.schema["start"].dataType), StructField("content", StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def resolved(begin, held: dict) -> str | None:
+            done, missing = set(), False
+
+            def text(name, left: int) -> str:
+                nonlocal missing
+                if left < 0 or name in done:
+                    return ""
+                done.add(name)
+                content, refs = held.get(name, (None, None))
+                if content is None:
+                    missing = True
+                    return ""
+                parts = [x for x in (text(r, left - 1) for r in dict.fromkeys(refs or [])) if x]
+                return separator.join(parts) if parts else content
+
+            out = text(begin, depth)
+            return None if missing else out
+
+        start, begin, held, names = None, None, {}, ["start", "content"]
+        for batch in batches:
+            out = []
+            for key, first_, name, content, refs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and key != start:
+                    out.append((start, resolved(begin, held)))
+                    held = {}
+                start = key
+                begin = name if first_ else begin
+                held[name] = content, refs
+            kind = batch.schema.field(0).type
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], kind), pa.array([x for _, x in out], pa.string())], names=names)
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([start], kind), pa.array([resolved(begin, held)], pa.string())], names=names)
+
+    return rows.repartition("start").sortWithinPartitions("start", "first").mapInArrow(run, schema)

@@ -70,8 +70,9 @@ def grep_budget(spark, sf_dir):
 def resolved_markers(spark, sf_dir):
     docs = D.table(spark, sf_dir, "documents")
     i = F.col("doc_id")
-    leads = F.when(i % 5 == 0, i * 1_000_003 + 1).otherwise(i + 1)  # of every fifth the first marker leads nowhere
-    contents = docs.select(i.cast("string").alias("hash"), F.col("text").alias("content"), F.array(leads.cast("string"), (i + 2).cast("string")).alias("refs"))
+    last = docs.agg(F.max("doc_id")).first()[0]
+    both = F.filter(F.array(2 * i + 2, 2 * i + 1), lambda x: x <= last)  # of every fifth there is no marker
+    contents = docs.select(i.cast("string").alias("hash"), F.col("text").alias("content"), F.when(i % 5 > 0, both.cast("array<string>")).alias("refs"))
     got = X.resolve_markers(docs.select(i.alias("start"), i.cast("string").alias("hash")), contents, 3)
     return got.select("start", F.sha2("content", 256).alias("sha"))
 
@@ -287,6 +288,14 @@ def entity_resolution(spark, sf_dir):
     return K.resolved_by_name(c).select("entity_id", "resolved_id", "confidence")
 
 
+def alias_resolution(spark, sf_dir):
+    """Customers in order, each with two aliases that later ones may have as names."""
+    i = F.col("c_custkey")
+    name = lambda n: F.concat(F.lit("Customer "), n % 400)
+    c = D.table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), i).alias("entity_id"), i.alias("pos"), name(i * 7).alias("name"), F.array(name(i * 7 + 1)).alias("aliases"), F.col("c_mktsegment").alias("entity_type"), (i % 9 / 10).alias("confidence"))
+    return K.resolved_by_alias(c).select("entity_id", "resolved_id", "confidence")
+
+
 # --- audits
 _RULES = [("r1", 10, "reject", "total", "gt", "300000"), ("r1", 10, "reject", "status", "eq", "O"), ("r2", 5, "review", "priority", "in", "1-URGENT|2-HIGH"), ("r3", 5, "note", "priority", "contains", "LOW"), ("r3", 5, "note", "total", "lte", "100000.0")]
 
@@ -390,9 +399,10 @@ SQL = {
     "transcript_read": f"""WITH f AS (SELECT *, sum(length(text)) OVER (PARTITION BY session_id) AS chars FROM (SELECT *, row_number() OVER ({_W}) AS n FROM ({_LINES}) WHERE sequence >= 2) WHERE n <= 5)
         SELECT session_id, sequence, sha256(CASE WHEN chars <= 2500 THEN text ELSE '' END) AS sha, chars > 2500 AS too_long FROM f""",
     "grep_budget": f"SELECT session_id, sequence FROM (SELECT *, sum(length(text) + 1) OVER ({_W}) AS used FROM ({_LINES})) WHERE used <= 1500",
-    "resolved_markers": """WITH RECURSIVE w AS (SELECT doc_id AS start, doc_id AS id, 0 AS depth FROM documents UNION ALL
-        SELECT start, CASE WHEN k = 1 AND id % 5 = 0 THEN id * 1000003 + 1 ELSE id + k END, depth + 1 FROM w JOIN documents ON doc_id = w.id, (SELECT unnest([1, 2]) AS k) WHERE depth < 2),
-        s AS (SELECT start, id, min(depth) AS depth FROM w GROUP BY start, id) SELECT start, sha256(string_agg(text, chr(10) ORDER BY depth, id::VARCHAR)) AS sha FROM s JOIN documents ON doc_id = s.id GROUP BY start""",
+    "resolved_markers": """WITH RECURSIVE w AS (SELECT doc_id AS start, doc_id AS id, '' AS way, 0 AS depth FROM documents UNION ALL
+        SELECT start, 2 * id + 3 - k, way || k, depth + 1 FROM w JOIN documents ON doc_id = 2 * w.id + 1, (SELECT unnest([1, 2]) AS k) WHERE depth < 3 AND id % 5 > 0 AND 2 * id + 3 - k <= (SELECT max(doc_id) FROM documents)),
+        leaf AS (SELECT * FROM w a WHERE NOT EXISTS (SELECT 1 FROM w b WHERE b.start = a.start AND b.depth = a.depth + 1 AND left(b.way, a.depth) = a.way))
+        SELECT start, sha256(string_agg(text, chr(10) || '---' || chr(10) ORDER BY way)) AS sha FROM leaf JOIN documents ON doc_id = leaf.id GROUP BY start""",
     "due_scopes": f"""WITH s AS (SELECT scope_id, sum(tokens)::BIGINT AS tokens, count(*) AS events, epoch_us(min(completed_at)) AS f, epoch_us(max(completed_at)) AS l FROM ({D.EVENTS}) GROUP BY scope_id),
         r AS (SELECT scope_id, tokens, events, array_to_string(list_filter([CASE WHEN {int(NOW.timestamp()) * 10**6} - l >= 7200000000 THEN 'idle' END, CASE WHEN tokens >= 200000 THEN 'tokens' END, CASE WHEN events >= 70 THEN 'events' END,
         CASE WHEN {int(NOW.timestamp()) * 10**6} - f >= 86400000000 THEN 'max_wait' END], lambda x: x IS NOT NULL), ',') AS reasons FROM s) SELECT * FROM r WHERE reasons <> ''""",
@@ -474,6 +484,6 @@ SQL = {
 QUERIES = {f.__name__: f for f in (
     transcript_lines, transcript_grep, grep_context, grep_counts, grep_multiline, transcript_page, transcript_read, grep_budget, resolved_markers, due_scopes, review_batches, pending_events, task_gates, duplicate_events, latest_activity,
     job_states, publication_transitions, artifact_decisions, batch_verdicts, reinforced_confidence, consolidated_entries, card_versions, persona_domains, event_dispositions, evidence_gaps, evaluation_status, fail_closed_decision,
-    evaluation_rates, graph_as_of, trace_subgraph, dangling_edges, khop_neighbours, causal_chain, fact_nodes, fact_conflicts, entity_resolution, rule_evaluation, ontology_errors, chain_verify, snapshot_fingerprint,
+    evaluation_rates, graph_as_of, trace_subgraph, dangling_edges, khop_neighbours, causal_chain, fact_nodes, fact_conflicts, entity_resolution, alias_resolution, rule_evaluation, ontology_errors, chain_verify, snapshot_fingerprint,
     manifest_differences, compliance_report, turtle_lines, ordered_evidence, extracted_records, latency_stats, slo_verdicts, latency_histogram, role_counts,
 )}

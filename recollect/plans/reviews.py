@@ -444,7 +444,7 @@ def json_export(spark, sf_dir):
     return e.select(O.sorted_json(e).alias("line"))
 
 
-@query("SELECT '<tr><td>' || event_id || '</td><td>' || replace(props, '\"', '&quot;') || '</td></tr>' AS line FROM events")
+@query("SELECT '<tr><td>' || event_id || '</td><td>' || replace(replace(props, '\"', '&quot;'), chr(39), '&#x27;') || '</td></tr>' AS line FROM events")
 def html_export(spark, sf_dir):
     e = D.table(spark, sf_dir, "events").select("event_id", "props")
     return e.select(O.html_rows(e).alias("line"))

@@ -39,9 +39,11 @@ def next_sequences(spark, sf_dir):
     return U.next_sequences(j.where("session_id % 3 = 0").withColumn("sequence", F.col("sequence") + 5), j)
 
 
-@query("""WITH j AS (SELECT event_id AS job_id, user_id AS session_id, event_id % 3 AS expected_version, event_id % 20 AS f, event_id % 20 + 4 AS t, row_number() OVER (PARTITION BY user_id, event_id % 3 ORDER BY event_id) AS n FROM events)
-    SELECT job_id, CASE WHEN session_id % 5 = 0 THEN 'missing' WHEN expected_version = 1 AND n = 1 THEN 'acked' WHEN f = 11 THEN 'rebase' ELSE 'stale' END AS outcome,
-    CASE WHEN session_id % 5 <> 0 AND expected_version = 1 AND n = 1 THEN 2 END::BIGINT AS new_version, CASE WHEN session_id % 5 <> 0 AND expected_version = 1 AND n = 1 THEN greatest(t, 10) END::BIGINT AS new_through FROM j""")
+@query("""WITH j AS (SELECT event_id AS id, user_id AS s, event_id % 3 AS v, event_id % 20 AS f, event_id % 20 + 4 AS t FROM events), one AS (SELECT s, min(id) AS one FROM j WHERE v = 1 GROUP BY s),
+    two AS (SELECT j.s, min(id) AS two FROM j JOIN one ON one.s = j.s WHERE v = 2 AND id > one GROUP BY j.s), u AS (SELECT j.*, one, two, greatest(10, one % 20 + 4) AS t1, greatest(10, one % 20 + 4, two % 20 + 4) AS t2 FROM j LEFT JOIN one USING (s) LEFT JOIN two USING (s)),
+    o AS (SELECT *, s % 5 <> 0 AND coalesce(id = one, false) AS first, s % 5 <> 0 AND coalesce(id = two, false) AS second, CASE WHEN id > two THEN t2 WHEN id > one THEN t1 ELSE 10 END AS so_far FROM u)
+    SELECT id AS job_id, CASE WHEN s % 5 = 0 THEN 'missing' WHEN first OR second THEN 'acked' WHEN f = so_far + 1 THEN 'rebase' ELSE 'stale' END AS outcome,
+    CASE WHEN first THEN 2 WHEN second THEN 3 END::BIGINT AS new_version, CASE WHEN first THEN t1 WHEN second THEN t2 END::BIGINT AS new_through FROM o""")
 def applied_jobs(spark, sf_dir):
     i = F.col("event_id")
     jobs = D.events(spark, sf_dir).select(i.alias("job_id"), F.col("scope_id").alias("session_id"), (i % 3).alias("expected_version"), (i % 20).alias("from_sequence"), (i % 20 + 4).alias("through"))
