@@ -75,38 +75,33 @@ def canonical_json(text: Column) -> Column:
     return _each(one)(text)
 
 
-_FENCE = re.compile(r"```(?:json)?\s*(.*?)\s*```", re.I | re.S)
-
-
-def fenced_json(text: Column) -> Column:
-    """The JSON of a text, of its only fenced block, or, where there is no fence, of what begins at its first bracket (FN29).
-
-    Null where none parses, for several fences, and where a further bracket follows what was found.
-    """
+def first_json(text: Column) -> Column:
+    """The text of the JSON value that begins at the first bracket; null where none does, or a further bracket follows it."""
+    opening = re.compile(r"[\[{]")
 
     def one(s: str) -> str | None:
-        out = _parsed(s.strip())
-        return None if out is None else json.dumps(out[0], sort_keys=True, ensure_ascii=False)
+        begin = opening.search(s)
+        if begin is None:
+            return None
+        try:
+            end = json.JSONDecoder().raw_decode(s, begin.start())[1]
+        except ValueError:
+            return None
+        return None if opening.search(s, end) else s[begin.start() : end]
 
     return _each(one)(text)
 
 
-def _parsed(s: str) -> tuple[object] | None:
-    try:
-        return (json.loads(s),)
-    except ValueError:
-        pass
-    fences = _FENCE.findall(s)
-    places = [p for p in map(s.find, "{[") if p >= 0]
-    try:
-        if fences:
-            return (json.loads(fences[0]),) if len(fences) == 1 else None
-        if places:
-            value, end = json.JSONDecoder().raw_decode(s, min(places))
-            return None if {"{", "["} & set(s[end:]) else (value,)
-    except ValueError:
-        pass
-    return None
+def fenced_json(text: Column) -> Column:
+    """The JSON of a text, of its only fenced block, or, where there is no fence, of what begins at its first bracket (FN29).
+
+    Null where none parses, for several fences, and where a further bracket follows what was found. Fences divide the text: what stands
+    between an opening and a closing one is every second part.
+    """
+    parts = F.split(text, "```")
+    closed = F.floor((F.size(parts) - 1) / 2)
+    inside = F.regexp_replace(F.get(parts, F.lit(1)), "(?i)^json", "")
+    return F.coalesce(canonical_json(text), canonical_json(F.when(closed == 1, inside).when(closed == 0, first_json(text))))
 
 
 # Fixed value: the form of ids.

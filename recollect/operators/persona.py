@@ -20,6 +20,7 @@ from recollect.functions import values as V
 # the heading over what is added.
 LEAST_OVERLAP, LEAST_SHARE = 2, 0.08
 ADDED = "Additional durable requirements:\n"
+MERGES = ("", "new", "duplicate", "update", "merge", "conflict")
 
 
 def plain(text: str) -> str:
@@ -62,22 +63,24 @@ class Memory:
     def take(self, c: dict) -> dict:
         """The outcome of a candidate, which changes the memory (GOV4) and says what is to be written (GOV5)."""
         said = {"extension": "update"}.get(c["merge_type"] or "", c["merge_type"] or "")
+        if said not in MERGES:
+            raise ValueError("the kind of merge is unknown")
         content, own = c["content"].strip(), c["candidate_id"]
         target = None if said == "new" else self.target(c["target_memory_id"] or "", own, c["domain"], content)
         parts = [p for p in dict.fromkeys(c["new_information"] or ()) if plain(p) and plain(p) not in plain(content)]
         if said in ("update", "merge") and target is None:
             raise ValueError("there is no statement to change")
-        kind = said or ("new" if target is None else "duplicate" if plain(self.items[target][1]) == plain(content) and not parts else "extension")
+        # a declared duplicate is not trusted: it is one if the memory has the statement
+        kind = said if said not in ("", "duplicate") else ("new" if target is None else "duplicate" if plain(self.items[target][1]) == plain(content) and not parts else "extension")
         if kind == "duplicate":
             return {"merge_type": kind, "target": target, "statement": self.items[target][1] if target else content, "operation": "none"}
         old = self.items[target][1] if target else ""
         whole = content if plain(old) in plain(content) else old if plain(content) in plain(old) else f"{old}\n{content}"
         if parts:
             whole += "\n" + ADDED + "\n".join(f"- {p}" for p in parts)
+        self.items[own if target is None else target] = c["domain"], whole
         if kind == "conflict":
             return {"merge_type": kind, "target": target, "statement": whole, "operation": "error"}
-        place = target if target is not None else own
-        self.items[place] = (self.items[place][0] if target is not None else c["domain"]), whole
         return {"merge_type": kind, "target": target, "statement": whole, "operation": "add" if target is None else "replace"}
 
 
@@ -90,7 +93,8 @@ def canonicalised(candidates: DataFrame, stored: DataFrame) -> DataFrame:
 
     candidates: user_id, pos, candidate_id (unique, and not that of a stored statement unless it is meant), content,
     merge_type, target_memory_id, new_information and domain (null: from the text); stored: user_id, memory_id, pos, domain and
-    statement. What may not be merged is an error row and changes nothing.
+    statement. A statement that a candidate changes takes the candidate's domain. A declared conflict is an error row that
+    changes the memory all the same; what may not be merged is an error row and changes nothing.
     """
     no = lambda kind="string": F.lit(None).cast(kind)
     mine = stored.select("user_id", F.lit(True).alias("stored"), "pos", F.col("memory_id").alias("candidate_id"), "domain", F.col("statement").alias("content"), no().alias("merge_type"), no().alias("target_memory_id"), no("array<string>").alias("new_information"))

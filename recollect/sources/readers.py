@@ -13,21 +13,28 @@ from pyspark.sql.types import StructType
 
 JOURNAL = T.StructType([T.StructField(n, T.StringType()) for n in ("type", "timestamp", "role", "content", "event_id", "content_type", "sha256", "original_url", "local_path")] + [T.StructField("sequence", T.LongType()), T.StructField("metadata", T.MapType(T.StringType(), T.StringType()))])
 LEDGER = "event_id string, task_id string, scope struct<tenant_id:string,agent_id:string,user_id:string>, completed_at string, interrupted boolean, tool_iterations int, transcript array<struct<role:string,content:string>>, final_response string, source_refs array<map<string,string>>"
-KINDS = ("message", "file", "checkpoint")
+KINDS = ("message", "file", "compaction_checkpoint")
 MOST_BYTES = 10 * 1024 * 1024
 
 
 def journal_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of journal files with the file, place and parsed record, and what is wrong with them (SRC1).
 
-    A last line that is cut off (no line end, no JSON) is skipped; any other bad or blank line is an error row.
+    A last line that is cut off (no line end, no JSON) is skipped; any other bad or blank line is an error row. Files, which must not be
+    compressed, are read in byte ranges: a line's place is its place in its range after the lines of the ranges before, and a file whose
+    lines with their ends are one byte longer than it has a last line without end. Only counts by range are shuffled.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
-    lines = whole.select("file", F.posexplode(F.split("value", "\n")).alias("pos", "line"), F.size(F.split("value", "\n")).alias("_n"))
-    parsed = lines.withColumn("record", F.from_json("line", JOURNAL, {"mode": "PERMISSIVE"}))
+    at = [F.col(f"_metadata.{c}").alias(c) for c in ("file_path", "file_block_start", "file_size")]
+    lines = spark.read.option("lineSep", "\n").text(path).select(*at, F.col("value").alias("line"), F.monotonically_increasing_id().alias("_id"))
+    ranges = lines.groupBy("file_path", "file_block_start").agg(F.min("_id").alias("_first"), F.count("*").alias("_rows"), F.sum(F.octet_length("line") + 1).alias("_bytes"), F.max("file_size").alias("_size"))
+    of_file = Window.partitionBy("file_path")
+    before = F.coalesce(F.sum("_rows").over(of_file.orderBy("file_block_start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    open_end = F.sum("_bytes").over(of_file) > F.col("_size")
+    ranges = ranges.select("file_path", "file_block_start", "_first", before.alias("_before"), F.when(open_end, F.sum("_rows").over(of_file) - 1).alias("_torn"))
+    placed = lines.join(ranges, ["file_path", "file_block_start"]).select(F.col("file_path").alias("file"), (F.col("_id") - F.col("_first") + F.col("_before")).alias("pos"), "line", "_torn")
+    parsed = placed.withColumn("record", F.from_json("line", JOURNAL, {"mode": "PERMISSIVE"}))
     bad = F.col("record").isNull() | F.col("record.type").isNull()
-    last = F.col("pos") == F.col("_n") - 1
-    kept = parsed.where(~(last & bad))
+    kept = parsed.where(~(F.coalesce(F.col("pos") == F.col("_torn"), F.lit(False)) & bad))
     error = F.when(F.trim("line") == "", "blank").when(bad, "bad").when(~F.col("record.type").isin(*KINDS), "unknown type")
     return kept.select("file", "pos", "record", error.alias("error"))
 

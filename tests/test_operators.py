@@ -1,6 +1,7 @@
 """Small cases that the tables do not hold."""
 
 import json
+import random
 from datetime import datetime, timezone
 
 import pytest
@@ -99,6 +100,34 @@ def test_journal_lines(spark, tmp_path):
     assert verdict.verdict == "delete"
 
 
+def test_journals_are_read_in_byte_ranges(spark, tmp_path):
+    """Files cut into some twenty ranges: places, blank and bad lines, and a torn last line as if read whole."""
+    rng, want = random.Random(1), {}
+    for f, end in enumerate(["\n", "", "torn", "\n\n"]):
+        lines = []
+        for i in range(120):
+            good = json.dumps({"type": rng.choice(["message", "file", "compaction_checkpoint"]), "content": "x" * rng.randrange(60) + "é", "sequence": i}, ensure_ascii=False)
+            lines.append(rng.choice([good] * 8 + ["", "{bad", good.replace('"type": "', '"type": "un')]))
+        lines.append('{"type": "message", "sequence": 120}')
+        (tmp_path / f"j{f}.jsonl").write_text("\n".join(lines) + (f"\n{lines[-1][:9]}" if end == "torn" else end), encoding="utf-8")
+        errors = [None if '": "un' not in x and x not in ("", "{bad") else "blank" if not x else "bad" if x == "{bad" else "unknown type" for x in lines]
+        want[f"j{f}.jsonl"] = errors + (["blank"] if end == "\n\n" else [])
+    conf = {"spark.sql.files.maxPartitionBytes": "512", "spark.sql.files.openCostInBytes": "0"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        df = readers.journal_lines(spark, str(tmp_path))
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 60
+        rows = df.select("file", "pos", "record.sequence", "error").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    got = {n: sorted(((r.pos, r.error, r.sequence) for r in rows if r.file.endswith(n)), key=lambda x: x[0]) for n in want}
+    assert {n: [e for _, e, _ in x] for n, x in got.items()} == want
+    assert all([p for p, *_ in x] == list(range(len(x))) and all(s == p for p, e, s in x if e is None) for x in got.values())
+
+
 def test_chunks_cover_the_text(spark):
     text = "ab\ncdef\n\ng" + "x" * 30 + "\nz"
     got = readers.chunks(spark.createDataFrame([("s", text)], "source_id string, text string"), 8).orderBy("start").collect()
