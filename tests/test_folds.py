@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from recollect.functions import values as V
 from recollect.operators import governance as G
 from recollect.operators import graph as K
+from recollect.operators import persona
 from recollect.operators import provenance as O
 from recollect.operators import state as U
 from recollect.operators import transcript as X
@@ -170,3 +171,14 @@ def test_numbers_and_escapes(spark):
     assert got == [123.0, 12_345_000.0, -3e8, None, None, None, 1.5]
     row = spark.createDataFrame([("<a href='x'>\"&\"</a>",)], "t string")
     assert row.select(O.html_rows(row)).first()[0] == "<tr><td>&lt;a href=&#x27;x&#x27;&gt;&quot;&amp;&quot;&lt;/a&gt;</td></tr>"
+
+
+def test_persona_merges_trust_no_declared_duplicate_and_take_the_new_domain():
+    memory = persona.Memory({"a": ("general", "Likes tea")})
+    ask = lambda i, domain, content, kind="", target=None: memory.take({"candidate_id": i, "domain": domain, "content": content, "merge_type": kind, "target_memory_id": target, "new_information": None})
+    assert ask("c1", "travel", "Prefers window seats", "duplicate")["operation"] == "add"
+    assert ask("c2", "travel", " prefers  WINDOW seats", "duplicate")["operation"] == "none"
+    assert ask("c3", "travel", "Likes tea with milk", target="a")["merge_type"] == "extension" and memory.items["a"] == ("travel", "Likes tea with milk")
+    assert ask("c4", "travel", "Never drinks tea", "conflict", "a")["operation"] == "error" and "Never drinks tea" in memory.items["a"][1]
+    with pytest.raises(ValueError, match="unknown"):
+        ask("c5", "travel", "x", "perhaps")

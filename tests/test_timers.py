@@ -187,6 +187,17 @@ def test_queue_against_plain_lists(spark, parts):
         assert {r[2] for r in want} >= {"ready", "pending", "coalesced", "idempotent", "conflict", "leased", "done", "retry", "dead", "returned", "lost", "expired", "due"}
 
 
+def test_query_of_the_queue_against_plain_lists(spark):
+    log = {}
+    for r in spark.read.parquet(f"{SF}/events.parquet").withColumn("s", F.unix_millis(F.col("ts").cast("timestamp")) / 1000).orderBy("event_id").collect():
+        i = r.event_id
+        action = ("enqueue", "lease", "enqueue", "ack", "fail", "return", "lease")[i % 7]
+        log.setdefault(f"q{r.user_id % 32}", []).append((i, r.s, action, f"{r.user_id}-{i // 7 % 3}", str(r.user_id), int(r.value // 1), i, str(i - i % 7 + 1)))
+    got = QUERIES["stream_job_queue"](spark, SF).where("line_no IS NOT NULL").collect()
+    want = {(no, job, said) for rows in log.values() for no, job, said in plain_queue(rows, 8, 60, 5, 5) if no is not None}
+    assert {(r.line_no, r.job_id, r.outcome) for r in got} == want and len(got) == len(want)
+
+
 def test_a_lease_ends_by_the_watermark_alone(spark):
     at = lambda s: START + timedelta(seconds=s)
     job = lambda q, no, s, action, token="": (q, no, at(s), action, "j", "s", 1, 1, token)
