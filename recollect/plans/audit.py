@@ -13,6 +13,7 @@ from recollect.operators import governance as G
 from recollect.operators import graph as K
 from recollect.operators import metrics as M
 from recollect.operators import scheduling as S
+from recollect.operators import tools
 from recollect.operators import transcript as X
 from recollect.plans import tables as D
 
@@ -46,6 +47,20 @@ def grep_context(spark, sf_dir):
     return X.with_context(lines, X.matching(lines, "ANDTH"), 1, 2).select("session_id", "sequence", "is_match")
 
 
+def sql_grep(spark, sf_dir):
+    """Two table functions in one statement: sessions with a match, and their lines around it."""
+    tools.register(spark)
+    by = "PARTITION BY session_id ORDER BY sequence"
+    found = f"SELECT session_id FROM grep(TABLE({{lines}}) {by}, pattern => 'ANDTH')"
+    return spark.sql(f"SELECT session_id, sequence, is_match FROM grep(TABLE({{lines}}) {by}, pattern => 'ANDTH', mode => 'content', before => 2, after => 1, head_limit => 0) WHERE session_id IN ({found})", lines=_lines(spark, sf_dir))
+
+
+def sql_read(spark, sf_dir):
+    tools.register(spark)
+    rows = spark.sql("SELECT * FROM read_lines(TABLE({lines}) PARTITION BY session_id ORDER BY sequence, from_sequence => 2, max_lines => 5, chars => 2500)", lines=_lines(spark, sf_dir))
+    return rows.select("session_id", "sequence", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"), "too_long")
+
+
 def grep_counts(spark, sf_dir):
     lines = _lines(spark, sf_dir)
     return X.counts(lines, X.matching(lines, PATTERN))
@@ -394,10 +409,14 @@ SQL = {
     "transcript_grep": f"SELECT session_id, sequence FROM ({_LINES}) WHERE regexp_matches(text, '(?i){PATTERN}')",
     "grep_context": f"""WITH m AS (SELECT *, regexp_matches(text, '(?i)ANDTH') AS is_match FROM ({_LINES})) SELECT session_id, sequence, is_match FROM
         (SELECT *, bool_or(is_match) OVER ({_W} ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING) AS near FROM m) WHERE near""",
+    "sql_grep": f"""WITH m AS (SELECT *, regexp_matches(text, '(?i)ANDTH') AS is_match FROM ({_LINES})) SELECT session_id, sequence, is_match FROM
+        (SELECT *, bool_or(is_match) OVER ({_W} ROWS BETWEEN 1 PRECEDING AND 2 FOLLOWING) AS near FROM m) WHERE near""",
     "grep_counts": f"SELECT session_id, count(*) AS matches FROM ({_LINES}) WHERE regexp_matches(text, '(?i){PATTERN}') GROUP BY session_id",
     "transcript_page": f"SELECT session_id, sequence, last > 4 AS truncated FROM (SELECT *, row_number() OVER ({_W}) AS n, count(*) OVER (PARTITION BY session_id) AS last FROM ({_LINES})) WHERE n BETWEEN 2 AND 4",
     "transcript_read": f"""WITH f AS (SELECT *, sum(length(text)) OVER (PARTITION BY session_id) AS chars FROM (SELECT *, row_number() OVER ({_W}) AS n FROM ({_LINES}) WHERE sequence >= 2) WHERE n <= 5)
         SELECT session_id, sequence, sha256(CASE WHEN chars <= 2500 THEN text ELSE '' END) AS sha, chars > 2500 AS too_long FROM f""",
+    "sql_read": f"""WITH f AS (SELECT *, sum(length(text)) OVER (PARTITION BY session_id) AS chars FROM (SELECT *, row_number() OVER ({_W}) AS n FROM ({_LINES}) WHERE sequence >= 2) WHERE n <= 5)
+        SELECT session_id, sequence, sha256(CASE WHEN chars <= 2500 THEN text ELSE '' END) AS sha, chars > 2500 AS too_long FROM f""",
     "grep_budget": f"SELECT session_id, sequence FROM (SELECT *, sum(length(text) + 1) OVER ({_W}) AS used FROM ({_LINES})) WHERE used <= 1500",
     "resolved_markers": """WITH RECURSIVE w AS (SELECT doc_id AS start, doc_id AS id, '' AS way, 0 AS depth FROM documents UNION ALL
         SELECT start, 2 * id + 3 - k, way || k, depth + 1 FROM w JOIN documents ON doc_id = 2 * w.id + 1, (SELECT unnest([1, 2]) AS k) WHERE depth < 3 AND id % 5 > 0 AND 2 * id + 3 - k <= (SELECT max(doc_id) FROM documents)),
@@ -482,7 +501,7 @@ SQL = {
 }
 
 QUERIES = {f.__name__: f for f in (
-    transcript_lines, transcript_grep, grep_context, grep_counts, grep_multiline, transcript_page, transcript_read, grep_budget, resolved_markers, due_scopes, review_batches, pending_events, task_gates, duplicate_events, latest_activity,
+    transcript_lines, transcript_grep, grep_context, sql_grep, sql_read, grep_counts, grep_multiline, transcript_page, transcript_read, grep_budget, resolved_markers, due_scopes, review_batches, pending_events, task_gates, duplicate_events, latest_activity,
     job_states, publication_transitions, artifact_decisions, batch_verdicts, reinforced_confidence, consolidated_entries, card_versions, persona_domains, event_dispositions, evidence_gaps, evaluation_status, fail_closed_decision,
     evaluation_rates, graph_as_of, trace_subgraph, dangling_edges, khop_neighbours, causal_chain, fact_nodes, fact_conflicts, entity_resolution, alias_resolution, rule_evaluation, ontology_errors, chain_verify, snapshot_fingerprint,
     manifest_differences, compliance_report, turtle_lines, ordered_evidence, extracted_records, latency_stats, slo_verdicts, latency_histogram, role_counts,

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from recollect.plans import tables as D
+from recollect.sources import cursors as C
 from recollect.sources import readers as R
 from recollect.sources.folders import shared_folder
 from recollect.streaming import sessions as S
@@ -79,6 +80,24 @@ def stream_two_phase(spark, sf_dir):
     return _replayed(spark, f"{sf_dir}/conversations.parquet", lambda t: t, run)
 
 
+def cursor_sync(spark, sf_dir):
+    """Turns as records in a folder: first the even ones, then, when these are taken, all; the ledger and the batch that took each."""
+    folder = _folder(spark)
+    t = D.table(spark, sf_dir, "conversations")
+    turn = F.concat_ws("-", "conv_id", "turn")
+    message = F.struct(F.when(F.col("role") == "tool", "robot").otherwise(F.col("role")).alias("role"), F.col("text").alias("content"))
+    records = t.select(
+        turn.alias("cursor"), turn.alias("event_id"), F.lit("u").alias("user_id"), F.col("conv_id").cast("string").alias("session_id"), F.col("turn").cast("string").alias("round_id"),
+        F.lit("2024-01-01T00:00:00Z").alias("completed_at"), F.array(message).alias("messages"), F.sha2("text", 256).alias("final_response"), (F.col("turn") % 2 == 0).alias("even"),
+    )
+    for i, part in enumerate((records.where("even"), records)):
+        C.as_lines(part.drop("even")).write.text(f"{folder}/in/{i}")
+        query = C.sync(spark, f"{folder}/in", f"{folder}/ledger")
+        query.awaitTermination()
+    ledger = spark.read.parquet(f"{folder}/ledger/events")
+    return ledger.select("event_id", "session_id", F.col("final_response").alias("sha"), F.col("batch").cast("long").alias("batch"))
+
+
 def compare_and_set(spark, sf_dir):
     j = D.journal(spark, sf_dir)
     current = j.groupBy("session_id").agg(F.max("sequence").alias("version")).withColumn("payload", F.lit("old"))
@@ -106,7 +125,9 @@ SQL = {
     "stream_two_phase": """SELECT conv_id AS session_id, conv_id || '-' || turn AS event_id, turn::BIGINT + 1 AS sequence, 'reserved' AS outcome FROM conversations
         UNION ALL SELECT conv_id, CASE WHEN turn % 11 = 10 THEN 'none' ELSE conv_id || '-' || turn END, CASE WHEN turn % 11 <> 10 THEN turn::BIGINT + 1 END,
         CASE WHEN turn % 11 = 10 THEN 'missing' WHEN turn % 7 = 6 THEN 'sequence_conflict' WHEN turn % 5 = 4 THEN 'digest_conflict' ELSE 'committed' END FROM conversations""",
+    "cursor_sync": """SELECT conv_id || '-' || turn AS event_id, conv_id::VARCHAR AS session_id, sha256(text) AS sha, (turn % 2)::BIGINT AS batch FROM conversations
+        WHERE role IN ('user', 'assistant', 'system') AND regexp_matches(text, '[^ \t\n\r]')""",
     "stream_in_order": f"SELECT session_id, sequence FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY sequence) AS n FROM ({D.JOURNAL_WITH_GAPS})) WHERE sequence = n",
 }
 
-QUERIES = {f.__name__: f for f in (stream_sequences, stream_in_order, stream_batches, stream_due_batches, stream_job_queue, stream_two_phase, compare_and_set, text_chunks, memory_entries)}
+QUERIES = {f.__name__: f for f in (stream_sequences, stream_in_order, stream_batches, stream_due_batches, stream_job_queue, stream_two_phase, cursor_sync, compare_and_set, text_chunks, memory_entries)}
