@@ -9,6 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from recollect.operators import audit as A
+from recollect.operators import extraction as E
 from recollect.operators import governance as G
 from recollect.operators import graph as K
 from recollect.operators import metrics as M
@@ -371,6 +372,25 @@ def ordered_evidence(spark, sf_dir):
     return A.in_order_of(decisions, p.select(F.col("p_partkey").alias("evidence_id"), F.col("p_brand").alias("title")))
 
 
+def json_statements(spark, sf_dir):
+    """Orders as JSON records, several in a chunk and one alone, and their lines as text: what they state."""
+    l, o = D.table(spark, sf_dir, "lineitem"), D.table(spark, sf_dir, "orders")
+    one = F.to_json(F.struct(F.col("o_orderkey").alias("application_id"), F.col("o_orderstatus").alias("name"), F.struct("o_custkey", F.lit(None).cast("string").alias("none")).alias("customer"), F.array("o_orderpriority").alias("flags")))
+    pair = F.concat(F.lit("["), one, F.lit(", 5, "), one, F.lit("]"))
+    orders = o.select(F.lit("orders").alias("source_id"), F.col("o_orderkey").alias("chunk_id"), F.when(F.col("o_orderkey") % 2 == 0, one).otherwise(pair).alias("content"))
+    line = F.concat_ws("|", F.lit("triple"), "l_orderkey", F.lit(" line "), "l_linenumber")
+    lines = l.select(F.lit("lines").alias("source_id"), F.col("l_orderkey").alias("chunk_id"), line.alias("content"))
+    return E.stated(orders.unionByName(lines)).select("source_id", "chunk_id", F.col("pos").cast("long").alias("pos"), "kind", F.coalesce("id", "subject").alias("entity"), "predicate", F.coalesce("object", "value").alias("told"))
+
+
+def card_fields(spark, sf_dir):
+    """Documents as cards with a head of a number, a text, a list and an object."""
+    d = D.table(spark, sf_dir, "documents")
+    head = F.concat(F.lit("---\nid: "), "doc_id", F.lit("\ndomain: "), F.concat_ws("-", F.lit("d"), "doc_id"), F.lit("\nsources:\n  - e1\n  - "), "doc_id", F.lit('\nmore: {"a": ['), "doc_id", F.lit("]}\n---\n"))
+    cards = d.select(F.col("doc_id").alias("source_id"), F.concat(head, "text").alias("content"))
+    return E.front_matter(cards).select("source_id", "key", F.to_json("value").alias("value"))
+
+
 def extracted_records(spark, sf_dir):
     o = D.table(spark, sf_dir, "orders")
     line = F.concat_ws("\n", F.concat_ws("|", F.lit("ENTITY"), "o_orderkey", F.lit(" order "), F.lit("o")), F.concat_ws("|", F.lit("relation"), "o_custkey", F.lit("placed"), "o_orderkey"), F.lit("noise"))
@@ -493,6 +513,12 @@ SQL = {
         SELECT '<urn:node:' || left(sha256('c' || c_custkey), 24) || '> <urn:rel:checksum> "' || sha256(c_name) || '" .' FROM customer UNION ALL
         SELECT '<urn:node:' || left(sha256('c' || c_custkey), 24) || '> <urn:rel:invalidated> true .' FROM customer WHERE c_custkey % 10 = 0""",
     "ordered_evidence": "SELECT l_orderkey AS decision_id, string_agg(p_brand, ',' ORDER BY l_linenumber, l_partkey) AS evidence FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_partkey % 5 <> 0 GROUP BY l_orderkey",
+    "json_statements": """WITH r AS (SELECT *, unnest(CASE WHEN o_orderkey % 2 = 0 THEN [0] ELSE [0, 2] END)::BIGINT AS pos FROM orders)
+        SELECT 'orders' AS source_id, o_orderkey AS chunk_id, pos, 'entity' AS kind, o_orderkey::VARCHAR AS entity, 'LoanApplication' AS predicate, o_orderstatus AS told FROM r
+        UNION ALL SELECT 'orders', o_orderkey, pos, 'triple', o_orderkey::VARCHAR, 'customer', '{"o_custkey":' || o_custkey || '}' FROM r UNION ALL SELECT 'orders', o_orderkey, pos, 'triple', o_orderkey::VARCHAR, 'flags', '["' || o_orderpriority || '"]' FROM r
+        UNION ALL SELECT 'lines', l_orderkey, 0, 'triple', l_orderkey::VARCHAR, 'line', l_linenumber::VARCHAR FROM lineitem""",
+    "card_fields": """SELECT doc_id AS source_id, 'id' AS key, doc_id::VARCHAR AS value FROM documents UNION ALL SELECT doc_id, 'domain', '"d-' || doc_id || '"' FROM documents
+        UNION ALL SELECT doc_id, 'sources', '["e1","' || doc_id || '"]' FROM documents UNION ALL SELECT doc_id, 'more', '{"a":[' || doc_id || ']}' FROM documents""",
     "extracted_records": "SELECT o_orderkey AS source_id, 0 AS pos, 'ENTITY' AS kind, o_orderkey::VARCHAR AS first, 'order' AS second, 'o' AS third FROM orders UNION ALL SELECT o_orderkey, 1, 'RELATION', o_custkey::VARCHAR, 'placed', o_orderkey::VARCHAR FROM orders",
     "latency_stats": f"SELECT * REPLACE (round(mean, 6) AS mean) FROM ({_STATS})",
     "slo_verdicts": f"SELECT operation, n > 0 AND errors = 0 AND p95 <= 150 AND p99 <= 300 AS ok FROM ({_STATS})",
@@ -504,5 +530,5 @@ QUERIES = {f.__name__: f for f in (
     transcript_lines, transcript_grep, grep_context, sql_grep, sql_read, grep_counts, grep_multiline, transcript_page, transcript_read, grep_budget, resolved_markers, due_scopes, review_batches, pending_events, task_gates, duplicate_events, latest_activity,
     job_states, publication_transitions, artifact_decisions, batch_verdicts, reinforced_confidence, consolidated_entries, card_versions, persona_domains, event_dispositions, evidence_gaps, evaluation_status, fail_closed_decision,
     evaluation_rates, graph_as_of, trace_subgraph, dangling_edges, khop_neighbours, causal_chain, fact_nodes, fact_conflicts, entity_resolution, alias_resolution, rule_evaluation, ontology_errors, chain_verify, snapshot_fingerprint,
-    manifest_differences, compliance_report, turtle_lines, ordered_evidence, extracted_records, latency_stats, slo_verdicts, latency_histogram, role_counts,
+    manifest_differences, compliance_report, turtle_lines, ordered_evidence, extracted_records, json_statements, card_fields, latency_stats, slo_verdicts, latency_histogram, role_counts,
 )}

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
 
+from recollect.functions import variants as V
+
 LINES = "file string, position long, line string"
 RECORD = "cursor string, event_id string, user_id string, session_id string, round_id string, completed_at string, messages array<struct<role:string,content:string>>, final_response string"
 ROLES = ("user", "assistant", "system", "tool")
@@ -137,9 +139,7 @@ def records(lines_: DataFrame) -> DataFrame:
     blank = F.array_compact(F.array(*(F.when(~F.coalesce(F.col(f"record.{c}").rlike(r"\S"), F.lit(False)), c) for c in texts)))
     zoned = F.coalesce(F.col("record.completed_at").rlike(r"(Z|[+-]\d\d:?\d\d)$"), F.lit(False)) & F.try_to_timestamp("record.completed_at").isNotNull()
     good = F.forall("record.messages", lambda m: m["role"].isin(*ROLES) & F.coalesce(m["content"].rlike(r"\S"), F.lit(False)))
-    # the parser stops after the first value, so that what follows it shows only inside brackets
-    one = F.try_parse_json(F.concat(F.lit("["), "line", F.lit("]")))
-    is_one = F.coalesce(F.schema_of_variant(F.try_variant_get(one, "$[0]", "variant")).startswith("OBJECT"), F.lit(False)) & F.try_variant_get(one, "$[1]", "variant").isNull()
+    is_one = F.coalesce(V.kind(V.one_json(F.col("line"))) == "OBJECT", F.lit(False))
     wrong = F.when(F.col("record").isNull() | ~is_one, "not JSON").when(F.size(blank) > 0, F.concat(F.lit("blank "), F.get(blank, F.lit(0))))
     wrong = wrong.when(~zoned, "completed_at").when(~F.coalesce(good & (F.size("record.messages") > 0), F.lit(False)), "messages")
     return r.select("file", "position", "record.*", wrong.alias("error"))
