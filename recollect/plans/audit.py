@@ -373,7 +373,7 @@ def ordered_evidence(spark, sf_dir):
 
 
 def json_statements(spark, sf_dir):
-    """Orders as JSON records, several in a chunk and one alone, and their lines as text: what they state."""
+    """Orders as JSON records, several in a chunk and one alone, and their lines as text: what they state. An id of zero counts as none."""
     l, o = D.table(spark, sf_dir, "lineitem"), D.table(spark, sf_dir, "orders")
     one = F.to_json(F.struct(F.col("o_orderkey").alias("application_id"), F.col("o_orderstatus").alias("name"), F.struct("o_custkey", F.lit(None).cast("string").alias("none")).alias("customer"), F.array("o_orderpriority").alias("flags")))
     pair = F.concat(F.lit("["), one, F.lit(", 5, "), one, F.lit("]"))
@@ -513,7 +513,7 @@ SQL = {
         SELECT '<urn:node:' || left(sha256('c' || c_custkey), 24) || '> <urn:rel:checksum> "' || sha256(c_name) || '" .' FROM customer UNION ALL
         SELECT '<urn:node:' || left(sha256('c' || c_custkey), 24) || '> <urn:rel:invalidated> true .' FROM customer WHERE c_custkey % 10 = 0""",
     "ordered_evidence": "SELECT l_orderkey AS decision_id, string_agg(p_brand, ',' ORDER BY l_linenumber, l_partkey) AS evidence FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_partkey % 5 <> 0 GROUP BY l_orderkey",
-    "json_statements": """WITH r AS (SELECT *, unnest(CASE WHEN o_orderkey % 2 = 0 THEN [0] ELSE [0, 2] END)::BIGINT AS pos FROM orders)
+    "json_statements": """WITH r AS (SELECT *, unnest(CASE WHEN o_orderkey % 2 = 0 THEN [0] ELSE [0, 2] END)::BIGINT AS pos FROM orders WHERE o_orderkey <> 0)
         SELECT 'orders' AS source_id, o_orderkey AS chunk_id, pos, 'entity' AS kind, o_orderkey::VARCHAR AS entity, 'LoanApplication' AS predicate, o_orderstatus AS told FROM r
         UNION ALL SELECT 'orders', o_orderkey, pos, 'triple', o_orderkey::VARCHAR, 'customer', '{"o_custkey":' || o_custkey || '}' FROM r UNION ALL SELECT 'orders', o_orderkey, pos, 'triple', o_orderkey::VARCHAR, 'flags', '["' || o_orderpriority || '"]' FROM r
         UNION ALL SELECT 'lines', l_orderkey, 0, 'triple', l_orderkey::VARCHAR, 'line', l_linenumber::VARCHAR FROM lineitem""",
