@@ -1,8 +1,8 @@
 """Operators over messages of blocks: tool calls and results, clearing of old results, cuts that keep calls and results together.
 
 Messages have session_id, pos, role, message_id, group_id, ts and blocks (an array of type, id, tool_use_id, name, text and
-content). What a session's blocks have in common is collected by session, which is one conversation; messages that nothing
-touches stay as they are.
+content), told apart by session and pos. What a session's blocks have in common is found by joins on its ids; messages that
+nothing touches stay as they are.
 """
 
 from __future__ import annotations
@@ -17,10 +17,11 @@ MEDIA_TOKENS = 2_000
 CLEARED = "[old tool result cleared]"
 
 
-def _of_session(values: Column) -> Column:
-    """The arrays of a session's messages as one, in order."""
-    by = Window.partitionBy("session_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return F.flatten(F.collect_list(values).over(by))
+def _with_found(messages: DataFrame, ids: DataFrame) -> DataFrame:
+    """Messages with ``_found``: the calls that their own results answer and that ids (session_id, id) hold."""
+    asked = messages.select("session_id", "pos", F.explode(_ids("tool_result", "tool_use_id")).alias("id"))
+    found = asked.join(ids, ["session_id", "id"], "left_semi").groupBy("session_id", "pos").agg(F.collect_set("id").alias("_found"))
+    return messages.join(found, ["session_id", "pos"], "left").withColumn("_found", F.coalesce("_found", F.array().cast("array<string>"))).select(*messages.columns, "_found")
 
 
 def _ids(kind: str, field: str) -> Column:
@@ -36,18 +37,18 @@ def tokens(messages: DataFrame) -> DataFrame:
 
 def without_orphans(messages: DataFrame) -> DataFrame:
     """Results without their call go, and messages that held nothing else (JN7)."""
-    marked = messages.withColumn("_uses", _of_session(_ids("tool_use", "id")))
-    kept = F.filter("blocks", lambda b: (b["type"] != "tool_result") | F.array_contains(F.col("_uses"), b["tool_use_id"]))
-    return marked.withColumn("_kept", kept).where("blocks is null or size(blocks) = 0 or size(_kept) > 0").withColumn("blocks", F.col("_kept")).drop("_uses", "_kept")
+    calls = messages.select("session_id", F.explode(_ids("tool_use", "id")).alias("id"))
+    kept = F.filter("blocks", lambda b: (b["type"] != "tool_result") | F.array_contains(F.col("_found"), b["tool_use_id"]))
+    return _with_found(messages, calls).withColumn("_kept", kept).where("blocks is null or size(blocks) = 0 or size(_kept) > 0").withColumn("blocks", F.col("_kept")).drop("_found", "_kept")
 
 
 def cleared_results(messages: DataFrame, tools: tuple[str, ...], keep: int) -> DataFrame:
     """Contents of results of the named tools are cleared, but for the last ``keep`` calls, at least one (JN8, SRT9)."""
-    calls = F.transform(F.filter("blocks", lambda b: (b["type"] == "tool_use") & b["name"].isin(*tools)), lambda b: b["id"])
-    marked = messages.withColumn("_calls", _of_session(F.coalesce(calls, F.array().cast("array<string>"))))
-    old = F.slice("_calls", 1, F.greatest(F.lit(0), F.size("_calls") - max(1, keep)))
-    blocks = F.transform("blocks", lambda b: F.when((b["type"] == "tool_result") & F.array_contains(old, b["tool_use_id"]), b.withField("content", F.lit(CLEARED))).otherwise(b))
-    return marked.withColumn("blocks", blocks).drop("_calls")
+    calls = messages.select("session_id", "pos", F.posexplode(F.filter("blocks", lambda b: (b["type"] == "tool_use") & b["name"].isin(*tools))).alias("nth", "call"))
+    from_end = F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("pos"), F.desc("nth")))
+    old = calls.select("session_id", F.col("call.id").alias("id"), from_end.alias("n")).where(F.col("n") > max(1, keep))
+    blocks = F.transform("blocks", lambda b: F.when((b["type"] == "tool_result") & F.array_contains(F.col("_found"), b["tool_use_id"]), b.withField("content", F.lit(CLEARED))).otherwise(b))
+    return _with_found(messages, old).withColumn("blocks", blocks).drop("_found")
 
 
 def closed_cuts(messages: DataFrame, cuts: DataFrame) -> DataFrame:

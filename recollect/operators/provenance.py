@@ -18,31 +18,60 @@ def latest(entries: DataFrame) -> DataFrame:
     return entries.withColumn("_n", F.row_number().over(by)).where("_n = 1").drop("_n")
 
 
-def lineage(entries: DataFrame, starts: DataFrame, depth: int = 10_000) -> DataFrame:
+def _paths(parents: DataFrame, starts: DataFrame) -> DataFrame:
+    """entry_id, head and steps: entries on a path without forks, and how far down it they are from its first one, the head.
+
+    An entry goes on the path of its child where it is that child's only parent, has no other child and is no start. Pointers to
+    heads are doubled: a path of n entries takes log2(n) rounds of one join. Rings that nothing outside leads to are left out.
+    """
+    shared_folder(parents.sparkSession)
+    one = parents.groupBy("chain_id", "child").agg(F.count("*").alias("n"), F.first("entry_id").alias("entry_id")).where("n = 1").drop("n")
+    only = parents.groupBy("chain_id", "entry_id").agg(F.count("*").alias("n"), F.first("child").alias("child")).where("n = 1").drop("n")
+    links = one.join(only, ["chain_id", "child", "entry_id"]).where("child <> entry_id").join(starts, ["chain_id", "entry_id"], "left_anti")
+    rows = links.select("chain_id", "entry_id", F.col("child").alias("head"), F.lit(1).cast("long").alias("steps"), F.lit(True).alias("open")).checkpoint()
+    for _ in range(rows.count().bit_length() + 1):
+        further = rows.select("chain_id", F.col("entry_id").alias("head"), F.col("head").alias("_head"), F.col("steps").alias("_steps"))
+        rows = rows.join(further, ["chain_id", "head"], "left").select("chain_id", "entry_id", F.coalesce("_head", "head").alias("head"), (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps"), F.col("_head").isNotNull().alias("open")).checkpoint()
+        if rows.where("open").isEmpty():
+            break
+    return rows.where("not open").drop("open")
+
+
+def lineage(entries: DataFrame, starts: DataFrame, depth: int | None = None) -> DataFrame:
     """Of each start (chain_id, start) the entries it derives from, itself first, in the order of a search in depth (GR8, GR9).
 
     A reference is an entry's id, else the latest entry of an entity; others lead nowhere. An entry is placed by the least
-    of the ways to it, which is where such a search meets it first: a way is the list of places in ``derived_from``. An ancestry
-    that goes on beyond ``depth`` steps is an error.
+    of the ways to it, which is where such a search meets it first: a way is the list of places in ``derived_from`` taken at forks.
+    Paths without forks are one step, whatever their length, so rounds and the length of ways grow with the forks on a way only.
+    With ``depth``, an ancestry that goes on beyond so many entries is an error.
     """
     shared_folder(entries.sparkSession)
     by_entity = latest(entries).select("chain_id", F.col("entity_id").alias("ref"), "entry_id", F.lit(1).alias("rank"))
     names = entries.select("chain_id", F.col("entry_id").alias("ref"), "entry_id", F.lit(0).alias("rank")).unionByName(by_entity).groupBy("chain_id", "ref").agg(F.min_by("entry_id", "rank").alias("entry_id"))
-    parents = entries.select("chain_id", F.col("entry_id").alias("child"), F.posexplode("derived_from").alias("nth", "ref")).join(names, ["chain_id", "ref"]).select("chain_id", "child", "nth", "entry_id").checkpoint()
-    seen = starts.select("chain_id", "start", F.col("start").alias("ref")).join(names, ["chain_id", "ref"]).select("chain_id", "start", "entry_id", F.array().cast("array<int>").alias("way")).checkpoint()
+    refs = entries.select("chain_id", F.col("entry_id").alias("child"), F.posexplode("derived_from").alias("nth", "ref")).join(names, ["chain_id", "ref"])
+    parents = refs.groupBy("chain_id", "child", "entry_id").agg(F.min("nth").alias("nth")).checkpoint()
+    least = lambda rows: rows.groupBy("chain_id", "start", "entry_id").agg(F.min(F.struct("way", "steps")).alias("w")).select("chain_id", "start", "entry_id", "w.way", "w.steps")
+    seen = starts.select("chain_id", "start", F.col("start").alias("ref")).join(names, ["chain_id", "ref"]).select("chain_id", "start", "entry_id", F.array().cast("array<int>").alias("way"), F.lit(0).cast("long").alias("steps"))
+    seen = least(seen).checkpoint()
+    paths = _paths(parents, seen.select("chain_id", "entry_id").distinct())
+    above = paths.select("chain_id", F.col("entry_id").alias("child"), "head", "steps")
+    forks = parents.join(paths.select("chain_id", "entry_id"), ["chain_id", "entry_id"], "left_anti").join(above, ["chain_id", "child"], "left")
+    forks = forks.select("chain_id", F.coalesce("head", "child").alias("head"), "nth", "entry_id", (F.coalesce("steps", F.lit(0)) + 1).alias("more")).checkpoint()
     front = seen
-    for _ in range(depth):
-        reached = front.withColumnRenamed("entry_id", "child").join(parents, ["chain_id", "child"]).select("chain_id", "start", "entry_id", F.concat("way", F.array("nth")).alias("way"))
-        best = reached.groupBy("chain_id", "start", "entry_id").agg(F.min("way").alias("way"))
+    while not front.isEmpty():
+        reached = front.withColumnRenamed("entry_id", "head").join(forks, ["chain_id", "head"])
+        best = least(reached.select("chain_id", "start", "entry_id", F.concat("way", F.array("nth")).alias("way"), (F.col("steps") + F.col("more")).alias("steps")))
         known = seen.select("chain_id", "start", "entry_id", F.col("way").alias("_way"))
         front = best.join(known, ["chain_id", "start", "entry_id"], "left").where(F.col("_way").isNull() | (F.col("way") < F.col("_way"))).drop("_way").checkpoint()
-        if front.isEmpty():
-            break
-        seen = seen.unionByName(front).groupBy("chain_id", "start", "entry_id").agg(F.min("way").alias("way")).checkpoint()
-    else:
+        seen = least(seen.unionByName(front)).checkpoint()
+    at = F.lit(0).cast("long").alias("at")
+    on = paths.select("chain_id", "head", F.col("entry_id").alias("own"), F.col("steps").alias("at"))
+    inner = seen.withColumnRenamed("entry_id", "head").join(on, ["chain_id", "head"]).select("chain_id", "start", F.col("own").alias("entry_id"), "way", "steps", "at")
+    found = seen.select("chain_id", "start", "entry_id", "way", "steps", at).unionByName(inner)
+    if depth is not None and not found.where(F.col("steps") + F.col("at") >= depth).isEmpty():
         raise RuntimeError(f"the ancestry goes on beyond {depth} steps")
-    place = F.row_number().over(Window.partitionBy("chain_id", "start").orderBy("way"))
-    return seen.withColumn("place", place).drop("way")
+    place = F.row_number().over(Window.partitionBy("chain_id", "start").orderBy("way", "at"))
+    return found.withColumn("place", place).select("chain_id", "start", "entry_id", "place")
 
 
 def tombstones(entries: DataFrame, requests: DataFrame) -> DataFrame:
@@ -120,14 +149,25 @@ def critical_conflicts(conflicts: DataFrame, subjects: DataFrame, fields: DataFr
     return conflicts.join(subjects.select("subject"), "subject", "left_semi").join(fields.select(F.col("field").alias("predicate")).distinct(), "predicate", "left_semi")
 
 
-def policy_sources(rules: DataFrame, documents: DataFrame) -> DataFrame:
+def policy_sources(rules: DataFrame, documents: DataFrame, gram: int = 8) -> DataFrame:
     """rule_id and source_id of documents whose id holds the name of the rule's source, up to a # (JN17).
 
-    A comparison by parts of names has no key: rules are a table that a person writes, and each document is read once.
+    The key is the name's first ``gram`` characters, the whole name where it is shorter: ids are cut into pieces of the lengths
+    that such keys have, and what meets is compared in full. An empty name (a reference that begins with #) is part of every id.
     """
     name = F.split("source_ref", "#")[0]
-    named = rules.where("source_ref <> ''").select("rule_id", name.alias("_name"))
-    return documents.join(F.broadcast(named), F.contains(F.col("source_id"), F.col("_name"))).select("rule_id", "source_id")
+    named = rules.where("source_ref <> ''").select("rule_id", name.alias("_name"), F.left(name, F.lit(gram)).alias("_key"))
+    lengths = sorted(r[0] for r in named.select(F.length("_key")).distinct().collect())  # from 0 to ``gram``
+    ids = documents.select("source_id")
+    none = F.array().cast("array<string>")
+
+    def pieces(n: int) -> Column:
+        each = F.transform(F.sequence(F.lit(1), F.length("source_id") - n + 1), lambda i: F.substring(F.col("source_id"), i, F.lit(n)))
+        return F.when(F.length("source_id") >= n, each).otherwise(none)
+
+    cut = F.array_distinct(F.concat(none, *map(pieces, lengths)))
+    met = ids.select("source_id", F.explode(cut).alias("_key")).join(named, "_key")
+    return met.where(F.contains("source_id", "_name")).select("rule_id", "source_id")
 
 
 def first_of_type(nodes: DataFrame, kind: str, *scope: str) -> DataFrame:

@@ -5,9 +5,10 @@ All windows are over one session, in order of sequence.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, Window
@@ -17,6 +18,8 @@ from pyspark.sql.types import StringType, StructField, StructType
 from recollect.sources.folders import shared_folder
 
 READ_LIMIT, READ_CHARS = 2_000, 20_000
+#: Characters of a session that are read before a search over several lines is tried.
+WINDOW = 1 << 16
 
 
 def rendered(events: DataFrame) -> DataFrame:
@@ -34,25 +37,95 @@ def matching(lines: DataFrame, pattern: str, ignore_case: bool = True) -> Column
     return F.col("text").rlike(("(?i)" if ignore_case else "") + pattern)
 
 
+class _Unsettled:
+    """The lines of one session that matches may still touch; lines whose matches no later line can change are told and forgotten.
+
+    ``unsure`` finds the first place from which a match could still run into the end of what is held, by the partial matches of
+    the regex module; what matches before it is settled. A match at that very place is, too, if ``first`` comes to it before it
+    meets the end (as a lazy repeat does). While nothing settles, twice as much is read before the next attempt.
+    """
+
+    def __init__(self, pattern: str, flags: int) -> None:
+        self.found = regex.compile(pattern, flags)
+        self.unsure = regex.compile(f"(?:{pattern})(?!)", flags)
+        self.first = regex.compile(f"(?:{pattern})(?P<_whole>).*+(?!)", flags)  # goes on to the end behind the match
+        self.looks_back = "(?<=" in pattern or "(?<!" in pattern  # then nothing is forgotten
+        self.begin()
+
+    def begin(self) -> None:
+        self.lines, self.parts, self.size, self.due, self.pos, self.told = [], [], 0, WINDOW, 0, 0
+
+    def add(self, sequence: int, line: str) -> list[int]:
+        self.lines.append(sequence)
+        self.parts.append(line)
+        self.size += len(line) + 1
+        return self.matched(False) if self.size >= self.due else []
+
+    def _settled(self, text: str, last: int | None) -> Iterator[tuple[int, int]]:
+        """Spans of the matches from ``pos`` on that end before ``last`` and cannot change; ``pos`` moves behind them."""
+        while True:
+            doubt = self.unsure.search(text, self.pos, partial=True) if last is not None else None
+            limit = doubt.start() if doubt else len(text) + 1
+            for m in self.found.finditer(text, self.pos):
+                if m.start() >= limit or last is not None and m.end() >= last:
+                    break
+                self.pos = m.end()
+                yield m.span()
+            else:
+                m = None
+            if m and limit == m.start() < m.end() < last and (own := self.first.match(text, limit, partial=True)) and own.span("_whole")[0] == m.end():
+                self.pos = m.end()
+                yield m.span()
+                continue
+            if last is not None:
+                self.pos = max(self.pos, min(limit, last, m.start() if m else last))
+            return
+
+    def matched(self, at_end: bool) -> list[int]:
+        text = "\n".join(self.parts)
+        ends = list(accumulate(len(p) + 1 for p in self.parts))
+        out = []
+        for start, end in self._settled(text, None if at_end else ends[-2] if len(ends) > 1 else 0):
+            first, last = bisect_right(ends, start), bisect_right(ends, max(start, end - 1))
+            out += self.lines[max(first, self.told) : last + 1]
+            self.told = max(self.told, last + 1)
+        gone = 0 if self.looks_back else max(0, bisect_right(ends, self.pos) - 1)  # the line before stays, for what is asked at borders
+        if gone:
+            shift = ends[gone - 1]
+            self.lines, self.parts = self.lines[gone:], self.parts[gone:]
+            self.pos, self.told, self.size = self.pos - shift, max(0, self.told - gone), self.size - shift
+        self.due = max(WINDOW, 2 * self.size)
+        return out
+
+
 def multiline_matches(lines: DataFrame, pattern: str, ignore_case: bool = True) -> DataFrame:
     """session_id and sequence of each line that a match touches, line ends included (GRP2).
 
-    Spark tells no places of matches, so a session's lines go to one pandas group, as the whole session is the text searched.
+    The text that is searched is the whole session. Its lines come as a sorted stream, and only those are held that a match may
+    still reach back to: a few for patterns that end soon, all from its beginning on for one that goes on to the session's end.
+    Patterns that look behind hold the session. Matches are those of one search through the whole text.
     """
     flags = regex.MULTILINE | regex.DOTALL | (regex.IGNORECASE if ignore_case else 0)
+    schema = StructType([StructField(c, lines.schema[c].dataType) for c in ("session_id", "sequence")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, session, kinds = _Unsettled(pattern, flags), None, None
+        batch_of = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["session_id", "sequence"])
+        for batch in batches:
+            kinds, out = [batch.schema.field(i).type for i in (0, 1)], []
+            for id_, sequence, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if id_ != session:
+                    if held.lines:
+                        out += [(session, n) for n in held.matched(True)]
+                    session = id_
+                    held.begin()
+                out += [(session, n) for n in held.add(sequence, f"{sequence}\t{text}")]
+            if out:
+                yield batch_of(out)
+        if held.lines and (rest := held.matched(True)):
+            yield batch_of([(session, n) for n in rest])
 
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("sequence")
-        parts = [f"{s}\t{t}" for s, t in zip(pdf.sequence, pdf.text)]
-        ends = pd.Series([len(p) + 1 for p in parts]).cumsum().to_numpy()
-        touched: set[int] = set()
-        for m in regex.finditer(pattern, "\n".join(parts), flags):
-            touched.update(range(int(ends.searchsorted(m.start(), "right")), int(ends.searchsorted(max(m.start(), m.end() - 1), "right")) + 1))
-        kept = [i for i in sorted(touched) if i < len(parts)]
-        return pdf.iloc[kept][["session_id", "sequence"]]
-
-    schema = ", ".join(f"{c} {dict(lines.dtypes)[c]}" for c in ("session_id", "sequence"))
-    return lines.groupBy("session_id").applyInPandas(search, schema)
+    return lines.select("session_id", "sequence", "text").repartition("session_id").sortWithinPartitions("session_id", "sequence").mapInArrow(run, schema)
 
 
 def with_context(lines: DataFrame, is_match: Column, before: int, after: int) -> DataFrame:
