@@ -49,6 +49,30 @@ def matching_rules(rules: DataFrame, facts: DataFrame) -> DataFrame:
     return matched.select("subject", "rule_id", "conclusion", F.row_number().over(by).alias("place"))
 
 
+#: How explanations write the operators of conditions.
+_SIGNS = {"eq": "==", "ne": "!=", "gt": ">", "gte": ">=", "lt": "<", "lte": "<=", "in": "in", "contains": "contains"}
+
+
+def explained_rules(rules: DataFrame, facts: DataFrame) -> DataFrame:
+    """The rules that ``matching_rules`` finds, each with the steps that led to it, a sentence for each condition in order (GOV15).
+
+    rules as there, with version, source_ref and nth, the place of a condition in its rule; facts have one value for a field.
+    Numbers are written bare, other values in single quotes. An operator that does not exist is an error, rather than a
+    condition that never holds. What is gathered for a subject and a rule is bounded by the rule's conditions.
+    """
+    quoted = lambda c: F.when(c.try_cast("double").isNotNull(), c).otherwise(F.concat(F.lit("'"), c, F.lit("'")))
+    known = F.when(F.col("op").isin(*_SIGNS), F.col("op")).otherwise(F.raise_error(F.concat(F.lit("unsupported operator: "), F.coalesce("op", F.lit("none")))))
+    signs = F.create_map(*(F.lit(x) for pair in _SIGNS.items() for x in pair))
+    conditions = rules.select("rule_id", "nth", "field", known.alias("op"), "wanted")
+    met = facts.join(conditions, "field").where(_holds(F.col("op"), F.col("value"), F.col("wanted")))
+    step = F.concat_ws(" ", "field", F.element_at(signs, F.col("op")), quoted(F.col("wanted")), F.lit("matched actual value"), quoted(F.col("value")))
+    of = met.groupBy("subject", "rule_id").agg(F.array_sort(F.collect_list(F.struct("nth", step.alias("step")))).alias("steps"))
+    heads = rules.groupBy("rule_id").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("priority", "conclusion", "version", "source_ref")))
+    matched = of.join(heads, "rule_id").where(F.size("steps") == F.col("n"))
+    place = F.row_number().over(Window.partitionBy("subject").orderBy(F.desc("priority"), "rule_id"))
+    return matched.select("subject", "rule_id", "version", "conclusion", "source_ref", F.transform("steps", lambda s: s["step"]).alias("steps"), place.alias("place"))
+
+
 def ontology_errors(nodes: DataFrame, constraints: DataFrame) -> DataFrame:
     """id, field and error of nodes that break constraints (FLT12): required, of a type, or of allowed values.
 

@@ -182,6 +182,26 @@ def merged_entities(resolved: DataFrame) -> DataFrame:
     return of.join(properties, "resolved_id", "left")
 
 
+def _renamed(rows: DataFrame, names: DataFrame, column: str, applies: Column | None = None) -> DataFrame:
+    """Rows with what the column's entity resolves to in its place, where ``applies``."""
+    key = F.col(column) if applies is None else F.when(applies, F.col(column))
+    m = names.select(F.col("entity_id").alias("_from"), F.col("resolved_id").alias("_to"))
+    return rows.withColumn("_key", key).join(m, F.col("_key") == F.col("_from"), "left").withColumn(column, F.coalesce("_to", column)).drop("_key", "_from", "_to")
+
+
+def rewritten_triplets(triplets: DataFrame, names: DataFrame) -> DataFrame:
+    """Triplets whose subjects, and objects that are strings (value_type str), are replaced by what they resolve to (JN9)."""
+    return _renamed(_renamed(triplets, names, "subject"), names, "object", F.col("value_type") == "str")
+
+
+def rewritten_participants(events: DataFrame, names: DataFrame) -> DataFrame:
+    """Events (event_id, participants) with each participant replaced by what it resolves to, in their order, repeats kept (JN9)."""
+    each = events.select("event_id", F.posexplode("participants").alias("nth", "id"))
+    item = F.struct("nth", "id")
+    lists = _renamed(each, names, "id").groupBy("event_id").agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["id"]).alias("_now"))
+    return events.join(lists, "event_id", "left").withColumn("participants", F.coalesce("_now", "participants")).drop("_now")
+
+
 def rewritten(relations: DataFrame, names: DataFrame) -> DataFrame:
     """Relations with both ends replaced by what they resolve to (JN9)."""
     m = names.select("entity_id", "resolved_id")

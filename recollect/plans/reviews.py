@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from recollect.functions import arrow as W
 from recollect.functions import text as T
 from recollect.functions import values as V
+from recollect.operators import audit as A
 from recollect.operators import context as C
 from recollect.operators import governance as G
 from recollect.operators import graph as K
@@ -479,6 +480,50 @@ def rewritten_relations(spark, sf_dir):
     return K.rewritten(o, names).select("o_orderkey", "subject_id")
 
 
+def _merged_customers(spark, sf_dir):
+    """Customers that resolve to the first of their nation."""
+    c = D.table(spark, sf_dir, "customer")
+    first = c.groupBy("c_nationkey").agg(F.min("c_custkey").alias("first"))
+    return c.join(first, "c_nationkey").select(F.concat(F.lit("c"), "c_custkey").alias("entity_id"), F.concat(F.lit("c"), "first").alias("resolved_id"))
+
+
+_MERGED = "SELECT 'c' || c_custkey AS entity_id, 'c' || min(c_custkey) OVER (PARTITION BY c_nationkey) AS resolved_id FROM customer"
+
+
+@query(f"""WITH n AS ({_MERGED}) SELECT o_orderkey, coalesce(s.resolved_id, 'c' || o_custkey) AS subject, CASE WHEN o_orderkey % 4 = 0 THEN 'c' || (o_custkey + 1) ELSE coalesce(t.resolved_id, 'c' || (o_custkey + 1)) END AS object
+    FROM orders LEFT JOIN n s ON s.entity_id = 'c' || o_custkey LEFT JOIN n t ON t.entity_id = 'c' || (o_custkey + 1)""")
+def rewritten_triplets(spark, sf_dir):
+    o, c = D.table(spark, sf_dir, "orders"), F.col("o_custkey")
+    kind = F.when(F.col("o_orderkey") % 4 == 0, "json").otherwise("str")
+    t = o.select("o_orderkey", F.concat(F.lit("c"), c).alias("subject"), F.concat(F.lit("c"), c + 1).alias("object"), kind.alias("value_type"))
+    return K.rewritten_triplets(t, _merged_customers(spark, sf_dir)).select("o_orderkey", "subject", "object")
+
+
+@query(f"""WITH n AS ({_MERGED}), p AS (SELECT o_orderkey AS event_id, unnest([1, 2, 3]) AS nth, unnest(['c' || o_custkey, 's' || o_orderkey, 'c' || (o_custkey + 7)]) AS id FROM orders)
+    SELECT event_id, string_agg(coalesce(resolved_id, id), ',' ORDER BY nth) AS participants FROM p LEFT JOIN n ON entity_id = id GROUP BY event_id""")
+def rewritten_participants(spark, sf_dir):
+    o, c = D.table(spark, sf_dir, "orders"), F.col("o_custkey")
+    e = o.select(F.col("o_orderkey").alias("event_id"), F.array(F.concat(F.lit("c"), c), F.concat(F.lit("s"), "o_orderkey"), F.concat(F.lit("c"), c + 7)).alias("participants"))
+    return K.rewritten_participants(e, _merged_customers(spark, sf_dir)).select("event_id", F.array_join("participants", ",").alias("participants"))
+
+
+_EXPLAINED = [("r1", "2", 10, "reject", "policy#1", n, f, op, w) for n, (f, op, w) in enumerate((("status", "eq", "O"), ("days", "gt", "30")))]
+_EXPLAINED += [("r2", "1", 5, "review", "policy#2", 0, "priority", "in", "1-URGENT|2-HIGH"), ("r3", "1", 10, "note", "policy#3", 0, "priority", "contains", "LOW"), ("r3", "1", 10, "note", "policy#3", 1, "days", "lte", "60"), ("r3", "1", 10, "note", "policy#3", 2, "status", "ne", "P")]
+
+
+@query("""WITH o AS (SELECT o_orderkey AS subject, o_orderstatus AS s, o_orderpriority AS p, o_orderkey % 90 AS d FROM orders), m AS (
+    SELECT subject, 'r1' AS rule_id, '2' AS version, 'reject' AS conclusion, 10 AS n, 'status == ''O'' matched actual value ''' || s || '''; days > 30 matched actual value ' || d AS steps FROM o WHERE s = 'O' AND d > 30
+    UNION ALL SELECT subject, 'r2', '1', 'review', 5, 'priority in ''1-URGENT|2-HIGH'' matched actual value ''' || p || '''' FROM o WHERE p IN ('1-URGENT', '2-HIGH')
+    UNION ALL SELECT subject, 'r3', '1', 'note', 10, 'priority contains ''LOW'' matched actual value ''' || p || '''; days <= 60 matched actual value ' || d || '; status != ''P'' matched actual value ''' || s || '''' FROM o WHERE contains(p, 'LOW') AND d <= 60 AND s <> 'P')
+    SELECT subject, rule_id, version, conclusion, steps, (row_number() OVER (PARTITION BY subject ORDER BY n DESC, rule_id))::INT AS place FROM m""")
+def explained_rules(spark, sf_dir):
+    o = D.table(spark, sf_dir, "orders")
+    values = F.create_map(F.lit("status"), F.col("o_orderstatus"), F.lit("priority"), F.col("o_orderpriority"), F.lit("days"), (F.col("o_orderkey") % 90).cast("string"))
+    rules = spark.createDataFrame(_EXPLAINED, "rule_id string, version string, priority int, conclusion string, source_ref string, nth int, field string, op string, wanted string")
+    got = A.explained_rules(rules, o.select(F.col("o_orderkey").alias("subject"), F.explode(values).alias("field", "value")))
+    return got.select("subject", "rule_id", "version", "conclusion", F.array_join("steps", "; ").alias("steps"), "place")
+
+
 # --- decisions
 @query("""WITH a AS (SELECT o_orderkey AS k, o_orderkey % 6 AS n FROM orders), s AS (SELECT k, CASE WHEN n % 2 = 0 THEN 'manual_review' ELSE 'approve' END AS outcome, ['always', 'manual_on_review', 'never'][n % 3 + 1] AS p FROM a)
     SELECT k AS audit_id, outcome, CASE WHEN p = 'always' OR p = 'manual_on_review' AND outcome = 'manual_review' THEN 'PENDING_APPROVAL' ELSE 'EVALUATED' END AS status FROM s""")

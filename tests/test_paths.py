@@ -133,3 +133,26 @@ def test_sources_by_parts_of_names(spark):
     got = O.policy_sources(frame(rules, "rule_id string, source_ref string"), frame([(d,) for d in docs], "source_id string"))
     assert sorted(map(tuple, got.collect())) == sorted(want)
     assert O.policy_sources(frame([], "rule_id string, source_ref string"), frame([("x",)], "source_id string")).count() == 0
+
+
+def test_rules_explain_themselves(spark):
+    from recollect.operators import audit as A
+
+    rule = lambda r, n, *c: (r, "3", 1, "stop", "doc#1", n, *c)
+    schema = "rule_id string, version string, priority int, conclusion string, source_ref string, nth int, field string, op string, wanted string"
+    rules = [rule("b", 0, "n", "gte", "2"), rule("b", 1, "n", "lt", "10"), rule("a", 0, "n", "eq", "9.0"), rule("c", 0, "missing", "eq", "1"), rule("d", 0, "name", "gt", "3")]
+    facts = spark.createDataFrame([(1, "n", "9"), (1, "name", "x")], "subject long, field string, value string")
+    got = A.explained_rules(spark.createDataFrame(rules, schema), facts).orderBy("place").collect()
+    assert [(r.rule_id, r.steps, r.source_ref) for r in got] == [("a", ["n == 9.0 matched actual value 9"], "doc#1"), ("b", ["n >= 2 matched actual value 9", "n < 10 matched actual value 9"], "doc#1")]
+    with pytest.raises(Exception, match="unsupported operator: like"):
+        A.explained_rules(spark.createDataFrame([rule("e", 0, "n", "like", "9")], schema), facts).collect()
+
+
+def test_participants_and_objects_take_resolved_names(spark):
+    from recollect.operators import graph as K
+
+    names = spark.createDataFrame([("a", "z"), ("b", "z")], "entity_id string, resolved_id string")
+    events = spark.createDataFrame([(1, ["b", "c", "a", "b"]), (2, []), (3, None)], "event_id long, participants array<string>")
+    assert {r.event_id: r.participants for r in K.rewritten_participants(events, names).collect()} == {1: ["z", "c", "z", "z"], 2: [], 3: None}
+    triplets = spark.createDataFrame([("a", "p", "b", "str"), ("b", "p", "a", "int"), (None, "p", None, "str")], "subject string, predicate string, object string, value_type string")
+    assert sorted(map(str, (tuple(r) for r in K.rewritten_triplets(triplets, names).collect()))) == sorted(map(str, [("z", "p", "z", "str"), ("z", "p", "a", "int"), (None, "p", None, "str")]))
