@@ -1,15 +1,20 @@
 """Persona statements: which statement a candidate belongs to, and what becomes of both.
 
 Candidates of a user are folded in order, as each depends on what those before have made of the memory. A user's candidates
-come to one task as a sorted stream behind the user's stored statements; what the task keeps is one user's statements.
+come to one task as a sorted stream behind the user's stored statements; what the task keeps is one user's statements, with an
+index of their tokens, so that a candidate is not compared with every statement.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain, islice
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +26,8 @@ from recollect.functions import values as V
 LEAST_OVERLAP, LEAST_SHARE = 2, 0.08
 ADDED = "Additional durable requirements:\n"
 MERGES = ("", "new", "duplicate", "update", "merge", "conflict")
+#: Characters of statements that are handed on at once: a statement can be as long as all that was merged into it.
+HELD = 1 << 23
 
 
 def plain(text: str) -> str:
@@ -34,31 +41,94 @@ def tokens(text: str) -> set[str]:
     return words | {run[i : i + 2] for run in re.findall("[一-鿿]+", low) for i in range(max(1, len(run) - 1))}
 
 
+class _Domain:
+    """Statements of a domain by their tokens. A slot is a statement's, with its place among all and its number of tokens (0: it is elsewhere now)."""
+
+    def __init__(self) -> None:
+        self.slots: dict[str, array] = {}
+        self.ids: list[str] = []
+        self.place, self.size = array("q"), array("q")
+
+    def nearest(self, mine: set[str]) -> tuple[str | None, int, float]:
+        """The statement with most tokens in common, then the greatest share of the shorter one, then the first; how many, and the share."""
+        held = [np.frombuffer(self.slots[t], np.int32) for t in mine if t in self.slots]
+        if not held:
+            return None, 0, 0.0
+        size = np.array(self.size)
+        both = np.bincount(np.concatenate(held), minlength=len(size)) * (size > 0)
+        best = np.flatnonzero(both == both.max())
+        if not both[best[0]]:
+            return None, 0, 0.0
+        share = both[best] / np.minimum(len(mine), size[best])
+        first = best[share == share.max()]
+        return self.ids[first[np.argmin(np.array(self.place)[first])]], int(both[first[0]]), float(share.max())
+
+
 @dataclass
 class Memory:
-    """One user's statements: id to (domain, statement), in order."""
+    """One user's statements: id to (domain, statement), in order; ``put`` takes them in.
+
+    Plain forms and tokens stand beside them. What is added to a statement is added to these, as statements grow with all that is merged
+    into them.
+    """
 
     items: dict[str, tuple[str, str]] = field(default_factory=dict)
 
+    def __post_init__(self) -> None:
+        self._plain: dict[str, str] = {}
+        self._words: dict[str, dict[str, None]] = {}
+        self._place: dict[str, int] = {}
+        self._equal: dict[str, list[tuple[int, str]]] = {}
+        self._domains: dict[str, _Domain] = {}
+        #: Of each statement and domain it has been in: its slot, and how many of its words are known there.
+        self._slots: dict[str, dict[str, tuple[int, int]]] = {}
+        given, self.items = self.items, {}
+        for i, (domain, statement) in given.items():
+            self.put(i, domain, statement)
+
+    def put(self, own: str, domain: str, statement: str, added: str | None = None) -> None:
+        """A statement, new or with another text; ``added``: the lines that this text has more than the one before."""
+        there = own in self.items
+        place, slots = self._place.setdefault(own, len(self._place)), self._slots.setdefault(own, {})
+        if there:
+            was, before = self.items[own][0], self._plain[own]
+            self._domains[was].size[slots[was][0]] = 0
+            same = self._equal[before]
+            del same[bisect_left(same, (place, own))]
+            if not same:
+                del self._equal[before]
+        if added is None:
+            slots.clear()  # its tokens may be others
+            self._plain[own], self._words[own] = plain(statement), dict.fromkeys(tokens(statement))
+        else:
+            self._plain[own] = " ".join(filter(None, (before, plain(added))))
+            self._words[own].update(dict.fromkeys(tokens(added)))
+        self.items[own] = domain, statement
+        insort(self._equal.setdefault(self._plain[own], []), (place, own))
+        of, words = self._domains.setdefault(domain, _Domain()), self._words[own]
+        slot, known = slots.get(domain, (len(of.ids), 0))
+        if domain not in slots:
+            of.ids.append(own)
+            of.place.append(place)
+            of.size.append(0)
+        for t in islice(reversed(words), len(words) - known):
+            of.slots.setdefault(t, array("i")).append(slot)
+        slots[domain], of.size[slot] = (slot, len(words)), len(words)
+
     def target(self, wanted: str, own_id: str, domain: str, content: str) -> str | None:
         """The statement meant: the one named, the candidate's own, an equal one, or the one with most in common in the domain (SRT3)."""
         if wanted and wanted not in self.items:
             raise ValueError("the target is no statement of the memory")
-        equal = next((i for i, (_, s) in self.items.items() if plain(s) == plain(content)), None)
+        equal = next((i for _, i in self._equal.get(plain(content), ())), None)
         found = wanted or (own_id if own_id in self.items else equal)
         if found:
             other = self.items[found][0]
             if other != domain and "general" not in (other, domain):
                 raise ValueError("the target belongs to another domain")
             return found
-        mine, best = tokens(content), (0, 0.0)
-        for i, (d, s) in self.items.items():
-            theirs = tokens(s)
-            both = len(mine & theirs)
-            rank = both, both / max(1, min(len(mine), len(theirs)))
-            if d == domain and rank > best and both:
-                best, found = rank, i
-        return found if best[0] >= LEAST_OVERLAP and best[1] >= LEAST_SHARE else None
+        of = self._domains.get(domain)
+        near, both, share = of.nearest(tokens(content)) if of else (None, 0, 0.0)
+        return near if both >= LEAST_OVERLAP and share >= LEAST_SHARE else None
 
     def take(self, c: dict) -> dict:
         """The outcome of a candidate, which changes the memory (GOV4) and says what is to be written (GOV5)."""
@@ -71,14 +141,18 @@ class Memory:
         if said in ("update", "merge") and target is None:
             raise ValueError("there is no statement to change")
         # a declared duplicate is not trusted: it is one if the memory has the statement
-        kind = said if said not in ("", "duplicate") else ("new" if target is None else "duplicate" if plain(self.items[target][1]) == plain(content) and not parts else "extension")
+        same = plain(content)
+        kind = said if said not in ("", "duplicate") else ("new" if target is None else "duplicate" if self._plain[target] == same and not parts else "extension")
         if kind == "duplicate":
             return {"merge_type": kind, "target": target, "statement": self.items[target][1] if target else content, "operation": "none"}
-        old = self.items[target][1] if target else ""
-        whole = content if plain(old) in plain(content) else old if plain(content) in plain(old) else f"{old}\n{content}"
-        if parts:
-            whole += "\n" + ADDED + "\n".join(f"- {p}" for p in parts)
-        self.items[own if target is None else target] = c["domain"], whole
+        old, was = (self.items[target][1], self._plain[target]) if target else ("", "")
+        listed = "\n" + ADDED + "\n".join(f"- {p}" for p in parts) if parts else ""
+        if was in same:
+            whole, added = content + listed, None
+        else:
+            added = listed if same in was else f"\n{content}{listed}"
+            whole = old + added
+        self.put(own if target is None else target, c["domain"], whole, added)
         if kind == "conflict":
             return {"merge_type": kind, "target": target, "statement": whole, "operation": "error"}
         return {"merge_type": kind, "target": target, "statement": whole, "operation": "add" if target is None else "replace"}
@@ -100,26 +174,36 @@ def canonicalised(candidates: DataFrame, stored: DataFrame) -> DataFrame:
     mine = stored.select("user_id", F.lit(True).alias("stored"), "pos", F.col("memory_id").alias("candidate_id"), "domain", F.col("statement").alias("content"), no().alias("merge_type"), no().alias("target_memory_id"), no("array<string>").alias("new_information"))
     domain = V.persona_domain(F.concat_ws(" ", "content", F.array_join(F.coalesce("new_information", F.array().cast("array<string>")), " ")), F.col("domain"))
     asked = candidates.select("user_id", F.lit(False).alias("stored"), "pos", "candidate_id", domain.alias("domain"), F.coalesce("content", F.lit("")).alias("content"), F.lower(F.trim("merge_type")).alias("merge_type"), "target_memory_id", "new_information")
-    stream = mine.unionByName(asked).repartition("user_id").sortWithinPartitions("user_id", F.desc("stored"), "pos").select(*_IN)
+    # by number, as a small table of many candidates is much work: tasks are not to be put together
+    tasks = int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    stream = mine.unionByName(asked).repartition(tasks, "user_id").sortWithinPartitions("user_id", F.desc("stored"), "pos").select(*_IN)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = [x.split()[0] for x in OUTCOMES.split(", ")]
+
+    def outcomes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         user, memory = None, Memory()
-        for batch in batches:
-            out = []
-            for c in batch.to_pylist():
-                if user is None or c["user_id"] != user[0]:
-                    user, memory = (c["user_id"],), Memory()
-                if c["stored"]:
-                    memory.items[c["candidate_id"]] = c["domain"], c["content"]
-                    continue
-                try:
-                    if not c["content"].strip():
-                        raise ValueError("the statement is empty")
-                    got, error = memory.take(c), None
-                except ValueError as e:
-                    got, error = {"merge_type": c["merge_type"], "target": None, "statement": None, "operation": "error"}, str(e)
-                out.append((c["user_id"], c["candidate_id"], c["domain"], got["merge_type"], got["target"], got["statement"], got["operation"], error))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*out)], names=[x.split()[0] for x in OUTCOMES.split(", ")])
+        for c in (c for batch in batches for c in batch.to_pylist()):
+            if user is None or c["user_id"] != user[0]:
+                user, memory = (c["user_id"],), Memory()
+            if c["stored"]:
+                memory.put(c["candidate_id"], c["domain"], c["content"])
+                continue
+            try:
+                if not c["content"].strip():
+                    raise ValueError("the statement is empty")
+                got, error = memory.take(c), None
+            except ValueError as e:
+                got, error = {"merge_type": c["merge_type"], "target": None, "statement": None, "operation": "error"}, str(e)
+            yield c["user_id"], c["candidate_id"], c["domain"], got["merge_type"], got["target"], got["statement"], got["operation"], error
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, size = [], 0
+        for row in chain(outcomes(batches), (None,)):
+            if row:
+                out.append(row)
+                size += len(row[5] or "")
+            if out and (not row or len(out) >= 4096 or size >= HELD):
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*out)], names=names)
+                out, size = [], 0
 
     return stream.mapInArrow(run, OUTCOMES)

@@ -182,3 +182,21 @@ def test_persona_merges_trust_no_declared_duplicate_and_take_the_new_domain():
     assert ask("c4", "travel", "Never drinks tea", "conflict", "a")["operation"] == "error" and "Never drinks tea" in memory.items["a"][1]
     with pytest.raises(ValueError, match="unknown"):
         ask("c5", "travel", "x", "perhaps")
+
+
+def test_persona_merges_do_not_go_through_all_statements(monkeypatch):
+    """Work for each candidate does not grow with the memory, and near statements are those that a pass over all finds."""
+    calls, words = [0], persona.tokens
+    monkeypatch.setattr(persona, "tokens", lambda text: (calls.__setitem__(0, calls[0] + 1), words(text))[1])
+    memory = persona.Memory()
+    for i in range(300):
+        text, kind = f"likes word{i % 97} word{i % 89} word{i % 7}", ("new" if i % 3 == 0 else "")
+        mine, best, near = words(text), (1, 0.08), None
+        for k, (_, s) in memory.items.items():
+            theirs = words(s)
+            both = len(mine & theirs)
+            if (rank := (both, both / max(1, min(len(mine), len(theirs))))) > best and both > 1:
+                best, near = rank, k
+        got = memory.take({"candidate_id": f"c{i}", "domain": "general", "content": text, "merge_type": kind, "target_memory_id": None, "new_information": None})
+        assert got["target"] == (None if kind else near) and memory.items[near or f"c{i}" if not kind else f"c{i}"][1] == got["statement"]
+    assert calls[0] <= 2 * 300
