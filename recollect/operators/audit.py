@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from recollect.operators.dealing import in_order
+
 
 def fact_conflicts(facts: DataFrame) -> DataFrame:
     """Subject and predicate with several values, typed apart (AGG1): high severity for over two, else medium."""
@@ -121,7 +123,7 @@ def chained(rows: DataFrame, *payload: str) -> DataFrame:
                 sums.append(digest)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(links, pa.string()), pa.array(sums, pa.string())], names=[f.name for f in schema])
 
-    dealt = rows.repartition("chain_id").sortWithinPartitions("chain_id", "sequence_id")
+    dealt = in_order(rows, ["chain_id"], "sequence_id")
     return dealt.withColumn("_chain", F.col("chain_id").cast("string")).withColumn("_record", record).mapInArrow(run, schema)
 
 
@@ -164,7 +166,7 @@ def fingerprint(files: DataFrame, key: str) -> DataFrame:
         if digest is not None:
             yield done()
 
-    return files.select(key, "name", F.coalesce("content", F.lit("")).alias("content")).repartition(key).sortWithinPartitions(key, "name").mapInArrow(run, schema)
+    return in_order(files.select(key, "name", F.coalesce("content", F.lit("")).alias("content")), [key], "name").mapInArrow(run, schema)
 
 
 def snapshot_id(files: DataFrame) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from recollect.functions import text as T
+from recollect.operators.dealing import in_order
 from recollect.operators.graph import components
 
 # What makes a text one of high risk, whatever its case.
@@ -179,7 +180,7 @@ def submitted(requests: DataFrame, decisions: DataFrame, allowed: DataFrame) ->
                         settled.add(decision)
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(out, pa.string())], names=["pos", "outcome"])
 
-    stream = dealt.select(*columns).repartition("root").sortWithinPartitions("root", "pos")
+    stream = in_order(dealt.select(*columns), ["root"], "pos")
     outcome = stream.mapInArrow(run, StructType([StructField("pos", pos), StructField("outcome", StringType())]))
     settles = (F.col("outcome") == "accepted") & (F.col("action") != "exception")
     return requests.join(outcome, "pos").withColumn("final_status", F.when(settles, F.when(F.col("action") == "approve", "APPROVED").otherwise("REJECTED")))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from recollect.functions import arrow
+from recollect.operators.dealing import in_order
 from recollect.sources.folders import shared_folder
 
 CAUSAL = ("CAUSED", "INFLUENCED", "PRECEDENT_FOR")
@@ -161,7 +162,7 @@ def resolved_by_alias(entities: DataFrame) -> DataFrame:
                 leads.update(((kind, n), key) for n in found)
             yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(4), pa.array(out, batch.schema.field(2).type)], names=["entity_id", "pos", "resolved_id"])
 
-    stream = dealt.select("root", "_type", "entity_id", "names", "pos").repartition("root").sortWithinPartitions("root", "pos", "entity_id")
+    stream = in_order(dealt.select("root", "_type", "entity_id", "names", "pos"), ["root"], "pos", "entity_id")
     resolved = stream.mapInArrow(run, schema)
     most = resolved.join(entities.select("entity_id", "pos", "confidence"), ["entity_id", "pos"]).groupBy("resolved_id").agg(F.max("confidence").alias("_most"))
     return entities.join(resolved, ["entity_id", "pos"]).join(most, "resolved_id").withColumn("confidence", F.col("_most")).drop("_most")

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recollect.functions import values as V
+from recollect.operators.dealing import in_order
 
 # Words in common, and their share of the shorter statement, from which two statements are about one thing;
 # the heading over what is added.
@@ -176,7 +177,7 @@ def canonicalised(candidates: DataFrame, stored: DataFrame) -> DataFrame:
     asked = candidates.select("user_id", F.lit(False).alias("stored"), "pos", "candidate_id", domain.alias("domain"), F.coalesce("content", F.lit("")).alias("content"), F.lower(F.trim("merge_type")).alias("merge_type"), "target_memory_id", "new_information")
     # by number, as a small table of many candidates is much work: tasks are not to be put together
     tasks = int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    stream = mine.unionByName(asked).repartition(tasks, "user_id").sortWithinPartitions("user_id", F.desc("stored"), "pos").select(*_IN)
+    stream = in_order(mine.unionByName(asked), ["user_id"], F.desc("stored"), "pos", tasks=tasks).select(*_IN)
 
     names = [x.split()[0] for x in OUTCOMES.split(", ")]
 

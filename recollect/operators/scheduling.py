@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
+from recollect.operators.dealing import in_order
+
 IDLE_S, MAX_WAIT_S, MAX_TOKENS, MAX_EVENTS = 7_200, 86_400, 16_000, 20
 
 
@@ -60,7 +62,7 @@ def batched(events: DataFrame, max_tokens: int = MAX_TOKENS, max_events: int = M
                 numbers.append(no)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(numbers, pa.int32())], names=["scope_id", "event_id", "batch_no"])
 
-    dealt = events.repartition("scope_id").sortWithinPartitions("scope_id", "completed_at", "event_id", "tokens")
+    dealt = in_order(events, ["scope_id"], "completed_at", "event_id", "tokens")
     return dealt.select("scope_id", "tokens", "event_id").mapInArrow(run, schema)
 
 

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from recollect.operators.dealing import in_order
+
 
 def restored(projection: DataFrame, journal: DataFrame) -> DataFrame:
     """Rows of the journal for sessions whose projection is empty (STR3); others keep what they have."""
@@ -53,7 +55,7 @@ def applied_jobs(envelopes: DataFrame, jobs: DataFrame) -> DataFrame:
             outcome, made, upto = zip(*out) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(outcome, pa.string()), pa.array(made, pa.int64()), pa.array(upto, pa.int64())], names=schema.names)
 
-    stream = met.select("session_id", "job_id", "expected_version", "from_sequence", "through", "version", "_through").repartition("session_id").sortWithinPartitions("session_id", "job_id")
+    stream = in_order(met.select("session_id", "job_id", "expected_version", "from_sequence", "through", "version", "_through"), ["session_id"], "job_id")
     return jobs.join(stream.mapInArrow(run, schema), ["session_id", "job_id"])
 
 

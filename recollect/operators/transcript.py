@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from recollect.operators.dealing import in_order
 from recollect.sources.folders import shared_folder
 
 READ_LIMIT, READ_CHARS = 2_000, 20_000
@@ -125,7 +126,7 @@ def multiline_matches(lines: DataFrame, pattern: str, ignore_case: bool = True)
         if held.lines and (rest := held.matched(True)):
             yield batch_of([(session, n) for n in rest])
 
-    return lines.select("session_id", "sequence", "text").repartition("session_id").sortWithinPartitions("session_id", "sequence").mapInArrow(run, schema)
+    return in_order(lines.select("session_id", "sequence", "text"), ["session_id"], "sequence").mapInArrow(run, schema)
 
 
 def with_context(lines: DataFrame, is_match: Column, before: int, after: int) -> DataFrame:
@@ -223,4 +224,4 @@ def resolve_markers(starts: DataFrame, contents: DataFrame, depth: int = 5, sepa
         if held:
             yield pa.RecordBatch.from_arrays([pa.array([start], kind), pa.array([resolved(begin, held)], pa.string())], names=names)
 
-    return rows.repartition("start").sortWithinPartitions("start", "first").mapInArrow(run, schema)
+    return in_order(rows, ["start"], "first").mapInArrow(run, schema)

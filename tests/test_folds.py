@@ -200,3 +200,16 @@ def test_persona_merges_do_not_go_through_all_statements(monkeypatch):
         got = memory.take({"candidate_id": f"c{i}", "domain": "general", "content": text, "merge_type": kind, "target_memory_id": None, "new_information": None})
         assert got["target"] == (None if kind else near) and memory.items[near or f"c{i}" if not kind else f"c{i}"][1] == got["statement"]
     assert calls[0] <= 2 * 300
+
+
+def test_rows_of_a_key_are_dealt_for_the_fold_itself(spark):
+    """A shuffle that only the join before asks for is read in other parts once the join becomes a broadcast one, or has large parts."""
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        jobs = spark.range(2_000).selectExpr("id % 50 as session_id", "id as job_id", "floor(id / 50) + 1 as expected_version", "id as from_sequence", "id as through")
+        got = U.applied_jobs(jobs.select("session_id").distinct().selectExpr("session_id", "1L as version", "0L as through"), jobs)
+        assert "REPARTITION_BY_COL" in got._jdf.queryExecution().executedPlan().toString()
+        assert [tuple(r) for r in got.groupBy("outcome").count().collect()] == [("acked", 2_000)]  # each job waits for the one before it
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
