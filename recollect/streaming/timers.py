@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from datetime import datetime
+from heapq import heapify, heappop, heappush
 from typing import Any
 
 from pyspark.sql import DataFrame, Row
@@ -138,6 +139,13 @@ class _Queue(_Timed):
         self.held = {k[0]: list(v) for k, v in self.jobs.iterator()}
         self.first = {k: tuple(v) for k, v in self.held.items()}
         self.next = self.line.get()[0] if self.line.exists() else 0
+        # what comes next, by heaps whose entries count only while the job is as they say: ends of leases and waits, the line, and those behind it
+        self.ends = [(v[6], k) for k, v in self.held.items() if v[4] in ("leased", "delayed")]
+        self.ready = [(v[5], k) for k, v in self.held.items() if v[4] == "ready"]
+        self.behind = [(v[0], k) for k, v in self.held.items() if v[4] == "pending"]
+        self.waits, self.in_line = dict(self.behind), len(self.ready)
+        for heap in (self.ends, self.ready, self.behind):
+            heapify(heap)
 
     def _store(self) -> None:
         for k in self.first.keys() - self.held.keys():
@@ -148,20 +156,34 @@ class _Queue(_Timed):
         self.line.update((self.next,))
         self._set(min((v[6] for v in self.held.values() if v[4] in ("leased", "delayed")), default=None))
 
-    def _ready(self, job: list) -> None:
+    def _ready(self, k: str) -> None:
+        job = self.held[k]
         job[4], job[5], job[6], job[7], self.next = "ready", self.next, 0, "", self.next + 1
+        heappush(self.ready, (job[5], k))
+        self.in_line += 1
+
+    def _until(self, k: str, status: str, until: int, token: str) -> None:
+        job = self.held[k]
+        job[4], job[6], job[7] = status, until, token
+        heappush(self.ends, (until, k))
 
     def _moved(self, now: int) -> Iterator[tuple[str, str]]:
         """Leases that have ended and waits that are over go back in line; then sessions behind a full line fill it."""
-        over = sorted((v[4] != "leased", v[6], k) for k, v in self.held.items() if v[4] in ("leased", "delayed") and v[6] <= now)
-        for was_delayed, _, k in over:
-            self._ready(self.held[k])
+        over = set()
+        while self.ends and self.ends[0][0] <= now:
+            until, k = heappop(self.ends)
+            job = self.held.get(k)
+            if job is not None and job[4] in ("leased", "delayed") and job[6] == until:
+                over.add((job[4] != "leased", until, k))
+        for was_delayed, _, k in sorted(over):
+            self._ready(k)
             yield k, "due" if was_delayed else "expired"
-        free = self.capacity - sum(v[4] == "ready" for v in self.held.values())
-        behind = sorted((v[0], k) for k, v in self.held.items() if v[4] == "pending") if free > 0 else []
-        for _, k in behind[:free]:
-            self._ready(self.held[k])
-            yield k, "ready"
+        while self.behind and self.in_line < self.capacity:
+            session, k = heappop(self.behind)
+            if self.waits.get(session) == k:
+                del self.waits[session]
+                self._ready(k)
+                yield k, "ready"
 
     def _done(self, r: Row, now: int) -> tuple[str | None, str]:
         held, job = self.held, self.held.get(r.job_id)
@@ -169,23 +191,25 @@ class _Queue(_Timed):
             if job is not None:
                 return r.job_id, "idempotent" if job[0] == r.session_id and job[1] >= r.version and job[2] >= r.through else "conflict"
             new = [r.session_id, r.version, r.through, 0, "", 0, 0, ""]
-            if sum(v[4] == "ready" for v in held.values()) < self.capacity:
+            if self.in_line < self.capacity:
                 held[r.job_id] = new
-                self._ready(new)
+                self._ready(r.job_id)
                 return r.job_id, "ready"
-            old = next((k for k, v in held.items() if v[4] == "pending" and v[0] == r.session_id), None)
+            old = self.waits.get(r.session_id)
             if old is not None:
                 if held[old][1] >= r.version and held[old][2] >= r.through:
                     return r.job_id, "coalesced"
                 new[1], new[2] = max(held[old][1], r.version), max(held[old][2], r.through)
                 del held[old]
-            new[4], held[r.job_id] = "pending", new
+            new[4], held[r.job_id], self.waits[r.session_id] = "pending", new, r.job_id
+            heappush(self.behind, (r.session_id, r.job_id))
             return r.job_id, "pending"
         if r.action == "lease":
-            k = min((k for k, v in held.items() if v[4] == "ready"), key=lambda k: held[k][5], default=None)
-            if k is None:
+            if not self.in_line:
                 return None, "empty"
-            held[k][4], held[k][6], held[k][7] = "leased", now + self.lease, r.token
+            k = heappop(self.ready)[1]  # jobs leave the line by a lease only
+            self.in_line -= 1
+            self._until(k, "leased", now + self.lease, r.token)
             return k, "leased"
         if job is None or job[4] != "leased" or job[7] != r.token:
             return r.job_id, "lost"
@@ -193,13 +217,13 @@ class _Queue(_Timed):
             del held[r.job_id]
             return r.job_id, "done"
         if r.action == "return":
-            job[4], job[6], job[7] = "delayed", now + self.wait, ""
+            self._until(r.job_id, "delayed", now + self.wait, "")
             return r.job_id, "returned"
         job[3] += 1
         if job[3] >= self.attempts:
             job[4], job[6], job[7] = "dead", 0, ""
             return r.job_id, "dead"
-        job[4], job[6], job[7] = "delayed", now + self.wait * 2 ** (job[3] - 1), ""
+        self._until(r.job_id, "delayed", now + self.wait * 2 ** (job[3] - 1), "")
         return r.job_id, "retry"
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:

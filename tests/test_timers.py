@@ -254,3 +254,29 @@ def test_reservations_and_commits_against_a_plain_fold(spark, parts):
     want = plain_reservations(rows, 300, rows[-1][2])
     assert found == want
     assert {r[3] for r in want} >= {"reserved", "committed", "conflict", "missing", "sequence_conflict", "digest_conflict", "expired"}
+
+
+def test_a_queue_of_many_jobs_takes_an_action_without_going_through_them():
+    """40,000 jobs wait behind a full line: what an action costs must not grow with them."""
+    from types import SimpleNamespace
+    from time import process_time
+
+    from recollect.streaming.timers import _Queue
+
+    class Kept(dict):
+        def iterator(self):
+            return iter([((k,), v) for k, v in self.items()])
+
+    q = _Queue(8, 60_000, 5_000, 5)
+    q.jobs = Kept({f"j{i:05}": (f"s{i:05}", 0, 0, 0, "ready" if i < 8 else "pending", i if i < 8 else 0, 0, "") for i in range(40_000)})
+    q.line = SimpleNamespace(exists=lambda: True, get=lambda: (8,))
+    q._load()
+    begun, out = process_time(), []
+    for i in range(2_000):
+        out += q._moved(i)
+        out.append(q._done(SimpleNamespace(action="lease", token=f"t{i}", job_id=None), i))
+        out.append(q._done(SimpleNamespace(action="ack", token=f"t{i}", job_id=f"j{i:05}"), i))
+    out += q._moved(2_000)
+    assert [k for k, o in out if o == "leased"] == [k for k, o in out if o == "done"] == [f"j{i:05}" for i in range(2_000)]
+    assert [k for k, o in out if o == "ready"] == [f"j{i:05}" for i in range(8, 2_008)]
+    assert process_time() - begun < 2
