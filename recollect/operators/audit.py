@@ -37,16 +37,22 @@ def _holds(op: Column, value: Column, wanted: Column) -> Column:
     return F.coalesce(compared, F.lit(False))
 
 
+def _by_subject(met: DataFrame) -> DataFrame:
+    """Rows dealt once by subject, for all that follows, to as many tasks as shuffles have: put together by size they would be few and large."""
+    return met.repartition(int(met.sparkSession.conf.get("spark.sql.shuffle.partitions")), "subject")
+
+
 def matching_rules(rules: DataFrame, facts: DataFrame) -> DataFrame:
     """subject and rule where all of a rule's conditions hold, in order of priority (GOV15, JN11, SRT4).
 
     rules: rule_id, priority, conclusion and conditions (field, op, wanted) as rows; facts: subject, field, value. A condition
-    without a fact does not hold. Whether rules are small enough to be broadcast is left to the planner, which knows their size.
+    without a fact does not hold. Rules are broadcast: there are few fields, so facts dealt by field would come to few tasks.
     """
     total = rules.groupBy("rule_id").agg(F.count("*").alias("n"), F.first("priority").alias("priority"), F.first("conclusion").alias("conclusion"))
-    met = facts.join(rules.select("rule_id", "field", "op", "wanted"), "field").where(_holds(F.col("op"), F.col("value"), F.col("wanted")))
-    counted = met.groupBy("subject", "rule_id").agg(F.count_distinct(F.struct("field", "op", "wanted")).alias("met"))
-    matched = counted.join(total, "rule_id").where("met = n")
+    met = facts.join(F.broadcast(rules.select("rule_id", "field", "op", "wanted")), "field").where(_holds(F.col("op"), F.col("value"), F.col("wanted")))
+    conditions = F.size(F.collect_set(F.struct("field", "op", "wanted")))  # as many as the rule has, at most
+    counted = _by_subject(met.select("subject", "rule_id", "field", "op", "wanted")).groupBy("subject", "rule_id").agg(conditions.alias("met"))
+    matched = counted.join(F.broadcast(total), "rule_id").where("met = n")
     by = Window.partitionBy("subject").orderBy(F.desc("priority"), "rule_id")
     return matched.select("subject", "rule_id", "conclusion", F.row_number().over(by).alias("place"))
 
@@ -66,11 +72,12 @@ def explained_rules(rules: DataFrame, facts: DataFrame) -> DataFrame:
     known = F.when(F.col("op").isin(*_SIGNS), F.col("op")).otherwise(F.raise_error(F.concat(F.lit("unsupported operator: "), F.coalesce("op", F.lit("none")))))
     signs = F.create_map(*(F.lit(x) for pair in _SIGNS.items() for x in pair))
     conditions = rules.select("rule_id", "nth", "field", known.alias("op"), "wanted")
-    met = facts.join(conditions, "field").where(_holds(F.col("op"), F.col("value"), F.col("wanted")))
+    met = facts.join(F.broadcast(conditions), "field").where(_holds(F.col("op"), F.col("value"), F.col("wanted")))
     step = F.concat_ws(" ", "field", F.element_at(signs, F.col("op")), quoted(F.col("wanted")), F.lit("matched actual value"), quoted(F.col("value")))
-    of = met.groupBy("subject", "rule_id").agg(F.array_sort(F.collect_list(F.struct("nth", step.alias("step")))).alias("steps"))
+    steps = F.array_sort(F.collect_list(F.struct("nth", "step")))
+    of = _by_subject(met.select("subject", "rule_id", "nth", step.alias("step"))).groupBy("subject", "rule_id").agg(steps.alias("steps"))
     heads = rules.groupBy("rule_id").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("priority", "conclusion", "version", "source_ref")))
-    matched = of.join(heads, "rule_id").where(F.size("steps") == F.col("n"))
+    matched = of.join(F.broadcast(heads), "rule_id").where(F.size("steps") == F.col("n"))
     place = F.row_number().over(Window.partitionBy("subject").orderBy(F.desc("priority"), "rule_id"))
     return matched.select("subject", "rule_id", "version", "conclusion", "source_ref", F.transform("steps", lambda s: s["step"]).alias("steps"), place.alias("place"))
 

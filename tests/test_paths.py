@@ -156,3 +156,11 @@ def test_participants_and_objects_take_resolved_names(spark):
     assert {r.event_id: r.participants for r in K.rewritten_participants(events, names).collect()} == {1: ["z", "c", "z", "z"], 2: [], 3: None}
     triplets = spark.createDataFrame([("a", "p", "b", "str"), ("b", "p", "a", "int"), (None, "p", None, "str")], "subject string, predicate string, object string, value_type string")
     assert sorted(map(str, (tuple(r) for r in K.rewritten_triplets(triplets, names).collect()))) == sorted(map(str, [("z", "p", "z", "str"), ("z", "p", "a", "int"), (None, "p", None, "str")]))
+
+
+def test_facts_are_dealt_by_subject_not_by_the_few_fields(spark):
+    from recollect.plans.catalogue import QUERIES
+
+    for name in ("rule_evaluation", "explained_rules"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.01")._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(field" not in plan and plan.count("Exchange hashpartitioning(subject") == 1, plan
