@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame. All but the last
 
 1. toxicity: documents that the weighted lexicon rejects go; it is learnt from the labels of all remaining rows' ids
 2. line_dedup: passages that other documents have too stay in the first of them; ``n_chars`` is that of the text left
-3. near_duplicates: of each component of near copies the document with the smallest doc_id stays
+3. near_duplicates: of each component of near copies, by SimHash and besides by five-word shingles, the document with the smallest doc_id stays
 4. decontamination: spans of benchmark items are cut out; documents that mostly consist of them go
 5. byte_bpe: token count and digests of the ids and of the decoded bytes of each text that is left
 
@@ -39,7 +39,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.drop_near_copies(docs)
+    return simhash.drop_near_duplicates(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

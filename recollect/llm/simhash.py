@@ -248,3 +248,21 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     number = unused_name(docs, "row")
     kept = minhash.rooted(docs, connected).groupBy("root").agg(F.min_by("row", F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias(number)).select(number)
     return docs.withColumn(number, row_number()).join(kept, number, "left_semi").drop(number)
+
+
+def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, of each component only one: that of the smallest doc_id (null last), the first of its rows.
+
+    Links are those of ``components``, and besides those of ``minhash``, as a similarity of 0.8 over five words can be far more than 3 bits
+    of a fingerprint apart. The components of both are joined.
+
+    Rows are told apart by their numbers, so ``docs`` must give its rows in the same order twice, as a table does.
+    """
+    number = unused_name(docs, "row")
+    near = components(docs).select("row", F.col("root").alias("print"))
+    both = cut(minhash.rooted(docs, connected).join(near, "row"))
+    hubs = both.groupBy("print").agg(F.min("root").alias("hub"))
+    joined = connected(both.select("print", "root").distinct().join(hubs, "print").select(F.col("root").alias("a"), F.col("hub").alias("b")))
+    rooted = both.join(joined.select(F.col("node").alias("root"), F.col("root").alias("_all")), "root", "left").withColumn("root", F.coalesce("_all", "root"))
+    kept = rooted.groupBy("root").agg(F.min_by("row", F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias(number)).select(number)
+    return docs.withColumn(number, row_number()).join(kept, number, "left_semi").drop(number)

@@ -118,3 +118,20 @@ def test_long_path_is_one_component(spark):
     edges = spark.range(1, 300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     got = simhash.connected(edges)
     assert got.count() == 299 and {r.root for r in got.select("root").distinct().collect()} == {1}
+
+
+def test_documents_within_the_radius_are_dropped_where_fewer_words_agree(spark):
+    """Links of fingerprints count, also where five-word shingles are less than 0.8 alike; a chain may go over both kinds of links."""
+    import random
+
+    sets = lambda t: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}
+    for seed in range(2_000):
+        r = random.Random(seed)
+        one = [f"w{r.randrange(5_000)}" for _ in range(200)]
+        two = [f"x{seed}" if i % 40 == 20 else w for i, w in enumerate(one)]
+        a, b = " ".join(one), " ".join(two)
+        if (simhash.fingerprint(a) ^ simhash.fingerprint(b)).bit_count() <= 3:
+            break
+    assert len(sets(a) & sets(b)) < 0.8 * len(sets(a) | sets(b))
+    docs = spark.createDataFrame([(1, a), (2, b), (3, b + " tail of three"), (4, "something else")], "doc_id long, text string").coalesce(1)
+    assert sorted(r.doc_id for r in simhash.drop_near_duplicates(docs).collect()) == [1, 4]
