@@ -84,12 +84,15 @@ def neighbours(edges: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
 
 def upstream(edges: DataFrame, starts: DataFrame, steps: int = 5, types: tuple[str, ...] = CAUSAL) -> DataFrame:
     """start, id and step of what leads to the starts over causal edges, invalidated ones included (GR4)."""
-    causal = edges.where(F.col("type").isin(*types)).select("source", "target").distinct()
+    # dealt once, by what each step asks for: no step reads the edges, or shuffles them, again
+    causal = _cut(edges.where(F.col("type").isin(*types)).select("source", "target").repartition("target").distinct())
     seen = _cut(starts.select(F.col("id").alias("start"), "id").distinct().withColumn("step", F.lit(0)))
     front = seen
     for step in range(1, steps + 1):
         reached = front.select("start", F.col("id").alias("target")).join(causal, "target").select("start", F.col("source").alias("id")).distinct()
         front = _cut(reached.join(seen.select("start", "id"), ["start", "id"], "left_anti").withColumn("step", F.lit(step)))
+        if front.isEmpty():
+            break
         seen = seen.unionByName(front)
     return seen.where("step > 0")
 
