@@ -14,10 +14,14 @@ def one_json(text: Column) -> Column:
 
     Spark's parser stops after the first value, so the text stands in an array before a sign that must come second and last.
     """
-    both = F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{_END}"]')))
-    second = F.try_variant_get(both, "$[1]", "string") == F.lit("\x01end\x01")
-    ends = F.coalesce(second, F.lit(False)) & F.try_variant_get(both, "$[2]", "variant").isNull()
-    return F.when(ends, F.try_variant_get(both, "$[0]", "variant"))
+
+    def first(both: Column) -> Column:
+        second = F.try_variant_get(both, "$[1]", "string") == F.lit("\x01end\x01")
+        ends = F.coalesce(second, F.lit(False)) & F.try_variant_get(both, "$[2]", "variant").isNull()
+        return F.when(ends, F.try_variant_get(both, "$[0]", "variant"))
+
+    # bound by a lambda, the text is parsed once and not for each mention
+    return F.get(F.transform(F.array(F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{_END}"]')))), first), F.lit(0))
 
 
 def kind(value: Column) -> Column:

@@ -21,6 +21,11 @@ def _digest(prefix: str, *parts: Column | str) -> Column:
     return F.concat(F.lit(f"{prefix}:"), F.left(F.sha2(F.concat_ws("|", *parts), 256), F.lit(16)))
 
 
+def _once(value: Column) -> Column:
+    """A value that is computed once a row: filters on a generated column are not pushed below it, which would compute it again."""
+    return F.explode(F.array(value))
+
+
 def stated(chunks: DataFrame) -> DataFrame:
     """Every statement: source_id, chunk_id, pos and nth (its line or record, and its field), kind, id, subject, predicate, object, value (JSON) and participants (FN13).
 
@@ -29,14 +34,14 @@ def stated(chunks: DataFrame) -> DataFrame:
     predicate and its time as object.
     """
     begun = F.ltrim("content").startswith("{") | F.ltrim("content").startswith("[")
-    parsed = chunks.select("source_id", "chunk_id", "content", F.when(begun, V.one_json(F.col("content"))).alias("_json"))
+    parsed = chunks.select("source_id", "chunk_id", "content", _once(F.when(begun, V.one_json(F.col("content")))).alias("_json"))
     return _of_lines(parsed.where("_json is null")).unionByName(_of_json(parsed.where("_json is not null")))
 
 
 def _of_lines(chunks: DataFrame) -> DataFrame:
     line = chunks.select("source_id", "chunk_id", F.posexplode(F.split("content", "\r\n|[\n\x0b\x0c\r\x1c-\x1e\x85  ]")).alias("pos", "line"))
     part = F.transform(F.split("line", r"\|"), lambda x: F.btrim(x, F.lit(" \t")))
-    line = line.select("source_id", "chunk_id", "pos", F.upper(part[0]).alias("kind"), part.alias("part"))
+    line = line.select("source_id", "chunk_id", "pos", _once(part).alias("part")).withColumn("kind", F.upper(F.col("part")[0]))
     n, first, second, third = F.size("part"), *(F.get("part", F.lit(i)) for i in (1, 2, 3))
     is_event = F.col("kind") == "EVENT"
     line = line.where(F.col("kind").isin(*LINES) & F.when(is_event, n >= 3).otherwise(n == 4))
@@ -67,28 +72,31 @@ def _of_json(chunks: DataFrame) -> DataFrame:
     several = V.kind(F.col("_json")) == "ARRAY"
     records = F.when(several, F.col("_json").cast("array<variant>")).otherwise(F.array("_json"))
     each = chunks.select("source_id", "chunk_id", F.posexplode(records).alias("pos", "record")).where(V.kind(F.col("record")) == "OBJECT")
-    fields = each.select("source_id", "chunk_id", "pos", F.col("record").cast("map<string, variant>").alias("field"))
+    fields = each.select("source_id", "chunk_id", "pos", _once(F.col("record").cast("map<string, variant>")).alias("field"))
     given = lambda name: _given(F.try_element_at("field", F.lit(name)))
     entity = F.trim(F.coalesce(given("application_id"), given("entity_id"), F.lit("")))
-    named = fields.withColumn("entity", entity).where("entity <> ''")
+    named = fields.select("source_id", "chunk_id", "pos", "field", _once(entity).alias("entity")).where("entity <> ''")
     blank, no_people = F.lit(None).cast("string"), F.lit(None).cast("array<string>")
-    entities = named.select(
-        "source_id", "chunk_id", "pos", F.lit(0).alias("nth"), F.lit("entity").alias("kind"), F.col("entity").alias("id"), blank.alias("subject"),
-        F.coalesce(given("entity_type"), F.lit(TYPE)).alias("predicate"), F.coalesce(given("name"), F.concat(F.lit(NAME), "entity")).alias("object"), blank.alias("value"), no_people.alias("participants"),
+    own = F.struct(
+        F.lit(0).alias("nth"), F.lit("entity").alias("kind"), F.col("entity").alias("id"), blank.alias("subject"), F.coalesce(given("entity_type"), F.lit(TYPE)).alias("predicate"),
+        F.coalesce(given("name"), F.concat(F.lit(NAME), "entity")).alias("object"), blank.alias("value"), no_people.alias("participants"),
     )
-    others = F.filter(F.array_sort(F.map_keys("field")), lambda k: ~k.isin(*NAMING))
-    keyed = named.select("source_id", "chunk_id", "pos", "entity", "field", F.posexplode(others).alias("nth", "key"))
-    triples = keyed.select(
-        "source_id", "chunk_id", "pos", (F.col("nth") + 1).alias("nth"), F.lit("triple").alias("kind"), blank.alias("id"), F.col("entity").alias("subject"),
-        F.col("key").alias("predicate"), blank.alias("object"), F.to_json(F.try_element_at("field", "key")).alias("value"), no_people.alias("participants"),
+    triple = lambda key, i: F.struct(
+        (i + 1).alias("nth"), F.lit("triple").alias("kind"), blank.alias("id"), F.col("entity").alias("subject"), key.alias("predicate"),
+        blank.alias("object"), F.to_json(F.try_element_at("field", key)).alias("value"), no_people.alias("participants"),
     )
-    return entities.unionByName(triples)
+    others = F.filter(F.array_sort(F.map_keys("field")), lambda k: ~k.isin(*NAMING))
+    return named.select("source_id", "chunk_id", "pos", F.inline(F.concat(F.array(own), F.transform(others, triple))))
 
 
 def _given(value: Column) -> Column:
     """A field's text, null where it counts as not given: null, false, zero, an empty string, array or object."""
-    empty = F.to_json(value).isin("null", "false", "0", "0.0", '""', "[]", "{}") | (V.kind(value) == "VOID")
-    return F.when(~empty, V.text_of(value))
+
+    def text(x: Column) -> Column:
+        empty = F.to_json(x).isin("null", "false", "0", "0.0", '""', "[]", "{}") | (V.kind(x) == "VOID")
+        return F.when(~empty, V.text_of(x))
+
+    return F.get(F.transform(F.array(value), text), F.lit(0))
 
 
 def entities(statements: DataFrame) -> tuple[DataFrame, DataFrame]:
