@@ -6,13 +6,16 @@ import hashlib
 import hmac
 import json
 import re
+import unicodedata
 import uuid
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 
 def _each(function):
@@ -25,14 +28,36 @@ def _each(function):
     return F.pandas_udf(run, StringType())
 
 
+#: What is not ASCII, with the ASCII character before it.
+_RUN = r"[\x00-\x7f]?[^\x00-\x7f]+"
+#: Texts that are made Python strings in one go.
+STEP = 128
+
+
+def compatible_texts(values: pa.Array) -> pa.Array:
+    """NFKC of each text, ``STEP`` of them at a time."""
+
+    def some(part: pa.Array) -> pa.Array:
+        return pa.array([s if s is None or s.isascii() else unicodedata.normalize("NFKC", s) for s in part.to_pylist()], pa.string())
+
+    return pa.concat_arrays([some(values.slice(i, STEP)) for i in range(0, len(values), STEP)] or [pa.nulls(0, pa.string())])
+
+
 def compatible(text: Column) -> Column:
-    """Compatibility characters as those they stand for (Unicode's NFKC), which no expression of Spark gives."""
+    """Compatibility characters as those they stand for (Unicode's NFKC), which no expression of Spark gives.
+
+    Only what is not ASCII goes through Python, with the character before it, which marks may join; no form reaches over an ASCII character from
+    behind it, so the rest stays as it is.
+    """
 
-    def nfkc(values: pd.Series) -> pd.Series:
-        return values.str.normalize("NFKC")
+    def nfkc(values: pa.Array) -> pa.Array:
+        ends = pc.cumulative_sum(pc.list_value_length(values).cast(pa.int32()))
+        return pa.ListArray.from_arrays(pa.concat_arrays([pa.array([0], pa.int32()), ends]), compatible_texts(values.flatten()))
 
-    nfkc.__annotations__ = {"values": pd.Series, "return": pd.Series}
-    return F.pandas_udf(nfkc, StringType())(text)
+    nfkc.__annotations__ = {"values": pa.Array, "return": pa.Array}
+    runs = F.coalesce(F.regexp_extract_all(text, F.lit(_RUN), F.lit(0)), F.array().cast("array<string>"))
+    normal = F.arrow_udf(nfkc, ArrayType(StringType()))(runs)
+    return F.array_join(F.zip_with(F.split(text, _RUN), normal, lambda rest, run: F.concat(rest, F.coalesce(run, F.lit("")))), "")
 
 
 def normal_text(text: Column) -> Column:
