@@ -10,11 +10,11 @@ attention head over the 16 to 32 subwords before, on top of class frequencies af
 a block's window overlaps the block before, so each position is scored once, with masked attention over its window, many
 blocks in a batch.
 
-Learning: one pass over all training documents counts words, subwords and pairs of subwords, and sets aside one block in
-``RATE`` of every document, chosen by a hash. Spark adds the counts up. Classes (ids with alike neighbours, by k-means),
+Learning: one pass over all training documents counts words, subwords and pairs of subwords, and writes out every block of
+them (``RATE`` is 1; a larger one, for trials, takes one block in so many). Spark adds the counts up. Classes (ids with alike neighbours, by k-means),
 class frequencies after each subword and subword frequencies after each class come from the pair counts of all training documents. The head
-starts from ``FIRST`` of the set-aside blocks on the driver (a starting point of fixed size), then tasks train it on all of
-them, in ``ROUNDS`` rounds whose results are averaged by the number of blocks. What comes to the driver is bounded by the
+starts from ``FIRST`` of the blocks on the driver (a starting point of fixed size), then tasks train it on every block
+once, in ``ROUNDS`` rounds whose results are averaged by the number of blocks. What comes to the driver is bounded by the
 vocabulary and the model, whatever the input: pairs with the ``CONTEXT`` commonest subwords, subwords by classes and back, the
 ``HEAD`` commonest words, and averaged weights.
 
@@ -48,8 +48,10 @@ from recollect.llm.common import arrow_rows, checkpoint_dir, kept_in_worker, new
 
 HEAD, LONGEST, CONTEXT = 131_072, 7, 96
 DIM, CLASSES, BLOCK, BATCH = 16, 96, 16, 192
-#: One block in so many of each training document trains the head: first so many on the driver, then all in tasks.
-RATE, FIRST, STEPS, ROUNDS, PASSES = 128, 16_384, 250, 3, 20
+#: One block in so many of each training document trains the head (1: every block): first so many on the driver, then all in tasks.
+RATE, FIRST, STEPS, ROUNDS, PASSES = 1, 16_384, 250, 3, 20
+#: Blocks in a step of a task; larger than ``BATCH``, as a step goes over all weights once, however few its blocks are.
+LARGE = 1024
 #: The part that word frequencies have in the probability of a token.
 SHARE = 0.5
 #: Words, and pairs of subwords, that a task counts before it hands them on.
@@ -364,17 +366,17 @@ def unflat(values: np.ndarray, like: Weights) -> Weights:
     return out
 
 
-def trained(p: Weights, classes: np.ndarray, after: np.ndarray, blocks: np.ndarray, steps: int, rate: float, seed: int) -> Weights:
+def trained(p: Weights, classes: np.ndarray, after: np.ndarray, blocks: np.ndarray, steps: int, rate: float, seed: int, batch: int = BATCH) -> Weights:
     """Weights after ``steps`` steps of Adam over the blocks (inputs of a window and the ids wanted, -1 for none).
 
     No step's gradient is longer than 1, and no block is seen more than ``PASSES`` times or so.
     """
-    steps = min(steps, PASSES * -(-len(blocks) // BATCH))
+    steps = min(steps, PASSES * -(-len(blocks) // batch))
     rng = np.random.default_rng(seed)
     mean, square = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}
     order = rng.permutation(len(blocks))
     for step in range(1, steps + 1):
-        pick = blocks[order[np.arange((step - 1) * BATCH, step * BATCH) % len(blocks)]]
+        pick = blocks[order[np.arange((step - 1) * batch, min(step * batch, (step - 1) * batch + len(blocks))) % len(blocks)]]
         x, y = pick[:, : 2 * BLOCK], pick[:, 2 * BLOCK : 3 * BLOCK]
         real = y >= 0
         opens, x = x[:, 0] < 0, np.maximum(x, 0)
@@ -524,7 +526,7 @@ def _averaged(blocks: DataFrame, m: Model, p: Weights, part: int) -> Weights:
         for held in _runs(batches, 1 << 16):
             p_, classes, after = shared.value
             mine = _blocks(held)
-            got = flat(trained(dict(p_), classes, after, mine, max(1, len(mine) // BATCH), 0.005, part)) * len(mine)
+            got = flat(trained(dict(p_), classes, after, mine, -(-len(mine) // LARGE), 0.005, part, LARGE)) * len(mine)
             if not np.isfinite(got).all():  # then these blocks leave the weights as they were
                 got = flat(p_) * len(mine)
             total, weight = got if total is None else total + got, weight + len(mine)
