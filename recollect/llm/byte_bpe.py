@@ -35,6 +35,9 @@ _AFTER_WHITE = re.compile(f"[{_WHITE}] ")
 #: Characters beyond those that ``plain`` knows; texts without them are split by the standard library's engine, which is faster.
 _ODD = re.compile(r"[^\t-\r\x20-\x7e\xa0¡¿À-ÖØ-öø-ÿ]")
 
+#: Entries of a generation of a memo: three memos with two generations each take 80 MB or so.
+KNOWN = 100_000
+
 
 class PerfectHash:
     """Minimal perfect hash by displacement: a bucket's seed sends each of its keys to a slot of its own."""
@@ -153,13 +156,13 @@ def plain(pattern: str) -> re.Pattern:
 
 
 class Encoder:
-    """A vocabulary with the memos of one Python worker."""
+    """A vocabulary with the memos of one Python worker, each of at most twice ``KNOWN`` entries."""
 
     def __init__(self, voc: Vocabulary) -> None:
         self.voc = voc
-        self.piece = Recent(self._piece)
-        self.chunk = Recent(self._chunk)
-        self.bytes = Recent(self._bytes)
+        self.piece = Recent(self._piece, KNOWN)
+        self.chunk = Recent(self._chunk, KNOWN)
+        self.bytes = Recent(self._bytes, KNOWN)
 
     def _piece(self, piece: str) -> str:
         token = piece.encode()
