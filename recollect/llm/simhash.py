@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recollect.llm import minhash
-from recollect.llm.common import arrow_rows, cut, emit, row_number, unused_name, words_ascii_space
+from recollect.llm.common import arrow_rows, cut, emit, row_number, unused_name, words_ascii_space, written
 from recollect.llm.fingerprints import ALL as _ALL
 from recollect.llm.fingerprints import LANES as _LANES
 from recollect.llm.fingerprints import RADIUS, of_hashes, sliced, within
@@ -209,7 +209,7 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
     Alternating large-star and small-star: each turns every node's neighbours towards the smallest of them; the number of
     rounds grows with the logarithm of the longest path. Written to the checkpoint folder after each round.
     """
-    edges = cut(edges.where("a <> b").select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).distinct())
+    edges = written(edges.where("a <> b").select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).distinct())
     before = None
     for _ in range(rounds):
         state = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b") % (1 << 31)).alias("h")).first()
@@ -221,7 +221,7 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
-        edges = cut(small.where("a <> b").distinct())
+        edges = written(small.where("a <> b").distinct())
     else:
         raise RuntimeError("the components did not settle")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

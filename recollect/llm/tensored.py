@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from recollect.llm.common import arrow_rows, cut, emit, row_number, words_ascii_space, written
+from recollect.llm.common import arrow_rows, emit, row_number, words_ascii_space, written
 from recollect.llm.simhash import connected
 
 SHINGLE, SEED, PERCENT = 4, 42, 80
@@ -187,11 +187,11 @@ def _clustered_links(rare: DataFrame, few: DataFrame, sets: DataFrame) -> DataFr
     Members that meet by such shingles are a cluster. Its members are dealt into parts of ``PART`` shingles or so; each part meets those who
     ask, all but the largest component's, part by part, in cells of bounded size that count all their overlaps at once.
     """
-    many = cut(rare.join(few, "shingle", "left_anti"))
+    many = written(rare.join(few, "shingle", "left_anti"))
     least = many.groupBy("shingle").agg(F.min("node").alias("a"))
     found = connected(many.join(least, "shingle").select("a", F.col("node").alias("b"))).withColumnRenamed("root", "cluster")
     member = many.groupBy("node").agg(F.first("root").alias("root"), F.first("size").alias("size"))
-    member = cut(member.join(found, "node", "left").withColumn("cluster", F.coalesce("cluster", "node")))
+    member = written(member.join(found, "node", "left").withColumn("cluster", F.coalesce("cluster", "node")))
     of_root = member.groupBy("cluster", "root").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
     clusters = of_root.groupBy("cluster").agg(F.max_by("root", F.struct("n", "root")).alias("most"), F.ceil(F.sum("size") / PART).cast("int").alias("parts"))
     dealt = member.join(clusters, "cluster").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("all", F.sequence(F.lit(0), F.col("parts") - 1))
@@ -205,18 +205,18 @@ def _clustered_links(rare: DataFrame, few: DataFrame, sets: DataFrame) -> DataFr
 def rooted(docs: DataFrame) -> DataFrame:
     """row, doc_id, n_shingles and root (equal for rows of one component; null for empty sets) of every row of ``docs``."""
     rows = written(sketches(docs))
-    nodes = cut(rows.where("set_is IS NOT NULL").groupBy("set_is").agg(F.min("row").alias("node")))
+    nodes = written(rows.where("set_is IS NOT NULL").groupBy("set_is").agg(F.min("row").alias("node")))
     dealt = keys(rows.join(nodes.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "bands"))
     dealt = written(dealt)
     sizes = dealt.groupBy("block").agg(F.count("*").alias("members")).where("members > 1")
     shared = written(dealt.join(sizes, "block").select("block", "node", "members").sortWithinPartitions("block"))
-    met = cut(shared.groupBy("node").agg(F.sum("members").alias("met")))
+    met = written(shared.groupBy("node").agg(F.sum("members").alias("met")))
     hubs = shared.join(met, "node").groupBy("block").agg(F.min(F.struct((-F.col("met")).alias("by"), F.col("node").alias("hub"))).alias("h")).select("block", "h.hub")
     texts = docs.select(row_number().alias("row"), "text").join(met.select(F.col("node").alias("row")), "row", "left_semi")
     sets = written(_sets(texts))
 
     pair = F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")
-    links = cut(_confirmed(shared.join(hubs, "block").where("node <> hub").select(*pair).distinct(), sets))
+    links = written(_confirmed(shared.join(hubs, "block").where("node <> hub").select(*pair).distinct(), sets))
     found = connected(links)
 
     members = shared.join(found, "node", "left").select("node", "block", "members", F.coalesce("root", "node").alias("root"))
@@ -227,8 +227,8 @@ def rooted(docs: DataFrame) -> DataFrame:
     apart = small.join(others, "block").where("root < hub_root").select(*pair).distinct()
     large = members.where(F.col("members") > SMALL).select("node", "root").distinct()
     rare = written(_rare(large, sets))
-    few = cut(rare.groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") <= SMALL).select("shingle"))
-    more = cut(_confirmed(apart.unionAll(_rare_pairs(rare, few)).distinct(), sets).unionAll(_clustered_links(rare, few, sets)))
+    few = written(rare.groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") <= SMALL).select("shingle"))
+    more = written(_confirmed(apart.unionAll(_rare_pairs(rare, few)).distinct(), sets).unionAll(_clustered_links(rare, few, sets)))
     if not more.isEmpty():
         found = connected(links.unionAll(more))
     named = nodes.join(found, "node", "left").select("set_is", F.coalesce("root", "node").alias("root"))
@@ -237,7 +237,7 @@ def rooted(docs: DataFrame) -> DataFrame:
 
 def components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (the component's smallest doc_id) and kept (whether that is the row's own) of every row."""
-    rows = cut(rooted(docs))
+    rows = written(rooted(docs))
     least = rows.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("first_id"))
     named = rows.join(least, "root", "left").withColumn("component_id", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("first_id")))
     return named.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
