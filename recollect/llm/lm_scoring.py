@@ -40,6 +40,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,10 +59,9 @@ SHARE = 0.5
 HELD_WORDS, HELD_PAIRS = 200_000, 1_000_000
 #: Blocks that are scored in one go, and bytes of text that are cut in one go.
 BLOCKS, PIECE = 512, 1 << 21
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Blocks of a step whose gradients are made in one go, which stay near the processor, and numbers that a step changes in one go.
+PART, NUMBERS = 128, 1 << 15
+_SPACE = b"\t\n\v\f\r "
 _MASKS = np.array([(1 << 8 * n) - 1 for n in range(8)], np.uint64)
 
 
@@ -92,6 +92,9 @@ class Pieces:
         else:
             self.bits = 19
             slot = self._slot(keys)
+        #: Whether any key has a hash that begins so: most strings that are looked up are none, and this tells so from one byte.
+        self.any = np.zeros(1 << 20, bool)
+        self.any[(keys * self.multiplier) >> np.uint64(44)] = True
         order = np.argsort(slot, kind="stable")
         slot = slot[order]
         nth = np.arange(len(slot)) - np.searchsorted(slot, slot)
@@ -120,6 +123,8 @@ class Pieces:
                 if not len(fits):
                     continue
                 key = (x[fits] & _MASKS[n]) | np.uint64(n << 56) | begins
+                maybe = self.any[(key * self.multiplier) >> np.uint64(44)]
+                fits, key = fits[maybe], key[maybe]
                 slot = self._slot(key)
                 same = self.keys[slot] == key[:, None]
                 hit = same.any(axis=1)
@@ -151,10 +156,10 @@ class Words:
 
 def find_words(texts: list[bytes]) -> Words:
     """Words of the texts, which are joined by a space, so no word goes from one into the next."""
-    joined = b" ".join(texts)
-    text = _LOWER[np.frombuffer(joined + bytes(8), np.uint8)]
-    space = _SPACE[text]
-    space[len(joined) :] = True
+    joined = b" ".join(texts).lower() + bytes(8)
+    text = np.frombuffer(joined, np.uint8)
+    space = (text == 32) | (text >= 9) & (text <= 13)
+    space[-8:] = True
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
     if not space[0]:
         edge = np.r_[0, edge]
@@ -169,22 +174,37 @@ def _lower_words(text: bytes) -> list[bytes]:
 class Run:
     """Documents as numbers of distinct words, which are cut and looked up once a run."""
 
-    distinct: list[bytes]
+    words: pa.BinaryArray  # distinct
     number: np.ndarray  # of each word, in order
     doc: np.ndarray  # of each word
     docs: int
 
     @classmethod
     def of(cls, texts: list[bytes]) -> Run:
-        split = [_lower_words(t) for t in texts]
-        words = [w for s in split for w in s]
-        place = {w: i for i, w in enumerate(dict.fromkeys(words))}
-        return cls(list(place), np.fromiter(map(place.__getitem__, words), np.int64, len(words)), np.repeat(np.arange(len(texts)), list(map(len, split))), len(texts))
+        found = find_words(texts)
+        end = np.r_[0, np.cumsum(found.ends - found.starts)].astype(np.int64)
+        letters = found.text.tobytes().translate(None, _SPACE)
+        every = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(end) - 1, [None, pa.py_buffer(end), pa.py_buffer(letters)]).dictionary_encode()
+        begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        return cls(every.dictionary.cast(pa.binary()), every.indices.to_numpy().astype(np.int64), np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(found.starts, begins))), len(texts))
+
+    @property
+    def distinct(self) -> list[bytes]:
+        return self.words.to_pylist()
 
     def cut(self, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the distinct words' subwords, and how many each has."""
-        found = find_words(self.distinct)
-        return pieces.cut(found.text, found.starts, found.ends)
+        text, at = _bytes_of(self.words)
+        return pieces.cut(np.r_[text, np.zeros(8, np.uint8)], at[:-1].astype(np.int64), at[1:].astype(np.int64))
+
+
+def _bytes_of(values: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all values (no null) in a row, and where each begins and the last one ends."""
+    if not len(values):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int32)
+    _, offsets, data = values.buffers()
+    at = np.frombuffer(offsets, np.int32)[values.offset : values.offset + len(values) + 1]
+    return np.frombuffer(data, np.uint8)[at[0] : at[-1]] if at[-1] > at[0] else np.zeros(0, np.uint8), at - at[0]
 
 
 def ids_of(pieces: Pieces, run: Run) -> tuple[np.ndarray, np.ndarray]:
@@ -251,19 +271,25 @@ def attend(q: np.ndarray, kv: np.ndarray, near: np.ndarray, x: np.ndarray, opens
     x: the window's inputs; opens: whether a block is the first of its document, whose window's first half is not its own;
     bounded: whether no score is over 88, as after ``with_head``, so that exponentials do not overflow.
     """
-    both = kv[x]
-    k, v, own = both[..., :DIM], both[..., DIM:], q[x[:, BLOCK:]]
+    both = np.take(kv, x, axis=0)
+    k, v, own = both[..., :DIM], both[..., DIM:], np.take(q, x[:, BLOCK:], axis=0)
     s = own @ k.transpose(0, 2, 1)
+    bounded = bounded or not s.size or max(s.max(), -s.min()) + np.abs(near).max() <= 60
     s += np.where(_BACK >= 0, near[np.maximum(_BACK, 0)], _AHEAD).astype(np.float32)
     if not bounded:
         s[opens, :, :BLOCK] = _AHEAD
         s -= s.max(axis=2, keepdims=True)
     np.exp(s, out=s)
     s[opens, :, :BLOCK] = 0
-    total = s.sum(axis=2, keepdims=True)
+    total = _sums(s)
     return (s @ v) / total, own, k, v, s, total
 
 
+def _sums(a: np.ndarray) -> np.ndarray:
+    """Sums over the last axis, which is kept; as a product, which is faster for short rows."""
+    return (a.reshape(-1, a.shape[-1]) @ np.ones(a.shape[-1], a.dtype)).reshape(*a.shape[:-1], 1)
+
+
 def log_probs(m: Model, ids: np.ndarray, first: np.ndarray, end: int) -> np.ndarray:
     """log p of each id given those before it in its document. The input at a document's first place is the end."""
     size = np.diff(np.r_[first, len(ids)])
@@ -279,7 +305,7 @@ def log_probs(m: Model, ids: np.ndarray, first: np.ndarray, end: int) -> np.ndar
         z = mixed.reshape(-1, DIM) @ m.out
         np.exp(z, out=z)
         z *= np.take(m.after, x[:, BLOCK:].ravel(), axis=0)
-        own = np.log(z[np.arange(len(z)), wanted[a].ravel()] / z.sum(axis=1))
+        own = np.log(z[np.arange(len(z)), wanted[a].ravel()] / _sums(z)[:, 0])
         real = (np.arange(BLOCK) < left[i : i + BLOCKS, None]).ravel()
         out[(a[:, None] + np.arange(BLOCK)).ravel()[real]] = own[real]
     return out + m.inside[m.classes[inputs_of(ids, first, end)[BLOCK:-BLOCK]], ids]
@@ -359,13 +385,51 @@ def flat(p: Weights) -> np.ndarray:
 
 
 def unflat(values: np.ndarray, like: Weights) -> Weights:
+    """Weights of the shapes of ``like`` from all their numbers; numbers of four bytes are shared, not copied."""
     out, at = {}, 0
     for k in sorted(like):
-        out[k] = values[at : at + like[k].size].reshape(like[k].shape).astype(np.float32)
+        out[k] = values[at : at + like[k].size].reshape(like[k].shape).astype(np.float32, copy=False)
         at += like[k].size
     return out
 
 
+def add_slopes(slope: Weights, p: Weights, tables: tuple[np.ndarray, np.ndarray], classes: np.ndarray, after: np.ndarray, x: np.ndarray, y: np.ndarray, share: float) -> None:
+    """Adds to ``slope`` what these blocks (inputs, ids wanted) add to the loss's gradient.
+
+    tables: queries, and keys and values, of all ids; share: the part of one position in the loss.
+    """
+    opens, x, shape = x[:, 0] < 0, np.maximum(x, 0), y.shape
+    mixed, q, k, v, s, total = attend(*tables, p["near"], x, opens, bounded=False)
+    s /= total
+    asked, mixed = x[:, BLOCK:].ravel(), mixed.reshape(-1, DIM)
+    dz = mixed @ p["out"]
+    if not max(dz.max(), -dz.min()) <= 60:
+        dz -= dz.max(axis=1, keepdims=True)
+    np.exp(dz, out=dz)
+    dz *= np.take(after, asked, axis=0)
+    weight = np.where(y.ravel() >= 0, np.float32(share), np.float32(0))
+    dz *= weight[:, None] / _sums(dz)
+    dz.reshape(-1)[np.arange(len(dz)) * CLASSES + classes[np.maximum(y, 0).ravel()]] -= weight
+    slope["out"] += mixed.T @ dz
+    dmixed = dz @ p["out"].T
+    along = _sums(dmixed * mixed).reshape(*shape, 1)  # which is the sum over keys of a key's weight times its slope
+    dmixed = dmixed.reshape(*shape, DIM)
+    ds = dmixed @ v.transpose(0, 2, 1)
+    ds -= along
+    ds *= s
+    dkv = np.concatenate([ds.transpose(0, 2, 1) @ q, s.transpose(0, 2, 1) @ dmixed], axis=2).reshape(-1, 2 * DIM)
+    dq = (ds @ k).reshape(-1, DIM)
+    e = np.take(p["e"], x, axis=0)
+    slope["q"] += e[:, BLOCK:].reshape(-1, DIM).T @ dq
+    both = e.reshape(-1, DIM).T @ dkv
+    slope["k"] += both[:, :DIM]
+    slope["v"] += both[:, DIM:]
+    de = (dkv @ np.concatenate([p["k"], p["v"]], axis=1).T).reshape(e.shape)
+    de[:, BLOCK:] += (dq @ p["q"].T).reshape(*shape, DIM)
+    np.add.at(slope["e"].reshape(-1), (x.reshape(-1, 1) * DIM + np.arange(DIM)).ravel(), de.ravel())  # numbers one by one: much faster than rows
+    np.add.at(slope["near"], np.maximum(_BACK, 0), ds.sum(axis=0))
+
+
 def trained(p: Weights, classes: np.ndarray, after: np.ndarray, blocks: np.ndarray, steps: int, rate: float, seed: int, batch: int = BATCH) -> Weights:
     """Weights after ``steps`` steps of Adam over the blocks (inputs of a window and the ids wanted, -1 for none).
 
@@ -373,38 +437,34 @@ def trained(p: Weights, classes: np.ndarray, after: np.ndarray, blocks: np.ndarr
     """
     steps = min(steps, PASSES * -(-len(blocks) // batch))
     rng = np.random.default_rng(seed)
-    mean, square = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}
+    values = flat(p)
+    slopes, mean, square = (np.zeros_like(values) for _ in range(3))
+    p, slope = unflat(values, p), unflat(slopes, p)
     order = rng.permutation(len(blocks))
     for step in range(1, steps + 1):
-        pick = blocks[order[np.arange((step - 1) * batch, min(step * batch, (step - 1) * batch + len(blocks))) % len(blocks)]]
+        pick = blocks[order[np.arange((step - 1) * batch, min(step * batch, (step - 1) * batch + len(blocks))) % len(blocks)]].astype(np.int64)
         x, y = pick[:, : 2 * BLOCK], pick[:, 2 * BLOCK : 3 * BLOCK]
-        real = y >= 0
-        opens, x = x[:, 0] < 0, np.maximum(x, 0)
-        mixed, q, k, v, s, total = attend(p["e"] @ p["q"], np.concatenate([p["e"] @ p["k"], p["e"] @ p["v"]], axis=1), p["near"], x, opens, bounded=False)
-        s /= total
-        z = mixed @ p["out"] + np.log(after[x[:, BLOCK:]])
-        z = np.exp(z - z.max(axis=2, keepdims=True))
-        dz = z / z.sum(axis=2, keepdims=True)
-        np.add.at(dz, (*np.indices(y.shape), classes[np.maximum(y, 0)]), -1)
-        dz *= real[:, :, None] / max(1, real.sum())
-        dmixed = dz @ p["out"].T
-        ds = s * (dmixed @ v.transpose(0, 2, 1))
-        ds -= s * ds.sum(axis=2, keepdims=True)
-        dq, dk, dv = ds @ k, ds.transpose(0, 2, 1) @ q, s.transpose(0, 2, 1) @ dmixed
-        xq, ex = x[:, BLOCK:], p["e"][x]
-        de = np.zeros_like(p["e"])
-        np.add.at(de, xq, dq @ p["q"].T)
-        np.add.at(de, x, dk @ p["k"].T + dv @ p["v"].T)
-        dnear = np.zeros(2 * BLOCK, np.float32)
-        np.add.at(dnear, np.maximum(_BACK, 0), ds.sum(axis=0))
-        grad = {"e": de, "q": np.einsum("bid,bij->dj", ex[:, BLOCK:], dq), "k": np.einsum("bid,bij->dj", ex, dk), "v": np.einsum("bid,bij->dj", ex, dv), "near": dnear, "out": np.einsum("bid,bij->dj", mixed, dz)}
-        long = math.sqrt(sum(float((g * g).sum()) for g in grad.values()))
-        grad = {key: g / max(1.0, long) for key, g in grad.items()}
+        slopes[:] = 0
+        tables = p["e"] @ p["q"], p["e"] @ np.concatenate([p["k"], p["v"]], axis=1)
+        share = 1 / max(1, int((y >= 0).sum()))
+        for i in range(0, len(pick), PART):
+            add_slopes(slope, p, tables, classes, after, x[i : i + PART], y[i : i + PART], share)
+        slopes /= np.float32(max(1.0, math.sqrt(float(slopes @ slopes))))
         pace = rate * min(1.0, step / 30) * (1 - step / (steps + 1)) ** 0.5
-        for key, g in grad.items():
-            mean[key] += 0.1 * (g - mean[key])
-            square[key] += 0.01 * (g * g - square[key])
-            p[key] = p[key] - pace * (mean[key] / (1 - 0.9**step)) / (np.sqrt(square[key] / (1 - 0.99**step)) + 1e-8)
+        for i in range(0, len(values), NUMBERS):
+            g, m, v = (a[i : i + NUMBERS] for a in (slopes, mean, square))
+            m *= np.float32(0.9)
+            m += np.float32(0.1) * g
+            g *= g
+            g *= np.float32(0.01)
+            v *= np.float32(0.99)
+            v += g
+            np.sqrt(v, out=g)
+            g *= np.float32(1 / math.sqrt(1 - 0.99**step))
+            g += np.float32(1e-8)
+            np.divide(m, g, out=g)
+            g *= np.float32(pace / (1 - 0.9**step))
+            values[i : i + NUMBERS] -= g
     return p
 
 
@@ -471,8 +531,8 @@ def _count(training: DataFrame, pieces: Pieces, rate: int) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         subwords = kept_in_worker("lm-pieces", key, shared, lambda x: x)
-        words: Counter = Counter()
-        keys, times, held = [], [], 0
+        words: list[tuple[pa.BinaryArray, np.ndarray]] = []
+        keys, times, held, held_words = [], [], 0, 0
 
         def pairs() -> Iterator[pa.RecordBatch]:
             every, at = np.unique(np.concatenate(keys), return_inverse=True)
@@ -482,10 +542,9 @@ def _count(training: DataFrame, pieces: Pieces, rate: int) -> DataFrame:
                 yield _counted(a=pa.array(a, pa.int32()), b=pa.array(b, pa.int32()), n=pa.array(n[i : i + (1 << 16)]))
 
         def counted_words() -> Iterator[pa.RecordBatch]:
-            every = list(words)
+            every, n = words.pop()
             for i in range(0, len(every), 1 << 15):
-                part = every[i : i + (1 << 15)]
-                yield _counted(word=pa.array(part, pa.binary()), n=pa.array([words[w] for w in part], pa.int64()))
+                yield _counted(word=every[i : i + (1 << 15)], n=pa.array(n[i : i + (1 << 15)]))
 
         for rows in _pieces_of_text(arrow_rows(batches, ["text"])):
             texts = [t for (t,) in rows]
@@ -498,23 +557,44 @@ def _count(training: DataFrame, pieces: Pieces, rate: int) -> DataFrame:
             if held > HELD_PAIRS:
                 yield from pairs()
                 keys, times, held = [], [], 0
-            words.update(dict(zip(found.distinct, np.bincount(found.number, minlength=len(found.distinct)).tolist())))
-            if len(words) > HELD_WORDS:
-                yield from counted_words()
-                words.clear()
+            words.append((found.words, np.bincount(found.number, minlength=len(found.words))))
+            held_words += len(found.words)
+            if held_words > 2 * HELD_WORDS:
+                words = [_added_up(words)]
+                held_words = len(words[0][0])
+                if held_words > HELD_WORDS:
+                    yield from counted_words()
+                    held_words = 0
             signs = np.array([crc32(t) << 32 | len(t) for t in texts], np.uint64)
             blocks = set_aside(ids, first, subwords.end, signs, rate)
             if len(blocks):
-                yield _counted(block=pa.array([b.tobytes() for b in blocks], pa.binary()))
+                yield _counted(block=_packed(blocks, subwords.n))
         if held:
             yield from pairs()
-        yield from counted_words()
+        if held_words:
+            words = [_added_up(words)]
+            yield from counted_words()
 
     return training.mapInArrow(count, "a int, b int, n long, word binary, block binary")
 
 
+def _added_up(counts: list[tuple[pa.BinaryArray, np.ndarray]]) -> tuple[pa.BinaryArray, np.ndarray]:
+    """Words with their counts, each word once."""
+    every = pa.chunked_array([w for w, _ in counts]).combine_chunks().dictionary_encode()
+    return every.dictionary, np.bincount(every.indices.to_numpy(), weights=np.concatenate([n for _, n in counts])).astype(np.int64)
+
+
+def _packed(blocks: np.ndarray, n: int) -> pa.BinaryArray:
+    """Blocks of ``n`` ids as binary values, with two bytes an id where these are enough for all ids."""
+    values = np.ascontiguousarray(blocks, "<i2" if n <= 1 << 15 else "<i4")
+    at = np.arange(len(values) + 1, dtype=np.int32) * (values.itemsize * values.shape[1])
+    return pa.BinaryArray.from_buffers(pa.binary(), len(values), [None, pa.py_buffer(at), pa.py_buffer(values)])
+
+
 def _blocks(table: pa.Table) -> np.ndarray:
-    return np.frombuffer(b"".join(table["block"].to_pylist()), "<i4").reshape(-1, 3 * BLOCK)
+    rows = [_bytes_of(c.cast(pa.binary()))[0].reshape(len(c), -1) for c in table["block"].chunks if len(c)]
+    values = np.concatenate(rows)
+    return values.view(f"<i{values.shape[1] // (3 * BLOCK)}")
 
 
 def _averaged(blocks: DataFrame, m: Model, p: Weights, part: int) -> Weights:
@@ -628,12 +708,12 @@ def _first_pass(docs: DataFrame, pieces: Pieces, model: Model) -> DataFrame:
     shared, key = docs.sparkSession.sparkContext.broadcast((pieces, model)), new_key()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        subwords, m, logs, known = kept_in_worker("lm", key, shared, lambda x: (*x, np.log10(np.r_[x[1].counts, 0] + 0.5) - x[1].shift, np.r_[x[1].counts, 0] > 0))
-        end_log, end_known, head = math.log10(m.end_count + 0.5) - m.shift, int(m.end_count > 0), m.head
+        subwords, m, logs, known, head = kept_in_worker("lm", key, shared, lambda x: (*x, np.log10(np.r_[x[1].counts, 0] + 0.5) - x[1].shift, np.r_[x[1].counts, 0] > 0, pa.array(x[1].head, pa.binary())))
+        end_log, end_known = math.log10(m.end_count + 0.5) - m.shift, int(m.end_count > 0)
         for rows in _pieces_of_text(arrow_rows(batches, ["row", "doc_id", "text"])):
             found, n = Run.of([t for *_, t in rows]), len(rows)
             row = np.array([r for r, *_ in rows], np.int64)
-            place = np.fromiter((head.get(w, -1) for w in found.distinct), np.int64, len(found.distinct))
+            place = pc.fill_null(pc.index_in(found.words, value_set=head), -1).to_numpy().astype(np.int64)
             own, begin = token_logs(m, subwords, found, place)
             scores = np.add.reduceat(own, begin) / math.log(10)
             at = place[found.number]
@@ -641,11 +721,11 @@ def _first_pass(docs: DataFrame, pieces: Pieces, model: Model) -> DataFrame:
             base = np.bincount(found.doc[inside], weights=logs[at[inside]], minlength=n) + end_log
             seen = np.bincount(found.doc[inside], weights=known[at[inside]], minlength=n).astype(np.int64) + end_known
             size = np.bincount(found.doc, minlength=n) + 1
-            pairs, times = np.unique(found.doc[~inside] * len(found.distinct) + found.number[~inside], return_counts=True)
+            pairs, times = np.unique(found.doc[~inside] * len(found.words) + found.number[~inside], return_counts=True)
             if len(pairs):
-                of, word = np.divmod(pairs, len(found.distinct))
+                of, word = np.divmod(pairs, len(found.words))
                 k = len(pairs)
-                yield pa.RecordBatch.from_arrays([pa.array(row[of]), pa.array(found.distinct, pa.binary()).take(pa.array(word)), pa.array(times, pa.int32()), *(pa.nulls(k, t) for t in _DOC.values())], schema=_ROWS)
+                yield pa.RecordBatch.from_arrays([pa.array(row[of]), found.words.take(pa.array(word)), pa.array(times, pa.int32()), *(pa.nulls(k, t) for t in _DOC.values())], schema=_ROWS)
             yield pa.RecordBatch.from_arrays([pa.array(row), pa.array([b" %d" % r for r in row.tolist()], pa.binary()), pa.array(np.zeros(n), pa.int32()), pa.array([i for _, i, _ in rows], pa.int64()), pa.array(size), pa.array(seen), pa.array(base), pa.array(scores)], schema=_ROWS)
 
     numbered = docs.select(row_number().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
