@@ -59,8 +59,8 @@ SHARE = 0.5
 HELD_WORDS, HELD_PAIRS = 200_000, 1_000_000
 #: Blocks that are scored in one go, and bytes of text that are cut in one go.
 BLOCKS, PIECE = 512, 1 << 21
-#: Blocks of a step whose gradients are made in one go, which stay near the processor, and numbers that a step changes in one go.
-PART, NUMBERS = 128, 1 << 15
+#: Blocks of a step whose slopes are made in one go, so that these stay near the processor.
+PART = 128
 _SPACE = b"\t\n\v\f\r "
 _MASKS = np.array([(1 << 8 * n) - 1 for n in range(8)], np.uint64)
 
@@ -108,6 +108,23 @@ class Pieces:
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys * self.multiplier) >> np.uint64(64 - self.bits)).astype(np.int64)
 
+    def _longest(self, x: np.ndarray, left: np.ndarray, begins: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+        """The longest string that the eight bytes of each number begin with, at most ``left`` bytes: its id and its length."""
+        size = np.ones(len(x), np.int64)  # single bytes are all strings
+        for n in range(2, LONGEST + 1):
+            key = (x & _MASKS[n]) | (np.uint64(n << 56) | begins)
+            np.copyto(size, n, where=np.take(self.any, ((key * self.multiplier) >> np.uint64(44)).view(np.int64)) & (left >= n))
+        ids, open_ = np.empty(len(x), np.int32), np.arange(len(x))
+        while len(open_):  # a hash that begins like a string's may still be no string's: then on with shorter ones
+            n = size[open_]
+            key = (x[open_] & np.take(_MASKS, n)) | (n.astype(np.uint64) << np.uint64(56)) | begins
+            slot = self._slot(key)
+            same = (np.take(self.keys, slot, axis=0) == key[:, None]).view("<u4")[:, 0]  # a byte for each slot, at most one of them 1
+            ids[open_] = np.take(self.ids, slot * 4 + (same > 0xFF) + (same > 0xFFFF) + (same > 0xFFFFFF))
+            open_ = open_[same == 0]
+            size[open_] -= 1
+        return ids, size
+
     def cut(self, text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words' subwords in order, and how many each word has. text: lower case, eight bytes of padding."""
         eight = np.ndarray(len(text) - 7, "<u8", text.data, strides=(1,))
@@ -115,24 +132,10 @@ class Pieces:
         word, at, begins = np.arange(len(starts)), starts, np.uint64(8 << 56)
         count = np.zeros(len(starts), np.int32)
         while len(word):
-            x, left = eight[at], ends[word] - at
-            ids, size = np.full(len(word), -1, np.int32), np.zeros(len(word), np.int64)
-            open_ = np.arange(len(word))
-            for n in range(LONGEST, 0, -1):
-                fits = open_[left[open_] >= n]
-                if not len(fits):
-                    continue
-                key = (x[fits] & _MASKS[n]) | np.uint64(n << 56) | begins
-                maybe = self.any[(key * self.multiplier) >> np.uint64(44)]
-                fits, key = fits[maybe], key[maybe]
-                slot = self._slot(key)
-                same = self.keys[slot] == key[:, None]
-                hit = same.any(axis=1)
-                ids[fits[hit]] = self.ids[slot[hit]][same[hit]]
-                size[fits[hit]] = n
-                open_ = open_[ids[open_] < 0]
-                if not len(open_):
-                    break
+            ids, size = np.empty(len(word), np.int32), np.empty(len(word), np.int64)
+            for i in range(0, len(word), 1 << 13):
+                part = slice(i, i + (1 << 13))
+                ids[part], size[part] = self._longest(eight[at[part]], ends[word[part]] - at[part], begins)
             rounds.append((word, ids))
             count[word] += 1
             at = at + size
@@ -295,20 +298,22 @@ def log_probs(m: Model, ids: np.ndarray, first: np.ndarray, end: int) -> np.ndar
     size = np.diff(np.r_[first, len(ids)])
     at, before = windows(first, size)
     left = np.minimum(BLOCK, np.repeat(size, -(-size // BLOCK)) - before)
-    seen = np.lib.stride_tricks.sliding_window_view(inputs_of(ids, first, end), 2 * BLOCK)
-    wanted = np.lib.stride_tricks.sliding_window_view(np.concatenate([m.classes[ids], np.zeros(BLOCK, m.classes.dtype)]), BLOCK)
-    out = np.empty(len(ids), np.float32)
+    inputs, classes = inputs_of(ids, first, end), np.take(m.classes, ids)
+    seen = np.lib.stride_tricks.sliding_window_view(inputs, 2 * BLOCK)
+    wanted = np.lib.stride_tricks.sliding_window_view(np.concatenate([classes, np.zeros(BLOCK, classes.dtype)]), BLOCK)
+    out, n = np.empty(len(ids), np.float32), 0
     for i in range(0, len(at), BLOCKS):
         a = at[i : i + BLOCKS]
         x = seen[a]
         mixed = attend(m.q, m.kv, m.near, x, before[i : i + BLOCKS] == 0)[0]
         z = mixed.reshape(-1, DIM) @ m.out
         np.exp(z, out=z)
-        z *= np.take(m.after, x[:, BLOCK:].ravel(), axis=0)
-        own = np.log(z[np.arange(len(z)), wanted[a].ravel()] / _sums(z)[:, 0])
-        real = (np.arange(BLOCK) < left[i : i + BLOCKS, None]).ravel()
-        out[(a[:, None] + np.arange(BLOCK)).ravel()[real]] = own[real]
-    return out + m.inside[m.classes[inputs_of(ids, first, end)[BLOCK:-BLOCK]], ids]
+        after, at_ = np.take(m.after, x[:, BLOCK:].ravel(), axis=0), np.arange(len(z)) * CLASSES + wanted[a].ravel()
+        own = np.log(np.take(z, at_) * np.take(after, at_) / np.einsum("ij,ij->i", z, after))
+        own = own[(np.arange(BLOCK) < left[i : i + BLOCKS, None]).ravel()]
+        out[n : n + len(own)] = own  # blocks come in the order of their places
+        n += len(own)
+    return out + np.take(m.inside, np.take(m.classes, inputs[BLOCK:-BLOCK]).astype(np.int64) * m.inside.shape[1] + ids)
 
 
 def token_logs(m: Model, pieces: Pieces, run: Run, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -393,79 +398,78 @@ def unflat(values: np.ndarray, like: Weights) -> Weights:
     return out
 
 
-def add_slopes(slope: Weights, p: Weights, tables: tuple[np.ndarray, np.ndarray], classes: np.ndarray, after: np.ndarray, x: np.ndarray, y: np.ndarray, share: float) -> None:
-    """Adds to ``slope`` what these blocks (inputs, ids wanted) add to the loss's gradient.
+def slopes_of(p: Weights, classes: np.ndarray, after: np.ndarray, x: np.ndarray, y: np.ndarray, slope: Weights) -> None:
+    """Puts the gradient of the blocks' loss (inputs, ids wanted) into ``slope``, ``PART`` blocks at a time.
 
-    tables: queries, and keys and values, of all ids; share: the part of one position in the loss.
+    Slopes are added up for queries, keys and values of each id first, and go back to what these are made of once, in the end.
     """
-    opens, x, shape = x[:, 0] < 0, np.maximum(x, 0), y.shape
-    mixed, q, k, v, s, total = attend(*tables, p["near"], x, opens, bounded=False)
-    s /= total
-    asked, mixed = x[:, BLOCK:].ravel(), mixed.reshape(-1, DIM)
-    dz = mixed @ p["out"]
-    if not max(dz.max(), -dz.min()) <= 60:
-        dz -= dz.max(axis=1, keepdims=True)
-    np.exp(dz, out=dz)
-    dz *= np.take(after, asked, axis=0)
-    weight = np.where(y.ravel() >= 0, np.float32(share), np.float32(0))
-    dz *= weight[:, None] / _sums(dz)
-    dz.reshape(-1)[np.arange(len(dz)) * CLASSES + classes[np.maximum(y, 0).ravel()]] -= weight
-    slope["out"] += mixed.T @ dz
-    dmixed = dz @ p["out"].T
-    along = _sums(dmixed * mixed).reshape(*shape, 1)  # which is the sum over keys of a key's weight times its slope
-    dmixed = dmixed.reshape(*shape, DIM)
-    ds = dmixed @ v.transpose(0, 2, 1)
-    ds -= along
-    ds *= s
-    dkv = np.concatenate([ds.transpose(0, 2, 1) @ q, s.transpose(0, 2, 1) @ dmixed], axis=2).reshape(-1, 2 * DIM)
-    dq = (ds @ k).reshape(-1, DIM)
-    e = np.take(p["e"], x, axis=0)
-    slope["q"] += e[:, BLOCK:].reshape(-1, DIM).T @ dq
-    both = e.reshape(-1, DIM).T @ dkv
-    slope["k"] += both[:, :DIM]
-    slope["v"] += both[:, DIM:]
-    de = (dkv @ np.concatenate([p["k"], p["v"]], axis=1).T).reshape(e.shape)
-    de[:, BLOCK:] += (dq @ p["q"].T).reshape(*shape, DIM)
-    np.add.at(slope["e"].reshape(-1), (x.reshape(-1, 1) * DIM + np.arange(DIM)).ravel(), de.ravel())  # numbers one by one: much faster than rows
-    np.add.at(slope["near"], np.maximum(_BACK, 0), ds.sum(axis=0))
+    q, kv = p["e"] @ p["q"], p["e"] @ np.concatenate([p["k"], p["v"]], axis=1)
+    by_id = [np.zeros_like(p["e"]) for _ in range(3)]
+    place = np.arange(p["e"].size).reshape(p["e"].shape)
+    share = np.float32(1 / max(1, int((y >= 0).sum())))
+    slope["out"][:], slope["near"][:], lag = 0, 0, np.zeros(_BACK.shape, np.float32)
+    for i in range(0, len(x), PART):
+        x_, y_ = np.maximum(x[i : i + PART], 0), y[i : i + PART]
+        mixed, own, k, v, s, total = attend(q, kv, p["near"], x_, x[i : i + PART, 0] < 0, bounded=False)
+        s /= total
+        mixed = mixed.reshape(-1, DIM)
+        dz = mixed @ p["out"]
+        if not max(dz.max(), -dz.min()) <= 60:
+            dz -= dz.max(axis=1, keepdims=True)
+        np.exp(dz, out=dz)
+        dz *= np.take(after, x_[:, BLOCK:].ravel(), axis=0)
+        all_ = _sums(dz)
+        dz.reshape(-1)[np.arange(len(dz)) * CLASSES + classes[np.maximum(y_, 0).ravel()]] -= all_[:, 0]
+        weight = np.where(y_.reshape(-1, 1) >= 0, share, np.float32(0)) / all_  # of a row of dz
+        weighed = mixed * weight
+        for j in range(0, len(dz), 512):  # a product over many rows is slower than its parts
+            slope["out"] += weighed[j : j + 512].T @ dz[j : j + 512]
+        dmixed = (dz @ p["out"].T) * weight
+        along = _sums(dmixed * mixed).reshape(*y_.shape, 1)  # the sum over keys of a key's weight times its slope
+        dmixed = dmixed.reshape(*y_.shape, DIM)
+        ds = dmixed @ v.transpose(0, 2, 1)
+        ds -= along
+        ds *= s
+        at = np.take(place, x_, axis=0)
+        for to, where, d in zip(by_id, (at[:, BLOCK:], at, at), (ds @ k, ds.transpose(0, 2, 1) @ own, s.transpose(0, 2, 1) @ dmixed), strict=True):
+            np.add.at(to.reshape(-1), where.ravel(), d.ravel())  # numbers one by one: much faster than rows
+        lag += ds.sum(axis=0)
+    np.add.at(slope["near"], np.maximum(_BACK, 0), lag)
+    slope["e"][:] = 0
+    for key, d in zip("qkv", by_id, strict=True):
+        slope[key][:] = p["e"].T @ d
+        slope["e"] += d @ p[key].T
 
 
 def trained(p: Weights, classes: np.ndarray, after: np.ndarray, blocks: np.ndarray, steps: int, rate: float, seed: int, batch: int = BATCH) -> Weights:
     """Weights after ``steps`` steps of Adam over the blocks (inputs of a window and the ids wanted, -1 for none).
 
-    No step's gradient is longer than 1, and no block is seen more than ``PASSES`` times or so.
+    No step's gradient is longer than 1, and no block is seen more than ``PASSES`` times or so. Ids that no block holds have no
+    slope and do not move, so steps go over the others only.
     """
     steps = min(steps, PASSES * -(-len(blocks) // batch))
     rng = np.random.default_rng(seed)
+    inputs, first = blocks[:, : 2 * BLOCK], p
+    held = np.zeros(len(after), bool)
+    held[np.maximum(inputs, 0).ravel()] = True
+    place = np.r_[np.cumsum(held) - 1, -1]  # the last is for -1
+    inputs, after = place[inputs], after[held]
+    p = {**p, "e": p["e"][held]}
     values = flat(p)
     slopes, mean, square = (np.zeros_like(values) for _ in range(3))
     p, slope = unflat(values, p), unflat(slopes, p)
     order = rng.permutation(len(blocks))
     for step in range(1, steps + 1):
-        pick = blocks[order[np.arange((step - 1) * batch, min(step * batch, (step - 1) * batch + len(blocks))) % len(blocks)]].astype(np.int64)
-        x, y = pick[:, : 2 * BLOCK], pick[:, 2 * BLOCK : 3 * BLOCK]
-        slopes[:] = 0
-        tables = p["e"] @ p["q"], p["e"] @ np.concatenate([p["k"], p["v"]], axis=1)
-        share = 1 / max(1, int((y >= 0).sum()))
-        for i in range(0, len(pick), PART):
-            add_slopes(slope, p, tables, classes, after, x[i : i + PART], y[i : i + PART], share)
+        pick = order[np.arange((step - 1) * batch, min(step * batch, (step - 1) * batch + len(blocks))) % len(blocks)]
+        slopes_of(p, classes, after, inputs[pick], blocks[pick, 2 * BLOCK : 3 * BLOCK], slope)
         slopes /= np.float32(max(1.0, math.sqrt(float(slopes @ slopes))))
         pace = rate * min(1.0, step / 30) * (1 - step / (steps + 1)) ** 0.5
-        for i in range(0, len(values), NUMBERS):
-            g, m, v = (a[i : i + NUMBERS] for a in (slopes, mean, square))
-            m *= np.float32(0.9)
-            m += np.float32(0.1) * g
-            g *= g
-            g *= np.float32(0.01)
-            v *= np.float32(0.99)
-            v += g
-            np.sqrt(v, out=g)
-            g *= np.float32(1 / math.sqrt(1 - 0.99**step))
-            g += np.float32(1e-8)
-            np.divide(m, g, out=g)
-            g *= np.float32(pace / (1 - 0.9**step))
-            values[i : i + NUMBERS] -= g
-    return p
+        mean += np.float32(0.1) * (slopes - mean)
+        square += np.float32(0.01) * (slopes * slopes - square)
+        values -= np.float32(pace / (1 - 0.9**step)) * mean / (np.sqrt(square / np.float32(1 - 0.99**step)) + np.float32(1e-8))
+    e = first["e"].copy()
+    e[held] = p["e"]
+    return {**p, "e": e}
 
 
 def with_head(m: Model, p: Weights) -> Model:
@@ -687,7 +691,11 @@ def learn(docs: DataFrame, ranks_path: str, rate: int = RATE) -> tuple[Pieces, M
     model = with_counts(model, by_class, by_before, counts)
 
     blocks = counted.where("block is not null").select("block")
-    some = blocks.orderBy(F.xxhash64("block"), "block").limit(FIRST).toArrow()
+    # the first blocks by their hash: most are told from the rest by a bound, under which four times as many are to be expected
+    bound = -(1 << 63) + min(1 << 63, (1 << 64) * 4 * FIRST * BLOCK // int(counts.sum()))
+    some = blocks.where(F.xxhash64("block") < bound).orderBy(F.xxhash64("block"), "block").limit(FIRST).toArrow()
+    if some.num_rows < FIRST:
+        some = blocks.orderBy(F.xxhash64("block"), "block").limit(FIRST).toArrow()
     if not some.num_rows:
         return pieces, model, words
     p = trained(first_weights(n), model.classes, model.after, _blocks(some), STEPS, 0.02, 0)
