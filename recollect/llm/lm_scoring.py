@@ -405,7 +405,7 @@ def slopes_of(p: Weights, classes: np.ndarray, after: np.ndarray, x: np.ndarray,
     """
     q, kv = p["e"] @ p["q"], p["e"] @ np.concatenate([p["k"], p["v"]], axis=1)
     by_id = [np.zeros_like(p["e"]) for _ in range(3)]
-    place = np.arange(p["e"].size).reshape(p["e"].shape)
+    place = np.arange(p["e"].size // 2).reshape(-1, DIM // 2)  # of each pair of numbers
     share = np.float32(1 / max(1, int((y >= 0).sum())))
     slope["out"][:], slope["near"][:], lag = 0, 0, np.zeros(_BACK.shape, np.float32)
     for i in range(0, len(x), PART):
@@ -432,7 +432,7 @@ def slopes_of(p: Weights, classes: np.ndarray, after: np.ndarray, x: np.ndarray,
         ds *= s
         at = np.take(place, x_, axis=0)
         for to, where, d in zip(by_id, (at[:, BLOCK:], at, at), (ds @ k, ds.transpose(0, 2, 1) @ own, s.transpose(0, 2, 1) @ dmixed), strict=True):
-            np.add.at(to.reshape(-1), where.ravel(), d.ravel())  # numbers one by one: much faster than rows
+            np.add.at(to.view(np.complex64).reshape(-1), where.ravel(), d.view(np.complex64).ravel())  # two numbers at once: much faster than rows
         lag += ds.sum(axis=0)
     np.add.at(slope["near"], np.maximum(_BACK, 0), lag)
     slope["e"][:] = 0
