@@ -1,5 +1,6 @@
 """Operators whose result hangs on the order of rows, against plain folds over the same rows."""
 
+import hashlib
 import random
 
 import pytest
@@ -202,6 +203,60 @@ def test_persona_merges_do_not_go_through_all_statements(monkeypatch):
     assert calls[0] <= 2 * 300
 
 
+def test_rows_of_persona_merges_grow_with_the_candidates(spark, tmp_path):
+    """A statement into which all is merged is not repeated in the row of each candidate."""
+    docs = [(40 * i, f"likes green tea with word{i} in the morning\nand thing{i}") for i in range(400)]  # one user's
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["persona_merges"](spark, str(tmp_path)).collect()
+    assert len(got) == 399
+    assert sum(len(x) for r in got for x in r if isinstance(x, str)) < 10 * sum(len(t) for _, t in docs)
+
+
+def test_steps_of_persona_merges_give_each_statement_that_was(spark):
+    rng = random.Random(9)
+    text = lambda: " ".join(f"word{rng.randrange(30)}" for _ in range(rng.randrange(7)))
+    stored = [(f"u{u}", f"m{u}-{i}", i, "general", text()) for u in range(3) for i in range(3)]
+    rows = [(f"u{i % 3}", 10 + i, f"c{i}", rng.choice([text(), " ".join(text() for _ in range(5))]), rng.choice([None] * 6 + ["new", "update", "conflict", "perhaps"]), rng.choice([None] * 8 + [f"m{i % 3}-0", "nowhere"]), rng.choice([None, None, [text()]]), rng.choice(["general", "general", "travel"])) for i in range(300)]
+    rows += [("u0", 400 + i, f"c{400 + i}", "said three times", "new" if i == 0 else None, None, None, "general") for i in range(3)]
+    candidates = spark.createDataFrame(rows, "user_id string, pos long, candidate_id string, content string, merge_type string, target_memory_id string, new_information array<string>, domain string")
+    memory = spark.createDataFrame(stored, "user_id string, memory_id string, pos long, domain string, statement string")
+    want = {r.candidate_id: r.asDict() for r in persona.canonicalised(candidates, memory).collect()}
+    got = {r.candidate_id: r.asDict() for r in persona.steps(candidates, memory).collect()}
+    now, last = {(u, i): (0, s) for u, i, _, _, s in stored}, {}
+    for _, _, name, *_ in sorted(rows, key=lambda r: r[1]):
+        step, whole = got[name], want[name]["statement"]
+        assert all(step[k] == v for k, v in want[name].items() if k != "statement")
+        if whole is None:
+            assert all(step[k] is None for k in ("statement", "added", "stays", "version", "n_chars", "statement_sha256"))
+            continue
+        own = step["user_id"], step["target_memory_id"] or name
+        version, before = now.get(own, (-1, ""))
+        assert (before if step["stays"] else "") + step["added"] == whole
+        assert step["version"] == version + (step["operation"] != "none")
+        assert (step["n_chars"], step["statement_sha256"]) == (len(whole), hashlib.sha256(whole.encode()).hexdigest())
+        now[own], last[own] = (step["version"], whole), name
+    assert {n: g["statement"] for n, g in got.items() if g["statement"] is not None} == {n: want[n]["statement"] for n in last.values()}
+    assert len(got) == len(rows) and {"none", "add", "replace", "error"} == {g["operation"] for g in got.values()}
+
+
+def test_parts_of_long_statements_are_found_by_their_words(monkeypatch):
+    monkeypatch.setattr(persona, "LONG", 0)
+    monkeypatch.setattr(persona, "PLACES", 3)
+    rng, found = random.Random(4), 0
+    for _ in range(300):
+        names = rng.choice([["ab", "abc", "bc", "c"], [f"w{i}" for i in range(40)]])
+        text = lambda least, most: " ".join(rng.choice(names) for _ in range(rng.randint(least, most)))
+        mine = persona._Plain(text(0, 9), {})
+        for _ in range(4):
+            mine.add(text(0, 9))
+            whole = str(mine)
+            i = rng.randrange(len(whole) + 1)
+            for part in (persona.plain(whole[i : i + rng.randrange(20)]), text(1, 6), whole, whole + " c", ""):
+                assert mine.holds(part) == (part in whole)
+                found += len(part.split()) > 2 and part in whole
+    assert found > 500
+
+
 def test_rows_of_a_key_are_dealt_for_the_fold_itself(spark):
     """A shuffle that only the join before asks for is read in other parts once the join becomes a broadcast one, or has large parts."""
     held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
